@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import SegmentEncoder, slices, written
+from larkspur.llm.common import encoder, slices, written
 
 
 class BestFit:
@@ -66,13 +66,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048, ope
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = SegmentEncoder(tokenizer, drops_space=True)
+        enc = encoder(tokenizer, drops_space=True)
         fit, part, end = BestFit(size, open_bins), TaskContext.get().partitionId(), np.array([end_id], dtype="<u4").tobytes()
         names = [x.split()[0] for x in PIECES.split(", ")]
         kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 6]
         rows: list[tuple] = []
         for batch in slices(batches):
-            ids, cut = encoder.encode(batch.column(1))
+            ids, cut = enc.encode(batch.column(1))
             raw = memoryview(ids.astype("<u4", copy=False).tobytes())
             for k, doc in enumerate(batch.column(0).to_pylist()):
                 first, n = int(cut[k]), int(cut[k + 1] - cut[k]) + 1

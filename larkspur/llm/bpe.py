@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import slices
 
 
+@lru_cache(maxsize=2)
 def encoding(ranks: str, pattern: str):
     """A tiktoken encoding of a rank file, without special tokens."""
     import tiktoken

@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -65,62 +66,62 @@ class SegmentEncoder:
     A segment is a space or newline with what follows it up to the next. Pre-tokens of the byte-level vocabulary never
     reach from another character into white space, so a text's ids are those of its segments one after another; the
     word vocabulary drops white space, so there it holds for any cut at a space. Each batch is cut and its segments
-    numbered in Arrow; segments not met before go to the library in one string. Texts with two white-space
+    are looked up in Arrow; those not met before go to the library in one string. Texts with two white-space
     characters in a row, and texts with U+001C to U+001F, go to the library whole.
     """
 
-    def __init__(self, path: str, drops_space: bool = False, limit: int = 600_000):
+    def __init__(self, path: str, drops_space: bool = False, limit: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.drops_space, self.limit = drops_space, limit
-        self.known: dict[str, bytes] = {"": b""}
+        # segments, and where in `flat` their ids begin and how many they are
+        self.keys = pa.array([""], pa.string())
+        self.flat, self.size = np.empty(0, dtype="<u4"), np.zeros(1, dtype=np.int32)
         if drops_space:
             (self.mark,) = self.tok.encode("\x01", add_special_tokens=False).ids
         else:
             ids = range(self.tok.get_vocab_size())
-            self.size = np.array([len(self.tok.id_to_token(i) or "") for i in ids], dtype=np.int64)  # a character a byte
+            self.bytes_of = np.array([len(self.tok.id_to_token(i) or "") for i in ids], dtype=np.int64)  # a character a byte
 
-    def plain(self, texts: list[str]) -> list[bytes]:
-        found = self.tok.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+    def plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many of them each text has."""
+        found = [x.ids for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array(list(chain.from_iterable(found)), dtype="<u4"), np.array([len(x) for x in found], dtype=np.int32)
 
-    def joined(self, segments: list[str]) -> list[bytes]:
-        """The ids of segments, by one call for all of them where the cuts can be told from the ids."""
-        mark = " \x01 " if self.drops_space else ""
-        text = mark.join(segments)
-        flat = np.frombuffer(self.plain([text])[0], dtype="<u4")
+    def joined(self, segments: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As plain(), by one call for all segments where the cuts can be told from the ids."""
+        texts = segments.to_pylist()
+        flat, _ = self.plain([(" \x01 " if self.drops_space else "").join(texts)])
         if self.drops_space:
             cuts = np.flatnonzero(flat == self.mark)
-            starts, ends = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(flat)]])
+            if len(cuts) == len(texts) - 1:
+                return flat[flat != self.mark], np.diff(np.concatenate([[-1], cuts, [len(flat)]])).astype(np.int32) - 1
         else:
-            at = np.concatenate([[0], np.cumsum(self.size[flat])])
-            want = np.concatenate([[0], np.cumsum([len(x.encode()) for x in segments])])
+            at = np.concatenate([[0], np.cumsum(self.bytes_of[flat])])
+            want = np.concatenate([[0], np.cumsum(pc.binary_length(segments).to_numpy())])
             cuts = np.searchsorted(at, want)
-            if at[-1] != want[-1] or (at[np.minimum(cuts, len(at) - 1)] != want).any():
-                return self.plain(segments)
-            starts, ends = cuts[:-1], cuts[1:]
-        if len(starts) != len(segments):
-            return self.plain(segments)
-        raw = flat.tobytes()
-        return [raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-
-    def learn(self, segments: list[str]) -> None:
-        known = self.known
-        if len(known) > self.limit:  # the first to be met are the frequent ones
-            self.known = known = dict(islice(known.items(), self.limit // 6))
-        new = [x for x in segments if x not in known]
-        if self.drops_space:
-            apart = [x for x in new if "\x01" in x]
-        else:  # the first segment of a text has no white space to keep it from the one before
-            apart = [x for x in new if x[0] not in " \n" or x in (" ", "\n")]
-        if apart:
-            known.update(zip(apart, self.plain(apart), strict=True))
-            new = [x for x in new if x not in known]
-        if new:
-            known.update(zip(new, self.joined(new), strict=True))
+            if at[-1] == want[-1] and (at[cuts] == want).all():
+                return flat, np.diff(cuts).astype(np.int32)
+        return self.plain(texts)
+
+    def forget(self) -> None:
+        """Keeps the segments that were met first, which are the frequent ones."""
+        stay = self.limit // 6
+        self.keys, self.size = self.keys.take(pa.array(np.arange(stay))), self.size[:stay].copy()
+        self.flat = self.flat[: int(self.size.sum())].copy()
+
+    def learn(self, new: pa.Array) -> None:
+        """Encodes segments that are not known yet."""
+        # the first segment of a text has no white space to keep it from the one before
+        apart = pc.match_substring(new, "\x01") if self.drops_space else pc.invert(pc.match_substring_regex(new, r"(?s)^[ \n]."))
+        for some, encode in ((new.filter(apart), lambda x: self.plain(x.to_pylist())), (new.filter(pc.invert(apart)), self.joined)):
+            if len(some):
+                flat, size = encode(some)
+                self.keys = pa.concat_arrays([self.keys, some])
+                self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch, text after text (uint32), and where each text's begin (one more entry than texts). Null: none."""
@@ -133,22 +134,33 @@ class SegmentEncoder:
             held = texts if not odd.any() else pc.if_else(pa.array(odd), "", texts)
             lists = pc.split_pattern(pc.replace_substring(pc.replace_substring(held, " ", "\x1c "), "\n", "\x1c\n"), "\x1c")
         coded = lists.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        self.learn(distinct)
-        own = [self.known[x] for x in distinct]
-        flat = np.frombuffer(b"".join(own), dtype="<u4")
-        size = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // 4
-        first = np.cumsum(size) - size
-        code = coded.indices.to_numpy()
-        n = size[code]
-        upto = np.cumsum(n)
-        ids = flat[np.repeat(first[code] - (upto - n), n) + np.arange(int(upto[-1]) if len(upto) else 0)]
+        distinct = coded.dictionary
+        place = pc.index_in(distinct, value_set=self.keys)
+        if place.null_count:
+            if len(self.keys) > self.limit:
+                self.forget()
+                place = pc.index_in(distinct, value_set=self.keys)
+            self.learn(distinct.filter(pc.is_null(place)))
+            place = pc.index_in(distinct, value_set=self.keys)
+        first = np.cumsum(self.size, dtype=np.int32) - self.size
+        code = place.to_numpy()[coded.indices.to_numpy()]
+        n = self.size[code]
+        upto = np.cumsum(n, dtype=np.int32)
+        take = np.repeat(first[code] - (upto - n), n)
+        take += np.arange(len(take), dtype=np.int32)
         ends = np.asarray(lists.offsets)
         at = np.concatenate([[0], upto])[ends - ends[0]]
-        return (ids, at) if not odd.any() else self._with_odd(ids, at, texts, odd)
+        return (self.flat[take], at) if not odd.any() else self._with_odd(self.flat[take], at, texts, odd)
 
     def _with_odd(self, ids: np.ndarray, at: np.ndarray, texts: pa.Array, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = np.flatnonzero(odd)
-        whole = iter(self.plain(texts.take(pa.array(rows)).to_pylist()))
-        parts = [np.frombuffer(next(whole), dtype="<u4") if odd[k] else ids[at[k] : at[k + 1]] for k in range(len(odd))]
+        flat, size = self.plain(texts.take(pa.array(rows)).to_pylist())
+        whole = iter(np.split(flat, np.cumsum(size)[:-1]))
+        parts = [next(whole) if odd[k] else ids[at[k] : at[k + 1]] for k in range(len(odd))]
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, drops_space: bool = False) -> SegmentEncoder:
+    """The worker process's own encoder of a file: it is loaded once and keeps what it has learned from task to task."""
+    return SegmentEncoder(path, drops_space)

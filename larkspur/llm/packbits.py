@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import SegmentEncoder, slices, written
+from larkspur.llm.common import encoder, slices, written
 
 BLOCKS = "shard int, block int, width int, n_ids long, payload binary, doc_id array<long>, at array<long>"
 
@@ -56,8 +56,8 @@ def write_packed(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int =
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = SegmentEncoder(tokenizer)
-        width = width_of(max(encoder.tok.get_vocab_size(), end_id + 1))
+        enc = encoder(tokenizer)
+        width = width_of(max(enc.tok.get_vocab_size(), end_id + 1))
         shard, block = TaskContext.get().partitionId(), 0
         parts: list[np.ndarray] = []
         names: list[int | None] = []
@@ -71,7 +71,7 @@ def write_packed(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int =
 
         end = np.array([end_id], dtype="<u4")
         for batch in slices(batches):
-            ids, cut = encoder.encode(batch.column(1))
+            ids, cut = enc.encode(batch.column(1))
             for k, doc in enumerate(batch.column(0).to_pylist()):
                 parts += [ids[cut[k] : cut[k + 1]], end]
                 names.append(doc)
