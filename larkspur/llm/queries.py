@@ -15,6 +15,18 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm import quality
+
+    return quality.verdicts(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
+
+
+def op3_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm import secrets
+
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspur.llm import packbits
 
@@ -47,4 +59,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from larkspur.llm import sql
+
+    return sql.oracle_sql()
