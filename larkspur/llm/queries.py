@@ -48,6 +48,12 @@ def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit.pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op8_bootstrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm import pii
+
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspur.llm import minhash
 
