@@ -15,6 +15,12 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm import ann
+
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op2_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspur.llm import quality
 
