@@ -48,6 +48,13 @@ def op5_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
 
 
+def op6_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm import urls
+
+    rules = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+    return urls.judged(table(spark, sf_dir, "pages"), rules)
+
+
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspur.llm import bestfit
 
