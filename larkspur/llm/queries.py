@@ -73,6 +73,12 @@ def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_gated_recurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm import lm
+
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
