@@ -1,2 +1,57 @@
-"""The corpus pipeline: quality rules, near-duplicates, personal data, packing."""
-STAGES = []
+"""The corpus pipeline: quality rules, near duplicates, personal data, packing.
+
+Each stage works on all that the one before kept. The first three return documents with their own columns, so extra
+columns go through; the last returns the packed pieces. Null and empty texts fail the quality rules and go there.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from larkspur.llm import bestfit, minhash, pii, quality
+from larkspur.llm.common import shared_dir, table
+
+#: The pipeline's rows cannot be told by SQL: its last stage encodes with a tokenizer, its third scores contexts in rounds.
+ORACLE_SQL = None
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule or the divergence from their language's reference rejects go."""
+    return quality.kept_documents(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: the one with the least doc_id.
+
+    Rows that share a doc_id are one document and stay together; rows without a doc_id stay.
+    """
+    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts becomes its kind in brackets."""
+    return pii.redacted(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens, a row for each piece."""
+    import public_tokenizers
+
+    return bestfit.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality rules", quality_rules), ("near dedup", near_dedup), ("personal data", personal_data), ("packing", packing)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the table documents; each result is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = f"{shared_dir(spark)}/{name.replace(' ', '-')}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
