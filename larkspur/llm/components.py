@@ -1,4 +1,4 @@
-"""Connected components of a link table, by alternating star contraction."""
+"""Connected components of a link table, by hanging nodes on smaller neighbours and contracting."""
 
 from __future__ import annotations
 
@@ -8,27 +8,31 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import written
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31)))).head())
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links (a, b), component being the least node that can be reached.
 
-    Each step hangs a node's neighbours on the least of them, first the larger ones, then the smaller ones; when nothing
-    changes, every node hangs on its component's least. Only least neighbours are gathered by node, never lists of
-    neighbours, and the steps are written out, so neither a node with very many links nor a lost executor stops it.
+    Every node takes its least smaller neighbour as parent; parents are followed to the roots, two steps in one; links
+    whose ends have different roots are links between roots and go through the same again. Only least neighbours are
+    gathered by node, never lists of neighbours, and every step is written out, so neither a node with very many links
+    nor a lost executor stops it.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    edges = written(edges, "edges")
-    before = None
-    while (now := _state(edges)) != before:
-        before = now
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = written(large.distinct(), "edges")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = written(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "edges")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), "edges")
+    roots = None  # node, component
+    while not edges.isEmpty():
+        parent = written(edges.groupBy("u").agg(F.min("v").alias("v")), "parents")
+        while True:
+            up = parent.select(F.col("u").alias("v"), F.col("v").alias("w"))
+            parent = written(parent.join(up, "v", "left").select("u", F.coalesce("w", "v").alias("v"), F.col("w").isNotNull().alias("moved")), "parents")
+            if parent.where("moved").isEmpty():
+                break
+            parent = parent.drop("moved")
+        root = parent.select("u", F.col("v").alias("r"))
+        tops = root.select(F.col("r").alias("node")).distinct().select("node", F.col("node").alias("component"))
+        own = root.select(F.col("u").alias("node"), F.col("r").alias("component")).unionByName(tops)
+        if roots is not None:
+            kept = roots.join(own.select(F.col("node").alias("component"), F.col("component").alias("c")), "component", "left").select("node", F.coalesce("c", "component").alias("component"))
+            own = kept.unionByName(own.join(kept.select("node"), "node", "left_anti"))
+        roots = written(own, "components")
+        ends = edges.join(root, "u", "left").select(F.coalesce("r", "u").alias("x"), F.col("v").alias("u")).join(root, "u", "left").select("x", F.coalesce("r", "u").alias("y"))
+        edges = written(ends.where("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "edges")
+    return roots if roots is not None else edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -16,6 +16,8 @@ from larkspur.llm.components import components
 #: Places of the two permutations, bands, coordinates of a band. A pair of similarity 0.75 shares none of 56 bands of 4
 #: with a probability of (1 - 0.75 ** 4) ** 56 = 6e-10, and fewer than two of them with 1.6e-8.
 PLACES, BANDS, ROWS = 1 << 20, 56, 4
+#: Hubs that a member is compared with, those it shares most buckets with; other links are found across components.
+HUBS = 6
 #: So many ids at most are broadcast, 8 bytes each; above, the join is dealt out.
 BROADCAST_IDS = 2_000_000
 M = np.uint64(0x9E3779B97F4A7C15)
@@ -51,10 +53,10 @@ def shingle_sets(texts: pa.Array, k: int = 5) -> list[np.ndarray]:
         elif b - a >= k:
             out.append(np.unique(rolled[a : b - k + 1]))
         else:
-            whole = np.uint64(b - a)
+            whole = np.array([b - a], dtype=np.uint64)
             for x in code[a:b]:
                 whole = whole * M + x
-            out.append(mixed(np.array([whole])))
+            out.append(mixed(whole))
     return out
 
 
@@ -115,9 +117,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), k)], pa.binary())], ["id", "set"])
 
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(bounded(wanted), "id", "left_semi")
     return texts.mapInArrow(made, "id long, set binary")
 
 
@@ -144,14 +144,77 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df marked for broadcast if it is small: it holds ids, and its rows are counted."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def prefixes(sets: DataFrame, percent: int, sample: int = 4096) -> DataFrame:
+    """(id, n, left, before, h): of every set the hashes of which two sets that are to be linked must share one.
+
+    left: how many hashes of the set there are from this one on, itself included. before: the hash before it, or null.
+
+    All sets are put in one order, hashes that are frequent last; two sets with 100 * intersection >= percent * union
+    then share one of the first n - ceil(percent * n / 100) + 1 of each. Any order is right; which hashes are frequent
+    is therefore taken from about `sample` sets.
+    """
+    step = max(1, sets.count() // sample)
+    some = [np.frombuffer(r[0], np.uint64) for r in sets.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select("set").collect()]
+    names, counts = np.unique(np.concatenate(some), return_counts=True) if some else (np.empty(0, np.uint64), np.empty(0, np.int64))
+    often = counts > 2
+    names, counts = names[often], counts[often].astype(np.int32)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sizes, left, heads, previous = [], [], [], [], []
+            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(raw.as_buffer(), np.uint64)
+                n = len(own)
+                rank = np.zeros(n, np.int32)
+                if len(names):
+                    at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+                    rank = np.where(names[at] == own, counts[at], 0)
+                first = own[np.lexsort((own, rank))[: n + (-percent * n) // 100 + 1]]
+                ids.append(np.full(len(first), i))
+                sizes.append(np.full(len(first), n))
+                left.append(n - np.arange(len(first)))
+                heads.append(first.view(np.int64))
+                previous.append(np.concatenate([[0], heads[-1][:-1]]))
+            if ids:
+                at = np.concatenate([np.arange(len(x)) for x in heads])
+                columns = [pa.array(np.concatenate(x).astype(np.int64)) for x in (ids, sizes, left)]
+                before = pa.array(np.concatenate(previous).astype(np.int64), mask=at == 0)
+                yield pa.RecordBatch.from_arrays([*columns, before, pa.array(np.concatenate(heads))], ["id", "n", "left", "before", "h"])
+
+    return sets.select("id", "set").mapInArrow(cut, "id long, n long, left long, before long, h long")
+
+
+def between(heads: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a > b, of different components that may be linked by their sizes and the first hash they share.
+
+    heads: id, n, left, before, h, c. If a hash is the first in the order that two sets share, what is left of either
+    bounds what they share; so a pair that cannot be linked by that bound, or that shares the hash before as well, is
+    left to its first. Members of a hash's most frequent component are only met from outside it, so what is looked at
+    for a hash does not grow with the square of a component.
+    """
+    several = heads.groupBy("h").agg(F.mode("c").alias("big"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    heads = written(heads.join(several, "h"), "heads")
+    minor = heads.where("c <> big").select("h", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("left").alias("leftx"), F.col("before").alias("beforex"))
+    fits = (F.col("c") != F.col("cx")) & ((F.col("c") == F.col("big")) | (F.col("x") > F.col("id"))) & (100 * F.least("n", "nx") >= percent * F.greatest("n", "nx"))
+    fits &= (100 + percent) * F.least("left", "leftx") >= percent * (F.col("n") + F.col("nx"))
+    fits &= F.coalesce(F.col("before") != F.col("beforex"), F.lit(True))
+    met = minor.join(heads, "h").where(fits)
+    return met.select(F.greatest("x", "id").alias("a"), F.least("x", "id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id, kept.
 
     Equal sets are one class first; only its least doc_id goes on. In every bucket the members are compared with one of
-    them, the hub, not with each other; what turns out linked is one component. Where members of a bucket are then still
-    of several components, other hubs follow as long as that links more, and at last every pair of members of different
-    components that meets in two buckets or more is compared. So no link between components is left out, and within a
-    component none is needed. All comparisons are on whole sets.
+    them, the hub, not with each other: each with up to HUBS hubs that it shares two buckets or more with. What turns
+    out linked is one component. Then the members of buckets with several are compared across components, wherever they share a
+    hash that a link between them would need. So no link between components is left out, and within a component none
+    is needed. All comparisons are on whole sets.
 
     A null doc_id or a text without words is linked with nothing: its component is its own doc_id, it is kept. Rows that
     share a doc_id are one node. Other columns are ignored. No documents give no rows.
@@ -161,42 +224,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     classes = written(signed.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("buckets").alias("buckets")), "classes")
     names = classes.select("rep", F.explode("buckets").alias("bucket"))
     shared = names.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub <> top").drop("top")
-    met = written(names.join(shared, "bucket"), "met")  # members of buckets with several
+    votes = names.join(shared, "bucket").groupBy("rep", "hub").agg(F.count("*").alias("n"))
+    # a member has at most as many hubs as there are bands
+    ranked = F.array_sort(F.collect_list(F.when((F.col("rep") != F.col("hub")) & (F.col("n") > 1), F.struct((-F.col("n")).alias("n"), "hub"))))
+    members = written(votes.groupBy("rep").agg(F.transform(F.slice(ranked, 1, HUBS), lambda x: x["hub"]).alias("hubs")), "members")
 
-    sets = written(sets_of(docs, met.select(F.col("rep").alias("id")).distinct(), k), "sets", compression="uncompressed")
-    star = met.where("rep <> hub").groupBy("rep", "hub").agg(F.count("*").alias("n"))
-    star = star.groupBy("rep").agg(F.max(F.struct("n", (-F.col("hub")).alias("least"))).alias("m")).select(F.col("rep").alias("a"), (-F.col("m.least")).alias("b"))
-    tried = written(star, "tried")
+    sets = written(sets_of(docs, members.select(F.col("rep").alias("id")), k), "sets", compression="uncompressed")
+    tried = members.select(F.col("rep").alias("a"), F.explode("hubs").alias("b"))
     links = written(confirmed(tried, sets, percent), "links")
-    found = written(components(links), "components")
-
-    turn = 0
-    while True:
-        turn += 1
-        owned = met.select("bucket", "rep").join(found, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("c"))
-        mixed_up = owned.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
-        left = written(owned.join(mixed_up, "bucket"), "left")
-        # pairs of members of different components, counted from the sizes, not listed
-        sizes = left.groupBy("bucket", "c").agg(F.count("*").cast("double").alias("n")).groupBy("bucket").agg(((F.sum("n") ** 2 - F.sum(F.col("n") ** 2)) / 2).alias("p"), F.sum("n").alias("n"))
-        todo = sizes.agg(F.sum("p").alias("p"), F.sum("n").alias("n")).head()
-        if not todo["n"]:
-            break
-        last = todo["p"] <= 8 * todo["n"] or turn > 6
-        if last:
-            x, y = left.select("bucket", F.col("rep").alias("a"), F.col("c").alias("ca")), left.select("bucket", F.col("rep").alias("b"), F.col("c").alias("cb"))
-            pairs = x.join(y, "bucket").where("ca < cb").groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
-        else:
-            hub = left.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "c")).alias("h")).select("bucket", F.col("h.rep").alias("b"), F.col("h.c").alias("cb"))
-            pairs = left.join(hub, "bucket").where("c <> cb").select(F.col("rep").alias("a"), "b").distinct()
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "tried")
-        more = written(confirmed(pairs, sets, percent), "links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            found = written(components(links), "components")
-        if last:
-            break
-        tried = tried.unionByName(pairs)
+    found = components(links)
+
+    heads = prefixes(sets, percent).join(bounded(found.select(F.col("node").alias("id"), F.col("component").alias("c"))), "id", "left")
+    pairs = between(heads.withColumn("c", F.coalesce("c", "id")), percent).join(tried, ["a", "b"], "left_anti")
+    more = written(confirmed(pairs, sets, percent), "links")
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
 
     classed = signed.select("doc_id", "n_shingles", "print").join(classes.select("print", "rep"), "print")
     joined = classed.join(found, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
