@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from larkspur.plans import graph_queries, history_queries, retrieval_queries, stream_queries, text_queries, usage_queries
+from larkspur.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
+PARTS = [retrieval_queries.R, text_queries.R, usage_queries.R, history_queries.R, graph_queries.R, stream_queries.R]
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {k: q for r in PARTS for k, q in r.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: q for r in PARTS for k, q in r.sql.items()}
