@@ -22,7 +22,7 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, query: list[str], k: int)
     words = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit("[a-z0-9_]+"), F.lit(0))
     d = docs.select(F.col(id_col).alias("id"), words.alias("w")).where(F.size("w") > 0)
     wanted = [w.lower() for w in dict.fromkeys(query)]
-    d = d.select("id", F.size("w").alias("length"), *[F.size(F.filter("w", lambda x, w=w: x == w)).alias(f"tf{i}") for i, w in enumerate(wanted)])
+    d = d.select("id", F.size("w").alias("length"), *[_occurrences(w).alias(f"tf{i}") for i, w in enumerate(wanted)])
     stats = d.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(wanted))])
     s = d.where(sum((F.col(f"tf{i}") for i in range(len(wanted))), F.lit(0)) > 0).crossJoin(F.broadcast(stats))  # stats is one row
     score = F.lit(0.0)
@@ -33,6 +33,10 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, query: list[str], k: int)
     return s.select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
+def _occurrences(word: str) -> Column:
+    return F.size(F.filter("w", lambda x: x == word))
+
+
 def cosine_topk(vectors: DataFrame, query: list[float], k: int, mode: str = "linear") -> DataFrame:
     """The k vectors nearest to the query: vec_id, label, score."""
     score = V.distance_score(1 - V.cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query])), mode)
