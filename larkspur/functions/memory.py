@@ -78,9 +78,12 @@ def keywords(query: str) -> list[str]:
                 for i in range(len(part) - 1):
                     put(part[i : i + 2])
         elif re.match("[가-힯]", run):
-            stem = next((run[: -len(p)] for p in PARTICLES if run.endswith(p) and len(run) - len(p) > 1), None)
-            if run not in ALL_STOP and stem not in ALL_STOP:
-                put(run) if stem is None else (put(stem), put(run))
+            stems = [run[: -len(p)] for p in PARTICLES if run.endswith(p) and len(run) > len(p)]
+            if run in ALL_STOP or any(s in ALL_STOP for s in stems):
+                continue
+            if stem := next((s for s in stems if len(s) > 1), None):
+                put(stem)
+            put(run)
         else:
             put(run)
     return out

@@ -46,7 +46,7 @@ def date_range(start: str | None, end: str | None, days: int | None, today: dt.d
     first, last = parse(start), parse(end)
     if not first or not last:
         last = today
-        first = today - dt.timedelta(days=max(1, days or 30) - 1)
+        first = today - dt.timedelta(days=max(1, 30 if days is None else days) - 1)
     shift = dt.timedelta(minutes=offset_minutes)
     return dt.datetime.combine(first, dt.time()) - shift, dt.datetime.combine(last, dt.time()) + dt.timedelta(days=1, milliseconds=-1) - shift
 
