@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import encoder, slices, written
+from larkspur.llm.common import encoder, slices, small_batches, written
 
 
 class BestFit:
@@ -87,6 +87,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048, ope
         if left := fit.left():  # a row without a piece for each
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*[(None, None, None, used, None, part, b, None) for b, used in left], strict=True), kinds, strict=True)], names)
 
+    small_batches(docs.sparkSession)
     packed = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, PIECES), "pieces")
     sequence = F.col("part") * F.lit(1 << 40) + F.col("bin")
     left = packed.where(F.col("piece").isNull()).select(sequence.alias("own"), F.col("length").alias("used"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import slices
+from larkspur.llm.common import slices, small_batches
 
 
 @lru_cache(maxsize=2)
@@ -40,6 +40,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, chunk: int = 1 << 16, over
     encoded. Where neighbours have no such end - a pre-token longer than the overlap - they form one piece.
     Rows with the same doc_id stay rows of their own. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

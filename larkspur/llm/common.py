@@ -39,6 +39,22 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Sets how many rows go to Python at once, so that long texts take little memory on either side."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+def sampled(df: DataFrame, key: Column, rows: int, most: int) -> DataFrame:
+    """At most `most` rows of df, those with the least hashes of key; `rows` is how many df has, or a bound of that.
+
+    From a large table only about twice as many as are wanted come to the sort.
+    """
+    parts = 1 << 24
+    share = parts if rows <= 2 * most else 2 * most * parts // rows + 1
+    h = F.xxhash64(key)
+    return df.where(F.pmod(h, F.lit(parts)) < share).orderBy(F.pmod(h, F.lit(parts)), h, key).limit(most)
+
+
 def words(text: Column) -> Column:
     """The words of a text, in order; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
@@ -54,6 +70,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 4
         ends = [*(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip([0, *ends], ends, strict=False):
             yield batch.slice(a, b - a)
+        pa.default_memory_pool().release_unused()
 
 
 #: White space before a space or newline, or a control character that only Python calls white space.

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import slices, written
+from larkspur.llm.common import slices, small_batches, written
 from larkspur.llm.components import components
 
 #: Places of the two permutations, bands, coordinates of a band. A pair of similarity 0.75 shares none of 56 bands of 4
@@ -219,6 +219,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     A null doc_id or a text without words is linked with nothing: its component is its own doc_id, it is kept. Rows that
     share a doc_id are one node. Other columns are ignored. No documents give no rows.
     """
+    small_batches(docs.sparkSession)
     every = written(signatures(docs, k), "signatures")
     signed = every.where("print is not null and doc_id is not null")
     classes = written(signed.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("buckets").alias("buckets")), "classes")

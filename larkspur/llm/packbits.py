@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import encoder, slices, written
+from larkspur.llm.common import encoder, slices, small_batches, written
 
 BLOCKS = "shard int, block int, width int, n_ids long, payload binary, doc_id array<long>, at array<long>"
 
@@ -82,6 +82,7 @@ def write_packed(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int =
         if names:
             yield row()
 
+    small_batches(docs.sparkSession)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     return written(ordered.mapInArrow(encode, BLOCKS), "packed", **{"compression": "uncompressed"})
 
