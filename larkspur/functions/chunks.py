@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -103,3 +104,13 @@ def message_pieces(text: Column, limit: int, where: Callable[[str], int] = at_la
         return s.map(lambda x: None if x is None else at_breaks(x, limit, where))
 
     return run(text)
+
+
+def compression_ratio(text: Column) -> Column:
+    """Compressed size as a share of the text's, by the strongest deflate; null for null and empty texts."""
+
+    @F.pandas_udf("double")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: len(zlib.compress(x.encode(), 9)) / len(x.encode()) if x else None).astype("float64")
+
+    return run(text)

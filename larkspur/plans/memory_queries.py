@@ -4,6 +4,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import chunks, detect, memory
+from larkspur.functions import text as T
+from larkspur.functions import time as tm
+from larkspur.operators import graph
 from larkspur.plans.registry import Registry, Tables
 
 R = Registry()
@@ -176,3 +179,54 @@ def flt15_last_days(t: Tables) -> DataFrame:
     return t.events.where(F.to_date("ts") >= F.date_sub(F.lit("2024-01-30").cast("date"), 2)).select("event_id", "ts")
 
 
+
+
+@R.query("SELECT o_orderkey, ('0x' || substr(sha256(o_orderkey::VARCHAR), 1, 12))::BIGINT % 300000 AS stagger FROM orders")
+def win12_stagger(t: Tables) -> DataFrame:
+    return t.orders.select("o_orderkey", tm.stagger(F.col("o_orderkey").cast("string")).alias("stagger"))
+
+
+@R.query("SELECT user_id, count(*) AS messages, round(sum(value), 6) AS cost, count(*) FILTER (event_type = 'error') AS errors, max(ts) AS recent FROM events GROUP BY 1 ORDER BY errors DESC, user_id LIMIT 50")
+def rnk12_session_sort(t: Tables) -> DataFrame:
+    g = t.events.groupBy("user_id").agg(F.count("*").alias("messages"), F.round(F.sum("value"), 6).alias("cost"), F.count_if(F.col("event_type") == "error").alias("errors"), F.max("ts").alias("recent"))
+    return g.orderBy(F.desc("errors"), "user_id").limit(50)
+
+
+@R.query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN make_timestamp(1704067200000000 + event_id * 1000) WHEN event_id % 3 = 1 THEN TIMESTAMP '2024-01-05 00:00:00' END AS at FROM events")
+def dt1_absolute_time(t: Tables) -> DataFrame:
+    e = F.col("event_id")
+    text = F.when(e % 3 == 0, (F.lit(1704067200000) + e).cast("string")).when(e % 3 == 1, "2024-01-05").otherwise("soon")
+    return t.events.select("event_id", tm.absolute(text).cast("timestamp_ntz").alias("at"))
+
+
+@R.query()
+def snk8_compression(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", chunks.compression_ratio(F.col("text")).alias("ratio"))
+
+
+@R.query("SELECT item_id, list_contains(list_distinct(regexp_extract_all(text, '\\b[A-Z][A-Za-z0-9]+\\b')), 'Than') AS than, regexp_matches(text, '(?i)\\b(i|me|my|mine|myself)\\b') AS me FROM benchmark WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+def txt20_query_entities(t: Tables) -> DataFrame:
+    b = t.benchmark.where(~F.col("text").rlike(r"[^\x00-\x7F]")).withColumn("e", memory.query_entities(F.col("text")))
+    return b.select("item_id", F.array_contains("e", "Than").alias("than"), F.array_contains("e", "user").alias("me"))
+
+
+@R.query("""WITH n AS (SELECT DISTINCT p_name || 's' AS name FROM part WHERE p_partkey <= 30), k AS (SELECT DISTINCT p_name AS match FROM part WHERE p_partkey <= 30), p AS (SELECT name, match, 1 - levenshtein(name, match) / greatest(length(name), length(match)) AS ratio FROM n, k),
+b AS (SELECT name, match, ratio FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ratio DESC, match) AS r FROM p WHERE ratio >= 0.8) WHERE r = 1)
+SELECT name, coalesce(match, name) AS canonical, round(coalesce(ratio, 0.5), 6) AS confidence FROM n LEFT JOIN b USING (name)""")
+def txt18_canonical(t: Tables) -> DataFrame:
+    known = t.part.where("p_partkey <= 30").select(F.col("p_name").alias("name")).distinct()
+    names = known.select(F.concat("name", F.lit("s")).alias("name"))
+    d = names.join(graph.best_match(names, known), "name", "left")
+    return d.select("name", F.coalesce("match", "name").alias("canonical"), F.round(F.coalesce("ratio", F.lit(0.5)), 6).alias("confidence"))
+
+
+@R.query("SELECT conv_id, turn, CASE WHEN length(text) > 400 THEN substr(text, 1, 400) || chr(10) || '…(truncated)…' ELSE text END AS text, length(text) > 400 AS truncated FROM conversations")
+def txt26_history_text(t: Tables) -> DataFrame:
+    x = F.col("text")
+    cut = F.when(F.length(x) > 400, F.concat(F.left(x, F.lit(400)), F.lit("\n…(truncated)…"))).otherwise(x)
+    return t.conversations.select("conv_id", "turn", cut.alias("text"), (F.length(x) > 400).alias("truncated"))
+
+
+@R.query("SELECT page_id, substr(html, 1, 1000) AS html, length(html) > 1000 AS truncated FROM pages")
+def htm3_truncate(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", T.snippet(F.col("html"), 1000).alias("html"), T.truncated(F.col("html"), 1000).alias("truncated"))

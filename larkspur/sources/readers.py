@@ -129,3 +129,16 @@ def batch_output(requests: DataFrame, outputs: DataFrame) -> DataFrame:
     d = requests.join(outputs.withColumn("there", F.lit(True)), "custom_id", "left")
     error = F.when(F.col("there").isNull(), "missing").when(F.col("message").isNotNull(), F.col("message")).when(F.col("status") >= 400, F.concat(F.lit("status "), F.col("status"))).when(F.coalesce(F.size("embedding"), F.lit(0)) <= 0, "empty")
     return d.select("custom_id", F.when(error.isNull(), F.col("embedding")).alias("embedding"), error.alias("error"))
+
+
+def latest_log(files: DataFrame) -> str | None:
+    """The path of the file changed last; ties to the greatest path."""
+    return files.agg(F.max_by("path", F.struct("mtime", "path"))).head()[0]
+
+
+def numbered_batches(requests: DataFrame, order: str, most: int) -> DataFrame:
+    """requests with `batch`: groups of at most `most`, by a steady hash, so that no request waits for a global order."""
+    n = max(1, -(-requests.count() // most))
+    d = requests.withColumn("part", F.pmod(F.xxhash64(order), F.lit(n)))
+    r = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    return d.withColumn("batch", F.concat_ws("-", "part", F.floor(r / most))).drop("part")
