@@ -151,6 +151,7 @@ def backward(w: Weights, x: np.ndarray, first: np.ndarray, tape: list, d_states:
     """Adds the gradients of a window's steps; nothing goes back beyond the window or a document's first word."""
     d_in = np.empty((*x.shape, 3 * HIDDEN), np.float32)
     dh = np.zeros_like(d_states[0])
+    da, back, starts = np.empty_like(d_in[0]), np.ascontiguousarray(w["u"].T), first.any(axis=1)
     for t in range(len(x) - 1, -1, -1):
         h, z, r, n, a = tape[t]
         dh = dh + d_states[t]
@@ -159,10 +160,12 @@ def backward(w: Weights, x: np.ndarray, first: np.ndarray, tape: list, d_states:
         dr = dn * a * r * (1 - r)
         d = d_in[t]
         d[:, :HIDDEN], d[:, HIDDEN : 2 * HIDDEN], d[:, 2 * HIDDEN :] = dz, dr, dn
-        da = np.concatenate([dz, dr, dn * r], axis=1)
+        da[:, : 2 * HIDDEN] = d[:, : 2 * HIDDEN]
+        np.multiply(dn, r, out=da[:, 2 * HIDDEN :])
         grad["u"] += h.T @ da
-        dh = dh * z + da @ w["u"].T
-        dh = np.where(first[t][:, None], np.float32(0), dh)
+        dh = dh * z + da @ back
+        if starts[t]:
+            dh = np.where(first[t][:, None], np.float32(0), dh)
     flat, words = d_in.reshape(-1, 3 * HIDDEN), x.ravel()
     order = np.argsort(words, kind="stable")
     names, starts = np.unique(words[order], return_index=True)
@@ -196,10 +199,13 @@ def train(flat: np.ndarray, adam: Adam, lanes: Lanes, steps: int = 32) -> int:
         grad = unflatten(g)
         states, tape = forward(w, x, first, h[: x.shape[1]], keep=True)
         valid = y >= 0
-        d = np.zeros_like(states)
-        _, d[valid] = log_likelihood(w, states[valid], y[valid], grad)
-        backward(w, x, first, tape, d, grad)
         n = int(valid.sum())
+        if n == y.size:
+            d = log_likelihood(w, states.reshape(n, HIDDEN), y.ravel(), grad)[1].reshape(states.shape)
+        else:
+            d = np.zeros_like(states)
+            _, d[valid] = log_likelihood(w, states[valid], y[valid], grad)
+        backward(w, x, first, tape, d, grad)
         adam.step(g / np.float32(n))
         h = states[-1]
         seen += n
@@ -213,7 +219,11 @@ def score(w: Weights, lanes: Lanes, n_docs: int, steps: int = 64) -> np.ndarray:
     for x, y, first, doc in lanes.windows(steps):
         states, _ = forward(w, x, first, h[: x.shape[1]], keep=False)
         valid = y >= 0
-        lp, _ = log_likelihood(w, states[valid], y[valid])
-        out += np.bincount(doc[valid], lp, n_docs)
+        if valid.all():
+            lp, _ = log_likelihood(w, states.reshape(-1, HIDDEN), y.ravel())
+            out += np.bincount(doc.ravel(), lp, n_docs)
+        else:
+            lp, _ = log_likelihood(w, states[valid], y[valid])
+            out += np.bincount(doc[valid], lp, n_docs)
         h = states[-1]
     return out

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import gru
-from larkspur.llm.common import slices, words, written
+from larkspur.llm.common import slices, small_batches, words, written
 
 #: The network's words: the END of a text, BUCKETS that all other words fall into by their last characters, and the most
 #: frequent words. A bucket's share goes to its words by their counts. FREQUENT counts are at hand in every task.
@@ -149,6 +149,7 @@ def scored(docs: DataFrame) -> DataFrame:
     empty: just an end. Rows that share a doc_id stay rows of their own; without training texts all counts are zero;
     other columns are ignored, an empty table gives no rows.
     """
+    small_batches(docs.sparkSession, 10_000)  # lanes fill better with more texts
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     counts = written(word_counts(docs), "counts")
     n_texts = docs.select("doc_id").where(~held_out(F.col("doc_id"))).count()
