@@ -40,7 +40,7 @@ def battery(token: Column) -> Column:
     def tests(s: Column) -> Column:
         body, alphabet = s["body"], s["alphabet"]
         n, k = F.length(body).cast("double"), F.length(alphabet).cast("double")
-        chars = F.split(body, "(?!^)")
+        chars = F.array_remove(F.split(body, "(?!^)"), "")  # the split ends with an empty one
         squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda t, c: t + F.pow(n - F.length(F.replace(body, c, F.lit(""))), F.lit(2.0)))
         chi = (squares * k / n - n - (k - 1)) / F.sqrt(2 * (k - 1) * (1 - 1 / n))
 

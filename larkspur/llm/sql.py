@@ -46,5 +46,67 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def near_duplicates(k: int = 5, percent: int = 75) -> str:
+    """The rows of op9: all pairs that share a shingle, then everything that can be reached from a document."""
+    return rf"""
+WITH RECURSIVE listed AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+shingled AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {k} THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - {k - 2}), lambda i: array_to_string(ws[i:i + {k - 1}], ' ')) END AS s FROM listed),
+single AS (SELECT DISTINCT doc_id, unnest(s) AS sh FROM shingled),
+sizes AS (SELECT doc_id, count(*) AS n FROM single GROUP BY doc_id),
+both_in AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM single x JOIN single y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM both_in JOIN sizes sa ON a = sa.doc_id JOIN sizes sb ON b = sb.doc_id WHERE 100 * i >= {percent} * (sa.n + sb.n - i)),
+ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT ways.b, root FROM reach JOIN ways ON reach.doc_id = ways.a),
+least AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM documents JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)
+"""
+
+
+def _placed(kind: int, name: str, pattern: str) -> str:
+    """Matches of a pattern with their places: what lies before a match is the pieces and matches before it."""
+    quoted = pattern.replace("'", "''")
+    return f"""SELECT doc_id, {kind} AS kind, '{name}' AS name, m, sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)::BIGINT AS e
+FROM (SELECT doc_id, unnest(ms) AS m, unnest(gs[:len(ms)]) AS g, generate_subscripts(ms, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{quoted}') AS ms, regexp_split_to_array(text, '{quoted}') AS gs FROM d))"""
+
+
+def _tail(z: str) -> str:
+    x = f"(abs({z}) / sqrt(2.0::DOUBLE))"
+    t = f"(1 / (1 + 0.3275911::DOUBLE * {x}))"
+    return f"least(1.0::DOUBLE, {t} * (0.254829592::DOUBLE + {t} * (-0.284496736::DOUBLE + {t} * (1.421413741::DOUBLE + {t} * (-1.453152027::DOUBLE + {t} * 1.061405429::DOUBLE)))) * exp(-{x} * {x}))"
+
+
+def randomness() -> str:
+    """The rows of op3."""
+    from larkspur.llm import secrets as own
+
+    letters = lambda w: "".join(f"[{c.upper()}{c}]" for c in w)
+    keys = "|".join([*map(letters, ("password", "passwd", "secret", "token")), f"{letters('api')}_?{letters('key')}"])
+    assign = rf"""(?:{keys})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    patterns = [assign, "AKIA[A-Z0-9]+", "[0-9a-f]{24,}", "[A-Za-z0-9+/_-]{20,}={0,2}"]
+    found = " UNION ALL ".join(_placed(k, n, p) for k, (n, p) in enumerate(zip(own.KINDS, patterns, strict=True)))
+    group = assign.replace("'", "''")
+    alphabet = "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(body, '^[{a.replace('-', chr(92) + '-')}]+$') THEN '{a}' END" for a in own.ALPHABETS) + ")"
+    length_class = "CASE " + " ".join(f"WHEN length(m) >= {n} THEN {n}" for n in reversed(own.LENGTHS)) + " ELSE 0 END"
+    half = f"count(*) FILTER (p >= {own.GRID[-1]})"
+    least = "coalesce(" + ", ".join(f"CASE WHEN {half} > 0 AND 2 * {half} * (1 - {t}::DOUBLE) >= (1 - {own.FALSE}::DOUBLE) * count(*) FILTER (p >= {t}::DOUBLE) THEN {t}::DOUBLE END" for t in own.GRID) + ")"
+    said = "string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind)"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), found AS ({found}), spans AS (SELECT *, e - length(m) AS s FROM found),
+base AS (SELECT * FROM spans WHERE kind = 0 AND length(regexp_extract(m, '{group}', 1)) >= 6 OR kind = 1 AND length(m) >= 20 OR kind = 2),
+token AS (SELECT row_number() OVER () AS id, * FROM spans t WHERE kind = 3 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = t.doc_id AND b.s < t.e AND t.s < b.e)),
+body AS (SELECT id, m, regexp_replace(m, '=+$', '') AS body FROM token), coded AS (SELECT id, m, body, {alphabet} AS alphabet, length(body)::DOUBLE AS n FROM body),
+chars AS (SELECT id, alphabet, n, unnest(string_split(body, '')) AS c, generate_subscripts(string_split(body, ''), 1) AS i FROM coded WHERE alphabet IS NOT NULL),
+code AS (SELECT id, n, length(alphabet)::DOUBLE AS k, i, c, instr(alphabet, c)::DOUBLE AS x, avg(instr(alphabet, c)::DOUBLE) OVER (PARTITION BY id) AS mean FROM chars),
+pair AS (SELECT *, lead(x) OVER (PARTITION BY id ORDER BY i) AS y FROM code), sq AS (SELECT id, sum(q) AS squares FROM (SELECT id, c, count(*)::DOUBLE ** 2 AS q FROM chars GROUP BY id, c) GROUP BY id),
+sums AS (SELECT id, n, k, squares, sum((x > k / 2)::INT)::DOUBLE AS up, 1 + sum(((x > k / 2) <> (y > k / 2))::INT)::DOUBLE AS runs, sum((x - mean) ** 2) AS spread, sum((x - mean) * (y - mean)) AS joint FROM pair JOIN sq USING (id) GROUP BY ALL),
+z AS (SELECT id, (squares * k / n - n - (k - 1)) / sqrt(2 * (k - 1) * (1 - 1 / n)) AS chi, CASE WHEN up > 0 AND up < n AND 2 * up * (n - up) > n THEN (runs - 2 * up * (n - up) / n - 1) / sqrt(2 * up * (n - up) * (2 * up * (n - up) - n) / (n * n * (n - 1))) ELSE 9 END AS r, CASE WHEN spread > 0 THEN (joint / spread + 1 / n) * sqrt(n) ELSE 9 END AS c FROM sums),
+ps AS (SELECT id, 1 - (1 - least(CASE WHEN chi > 0 THEN {_tail("chi")} / 2 ELSE 1 - {_tail("chi")} / 2 END, {_tail("r")}, {_tail("c")})) ** 3 AS p FROM z),
+tested AS (SELECT token.*, p, {length_class} AS c FROM token LEFT JOIN ps USING (id)), bounds AS (SELECT c, {least} AS least_p FROM tested GROUP BY c),
+every AS (SELECT doc_id, kind, name, s, e FROM base UNION ALL SELECT doc_id, kind, name, s, e FROM tested JOIN bounds USING (c) WHERE p >= least_p)
+SELECT doc_id, count(name) FILTER (kind = 0) AS n_assign, count(name) FILTER (kind = 1) AS n_access, count(name) FILTER (kind = 2) AS n_hex,
+sha256(coalesce({said} FILTER (kind < 3), '')) AS base_sha256, coalesce({said}, '') AS spans FROM d LEFT JOIN every USING (doc_id) GROUP BY doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_divergence": divergence()}
+    return {"op2_divergence": divergence(), "op3_randomness": randomness(), "op9_circulant_minhash": near_duplicates()}

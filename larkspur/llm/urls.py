@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.common import sampled
+
 FEATURES = ["length", "host_length", "labels", "depth", "path_length", "digit_share", "host_digit_share", "hyphens", "entropy", "params", "query_length", "has_fragment", "suffix_block_share", "suffix_log_count"]
 #: Weight of the overall share of blocked urls in a suffix's share.
 PRIOR = 5.0
@@ -37,7 +39,7 @@ def lexical(d: DataFrame) -> DataFrame:
     url = F.coalesce("url", F.lit(""))
     n = F.length(url).cast("double")
     share = lambda c, of: F.when(F.length(of) > 0, F.regexp_count(of, F.lit(c)) / F.length(of)).otherwise(F.lit(0.0))
-    chars = F.split(url, "(?!^)")
+    chars = F.array_remove(F.split(url, "(?!^)"), "")
     bits = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda s, c: s - _plogp((n - F.length(F.replace(url, c, F.lit("")))) / n))
     query = F.coalesce(F.regexp_extract(url, r"(?s)\?([^#]*+)", 1), F.lit(""))
     return d.select(
@@ -141,7 +143,8 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str]], sample: int = 20_
     blocked = F.coalesce("blocked", F.lit(0)) - F.when(F.col("known") == "block", 1).otherwise(0)
     d = d.withColumns({"suffix_block_share": (blocked + PRIOR * share) / (n + PRIOR), "suffix_log_count": F.log1p(n.cast("double"))})
 
-    rows = d.where("rule is not null").select((F.col("known") == "block").cast("double").alias("y"), *FEATURES, F.xxhash64("url", "page_id").alias("h")).orderBy("h", *FEATURES).limit(sample).collect()
+    labelled = d.where("rule is not null").select((F.col("known") == "block").cast("double").alias("y"), *FEATURES, F.concat_ws(" ", "page_id", "url").alias("key"))
+    rows = sampled(labelled, F.col("key"), total["n"], sample).drop("key").collect()
     model = None
     if rows:
         model = Trees().fit(np.array([[r[f] for f in FEATURES] for r in rows]), np.array([r["y"] for r in rows]))

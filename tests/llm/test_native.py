@@ -141,3 +141,21 @@ def test_random_keys_are_found_and_names_are_not(spark):
     true = sum(s.startswith("random:6:") for s in found)
     assert true > 45
     assert len(found) - true < 0.3 * len(found)
+
+
+def test_secrets_sql_against_spark(spark):
+    docs = odd_docs(spark, keys(8) + PLAIN)
+    names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text").toPandas())
+    want = sorted(tuple(r) for r in con.execute(sql.randomness()).df()[names].itertuples(index=False))
+    assert sorted(map(tuple, secrets.scan(docs).select(names).collect())) == want
+    assert any("random" in r[5] for r in want)
+
+
+def test_battery_against_python(spark):
+    tokens = [t for w in keys(3) for t in re.findall(r"[A-Za-z0-9+/=_-]{20,}", w)] + ["=" * 3, "a" * 40, "0123456789abcdef" * 3, "ab+/cd=="]
+    d = spark.createDataFrame([(t,) for t in tokens], "t string").selectExpr("t", "t AS match")
+    for r in d.select("t", secrets.battery(d["match"]).alias("p")).collect():
+        want = p_value(r.t) if r.t.rstrip("=") else None
+        assert (r.p is None) == (want is None) and (want is None or abs(r.p - want) < 1e-6)
