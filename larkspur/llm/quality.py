@@ -15,17 +15,16 @@ COMMON = {
     "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au".split(),
     "es": "de la que el en y a los del se las por un para con no una su al lo".split(),
 }
-# Character classes, as what they are made of.
+# Character classes, as what they are made of. Digits are plain: a number or a key in a short text is no junk.
 CLASSES = {
-    "lower": "a-z",
+    "plain": "a-z0-9",
     "upper": "A-Z",
-    "digit": "0-9",
     "other_letter": r"\x{80}-\x{10FFFF}",
     "stop": ".,;:?!'\"()-",
     "space": r"\x20\x09-\x0D",
 }
 #: A histogram is compared only from so many characters or words on, and a document fails beyond these distances.
-LEAST_CHARS, LEAST_WORDS, CLASS_LIMIT, WORD_LIMIT = 200, 200, 0.172, 0.25
+LEAST_CHARS, LEAST_WORDS, CLASS_LIMIT, WORD_LIMIT = 200, 200, 0.15, 0.25
 
 
 def repeated_words(word: Column) -> Column:
@@ -68,10 +67,12 @@ def measured(docs: DataFrame, carried: list[str]) -> DataFrame:
     d = d.join(F.broadcast(lists), F.col("lang") == F.col("ref_lang"), "left").withColumn("word", words(text))
     n_chars = F.length("text")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    shares = [n_chars - F.length(F.regexp_replace(text, f"[{x}]+", "")) for x in CLASSES.values()]
+    word_chars = F.length(F.array_join("word", ""))
+    # what is not in words is space; the other classes are what is lost without them
+    shares = [n_chars - (word_chars if k == "space" else F.length(F.regexp_replace(text, f"[{x}]+", ""))) for k, x in CLASSES.items()]
     d = d.select(
         "row", "lang", "ref_lang", n_chars.cast("long").alias("n_chars"), F.size("word").cast("long").alias("n_words"),
-        F.length(F.array_join("word", "")).cast("long").alias("word_chars"),
+        word_chars.cast("long").alias("word_chars"),
         (n_chars - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
         once(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("word")).alias("n_repeat_words"),
