@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import written
+from larkspur.llm.common import sampled, written
 
 
 def neighbours(x: np.ndarray, k: int) -> np.ndarray:
@@ -168,7 +168,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, parts: int = 48, sa
     of the sample take no part. Rows that share a vec_id are one vector's; no vectors give no rows.
     """
     good = usable(vectors)
-    rows = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    rows = sampled(good, F.col("vec_id"), vectors.count(), sample).collect()
     length = max((sizes := [len(r["v"]) for r in rows]), key=sizes.count, default=0)
     chosen = np.array([r["v"] for r in rows if len(r["v"]) == length], dtype=np.float64).reshape(-1, max(length, 1))
     spark = vectors.sparkSession

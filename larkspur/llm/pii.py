@@ -21,6 +21,8 @@ TOKEN = len(PATTERNS) - 1
 #: An identifier without a base pattern has so many digits or an @. A context counts if so many different seeds have it
 #: and so large a share of all its tokens are identifiers; a token is added from that score on. Rounds of scoring.
 DIGITS, SUPPORT, CONFIDENCE, SCORE, ROUNDS = 5, 3, 0.8, 0.8, 3
+#: A frequent value's or context's edges meet their scores in so many tasks.
+SALTS = 16
 
 
 def valid(kind: Column, match: Column) -> Column:
@@ -59,14 +61,21 @@ def discovered(tokens: DataFrame) -> DataFrame:
     seeds = edges.groupBy("value").agg(F.max("seed").alias("seed"))
     scored = seeds.select("value", F.col("seed").cast("double").alias("score"))
     for _ in range(ROUNDS):
-        known = edges.select("context", "value").join(scored, "value")
+        known = _salted(edges, scored, "value", "context")
         good = known.groupBy("context").agg(F.avg("score").alias("mean"), F.count(F.when(F.col("score") >= 1, 1)).alias("n")).where((F.col("n") >= SUPPORT) & (F.col("mean") >= CONFIDENCE))
-        lifted = edges.select("context", "value").join(good, "context").groupBy("value").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("mean"), F.lit(0.99)))))).alias("lift"))
+        lifted = _salted(edges, good, "context", "value").groupBy("value").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("mean"), F.lit(0.99)))))).alias("lift"))
         scored = written(seeds.join(lifted, "value", "left").select("value", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("lift", F.lit(0.0))).alias("score")), "scores")
     fits = F.col("value").contains("@") | (F.length(F.regexp_replace("value", "[^0-9]", "")) >= DIGITS)
     return scored.join(seeds, "value").where(~F.col("seed") & (F.col("score") >= SCORE) & fits).select("value")
 
 
+def _salted(edges: DataFrame, ends: DataFrame, key: str, other: str) -> DataFrame:
+    """edges joined with ends on key, a key's edges being dealt out to SALTS tasks by their other end."""
+    salt = F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int").alias("salt")
+    copies = ends.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return edges.select("context", "value", salt).join(copies, [key, "salt"]).drop("salt")
+
+
 def shape(value: Column) -> Column:
     """A value's outline: 9 for a run of digits, a for a run of letters."""
     return F.regexp_replace(F.regexp_replace(value, r"\p{L}+", "a"), "[0-9]+", "9")
