@@ -40,16 +40,23 @@ def greedy(memories: DataFrame, by: str, threshold: float = 0.85) -> DataFrame:
 def similar_pairs(left: DataFrame, right: DataFrame, words: Column, threshold: float) -> DataFrame:
     """(l_id, r_id, similarity) of pairs with at least that Jaccard likeness of words; both sides are (id, text).
 
-    Pairs must share a word of the prefixes that such a pair has in common, the words being ordered by hash; so what is
-    joined is a few words of each text.
+    Words are put in order of how many texts of either side have them, rare ones first; a pair that is alike enough
+    shares one of the first few words of each. So what is joined is a few rare words of each text.
     """
-    t = lambda d, p: d.select(F.col("id").alias(f"{p}_id"), F.array_sort(F.transform(words, lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))).alias(f"{p}_w")).where(F.size(f"{p}_w") > 0)
-    head = lambda p: F.explode(F.transform(F.slice(F.col(f"{p}_w"), F.lit(1), (F.size(f"{p}_w") - F.ceil(F.size(f"{p}_w") * threshold) + 1).cast("int")), lambda x: x["h"])).alias("h")
-    a, b = t(left, "l"), t(right, "r")
-    near = a.select("l_id", F.size("l_w").alias("ln"), head("l")).join(b.select("r_id", F.size("r_w").alias("rn"), head("r")), "h")
-    near = near.where((F.col("ln") >= threshold * F.col("rn")) & (F.col("rn") >= threshold * F.col("ln"))).select("l_id", "r_id").distinct()
-    names = lambda c: F.transform(c, lambda x: x["w"])
-    full = near.join(a, "l_id").join(b, "r_id").withColumn("similarity", T.jaccard(names("l_w"), names("r_w"), 0.0))
+    a, b = (d.select("id", F.explode(words).alias("w")) for d in (left, right))
+    often = a.unionByName(b).groupBy("w").agg(F.count("*").alias("n"))
+
+    def ordered(d: DataFrame, p: str) -> DataFrame:
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("n", "w"))), lambda x: x["w"])
+        return d.join(often, "w").groupBy(F.col("id").alias(f"{p}_id")).agg(listed.alias(f"{p}_w"))
+
+    def first_words(d: DataFrame, p: str) -> DataFrame:
+        n = F.size(f"{p}_w")
+        return d.select(f"{p}_id", n.alias(f"{p}_n"), F.explode(F.slice(f"{p}_w", F.lit(1), (n - F.ceil(n * threshold) + 1).cast("int"))).alias("w"))
+
+    x, y = ordered(a, "l"), ordered(b, "r")
+    near = first_words(x, "l").join(first_words(y, "r"), "w").where((F.col("l_n") >= threshold * F.col("r_n")) & (F.col("r_n") >= threshold * F.col("l_n")))
+    full = near.select("l_id", "r_id").distinct().join(x, "l_id").join(y, "r_id").withColumn("similarity", T.jaccard(F.col("l_w"), F.col("r_w"), 0.0))
     return full.where(F.col("similarity") >= threshold).select("l_id", "r_id", "similarity")
 
 

@@ -7,10 +7,24 @@ from pyspark.sql import functions as F
 
 
 def latency(samples: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Per key count, avg, min, max and nearest-rank p95 of raw samples."""
-    ordered = F.sort_array(F.collect_list(value))
-    g = samples.groupBy(*keys).agg(F.count(value).alias("count"), F.sum(value).alias("sum"), F.min(value).alias("min"), F.max(value).alias("max"), nearest_rank(ordered, 0.95).alias("p95"))
-    return g.where("count > 0").withColumn("avg", F.col("sum") / F.col("count"))
+    """Per key count, sum, avg, min, max and nearest-rank p95 of raw samples."""
+    x, n = F.col("x"), F.col("n")
+    totals = [F.sum("n").alias("count"), F.sum(x * n).alias("sum"), F.min(x).alias("min"), F.max(x).alias("max")]
+    return _ranked(samples, keys, value, {"p95": 0.95}, totals).withColumn("avg", F.col("sum") / F.col("count"))
+
+
+def percentiles(samples: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Per key the samples at floor(count * share), counted from zero in order, or the last: a column for each name."""
+    return _ranked(samples, keys, value, shares, [])
+
+
+def _ranked(samples: DataFrame, keys: list[str], value: str, shares: dict[str, float], more: list[Column]) -> DataFrame:
+    """Equal samples are counted first, so what is put in order for a key is its different values, not its samples."""
+    counted = samples.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("x")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*keys)
+    d = counted.withColumns({"upto": F.sum("n").over(w.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("n").over(w)})
+    at = lambda p: F.least(F.floor(F.col("all") * p), F.col("all") - 1)
+    return d.groupBy(*keys).agg(*more, *[F.min(F.when(F.col("upto") > at(p), F.col("x"))).alias(name) for name, p in shares.items()])
 
 
 def merge_latency(partials: DataFrame, keys: list[str]) -> DataFrame:

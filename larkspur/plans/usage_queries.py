@@ -129,8 +129,7 @@ def agg18_tag_cooccurrence(t: Tables) -> DataFrame:
 
 @R.query(f"SELECT event_type, {P95} AS p95, {P95.replace('0.95', '0.5')} AS p50, {P95.replace('0.95', '0.99')} AS p99 FROM events GROUP BY 1")
 def agg19_nearest_rank(t: Tables) -> DataFrame:
-    s = F.sort_array(F.collect_list("value"))
-    return t.events.groupBy("event_type").agg(*[usage.nearest_rank(s, p).alias(n) for n, p in (("p95", 0.95), ("p50", 0.5), ("p99", 0.99))])
+    return usage.percentiles(t.events, ["event_type"], "value", {"p95": 0.95, "p50": 0.5, "p99": 0.99})
 
 
 @R.query("SELECT user_id, count(*) AS ops, round(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 9) AS ops_per_s, round(avg(value), 6) AS mean, avg(value) < 20 AS meets FROM events GROUP BY 1 HAVING max(ts) > min(ts)")
