@@ -4,7 +4,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from larkspur.llm import sql
+from larkspur.llm import common, sql
 from tests.llm.helpers import SF, odd_docs
 from tests.llm.test_minhash import brute
 from tests.llm.test_native import in_duckdb
@@ -47,6 +47,7 @@ def test_every_stage_works_on_what_the_one_before_kept(spark):
 
 def test_run_is_the_stages_one_after_another(spark):
     got = corpus_pipeline.run(spark, SF).select("doc_id", "piece", "length", "ids_crc32").collect()
+    assert common.SCRATCH == []
     want = through(spark, spark.read.parquet(f"{SF}/documents.parquet"))[-1].select("doc_id", "piece", "length", "ids_crc32").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
 
