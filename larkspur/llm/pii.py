@@ -90,7 +90,8 @@ def personal(docs: DataFrame, row: str | None = None) -> DataFrame:
     m = written(marked(docs, row), "marked")
     new = discovered(m.where(F.col("kind") == TOKEN)).withColumn("new", F.lit(True))
     base = m.where(F.coalesce(F.col("kind") != TOKEN, F.lit(True))).select("row", "doc_id", "kind", "start", "end")
-    tokens = m.where(F.col("kind") == TOKEN).join(new, "value", "left")
+    copies = new.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    tokens = m.where(F.col("kind") == TOKEN).withColumn("salt", F.pmod(F.xxhash64("row", "start"), F.lit(SALTS)).cast("int")).join(copies, ["value", "salt"], "left")
     keep = F.coalesce(F.col("new") & ~F.col("seed"), F.lit(False))
     return base.unionByName(tokens.select("row", "doc_id", F.when(keep, F.col("kind")).alias("kind"), "start", "end"))
 
