@@ -102,3 +102,11 @@ def test_overflow_summary(spark):
     d = spark.createDataFrame([("q", 1, "one"), ("q", 2, "two"), ("r", 1, "x")], "queue string, seq int, line string")
     got = {r.queue: r.summary for r in writers.overflow_summary(d, "queue", "seq", "message").collect()}
     assert got == {"q": "[Queue overflow] Dropped 2 messages due to cap.\n- one\n- two", "r": "[Queue overflow] Dropped 1 message due to cap.\n- x"}
+
+
+def test_latest_log_and_batches(spark):
+    files = spark.sql("SELECT * FROM VALUES ('a', timestamp'2026-01-01'), ('b', timestamp'2026-01-03'), ('c', timestamp'2026-01-02') AS t(path, mtime)")
+    assert readers.latest_log(files) == "b"
+    batches = readers.numbered_batches(spark.range(100).selectExpr("CAST(id AS STRING) AS id"), "id", 7)
+    sizes = [r["count"] for r in batches.groupBy("batch").count().collect()]
+    assert sum(sizes) == 100 and max(sizes) <= 7
