@@ -72,7 +72,7 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of Arrow batches in slices of about `most` bytes of text (at least one row each)."""
     for batch in batches:
         if not batch.num_rows:
@@ -89,6 +89,11 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 4
 ODD = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}][ \n]|[\x{1c}-\x{1f}]"
 
 
+#: Segments of characters that neither normal form nor lower case cuts up or puts together, and the word vocabulary's words.
+LATIN = r"^[\x21-\x7e\x{a1}-\x{12f}\x{131}-\x{24f}]*$"
+WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+
+
 class SegmentEncoder:
     """Encodes texts with the tokenizers library through the segments that they share.
 
@@ -109,11 +114,12 @@ class SegmentEncoder:
         # segments, and where in `flat` their ids begin and how many they are
         self.keys = pa.array([""], pa.string())
         self.flat, self.size = np.empty(0, dtype="<u4"), np.zeros(1, dtype=np.int32)
+        names = [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size())]
         if drops_space:
             (self.mark,) = self.tok.encode("\x01", add_special_tokens=False).ids
+            self.ends_word = np.array([x.endswith("</w>") for x in names])
         else:
-            ids = range(self.tok.get_vocab_size())
-            self.bytes_of = np.array([len(self.tok.id_to_token(i) or "") for i in ids], dtype=np.int64)  # a character a byte
+            self.bytes_of = np.array([len(x) for x in names], dtype=np.int64)  # a character a byte
 
     def plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many of them each text has."""
@@ -142,11 +148,23 @@ class SegmentEncoder:
         self.keys, self.size = self.keys.take(pa.array(np.arange(stay))), self.size[:stay].copy()
         self.flat = self.flat[: int(self.size.sum())].copy()
 
+    def by_words(self, segments: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As joined(), for Latin segments: their words are counted, and words end where the ids say so."""
+        texts = segments.to_pylist()
+        flat, _ = self.plain([" ".join(texts)])
+        words = np.cumsum(pc.count_substring_regex(pc.utf8_lower(segments), WORD).to_numpy())
+        ends = np.flatnonzero(self.ends_word[flat]) + 1
+        if len(ends) != (words[-1] if len(words) else 0):
+            return self.joined(segments)
+        return flat, np.diff(np.concatenate([[0], np.concatenate([[0], ends])[words]])).astype(np.int32)
+
     def learn(self, new: pa.Array) -> None:
         """Encodes segments that are not known yet."""
         # the first segment of a text has no white space to keep it from the one before
         apart = pc.match_substring(new, "\x01") if self.drops_space else pc.invert(pc.match_substring_regex(new, r"(?s)^[ \n]."))
-        for some, encode in ((new.filter(apart), lambda x: self.plain(x.to_pylist())), (new.filter(pc.invert(apart)), self.joined)):
+        rest = new.filter(pc.invert(apart))
+        latin = pc.match_substring_regex(rest, LATIN) if self.drops_space else pa.array(np.zeros(len(rest), dtype=bool))
+        for some, encode in ((new.filter(apart), lambda x: self.plain(x.to_pylist())), (rest.filter(latin), self.by_words), (rest.filter(pc.invert(latin)), self.joined)):
             if len(some):
                 flat, size = encode(some)
                 self.keys = pa.concat_arrays([self.keys, some])
