@@ -55,13 +55,13 @@ class BestFit:
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, bin long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048, open_bins: int = 256, group: int = 256) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048, open_bins: int = 1024, group: int = 256) -> DataFrame:
     """A row for every piece of every document: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Each task encodes the texts that it reads (null: empty), adds end_id, cuts what is longer than `size` and puts the
-    pieces as they come into its own open bins. Bins still open at its end are items of a second round, in which about
-    `group` of them, taken from all tasks, are packed by best fit again, the fullest first. Nothing but those bins is
-    dealt out, so neither round has a task that grows with the input. Rows with the same doc_id stay rows of their own,
+    pieces as they come into its own open bins. The pieces of bins still open at its end go through a second round: those
+    of about `group` bins, taken from all tasks, are packed by best fit again, the longest first, and stay as they were
+    where that takes no fewer bins. So neither round has a task that grows with the input. Rows with the same doc_id stay rows of their own,
     a null doc_id stays null, other columns are ignored, no documents give no rows.
     """
 
@@ -89,20 +89,22 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048, ope
 
     small_batches(docs.sparkSession)
     packed = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, PIECES), "pieces")
-    sequence = F.col("part") * F.lit(1 << 40) + F.col("bin")
-    left = packed.where(F.col("piece").isNull()).select(sequence.alias("own"), F.col("length").alias("used"))
+    packed = packed.withColumn("own", F.col("part") * F.lit(1 << 40) + F.col("bin"))
+    left = packed.where(F.col("piece").isNull()).select(F.col("own"), F.lit(True).alias("open"))
     groups = max(1, left.count() // group)
-
-    def again(bins: pd.DataFrame) -> pd.DataFrame:
-        bins = bins.sort_values(["used", "own"], ascending=[False, True])
-        fit, first, out = BestFit(size, len(bins)), {}, []
-        for own, used in zip(bins["own"], bins["used"], strict=True):
-            number, offset = fit.put(int(used))
-            out.append((own, first.setdefault(number, own), offset))
-        return pd.DataFrame(out, columns=["own", "sequence", "shift"])
-
-    moved = left.withColumn("g", F.pmod(F.xxhash64("own"), F.lit(groups))).groupBy("g").applyInPandas(lambda x: again(x), "own long, sequence long, shift long")
-    return (
-        packed.where(F.col("piece").isNotNull()).withColumn("own", sequence).join(moved, "own", "left")
-        .select("doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("sequence", "own").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
-    )
+    found = packed.where(F.col("piece").isNotNull()).join(left, "own", "left")
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    closed = found.where(F.col("open").isNull()).select(*columns, F.col("own").alias("sequence_id"), "offset")
+
+    def again(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["length", "own", "offset"], ascending=[False, True, True]).reset_index(drop=True)
+        bins = sorted(rows["own"].unique())
+        fit = BestFit(size, len(rows))
+        placed = [fit.put(int(n)) for n in rows["length"]]
+        if fit.made < len(bins):
+            rows["own"], rows["offset"] = [bins[b] for b, _ in placed], [o for _, o in placed]
+        return rows[[*columns, "own", "offset"]].rename(columns={"own": "sequence_id"})
+
+    kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    opened = found.where("open").select(*columns, "own", "offset").groupBy(F.pmod(F.xxhash64("own"), F.lit(groups)).alias("g")).applyInPandas(lambda x: again(x), kinds)
+    return closed.unionByName(opened)
