@@ -164,11 +164,42 @@ def visible(text: Column) -> Column:
     return run(text)
 
 
+#: Words of a shared gram. Texts of two words more hold a gram of whole words wherever they occur.
+GRAM = 4
+
+
+def _grams(text: Column) -> Column:
+    """Hashes of all runs of GRAM words."""
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (GRAM - 1)), lambda i: F.xxhash64(F.slice(w, i, GRAM)))
+    some = F.get(F.transform(F.array(F.split(text, " ")), lambda w: F.when(F.size(w) >= GRAM, runs(w))), F.lit(0))
+    return some
+
+
+def _inner_gram(text: Column) -> Column:
+    """The least gram without the first and last word, which may be parts of longer words where the text is held; null if too short."""
+    return F.array_min(_grams(F.regexp_extract(text, r"^[^ ]+ (.*) [^ ]+$", 1)))
+
+
 def already_sent(texts: DataFrame, sent: DataFrame, least: int = 10) -> DataFrame:
-    """texts (id, text) that hold, or are held by, a sent text once both are made comparable. sent is a turn's few messages."""
-    a = texts.withColumn("n", T.comparable(F.col("text"))).where(F.length("n") >= least)
-    b = sent.select(T.comparable(F.col("text")).alias("s")).where(F.length("s") >= least).distinct()
-    return a.join(b, F.contains("n", "s") | F.contains("s", "n"), "left_semi").select("id")
+    """texts (id, text) that hold, or are held by, a sent text once both are made comparable.
+
+    Pairs meet by a gram of the shorter text and are confirmed; only texts of less than GRAM + 2 words meet all of the other side.
+    """
+    keyed = texts.select("id", "text", F.xxhash64("text").alias("h"))
+    a = keyed.select("id", "h", T.comparable(F.col("text")).alias("n")).where(F.length("n") >= least)
+    b = sent.select(T.comparable(F.col("text")).alias("s")).where(F.length("s") >= least).distinct().withColumn("sid", F.xxhash64("s"))
+    brief = a.join(F.broadcast(b.agg(F.max(F.length("s")).alias("most"))), F.length("n") <= F.col("most")).drop("most")  # no longer text is held
+    few = lambda c: F.size(F.split(c, " ")) < GRAM + 2
+    held = a.select("id", F.explode(_grams(F.col("n"))).alias("g")).join(b.select("sid", _inner_gram(F.col("s")).alias("g")), "g")
+    holding = brief.select("id", _inner_gram(F.col("n")).alias("g")).join(b.select("sid", F.explode(_grams(F.col("s"))).alias("g")), "g")
+    met = held.select("id", "sid").unionByName(holding.select("id", "sid")).distinct().join(b, "sid").select("id", "s")
+    hits = [
+        a.join(met, "id").where(F.contains("n", "s") | F.contains("s", "n")),
+        a.join(b.where(few("s")), F.contains("n", "s"), "left_semi"),
+        brief.where(few("n")).join(b, F.contains("s", "n"), "left_semi"),
+    ]
+    found = hits[0].select("id", "h").unionByName(hits[1].select("id", "h")).unionByName(hits[2].select("id", "h"))
+    return keyed.join(found, ["id", "h"], "left_semi").select("id")
 
 
 def in_memory(path: Column) -> Column:

@@ -96,7 +96,7 @@ def txt22_recalls(t: Tables) -> DataFrame:
 @R.query("""SELECT doc_id FROM documents d WHERE text IS NOT NULL AND length(trim(d.text)) >= 10 AND EXISTS (SELECT 1 FROM benchmark b WHERE contains(trim(regexp_replace(lower(trim(d.text)), '\\s+', ' ', 'g')), trim(regexp_replace(lower(trim(b.text)), '\\s+', ' ', 'g'))))""")
 def jn16_contained(t: Tables) -> DataFrame:
     texts = t.documents.where("text is not null").select(F.col("doc_id").alias("id"), "text")
-    return memory.already_sent(texts, t.benchmark.where("item_id < 1000")).select(F.col("id").alias("doc_id"))
+    return memory.already_sent(texts, t.benchmark).select(F.col("id").alias("doc_id"))
 
 
 @R.query("SELECT event_id, p, p IN ('MEMORY.md', './MEMORY.md') OR p LIKE 'memory/%' AS mem FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'MEMORY.md' WHEN 1 THEN './MEMORY.md' WHEN 2 THEN 'memory/x.md' ELSE 'notes/memory/x.md' END AS p FROM events)")
