@@ -86,7 +86,7 @@ def with_inverses(edges: DataFrame, inverse: DataFrame) -> DataFrame:
 
 def resolved(names: DataFrame, entities: DataFrame) -> DataFrame:
     """name, entity, method: by the exact name, else by an alias, else by the name in any case (the least if several)."""
-    exact = entities.select(F.col("name").alias("n"), F.col("name").alias("by_name"))
+    exact = entities.select(F.col("name").alias("n"), F.col("name").alias("by_name")).distinct()
     alias = entities.select(F.explode("aliases").alias("n"), "name").groupBy("n").agg(F.min("name").alias("by_alias"))
     low = entities.groupBy(F.lower("name").alias("n")).agg(F.min("name").alias("by_case"))
     d = names.join(exact, F.col("name") == exact["n"], "left").drop("n").join(alias, F.col("name") == alias["n"], "left").drop("n").join(low, F.lower("name") == low["n"], "left").drop("n")

@@ -28,3 +28,9 @@ def test_already_sent_against_brute_force(spark):
     want = sorted(i for i, x in n if len(x) >= 10 and any(x in y or y in x for y in s))
     assert sorted(r.id for r in got.collect()) == want
     assert 20 < len(want) < 145
+
+
+def test_resolve_takes_every_part(spark, tmp_path):
+    spark.createDataFrame([(104, "red bolt", 5), (204, "red bolt", 6), (105, "Blue nut", 7), (106, "green pin", 6), (107, "tin", 8)], "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted(map(tuple, catalog.queries()["jn17_resolve"](spark, str(tmp_path)).collect()))
+    assert got == [("BLUE NUT", "Blue nut", "case"), ("nothing107", None, "none"), ("red bolt", "red bolt", "exact"), ("x6", "green pin", "alias")]
