@@ -138,8 +138,7 @@ def htm1_visible_text(t: Tables) -> DataFrame:
 
 @R.query(r"""SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(text, '(?m)^#{1,6}\s+', '', 'g'), '(?m)^\s*[-*+]\s+', '', 'g'), '^\s+|\s+$', '', 'g') AS plain FROM conversations WHERE NOT regexp_matches(text, '[`\[\r]|[ \t]{2}|[ \t]\n|\n{3}|(?m)^\s*[0-9]+\.')""")
 def htm2_markdown_to_text(t: Tables) -> DataFrame:
-    c = t.conversations.where(~F.col("text").rlike(r"[`\[\r]|[ \t]{2}|[ \t]\n|\n{3}|(?m)^\s*[0-9]+\."))
-    return c.select("conv_id", "turn", html.plain_text(F.col("text")).alias("plain"))
+    return t.conversations.select("conv_id", "turn", html.plain_text(F.col("text")).alias("plain"))
 
 
 @R.query("""WITH c AS (SELECT conv_id, turn, text, lower(text) AS l, (turn % 4)::INT AS m, CASE turn % 3 WHEN 0 THEN 'User' WHEN 1 THEN 'KnowledgeBase' ELSE 'Other' END AS category FROM conversations WHERE text IS NOT NULL),

@@ -2,13 +2,9 @@
 
 import random
 
-import pytest
-
 from larkspur.functions import memory
 from larkspur.plans import catalog
 
-SF = "/root/testdata/sf0.001"
-
 
 def test_contained_takes_every_passage(spark, tmp_path):
     spark.createDataFrame([(1, "so it said the lazy dog sleeps all day long here"), (2, "nothing of the kind is in this text at all")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
@@ -34,3 +30,10 @@ def test_resolve_takes_every_part(spark, tmp_path):
     spark.createDataFrame([(104, "red bolt", 5), (204, "red bolt", 6), (105, "Blue nut", 7), (106, "green pin", 6), (107, "tin", 8)], "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     got = sorted(map(tuple, catalog.queries()["jn17_resolve"](spark, str(tmp_path)).collect()))
     assert got == [("BLUE NUT", "Blue nut", "case"), ("nothing107", None, "none"), ("red bolt", "red bolt", "exact"), ("x6", "green pin", "alias")]
+
+
+def test_markdown_takes_every_conversation(spark, tmp_path):
+    rows = [(1, 0, "see [here](http://x.y) and `code`"), (1, 1, "1. one\r\n2. two"), (1, 2, "a\n\n\n\nb  c"), (1, 3, None), (1, 4, "# plain")]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.turn: r.plain for r in catalog.queries()["htm2_markdown_to_text"](spark, str(tmp_path)).collect()}
+    assert got == {0: "see here and code", 1: "one\ntwo", 2: "a\n\nb c", 3: None, 4: "plain"}
