@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import written
-from larkspur.llm.spans import digest, found, overlaps_base
+from larkspur.llm.spans import CONTEXT, digest, found, overlaps_base
 
 KINDS = ["email", "ip", "card", "phone", "context"]
 #: Possessive and tied to the first character that can begin a match, so that long runs cost no more than their length.
@@ -16,8 +16,10 @@ PATTERNS = [
     r"[0-9](?:[\x20-]?[0-9])++",
     r"\+[0-9][\x20().0-9-]+[0-9]",
     r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+",
+    r"(?<![^\x20\x09-\x0D])[0-9]++(?:\x20[0-9]++(?=[^\x20\x09-\x0DA-Za-z0-9@]*+(?![^\x20\x09-\x0D])))++",
 ]
-TOKEN = len(PATTERNS) - 1
+#: Tokens, and runs of digit groups, which are tokens too beside their groups.
+TOKEN, GROUPED = len(PATTERNS) - 2, len(PATTERNS) - 1
 #: An identifier without a base pattern has so many digits or an @. A context counts if so many different seeds have it
 #: and so large a share of all its tokens are identifiers; a token is added from that score on. Rounds of scoring.
 DIGITS, SUPPORT, CONFIDENCE, SCORE, ROUNDS = 5, 3, 0.8, 0.8, 3
@@ -36,11 +38,16 @@ def marked(docs: DataFrame, row: str | None = None) -> DataFrame:
     """Base spans (kind 0 to 3) and identifier-like tokens (kind 4, with `seed`: whether a base span touches it)."""
     m = found(docs, PATTERNS, row)
     kind, match = F.col("kind"), F.col("match")
-    m = m.withColumn("kind", F.when((kind == TOKEN) | valid(kind, match), kind))
-    # the two words before the token, back to another token at most
-    tail = F.lower(F.col("before"))
-    m = m.withColumn("left", F.when(kind == TOKEN, F.regexp_extract(tail, r"([^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)[\x20\x09-\x0D]*+$", 1)))
-    m = m.withColumn("seed", (kind == TOKEN) & overlaps_base(F.col("kind") < TOKEN))
+    m = m.withColumn("kind", F.when((kind >= TOKEN) | valid(kind, match), kind))
+    # the last two words before the token, or the one there is, tokens among them by their outlines; a run has its first group's
+    w = Window.partitionBy("row", "kind").orderBy("start")
+    near = lambda k: F.length(F.lag("before", k).over(w) if k else F.col("before")) < CONTEXT
+    outline = lambda k: F.coalesce(F.right(shape(F.lower(F.lag("match", k).over(w))), F.lit(CONTEXT)), F.lit(""))
+    earlier = F.concat(F.when(near(1), outline(2)).otherwise(""), F.lower(F.coalesce(F.lag("before", 1).over(w), F.lit(""))), outline(1))
+    tail = F.concat(F.when(near(0), earlier).otherwise(""), F.lower(F.col("before")))
+    m = m.withColumn("left", F.when(kind == TOKEN, F.regexp_extract(tail, r"((?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++)?[^\x20\x09-\x0D]++)[\x20\x09-\x0D]*+$", 1)))
+    m = m.withColumn("left", F.when(kind >= TOKEN, F.max("left").over(Window.partitionBy("row", "start"))))
+    m = m.withColumn("seed", (kind >= TOKEN) & overlaps_base(F.col("kind") < TOKEN)).withColumn("kind", F.when(kind >= TOKEN, TOKEN).otherwise(kind))
     value = F.regexp_replace(F.lower(match), r"^[^a-z0-9@+]+|[^a-z0-9]+$", "")
     return m.select("row", "doc_id", "kind", "start", "end", "left", "seed", F.when(kind == TOKEN, value).alias("value"))
 
@@ -53,7 +60,7 @@ def discovered(tokens: DataFrame) -> DataFrame:
     CONFIDENCE or more as if they were independent; seeds keep score 1. Everything is counted over all documents.
     """
     contexts = F.array_compact(F.array(
-        F.when(F.col("left") != "", F.concat(F.lit("2 "), "left")),
+        F.when(F.col("left").rlike(r"[\x20\x09-\x0D]"), F.concat(F.lit("2 "), "left")),
         F.when(F.col("left") != "", F.concat(F.lit("1 "), F.regexp_extract("left", r"([^\x20\x09-\x0D]+)$", 1), F.lit(" "), shape(F.col("value")))),
     ))
     usable = tokens.where("value <> ''")
