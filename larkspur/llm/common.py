@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import lru_cache
 from itertools import chain
 
@@ -24,31 +26,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only where the session names none (tests), a local one is set."""
+    """The folder that all executors share, as the session names it in spark.checkpoint.dir.
+
+    Where it names none, a local master (tests) gets a folder of its own, as its executors are on this machine; on a
+    cluster that would be a folder that other executors cannot see, so there it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="larkspur-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-#: Tables that written() has made since the last drop_scratch().
-SCRATCH: list[str] = []
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder, on whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: The run that tables are written for. Each thread, and each task of an event loop, has its own.
+RUN: ContextVar[str | None] = ContextVar("run", default=None)
+
 
+@contextmanager
+def run_scope(spark: SparkSession) -> Iterator[str]:
+    """A run: what written() makes inside, in a folder of the run's own, goes with its end, and nothing else does.
+
+    Results made inside must be read or written inside. Tables made outside of any run stay, as results that are still
+    to be read need them; they are in the shared folder under the application's id.
+    """
+    folder = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    token = RUN.set(folder)
+    try:
+        yield folder
+    finally:
+        RUN.reset(token)
+        remove(spark, folder)
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Deletes the tables that operators have written for themselves. Results that are still to be read need them."""
-    while SCRATCH:
-        path = spark._jvm.org.apache.hadoop.fs.Path(SCRATCH.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
+def written(df: DataFrame, name: str, by: list[str] | None = None, **options: str) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor costs no recomputation.
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    SCRATCH.append(path)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    by: columns, the last ones of df, whose values have folders of their own, so that a filter on them reads no others.
+    """
+    spark = df.sparkSession
+    path = f"{RUN.get() or f'{shared_dir(spark)}/{spark.sparkContext.applicationId}'}/{name}-{uuid.uuid4().hex}"
+    writer = df.write.options(**options)
+    (writer.partitionBy(*by) if by else writer).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
@@ -72,6 +99,20 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of a batch's texts (null: none), A-Z lower-cased, and where each text's begin, with one more entry."""
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    lists = pc.ascii_split_whitespace(trimmed)
+    flat, ends = lists.flatten(), np.asarray(lists.offsets).astype(np.int64)
+    ends -= ends[0]
+    some = pc.not_equal(flat, "")
+    if not pc.all(some).as_py():  # an empty text is split into one empty word
+        stay = some.to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(stay)])[ends]
+        flat = flat.filter(some)
+    return flat, ends
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of Arrow batches in slices of about `most` bytes of text (at least one row each)."""
     for batch in batches:

@@ -6,11 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import slices, small_batches, written
+from larkspur.llm.common import slices, small_batches, split_words, written
 from larkspur.llm.components import components
 
 #: Places of the two permutations, bands, coordinates of a band. A pair of similarity 0.75 shares none of 56 bands of 4
@@ -33,22 +32,18 @@ def shingle_sets(texts: pa.Array, k: int = 5) -> list[np.ndarray]:
     """For each text the sorted 64-bit hashes of its distinct k-word shingles; of all its words where it has fewer."""
     import xxhash
 
-    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
-    lists = pc.ascii_split_whitespace(trimmed)
-    coded = lists.flatten().dictionary_encode()
+    flat, ends = split_words(texts)
+    coded = flat.dictionary_encode()
     own = np.array([xxhash.xxh3_64_intdigest(x) for x in coded.dictionary.to_pylist()] or [0], dtype=np.uint64)
     code = own[coded.indices.to_numpy()]
-    ends = np.asarray(lists.offsets)
-    ends = ends - ends[0]
     n = len(code)
     rolled = np.zeros(max(0, n - k + 1), dtype=np.uint64)
     for i in range(k):
         rolled = rolled * M + code[i : i + len(rolled)]
     rolled = mixed(rolled)
-    empty = pc.equal(trimmed, "").to_numpy(zero_copy_only=False)
     out = []
-    for t, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
-        if empty[t]:
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        if a == b:
             out.append(rolled[:0])
         elif b - a >= k:
             out.append(np.unique(rolled[a : b - k + 1]))

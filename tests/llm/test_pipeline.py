@@ -1,10 +1,12 @@
+import os
 import re
 
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from larkspur.llm import common, sql
+from larkspur.llm import common, minhash, quality, sql
 from tests.llm.helpers import SF, odd_docs
 from tests.llm.test_minhash import brute
 from tests.llm.test_native import in_duckdb
@@ -47,7 +49,6 @@ def test_every_stage_works_on_what_the_one_before_kept(spark):
 
 def test_run_is_the_stages_one_after_another(spark):
     got = corpus_pipeline.run(spark, SF).select("doc_id", "piece", "length", "ids_crc32").collect()
-    assert common.SCRATCH == []
     want = through(spark, spark.read.parquet(f"{SF}/documents.parquet"))[-1].select("doc_id", "piece", "length", "ids_crc32").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
 
@@ -58,3 +59,32 @@ def test_hard_rows_and_empty_tables_go_through(spark):
         frame.collect()
     for frame in through(spark, docs.limit(0)):
         assert frame.count() == 0
+
+
+def test_results_that_are_still_to_be_read_outlive_a_pipeline(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    judged, near = quality.verdicts(docs), minhash.near_duplicates(docs)
+    corpus_pipeline.run(spark, SF)
+    assert judged.count() == near.count() == docs.count()
+
+
+def test_a_runs_tables_go_with_its_end(spark):
+    with common.run_scope(spark) as folder:
+        common.written(spark.range(3).toDF("a"), "x").count()
+        with common.run_scope(spark) as inner:
+            common.written(spark.range(3).toDF("a"), "x").count()
+        assert not os.path.exists(inner.removeprefix("file://"))
+        assert os.path.exists(folder.removeprefix("file://"))
+    assert not os.path.exists(folder.removeprefix("file://"))
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Elsewhere:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Elsewhere)
