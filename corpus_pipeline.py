@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import bestfit, minhash, pii, quality
-from larkspur.llm.common import drop_scratch, shared_dir, table
+from larkspur.llm.common import remove, run_scope, shared_dir, table
 
 #: The pipeline's rows cannot be told by SQL: its last stage encodes with a tokenizer, its third scores contexts in rounds.
 ORACLE_SQL = None
@@ -50,12 +50,15 @@ STAGES = [("quality rules", quality_rules), ("near dedup", near_dedup), ("person
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the table documents; each result is written to the shared folder and read again.
 
-    What a stage's operators have written for themselves goes with its end.
+    What a stage's operators have written for themselves goes with its end, and its result once the next stage has read
+    it; other queries' tables, and other pipelines', stay.
     """
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/{name.replace(' ', '-')}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        drop_scratch(spark)
-        docs = spark.read.parquet(path)
+        with run_scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
