@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -150,9 +152,16 @@ def confidence_tier(value: Column) -> Column:
     return F.when(value >= 0.8, "high").when(value >= 0.6, "medium").otherwise("low")
 
 
-def entities(text: Column) -> Column:
-    """Capitalised runs (0.7) and ISO dates (0.8) as structs of type, name, confidence, each name once."""
-    names = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)*\b"), F.lit(0)))
-    dates = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b\d{4}-\d{2}-\d{2}\b"), F.lit(0)))
+# Capitalised words that are no names; technologies that are told by their names.
+NO_NAMES = ("The", "And", "For", "With")
+TECHNOLOGIES = ("Neo4j", "Docker", "Kubernetes", "GitHub")
+
+
+def entities(text: Column, technologies: tuple[str, ...] | list[str] = TECHNOLOGIES) -> Column:
+    """Capitalised runs (0.7), technologies in any case (0.9) and ISO dates (0.8) as structs of type, name, confidence,
+    each name once. A word's letters are ASCII here: others are no part of a name, and end one."""
+    apart = lambda p: F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?<![A-Za-z0-9_])(?:{p})(?![A-Za-z0-9_])"), F.lit(0)))
+    names = F.filter(apart(r"[A-Z][a-z]+(?:[ \t\n\r][A-Z][a-z]+)*"), lambda x: (F.length(x) > 2) & ~x.isin(*NO_NAMES))
     as_rows = lambda xs, kind, c: F.transform(xs, lambda x: F.struct(F.lit(kind).alias("type"), x.alias("name"), F.lit(c).alias("confidence")))
-    return F.concat(as_rows(names, "concept", 0.7), as_rows(dates, "date", 0.8))
+    known = apart("(?i:" + "|".join(map(re.escape, technologies)) + ")")
+    return F.concat(as_rows(names, "Person", 0.7), as_rows(known, "Project/Technology", 0.9), as_rows(apart(r"[0-9]{4}-[0-9]{2}-[0-9]{2}"), "Date", 0.8))

@@ -136,7 +136,11 @@ def htm1_visible_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", html.visible_text(F.col("html")).alias("text"))
 
 
-@R.query(r"""SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(text, '(?m)^#{1,6}\s+', '', 'g'), '(?m)^\s*[-*+]\s+', '', 'g'), '^\s+|\s+$', '', 'g') AS plain FROM conversations WHERE NOT regexp_matches(text, '[`\[\r]|[ \t]{2}|[ \t]\n|\n{3}|(?m)^\s*[0-9]+\.')""")
+PLAIN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(l, '(!\[[^\]]*\]\([^)]+\))|\[([^\]]+)\]\([^)]+\)|`([^`]+)`', '\2\3', 'g'), '^(?:#{1,6}[ \t]+|[ \t]*[-*+][ \t]+|[ \t]*[0-9]+\.[ \t]+)', ''), '[ \t]+$', ''), '[ \t]{2,}', ' ', 'g')"""
+
+
+@R.query(rf"""WITH l AS (SELECT conv_id, turn, text, list_filter(string_split(replace(text, chr(13), ''), chr(10)), lambda l: NOT regexp_matches(l, '^[ \t]*```[^`]*$')) AS ls FROM conversations)
+SELECT conv_id, turn, regexp_replace(regexp_replace(array_to_string(list_transform(ls, lambda l: {PLAIN}), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), '^[ \t\n]+|[ \t\n]+$', '', 'g') AS plain FROM l""")
 def htm2_markdown_to_text(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", html.plain_text(F.col("text")).alias("plain"))
 
@@ -155,11 +159,11 @@ def prj11_confidence(t: Tables) -> DataFrame:
     return d.withColumn("tier", T.confidence_tier(F.col("confidence")))
 
 
-@R.query(r"""WITH n AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(text, '\b[A-Z][a-z]+(?: [A-Z][a-z]+)*\b'))) AS name FROM benchmark WHERE NOT regexp_matches(text, '[^\x00-\x7F]'))
-SELECT 'concept' AS type, name, max(0.7::DOUBLE) AS confidence, count(*) AS n FROM n GROUP BY name""")
+@R.query(r"""WITH n AS (SELECT unnest(list_distinct(regexp_extract_all(text, '\b[A-Z][a-z]+(?:[ \t\n\r][A-Z][a-z]+)*\b'))) AS name, 'Person' AS type, 0.7::DOUBLE AS c FROM benchmark
+UNION ALL SELECT unnest(list_distinct(regexp_extract_all(text, '(?i)\b(?:nation|casino)\b'))), 'Project/Technology', 0.9 FROM benchmark UNION ALL SELECT unnest(list_distinct(regexp_extract_all(text, '\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b'))), 'Date', 0.8 FROM benchmark)
+SELECT type, name, max(c) AS confidence, count(*) AS n FROM n WHERE type <> 'Person' OR (length(name) > 2 AND name NOT IN ('The', 'And', 'For', 'With')) GROUP BY type, name""")
 def txt19_entities(t: Tables) -> DataFrame:
-    b = t.benchmark.where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    e = b.select("item_id", F.explode(T.entities(F.col("text"))).alias("e")).select("e.*")
+    e = t.benchmark.select(F.explode(T.entities(F.col("text"), ["nation", "casino"])).alias("e")).select("e.*")
     return e.groupBy("type", "name").agg(F.max("confidence").alias("confidence"), F.count("*").alias("n"))
 
 

@@ -62,7 +62,8 @@ def test_redaction(spark, text, want):
 
 def test_own_and_unsafe_patterns():
     assert redact.redact("token=abcdef1234567890ghij", [redact.compiled("/token=([A-Za-z0-9]+)/i")]) == "token=abcdef…ghij"
-    assert redact.compiled("(a+)+$") is None and redact.compiled("  ") is None and redact.compiled("(") is None
+    assert all(redact.compiled(x) is None for x in ("(a+)+$", "(a|aa)+$", "(x(y|zz))*", "/(b*)*c/i")) and redact.compiled("(?:ab|cd)+[0-9]{2,}x?") is not None
+    assert redact.compiled("  ") is None and redact.compiled("(") is None
     long = "x" * 40_000 + " OPENAI_API_KEY=sk-1234567890abcdef " + "y" * 40_000
     assert "OPENAI_API_KEY=sk-123…cdef" in redact.redact(long, [redact.compiled(p) for p in redact.PATTERNS])
 
@@ -182,10 +183,26 @@ def test_pages(spark):
     assert value(spark, html.plain_text(F.col("p")), p="# T\n- a [b](c) `d`\n1. e") == "T\na b d\ne"
     hidden = "<div>a<span hidden>b<i>c</i></span><p style='display:none'>d</p><p class='sr-only x'>e</p><!-- f --><input type='hidden' value='g'><p aria-hidden='true'>h</p>i</div>"
     assert value(spark, html.without_hidden(F.col("p")), p=hidden) == "<div>ai</div>"
+    assert value(spark, html.main_content(F.col("p")), p="<nav>menu</nav><main><h1>T</h1>text</main><p>foot</p>") == ("# T\ntext", None)
+    assert value(spark, html.main_content(F.col("p")), p="<p>all</p>") == ("all", None)
+    assert value(spark, html.plain_text(F.col("p")), p="```py\nx = `1`\n```\n\n\n\n![i](u) a  b  \r\n+ c") == "x = 1\n\n a b\nc"
+    assert value(spark, html.nesting(F.col("p")), p=None) == 0
     assert value(spark, html.nesting(F.col("p")), p="<div><p><br></p></div><div></div>") == 2
     assert value(spark, T.strip_invisible(F.col("p")), p="a​b‮c﻿d") == "abcd"
 
 
+@pytest.mark.parametrize(
+    ("style", "want"),
+    [
+        ("display: none", True), ("DISPLAY:NONE;color:red", True), ("x-display: none", False), ("opacity: 0", True), ("opacity: 0.5", False), ("font-size:0em", True), ("color: rgba(0, 0, 0, 0)", True),
+        ("color: rgba(0,0,0,0.5)", False), ("color: transparent", True), ("clip-path: none", False), ("clip-path: inset(100%)", True), ("clip-path: inset(0%)", False), ("transform: scale(0)", True),
+        ("transform: translateX(-9999px)", True), ("left: -9999px", True), ("left: -99px", False), ("width:0;height:0;overflow:hidden", True), ("width:0;height:0", False), ("text-indent:-9999px", True),
+    ],
+)
+def test_hiding_styles(style, want):
+    assert html.hides(style) is want
+
+
 def test_links(spark):
     got = lambda t, n: value(spark, T.links(F.col("t"), n), t=t)
     assert got("see https://a.example and http://b.test", 3) == ["https://a.example", "http://b.test"]
