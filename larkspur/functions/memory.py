@@ -107,8 +107,8 @@ def keyword_column(query: Column) -> Column:
 
 def query_entities(query: Column) -> Column:
     """Capitalised words that are not at the head of common questions, and `user` for first persons."""
-    caps = F.filter(F.regexp_extract_all(query, F.lit(r"\b[A-Z][A-Za-z0-9]+\b"), F.lit(0)), lambda w: ~F.lower(w).isin(*STOP["en"]))
-    me = F.when(query.rlike(r"(?i)\b(i|me|my|mine|myself)\b"), F.array(F.lit("user"))).otherwise(F.array().cast("array<string>"))
+    caps = F.filter(F.regexp_extract_all(query, F.lit(r"(?<![A-Za-z0-9_])[A-Z][A-Za-z0-9]+(?![A-Za-z0-9_])"), F.lit(0)), lambda w: ~F.lower(w).isin(*STOP["en"]))
+    me = F.when(query.rlike(r"(?i)(?<![A-Za-z0-9_])(i|me|my|mine|myself)(?![A-Za-z0-9_])"), F.array(F.lit("user"))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(caps, me))
 
 

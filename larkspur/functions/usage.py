@@ -46,16 +46,36 @@ def cost(tokens: dict[str, Column], rates: dict[str, Column]) -> Column:
     return sum((F.coalesce(t, F.lit(0.0)) * rates[k] for k, t in tokens.items()), F.lit(0.0)) / 1_000_000
 
 
+def fixed(x: Column, places: int) -> Column:
+    """x, not negative, with so many decimals: the nearest number, of two as near the greater. Told from x as it is in
+    binary, so 1.005, which is a little less, is 1.00.
+
+    x * scale is the rounded product and what it lacks, which Dekker's split of x tells exactly.
+    """
+    scale = 10**places
+    wide = x * 134217729.0
+    high = wide - (wide - x)
+    p = x * float(scale)
+    lacks = (high * float(scale) - p) + (x - high) * float(scale)
+    whole = F.floor(p)
+    n = whole + F.when((p - whole) + lacks >= 0.5, 1).when((p - whole) + lacks < -0.5, -1).otherwise(0)
+    if not places:
+        return n.cast("string")
+    return F.concat(F.floor(n / scale).cast("string"), F.lit("."), F.lpad(F.pmod(n, F.lit(scale)).cast("string"), places, "0"))
+
+
 def format_tokens(n: Column) -> Column:
     safe = F.greatest(F.coalesce(n, F.lit(0)).cast("double"), F.lit(0.0))
     return (
-        F.when(safe >= 1_000_000, F.format_string("%.1fm", safe / 1_000_000)).when(safe >= 10_000, F.format_string("%.0fk", safe / 1000))
-        .when(safe >= 1_000, F.format_string("%.1fk", safe / 1000)).otherwise(F.floor(safe + 0.5).cast("string"))
+        F.when(safe >= 1_000_000, F.concat(fixed(safe / 1_000_000, 1), F.lit("m"))).when(safe >= 10_000, F.concat(fixed(safe / 1000, 0), F.lit("k")))
+        .when(safe >= 1_000, F.concat(fixed(safe / 1000, 1), F.lit("k"))).otherwise(F.floor(safe + 0.5).cast("string"))
     )
 
 
 def format_usd(x: Column) -> Column:
-    return F.when(x >= 0.01, F.format_string("$%.2f", x)).when(x.isNotNull(), F.format_string("$%.4f", x))
+    x = x.cast("double")
+    digits = lambda places: F.concat(F.when(x < 0, F.lit("$-")).otherwise(F.lit("$")), fixed(F.abs(x), places))
+    return F.when(x >= 0.01, digits(2)).when(x.isNotNull(), digits(4))
 
 
 def context_percent(total: Column, context: Column) -> Column:

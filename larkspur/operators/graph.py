@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def khop(edges: DataFrame, seeds: DataFrame, depth: int, least: float = 0.0) -> DataFrame:
     """(seed, node, hops, confidence): nodes within `depth` edges of each seed, at their fewest hops, best confidence.
 
-    A hop is a join; after each, a node of a seed is kept once, so cycles add nothing.
+    One frame has all that is found. In a hop the nodes found last meet their edges, each row stays beside its neighbours,
+    and one aggregation keeps a node of a seed once: its fewest hops and their best confidence. So a hop is one scan of the
+    edges, one join and one aggregation, and cycles add nothing.
     """
     e = edges.where(F.col("confidence") >= least).select("src", "dst", "confidence")
-    found = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("hops"), F.lit(1.0).alias("c")).distinct()
-    front = found
+    found = seeds.select(F.col("node").alias("seed"), "node").distinct().select("*", F.struct(F.lit(0).alias("hops"), F.lit(-1.0).alias("c")).alias("best"))
     for hop in range(1, depth + 1):
-        step = front.join(e, front["node"] == e["src"]).select("seed", F.col("dst").alias("node"), (F.col("c") * F.col("confidence")).alias("c"))
-        step = step.groupBy("seed", "node").agg(F.max("c").alias("c")).select("seed", "node", F.lit(hop).alias("hops"), "c")
-        front = step.join(found.select("seed", "node"), ["seed", "node"], "left_anti")
-        found = found.unionByName(front)
-    return found.where("hops > 0").select("seed", "node", "hops", F.col("c").alias("confidence"))
+        near = found.join(e, (F.col("node") == F.col("src")) & (F.col("best.hops") == hop - 1), "left")
+        far = F.struct(F.col("dst").alias("node"), F.struct(F.lit(hop).alias("hops"), (F.col("best.c") * F.col("confidence")).alias("c")).alias("best"))
+        both = F.filter(F.array(F.struct("node", "best"), far), lambda x: x["node"].isNotNull())
+        found = near.select("seed", F.explode(both).alias("x")).groupBy("seed", F.col("x.node").alias("node")).agg(F.min("x.best").alias("best"))
+    return found.where("best.hops > 0").select("seed", "node", F.col("best.hops").alias("hops"), (-F.col("best.c")).alias("confidence"))
 
 
 def merged_edges(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -103,11 +104,25 @@ def episodes_of(mentions: DataFrame, entities: DataFrame, terms: list[str], k: i
 
 
 def best_match(names: DataFrame, known: DataFrame, least: float = 0.8) -> DataFrame:
-    """name, match, ratio: the known name nearest by Levenshtein ratio, ties to the least; only lengths that can be near are met."""
-    a = names.select("name", F.length("name").alias("n")).distinct()
-    near = F.explode(F.sequence(F.greatest(F.lit(0), F.ceil(F.col("n") * least).cast("int")), F.floor(F.col("n") / least).cast("int"))).alias("kn")
-    pairs = a.select("name", near).join(known.select(F.col("name").alias("match"), F.length("name").alias("kn")).distinct(), "kn")
+    """name, match, ratio: the known name nearest by Levenshtein ratio, ties to the least.
+
+    A known name of m letters is cut into one piece more than there may be edits with any partner, so a partner has one of
+    the pieces whole, at a place that the edits before and after it allow. Names meet by length, piece and text only.
+    """
+    edits = lambda m: F.floor((1 - least) * F.floor(m / least + 1e-9) + 1e-9).cast("int")
+    begin = lambda m, i: F.floor(i * m / (edits(m) + 1)).cast("int")
+    pieces = F.sequence(F.lit(0), F.least(edits(F.col("m")), F.greatest(F.col("m") - 1, F.lit(0))))
+    n, m, i = F.col("n"), F.col("m"), F.col("i")
+    b = known.select(F.col("name").alias("match")).where("match is not null").distinct().select("match", F.length("match").alias("m"))
+    b = b.select("match", "m", F.explode(pieces).alias("i")).select("match", "m", "i", F.col("match").substr(begin(m, i) + 1, begin(m, i + 1) - begin(m, i)).alias("piece"))
+    a = names.select("name").where("name is not null").distinct().withColumn("n", F.length("name"))
+    a = a.select("name", "n", F.explode(F.sequence(F.ceil(n * least - 1e-9).cast("int"), F.floor(n / least + 1e-9).cast("int"))).alias("m"))
+    a = a.select("name", "n", "m", F.explode(pieces).alias("i")).withColumns({"at": begin(m, i), "size": begin(m, i + 1) - begin(m, i), "after": edits(m) - i})
+    low = F.greatest(F.lit(0), F.col("at") - i, F.col("at") + n - m - F.col("after"))
+    high = F.least(n - F.col("size"), F.col("at") + i, F.col("at") + n - m + F.col("after"))
+    a = a.withColumns({"low": low, "high": high}).where("low <= high").select("name", "m", "i", "size", F.explode(F.sequence("low", "high")).alias("at"))
+    a = a.select("name", "m", "i", F.expr("substring(name, at + 1, size)").alias("piece")).distinct()
+    pairs = a.join(b, ["m", "i", "piece"]).select("name", "match").distinct()
     longest = F.greatest(F.length("name"), F.length("match"))
     d = pairs.withColumn("ratio", F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein("name", "match") / longest)).where(F.col("ratio") >= least)
-    w = Window.partitionBy("name").orderBy(F.desc("ratio"), "match")
-    return d.withColumn("r", F.row_number().over(w)).where("r = 1").select("name", "match", "ratio")
+    return d.groupBy("name").agg(F.min(F.struct((-F.col("ratio")).alias("ratio"), "match")).alias("x")).select("name", "x.match", (-F.col("x.ratio")).alias("ratio"))

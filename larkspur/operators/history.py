@@ -67,3 +67,10 @@ def answered_calls(turns: DataFrame) -> DataFrame:
     w = Window.partitionBy(KEY).orderBy(ORDER)
     answers = F.when(F.lead("role").over(w) == "user", F.lead("answers").over(w))
     return turns.withColumn("given", F.coalesce(answers, F.array().cast("array<string>"))).withColumn("calls", F.array_intersect("calls", "given")).drop("given")
+
+
+def first_of_each(rows: DataFrame, value: str, order: str) -> DataFrame:
+    """The first row of each value that is not null, by `order`. Only a hash of the value is grouped, so wide values move once."""
+    keyed = rows.where(F.col(value).isNotNull()).withColumn("hash", F.sha2(F.col(value).cast("string"), 256))
+    first = keyed.groupBy("hash").agg(F.min(order).alias(order))
+    return keyed.join(first, ["hash", order], "left_semi").dropDuplicates(["hash"]).drop("hash")

@@ -39,9 +39,9 @@ def win7_byte_cap(t: Tables) -> DataFrame:
     return history.newest_bytes(t.conversations, 900).select("conv_id", "turn", "text")
 
 
-@R.query("SELECT text, min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL AND length(text) < 2000 GROUP BY text")
+@R.query("SELECT text, min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY text")
 def win8_keep_first(t: Tables) -> DataFrame:
-    return t.documents.where("text is not null and length(text) < 2000").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    return history.first_of_each(t.documents, "text", "doc_id").select("text", "doc_id")
 
 
 @R.query("""WITH s AS (SELECT *, sum((role = 'assistant')::INT) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) >= 3 AS old FROM conversations)

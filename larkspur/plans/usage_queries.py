@@ -188,12 +188,18 @@ def prj8_prompt_tokens(t: Tables) -> DataFrame:
     return raw_usage(t).select("event_id", fu.prompt_tokens(F.col("u")).alias("prompt"), fu.session_total(F.col("u"), override).alias("total"))
 
 
-@R.query("""SELECT o_orderkey, CASE WHEN o_totalprice >= 1000000 THEN printf('%.1fm', o_totalprice / 1000000) WHEN o_totalprice >= 10000 THEN printf('%.0fk', o_totalprice / 1000) WHEN o_totalprice >= 1000 THEN printf('%.1fk', o_totalprice / 1000) ELSE floor(greatest(o_totalprice, 0) + 0.5)::BIGINT::VARCHAR END AS tokens,
-printf('$%.2f', o_totalprice) AS usd FROM orders WHERE o_orderkey % 3 = 0 AND (o_totalprice * 1000)::BIGINT % 10 <> 5 AND (o_totalprice * 10)::BIGINT % 5000 <> 0""")
+def _printf(x: str, places: int) -> str:
+    """printf, which goes to the even one of two numbers as near, made to go up."""
+    halves = {0: 2, 1: 4, 2: 8}[places]
+    tie = f"{x} * {halves} = floor({x} * {halves}) AND floor({x} * {halves})::BIGINT % 2 = 1"
+    return f"printf('%.{places}f', CASE WHEN {tie} THEN nextafter({x}, 'Infinity'::DOUBLE) ELSE {x} END)"
+
+
+@R.query(f"""SELECT o_orderkey, CASE WHEN x >= 1000000 THEN {_printf("(x / 1000000)", 1)} || 'm' WHEN x >= 10000 THEN {_printf("(x / 1000)", 0)} || 'k' WHEN x >= 1000 THEN {_printf("(x / 1000)", 1)} || 'k' ELSE floor(greatest(x, 0) + 0.5)::BIGINT::VARCHAR END AS tokens,
+'$' || {_printf("x", 2)} AS usd FROM (SELECT o_orderkey, o_totalprice AS x FROM orders)""")
 def prj10_formats(t: Tables) -> DataFrame:
     x = F.col("o_totalprice")
-    d = t.orders.where((F.col("o_orderkey") % 3 == 0) & (F.round(x * 1000).cast("long") % 10 != 5) & (F.round(x * 10).cast("long") % 5000 != 0))
-    return d.select("o_orderkey", fu.format_tokens(x).alias("tokens"), fu.format_usd(x).alias("usd"))
+    return t.orders.select("o_orderkey", fu.format_tokens(x).alias("tokens"), fu.format_usd(x).alias("usd"))
 
 
 @R.query("SELECT o_orderkey, CASE WHEN o_custkey > 0 THEN least(999, floor(o_orderkey / o_custkey * 100 + 0.5))::BIGINT END AS percent, o_orderkey < 32000 AND o_orderkey > 0 AS should_warn, o_orderkey < 16000 AND o_orderkey > 0 AS should_block FROM orders")
@@ -308,10 +314,10 @@ def snk4_upsert(t: Tables) -> DataFrame:
 R.sql["snk4_upsert"] = R.sql["snk4_upsert"].replace("WHERE (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM l)", "ANTI JOIN l USING (user_id, event_type)")
 
 
-@R.query("SELECT o_orderkey, o_custkey, 1000 + greatest(1, ceil((o_orderkey * 7 - 1000) / (o_custkey * 10)), floor((o_orderkey * 7 - 1000) / (o_custkey * 10)) + 1)::BIGINT * o_custkey * 10 AS next FROM orders WHERE o_orderkey * 7 >= 1000 AND o_custkey > 0")
+@R.query("SELECT o_orderkey, o_custkey, CASE WHEN o_custkey <= 0 THEN NULL WHEN o_orderkey * 7 < 1000 THEN 1000 ELSE 1000 + greatest(1, ceil((o_orderkey * 7 - 1000) / nullif(o_custkey * 10, 0)), floor((o_orderkey * 7 - 1000) / nullif(o_custkey * 10, 0)) + 1)::BIGINT * o_custkey * 10 END AS next FROM orders")
 def dt2_next_every(t: Tables) -> DataFrame:
     now = F.col("o_orderkey") * 7
-    return t.orders.where((now >= 1000) & (F.col("o_custkey") > 0)).select("o_orderkey", "o_custkey", tm.next_every(now, F.col("o_custkey") * 10, F.lit(1000)).alias("next"))
+    return t.orders.select("o_orderkey", "o_custkey", tm.next_every(now, F.col("o_custkey") * 10, F.lit(1000)).alias("next"))
 
 
 @R.query("SELECT o_orderkey, CASE WHEN s <= 0 THEN 'now' WHEN s < 3600 THEN floor(s / 60)::BIGINT || 'm' WHEN s < 86400 THEN floor(s / 3600)::BIGINT || 'h' || CASE WHEN floor(s / 60)::BIGINT % 60 > 0 THEN ' ' || floor(s / 60)::BIGINT % 60 || 'm' ELSE '' END ELSE floor(s / 86400)::BIGINT || 'd ' || floor(s / 3600)::BIGINT % 24 || 'h' END AS left FROM (SELECT o_orderkey, (o_orderkey - 1000) * 10 AS s FROM orders)")
