@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
+from larkspur.scratch import written
 
 
 def greedy(memories: DataFrame, by: str, threshold: float = 0.85) -> DataFrame:
@@ -43,20 +44,21 @@ def similar_pairs(left: DataFrame, right: DataFrame, words: Column, threshold: f
     Words are put in order of how many texts of either side have them, rare ones first; a pair that is alike enough
     shares one of the first few words of each. So what is joined is a few rare words of each text.
     """
-    a, b = (d.select("id", F.explode(words).alias("w")) for d in (left, right))
-    often = a.unionByName(b).groupBy("w").agg(F.count("*").alias("n"))
+    sides = left.select(F.lit("l").alias("side"), "id", words.alias("ws")).unionByName(right.select(F.lit("r").alias("side"), "id", words.alias("ws")))
+    single = written(sides.select("side", "id", F.explode("ws").alias("w")), "words")  # texts are cut into words once
+    often = single.groupBy("w").agg(F.count("*").alias("n"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("n", "w"))), lambda x: x["w"])
+    sets = written(single.join(often, "w").groupBy("side", "id").agg(listed.alias("ws")), "sets")
 
-    def ordered(d: DataFrame, p: str) -> DataFrame:
-        listed = F.transform(F.array_sort(F.collect_list(F.struct("n", "w"))), lambda x: x["w"])
-        return d.join(often, "w").groupBy(F.col("id").alias(f"{p}_id")).agg(listed.alias(f"{p}_w"))
+    def side(p: str) -> DataFrame:
+        return sets.where(F.col("side") == p).select(F.col("id").alias(f"{p}_id"), F.col("ws").alias(f"{p}_w"))
 
-    def first_words(d: DataFrame, p: str) -> DataFrame:
+    def first_words(p: str) -> DataFrame:
         n = F.size(f"{p}_w")
-        return d.select(f"{p}_id", n.alias(f"{p}_n"), F.explode(F.slice(f"{p}_w", F.lit(1), (n - F.ceil(n * threshold) + 1).cast("int"))).alias("w"))
+        return side(p).select(f"{p}_id", n.alias(f"{p}_n"), F.explode(F.slice(f"{p}_w", F.lit(1), (n - F.ceil(n * threshold) + 1).cast("int"))).alias("w"))
 
-    x, y = ordered(a, "l"), ordered(b, "r")
-    near = first_words(x, "l").join(first_words(y, "r"), "w").where((F.col("l_n") >= threshold * F.col("r_n")) & (F.col("r_n") >= threshold * F.col("l_n")))
-    full = near.select("l_id", "r_id").distinct().join(x, "l_id").join(y, "r_id").withColumn("similarity", T.jaccard(F.col("l_w"), F.col("r_w"), 0.0))
+    near = first_words("l").join(first_words("r"), "w").where((F.col("l_n") >= threshold * F.col("r_n")) & (F.col("r_n") >= threshold * F.col("l_n")))
+    full = near.select("l_id", "r_id").distinct().join(side("l"), "l_id").join(side("r"), "r_id").withColumn("similarity", T.jaccard(F.col("l_w"), F.col("r_w"), 0.0))
     return full.where(F.col("similarity") >= threshold).select("l_id", "r_id", "similarity")
 
 

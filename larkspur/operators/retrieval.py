@@ -17,12 +17,14 @@ K1, B = 1.2, 0.75
 def bm25(docs: DataFrame, id_col: str, text_col: str, query: list[str], k: int) -> DataFrame:
     """The k documents that score best for the query's words, ties by id: id, score.
 
-    Only the query's words are counted; nothing but a row for each document that has one is dealt out.
+    A text's words are found once, and of them only the query's are looked at again; nothing but a row of counts for each
+    document that has one is dealt out.
     """
-    words = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit("[a-z0-9_]+"), F.lit(0))
-    d = docs.select(F.col(id_col).alias("id"), words.alias("w")).where(F.size("w") > 0)
     wanted = [w.lower() for w in dict.fromkeys(query)]
-    d = d.select("id", F.size("w").alias("length"), *[_occurrences(w).alias(f"tf{i}") for i, w in enumerate(wanted)])
+    words = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit("[a-z0-9_]+"), F.lit(0))
+    parted = F.transform(F.array(words), lambda w: F.struct(F.size(w).alias("length"), F.filter(w, lambda x: x.isin(wanted)).alias("hits")))
+    d = docs.select(F.col(id_col).alias("id"), F.inline(parted)).where("length > 0")  # what is inlined is computed once
+    d = d.select("id", "length", *[_occurrences(w).alias(f"tf{i}") for i, w in enumerate(wanted)])
     stats = d.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(wanted))])
     s = d.where(sum((F.col(f"tf{i}") for i in range(len(wanted))), F.lit(0)) > 0).crossJoin(F.broadcast(stats))  # stats is one row
     score = F.lit(0.0)
@@ -34,7 +36,7 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, query: list[str], k: int)
 
 
 def _occurrences(word: str) -> Column:
-    return F.size(F.filter("w", lambda x: x == word))
+    return F.size(F.filter("hits", lambda x: x == word))
 
 
 def cosine_topk(vectors: DataFrame, query: list[float], k: int, mode: str = "linear") -> DataFrame:
@@ -124,24 +126,40 @@ def cut(hits: DataFrame, by: str, level: str, threshold: float | None = None, mo
     """The best hits of each query: the level's share first, then its least score, then at most so many."""
     share, least, limit = LEVELS[level]
     least, limit = least if threshold is None else threshold, limit if most is None else most
-    w = Window.partitionBy(by)
-    ranked = hits.withColumn("place", F.row_number().over(w.orderBy(F.desc("score"), "id"))).withColumn("n", F.count("*").over(w))
-    top = ranked.where(F.col("place") <= F.greatest(F.lit(1), F.ceil(F.round(F.col("n") * share, 6)))) if share < 1 else ranked
-    return top.where((F.col("score") >= least) & (F.col("place") <= limit)).drop("n")
+    w = Window.partitionBy(by).orderBy(F.desc("score"), "id")
+    top = hits.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)  # cut in each task before it is dealt out
+    if share < 1:
+        sizes = hits.groupBy(by).agg(F.count("*").alias("n"))
+        top = top.join(sizes, by).where(F.col("place") <= F.greatest(F.lit(1), F.ceil(F.round(F.col("n") * share, 6)))).drop("n")
+    return top.where(F.col("score") >= least)
+
+
+#: A group's rows are looked at in so many pieces first, each of which keeps what may be within the budget.
+PIECES = 16
+
+
+def _within(rows: DataFrame, by: str, order: list, size: Column, budget: int) -> DataFrame:
+    """rows with `before`: the sizes of all rows of the group before them, of those that begin within the budget.
+
+    What begins beyond it in a piece of its group does so in the group; so pieces are cut first, in tasks of their own,
+    and one task gets few rows of a group however large it is.
+    """
+    piece = rows.withColumns({"size_": size, "piece_": F.pmod(F.xxhash64("id"), F.lit(PIECES))})
+    upto = lambda *keys: F.coalesce(F.sum("size_").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    few = piece.withColumn("before", upto(by, "piece_")).where(F.col("before") <= budget)
+    return few.withColumn("before", upto(by)).where(F.col("before") <= budget).drop("piece_")
 
 
 def packed(hits: DataFrame, by: str, limit: int) -> DataFrame:
     """Hits in order of score until the first that would go beyond `limit` tokens (a quarter of the characters)."""
-    w = Window.partitionBy(by).orderBy(F.desc("score"), "id")
-    d = hits.withColumn("tokens", T.estimated_tokens(F.col("content"))).withColumn("used", F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return d.where(F.col("used") <= limit)
+    d = _within(hits, by, [F.desc("score"), F.col("id")], T.estimated_tokens(F.col("content")), limit)
+    return d.withColumn("used", F.col("before") + F.col("size_")).where(F.col("used") <= limit).withColumnRenamed("size_", "tokens").drop("before")
 
 
 def clamped(hits: DataFrame, by: str, budget: int) -> DataFrame:
     """Whole snippets while there is room; the one that crosses the budget is cut, the rest go."""
-    w = Window.partitionBy(by).orderBy(F.desc("score"), "id").rowsBetween(Window.unboundedPreceding, -1)
-    d = hits.withColumn("room", F.lit(budget) - F.coalesce(F.sum(F.length("snippet")).over(w), F.lit(0)))
-    return d.where(F.col("room") > 0).withColumn("snippet", F.col("snippet").substr(F.lit(1), F.col("room").cast("int"))).drop("room")
+    d = _within(hits, by, [F.desc("score"), F.col("id")], F.length("snippet"), budget).withColumn("room", F.lit(budget) - F.col("before"))
+    return d.where(F.col("room") > 0).withColumn("snippet", F.col("snippet").substr(F.lit(1), F.col("room").cast("int"))).drop("room", "before", "size_")
 
 
 def decayed(hits: DataFrame, stamp: str, now: Column, half_life: float = 30.0) -> DataFrame:

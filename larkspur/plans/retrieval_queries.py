@@ -111,7 +111,7 @@ def rnk6_path_dates(t: Tables) -> DataFrame:
 
 @R.query()
 def rnk7_mmr(t: Tables) -> DataFrame:
-    hits = retrieval.bm25(t.documents, "doc_id", "text", TERMS, 30).join(t.documents.select(F.col("doc_id").alias("id"), "text", "lang"), "id")
+    hits = retrieval.bm25(t.documents, "doc_id", "text", TERMS, 30).transform(lambda h: t.documents.select(F.col("doc_id").alias("id"), "text", "lang").join(F.broadcast(h), "id"))  # k rows
     return retrieval.mmr(hits, "lang", 0.7)
 
 
@@ -137,10 +137,10 @@ def win9_percent_cut(t: Tables) -> DataFrame:
     return retrieval.cut(hits, "label", "focused", threshold=0.1).select("label", F.col("id").alias("vec_id"), "place")
 
 
-@R.query("""WITH d AS (SELECT source, doc_id, n_chars, text, sum(ceil(length(text) / 4)) OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id ROWS UNBOUNDED PRECEDING) AS used FROM documents WHERE n_chars < 1500 AND text IS NOT NULL)
+@R.query("""WITH d AS (SELECT source, doc_id, n_chars, text, sum(ceil(length(text) / 4)) OVER (PARTITION BY source ORDER BY doc_id * 7919 % 1000 DESC, doc_id ROWS UNBOUNDED PRECEDING) AS used FROM documents WHERE text IS NOT NULL)
 SELECT source, doc_id, used::BIGINT AS used FROM d WHERE used <= 4000""")
 def win5_pack_budget(t: Tables) -> DataFrame:
-    hits = t.documents.where("n_chars < 1500 and text is not null").select("source", F.col("doc_id").alias("id"), F.col("n_chars").alias("score"), F.col("text").alias("content"))
+    hits = t.documents.where("text is not null").select("source", F.col("doc_id").alias("id"), (F.col("doc_id") * 7919 % 1000).alias("score"), F.col("text").alias("content"))
     return retrieval.packed(hits, "source", 4000).select("source", F.col("id").alias("doc_id"), F.col("used").cast("long").alias("used"))
 
 
@@ -154,7 +154,7 @@ def win6_char_clamp(t: Tables) -> DataFrame:
 
 @R.query()
 def ctx_dedupe_greedy(t: Tables) -> DataFrame:
-    hits = retrieval.bm25(t.documents, "doc_id", "text", TERMS, 50).join(t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "lang"), "id")
+    hits = retrieval.bm25(t.documents, "doc_id", "text", TERMS, 50).transform(lambda h: t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "lang").join(F.broadcast(h), "id"))  # k rows
     return dedupe.greedy(hits.withColumn("ts", F.col("id")), "lang")
 
 

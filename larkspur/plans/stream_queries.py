@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.plans.registry import Registry, Tables
+from larkspur.scratch import scratch_path
 from larkspur.streaming import batch, stateful
 
 R = Registry()
@@ -64,11 +65,13 @@ def snk12_disk_budget(t: Tables) -> DataFrame:
 
 
 def ran(t: Tables, name: str, made) -> DataFrame:
-    """What a stream over the events table, taken once to its end, has put out."""
+    """What a stream over the events table, taken once to its end, has put out: a table in the shared folder, as is its
+    checkpoint, so a stream that was stopped would go on where it was."""
+    path = scratch_path(t.spark, name)
     source = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.dir)
-    q = made(source).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return t.spark.table(name)
+    out = made(source)
+    out.writeStream.format("parquet").option("checkpointLocation", f"{path}-checkpoint").outputMode("append").trigger(availableNow=True).start(path).awaitTermination()
+    return t.spark.read.schema(out.schema).parquet(path)
 
 
 @R.query()
