@@ -3,11 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
 from functools import lru_cache
 from itertools import chain
 
@@ -17,6 +13,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.scratch import remove, run_scope, shared_dir, written
+
+__all__ = ["SegmentEncoder", "encoder", "hot_join", "remove", "run_scope", "sampled", "shared_dir", "slices", "small_batches", "split_words", "table", "words", "written"]
+
+#: A smaller table is joined as it is.
+HOT_ROWS = 10_000
 #: Separators of words: space, and tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -25,57 +27,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it in spark.checkpoint.dir.
-
-    Where it names none, a local master (tests) gets a folder of its own, as its executors are on this machine; on a
-    cluster that would be a folder that other executors cannot see, so there it is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="larkspur-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def remove(spark: SparkSession, folder: str) -> None:
-    """Deletes a folder, on whatever store it is."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-#: The run that tables are written for. Each thread, and each task of an event loop, has its own.
-RUN: ContextVar[str | None] = ContextVar("run", default=None)
-
-
-@contextmanager
-def run_scope(spark: SparkSession) -> Iterator[str]:
-    """A run: what written() makes inside, in a folder of the run's own, goes with its end, and nothing else does.
-
-    Results made inside must be read or written inside. Tables made outside of any run stay, as results that are still
-    to be read need them; they are in the shared folder under the application's id.
-    """
-    folder = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
-    token = RUN.set(folder)
-    try:
-        yield folder
-    finally:
-        RUN.reset(token)
-        remove(spark, folder)
-
-
-def written(df: DataFrame, name: str, by: list[str] | None = None, **options: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor costs no recomputation.
+def hot_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left with right's columns (null where right has no row of the key); right has one row for a key.
 
-    by: columns, the last ones of df, whose values have folders of their own, so that a filter on them reads no others.
+    Keys that a thousandth of left's rows or more have - a thousand keys at most - meet in a broadcast, however many rows
+    they have; the others are dealt out by key. left is read twice, so it should be a written table.
     """
-    spark = df.sparkSession
-    path = f"{RUN.get() or f'{shared_dir(spark)}/{spark.sparkContext.applicationId}'}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.options(**options)
-    (writer.partitionBy(*by) if by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    n = left.count()
+    hot = [r[0] for r in left.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") * 1000 >= n).select(key).collect()] if n >= HOT_ROWS else []
+    if not hot:
+        return left.join(right, key, "left")
+    kind = left.schema[key].dataType.simpleString()
+    names = F.broadcast(left.sparkSession.createDataFrame([(x,) for x in hot if x is not None], f"{key} {kind}"))
+    many = left.join(names, key, "left_semi").join(F.broadcast(right.join(names, key, "left_semi")), key, "left")
+    return many.unionByName(left.join(names, key, "left_anti").join(right, key, "left"))
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:

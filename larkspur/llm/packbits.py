@@ -52,7 +52,8 @@ def write_packed(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int =
 
     Texts are dealt out by ranges of doc_id before they are encoded, so that Spark's sample for the ranges costs no
     encoding. A block is closed with the document that brings it to block_ids. Rows with the same doc_id stay rows of
-    their own, one after another; a null doc_id comes first. Other columns are ignored. No documents: an empty table.
+    their own, one after another in an order that their texts give; a null doc_id comes first. Ranges are cut within a
+    doc_id too, so one that very many rows have is many tasks. Other columns are ignored. No documents: an empty table.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +84,8 @@ def write_packed(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int =
             yield row()
 
     small_batches(docs.sparkSession)
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    ordered = keyed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     return written(ordered.mapInArrow(encode, BLOCKS), "packed", **{"compression": "uncompressed"})
 
 

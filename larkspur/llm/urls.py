@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import sampled
+from larkspur.llm.common import hot_join, sampled, written
 
 FEATURES = ["length", "host_length", "labels", "depth", "path_length", "digit_share", "host_digit_share", "hyphens", "entropy", "params", "query_length", "has_fragment", "suffix_block_share", "suffix_log_count"]
 #: Weight of the overall share of blocked urls in a suffix's share.
@@ -27,7 +27,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def first_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
     """(rule, verdict) of the longest of rules `host/path` -> verdict that fits; null without one. Ties: the first given."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for name, what in sorted(rules, key=lambda r: len(r[0])):
+    for name, what in sorted(reversed(rules), key=lambda r: len(r[0])):
         h, slash, p = name.partition("/")
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(slash + p)
         rule, verdict = F.when(fits, F.lit(name)).otherwise(rule), F.when(fits, F.lit(what)).otherwise(verdict)
@@ -133,11 +133,11 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str]], sample: int = 20_
     host, path = host_and_path(F.col("url"))
     d = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), path.alias("path"))
     rule, known = first_rule(F.col("host"), F.col("path"), rules)
-    d = lexical(d.select("*", rule.alias("rule"), known.alias("known")))
-    stats = d.where("rule is not null").groupBy(F.col("suffix").alias("of")).agg(F.count("*").alias("n"), F.count(F.when(F.col("known") == "block", 1)).alias("blocked"))
+    d = written(lexical(d.select("*", rule.alias("rule"), known.alias("known"))), "urls")
+    stats = d.where("rule is not null").groupBy("suffix").agg(F.count("*").alias("n"), F.count(F.when(F.col("known") == "block", 1)).alias("blocked"))
     total = stats.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("b")).head()
     share = total["b"] / total["n"] if total["n"] else 0.5
-    d = d.join(stats, F.col("suffix") == F.col("of"), "left")
+    d = hot_join(d, stats, "suffix")
     own = F.col("rule").isNotNull().cast("int")
     n = F.coalesce("n", F.lit(0)) - own
     blocked = F.coalesce("blocked", F.lit(0)) - F.when(F.col("known") == "block", 1).otherwise(0)
