@@ -109,41 +109,47 @@ def forward(w: Weights, x: np.ndarray, first: np.ndarray, h: np.ndarray, keep: b
 ONES = np.ones(SIDE, np.float32)
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
+def _picked(z: np.ndarray, pick: np.ndarray, softmax: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """The log softmax of one entry of each row of z, and, with softmax, the loss's gradient for all of them (in z)."""
     np.clip(z, -60, 60, out=z)  # so that no sum overflows
-    z -= np.log(np.exp(z) @ ONES)[:, None]
-    return z
+    at = np.arange(len(z))
+    own = z[at, pick]
+    e = np.exp(z, out=z) if softmax else np.exp(z)
+    total = e @ ONES
+    if softmax:
+        e /= total[:, None]
+        e[at, pick] -= 1
+    return own - np.log(total), e if softmax else None
 
 
 def log_likelihood(w: Weights, states: np.ndarray, y: np.ndarray, grad: Weights | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural log of the probability of each word after its state; with grad, adds the loss's and returns the states'."""
-    c, o = y // SIDE, y % SIDE
-    at = np.arange(len(y))
-    lp = _log_softmax(states @ w["wc"] + w["bc"])
-    out = lp[at, c]
+    c = y // SIDE
     order = np.argsort(c, kind="stable")
-    cuts = np.searchsorted(c[order], np.arange(SIDE + 1))
+    states, c, o = states[order], c[order], (y % SIDE)[order]
+    cuts = np.searchsorted(c, np.arange(SIDE + 1)).tolist()
+    lp, d = _picked(states @ w["wc"] + w["bc"], c, grad is not None)
     back = None
     if grad is not None:
-        d = np.exp(lp)
-        d[at, c] -= 1
         grad["wc"] += states.T @ d
         grad["bc"] += d.sum(axis=0)
         back = d @ w["wc"].T
-    for k in range(SIDE):
-        rows = order[cuts[k] : cuts[k + 1]]
-        if not len(rows):
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        if a == b:
             continue
-        s, own = states[rows], o[rows]
-        lw = _log_softmax(s @ w["ww"][k] + w["bw"][k])
-        pick = np.arange(len(rows))
-        out[rows] += lw[pick, own]
+        s = states[a:b]
+        lw, d = _picked(s @ w["ww"][k] + w["bw"][k], o[a:b], grad is not None)
+        lp[a:b] += lw
         if grad is not None:
-            d = np.exp(lw)
-            d[pick, own] -= 1
             grad["ww"][k] += s.T @ d
             grad["bw"][k] += d.sum(axis=0)
-            back[rows] += d @ w["ww"][k].T
+            back[a:b] += d @ w["ww"][k].T
+    out = np.empty_like(lp)
+    out[order] = lp
+    if back is not None:
+        own = np.empty_like(back)
+        own[order] = back
+        back = own
     return out, back
 
 
