@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import written
-from larkspur.llm.spans import CONTEXT, digest, found, overlaps_base
+from larkspur.llm.common import hot_join, written
+from larkspur.llm.spans import CONTEXT, digest, found, once, overlaps_base
 
 KINDS = ["email", "ip", "card", "phone", "context"]
 #: Possessive and tied to the first character that can begin a match, so that long runs cost no more than their length.
@@ -21,10 +21,13 @@ PATTERNS = [
 #: Tokens, and runs of digit groups, which are tokens too beside their groups.
 TOKEN, GROUPED = len(PATTERNS) - 2, len(PATTERNS) - 1
 #: An identifier without a base pattern has so many digits or an @. A context counts if so many different seeds have it
-#: and so large a share of all its tokens are identifiers; a token is added from that score on. Rounds of scoring.
-DIGITS, SUPPORT, CONFIDENCE, SCORE, ROUNDS = 5, 3, 0.8, 0.8, 3
-#: A frequent value's or context's edges meet their scores in so many tasks.
-SALTS = 16
+#: and so large a share of all its tokens are identifiers; a token is added from that score on. Scores have settled when
+#: a round moves their mean by no more than SETTLED.
+DIGITS, SUPPORT, CONFIDENCE, SCORE, SETTLED = 5, 3, 0.8, 0.8, 1e-6
+
+
+#: A text that is redacted is cut from blocks of so many characters.
+BLOCK = 4096
 
 
 def valid(kind: Column, match: Column) -> Column:
@@ -36,7 +39,7 @@ def valid(kind: Column, match: Column) -> Column:
 
 def marked(docs: DataFrame, row: str | None = None) -> DataFrame:
     """Base spans (kind 0 to 3) and identifier-like tokens (kind 4, with `seed`: whether a base span touches it)."""
-    m = found(docs, PATTERNS, row)
+    m = found(docs, PATTERNS, row, after=True)
     kind, match = F.col("kind"), F.col("match")
     m = m.withColumn("kind", F.when((kind >= TOKEN) | valid(kind, match), kind))
     # the last two words before the token, or the one there is, tokens among them by their outlines; a run has its first group's
@@ -47,40 +50,54 @@ def marked(docs: DataFrame, row: str | None = None) -> DataFrame:
     tail = F.concat(F.when(near(0), earlier).otherwise(""), F.lower(F.col("before")))
     m = m.withColumn("left", F.when(kind == TOKEN, F.regexp_extract(tail, r"((?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++)?[^\x20\x09-\x0D]++)[\x20\x09-\x0D]*+$", 1)))
     m = m.withColumn("left", F.when(kind >= TOKEN, F.max("left").over(Window.partitionBy("row", "start"))))
+    # and the first two words after it, later tokens among them by their outlines
+    ahead = lambda k: F.coalesce(F.left(shape(F.lower(F.lead("match", k).over(w))), F.lit(CONTEXT)), F.lit(""))
+    close = lambda k: F.length(F.lead("after", k).over(w) if k else F.col("after")) < CONTEXT
+    later = F.concat(ahead(1), F.lower(F.coalesce(F.lead("after", 1).over(w), F.lit(""))), F.when(close(1), ahead(2)).otherwise(""))
+    head = F.concat(F.lower(F.col("after")), F.when(close(0), later).otherwise(""))
+    m = m.withColumn("right", F.when(kind >= TOKEN, F.regexp_extract(head, r"^[\x20\x09-\x0D]*+([^\x20\x09-\x0D]++(?:[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)?)", 1)))
     m = m.withColumn("seed", (kind >= TOKEN) & overlaps_base(F.col("kind") < TOKEN)).withColumn("kind", F.when(kind >= TOKEN, TOKEN).otherwise(kind))
     value = F.regexp_replace(F.lower(match), r"^[^a-z0-9@+]+|[^a-z0-9]+$", "")
-    return m.select("row", "doc_id", "kind", "start", "end", "left", "seed", F.when(kind == TOKEN, value).alias("value"))
+    return m.select("row", "doc_id", "kind", "start", "end", "left", "right", "seed", F.when(kind == TOKEN, value).alias("value"))
+
+
+def _contexts() -> Column:
+    """The names of a token's contexts: two words, or one and the value's outline, before it and after it."""
+    several = r"[\x20\x09-\x0D]"
+    one = lambda side, pattern: F.concat(F.regexp_extract(side, pattern, 1), F.lit(" "), shape(F.col("value")))
+    return F.array_compact(F.array(
+        F.when(F.col("left").rlike(several), F.concat(F.lit("2 "), "left")),
+        F.when(F.col("left") != "", F.concat(F.lit("1 "), one("left", r"([^\x20\x09-\x0D]+)$"))),
+        F.when(F.col("right").rlike(several), F.concat(F.lit("r2 "), "right")),
+        F.when(F.col("right") != "", F.concat(F.lit("r1 "), one("right", r"^([^\x20\x09-\x0D]+)"))),
+    ))
 
 
 def discovered(tokens: DataFrame) -> DataFrame:
-    """(value) of identifiers that no base pattern has, from tokens (doc_id, left, value, seed).
+    """(value) of identifiers that no base pattern has, from tokens (doc_id, left, right, value, seed).
 
     Contexts and values form a graph, an edge for each pair that occurs. In each round a context's confidence is the
     mean score of its values, if SUPPORT different seeds have it, and a value's score follows from the contexts with
-    CONFIDENCE or more as if they were independent; seeds keep score 1. Everything is counted over all documents.
+    CONFIDENCE or more as if they were independent; seeds keep score 1. Scores only grow, so the rounds come to an end,
+    when they have settled. Everything is counted over all documents; values and contexts that very many edges have are
+    not dealt out by key.
     """
-    contexts = F.array_compact(F.array(
-        F.when(F.col("left").rlike(r"[\x20\x09-\x0D]"), F.concat(F.lit("2 "), "left")),
-        F.when(F.col("left") != "", F.concat(F.lit("1 "), F.regexp_extract("left", r"([^\x20\x09-\x0D]+)$", 1), F.lit(" "), shape(F.col("value")))),
-    ))
     usable = tokens.where("value <> ''")
-    edges = written(usable.select("value", "seed", F.explode(contexts).alias("context")).groupBy("context", "value").agg(F.max("seed").alias("seed")), "edges")
-    seeds = edges.groupBy("value").agg(F.max("seed").alias("seed"))
-    scored = seeds.select("value", F.col("seed").cast("double").alias("score"))
-    for _ in range(ROUNDS):
-        known = _salted(edges, scored, "value", "context")
-        good = known.groupBy("context").agg(F.avg("score").alias("mean"), F.count(F.when(F.col("score") >= 1, 1)).alias("n")).where((F.col("n") >= SUPPORT) & (F.col("mean") >= CONFIDENCE))
-        lifted = _salted(edges, good, "context", "value").groupBy("value").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("mean"), F.lit(0.99)))))).alias("lift"))
-        scored = written(seeds.join(lifted, "value", "left").select("value", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("lift", F.lit(0.0))).alias("score")), "scores")
+    edges = written(usable.select("value", "seed", F.explode(_contexts()).alias("context")).groupBy("context", "value").agg(F.max("seed").alias("seed")), "edges")
+    seeds = written(edges.groupBy("value").agg(F.max("seed").alias("seed")), "seeds")
+    links, scored, before = edges.select("context", "value"), seeds.select("value", F.col("seed").cast("double").alias("score")), -1.0
+    while True:
+        known = hot_join(links, scored, "value")
+        good = known.groupBy("context").agg(F.avg("score").alias("mean"), F.count(F.when(F.col("score") >= 1, 1)).alias("n"))
+        good = written(good.where((F.col("n") >= SUPPORT) & (F.col("mean") >= CONFIDENCE)).select("context", "mean"), "contexts")
+        lifted = hot_join(links, good, "context").where("mean is not null").groupBy("value").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("mean"), F.lit(0.99)))))).alias("lift"))
+        scored = written(seeds.join(lifted, "value", "left").select("value", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("lift", F.lit(0.0))).alias("score"), "seed"), "scores")
+        mean = scored.agg(F.coalesce(F.avg("score"), F.lit(0.0))).head()[0]
+        if mean - before <= SETTLED:
+            break
+        before, scored = mean, scored.drop("seed")
     fits = F.col("value").contains("@") | (F.length(F.regexp_replace("value", "[^0-9]", "")) >= DIGITS)
-    return scored.join(seeds, "value").where(~F.col("seed") & (F.col("score") >= SCORE) & fits).select("value")
-
-
-def _salted(edges: DataFrame, ends: DataFrame, key: str, other: str) -> DataFrame:
-    """edges joined with ends on key, a key's edges being dealt out to SALTS tasks by their other end."""
-    salt = F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int").alias("salt")
-    copies = ends.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return edges.select("context", "value", salt).join(copies, [key, "salt"]).drop("salt")
+    return scored.where(~F.col("seed") & (F.col("score") >= SCORE) & fits).select("value")
 
 
 def shape(value: Column) -> Column:
@@ -95,10 +112,9 @@ def personal(docs: DataFrame, row: str | None = None) -> DataFrame:
     texts are empty, empty tables give no rows, other columns are ignored, repeated rows stay rows of their own.
     """
     m = written(marked(docs, row), "marked")
-    new = discovered(m.where(F.col("kind") == TOKEN)).withColumn("new", F.lit(True))
+    new = written(discovered(m.where(F.col("kind") == TOKEN)).withColumn("new", F.lit(True)), "new")
     base = m.where(F.coalesce(F.col("kind") != TOKEN, F.lit(True))).select("row", "doc_id", "kind", "start", "end")
-    copies = new.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    tokens = m.where(F.col("kind") == TOKEN).withColumn("salt", F.pmod(F.xxhash64("row", "start"), F.lit(SALTS)).cast("int")).join(copies, ["value", "salt"], "left")
+    tokens = hot_join(m.where(F.col("kind") == TOKEN), new, "value")
     keep = F.coalesce(F.col("new") & ~F.col("seed"), F.lit(False))
     return base.unionByName(tokens.select("row", "doc_id", F.when(keep, F.col("kind")).alias("kind"), "start", "end"))
 
@@ -122,10 +138,21 @@ def redacted(docs: DataFrame) -> DataFrame:
     merged = spans.groupBy("row", "island").agg(F.min(F.struct("start", "kind")).alias("first"), F.max("end").alias("end"))
     listed = merged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.col("first.start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), name.alias("name")))).alias("spans"))
     text = F.col("doc.text")
-    previous = lambda i: F.coalesce(F.get(F.col("spans"), i - 1)["end"], F.lit(0))
-    parts = F.transform("spans", lambda s, i: F.concat(text.substr(previous(i) + 1, s["start"] - previous(i)), s["name"]))
-    rest = text.substr(F.element_at("spans", -1)["end"] + 1, F.length(text))
-    new = F.when(F.col("spans").isNull(), text).otherwise(F.concat(F.array_join(parts, ""), rest))
+
+    def masked(blocks: Column) -> Column:
+        def cut(a: Column, b: Column) -> Column:
+            """Characters a to b (exclusive) from the blocks that hold them, so that no cut walks through the whole text."""
+            first, last = F.floor(a / BLOCK).cast("int"), F.floor(b / BLOCK).cast("int")
+            block = lambda k: F.coalesce(F.get(blocks, k), F.lit(""))
+            return F.when(first == last, block(first).substr(a % BLOCK + 1, b - a)).otherwise(
+                F.concat(block(first).substr(a % BLOCK + 1, F.lit(BLOCK)), F.array_join(F.slice(blocks, first + 2, F.greatest(F.lit(0), last - first - 1)), ""), block(last).substr(F.lit(1), b % BLOCK))
+            )
+
+        previous = lambda i: F.coalesce(F.get(F.col("spans"), i - 1)["end"], F.lit(0))
+        parts = F.transform("spans", lambda s, i: F.concat(cut(previous(i), s["start"]), s["name"]))
+        return F.concat(F.array_join(parts, ""), cut(F.element_at("spans", -1)["end"], F.length(text)))
+
+    new = F.when(F.col("spans").isNull(), text).otherwise(once(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), masked))
     out = keyed.join(listed, "row", "left").select("doc", new.alias("new"))
     cols = [F.col("new").alias("text") if c == "text" else F.length("new").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns]
     return out.select(cols)

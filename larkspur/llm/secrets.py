@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import written
 from larkspur.llm.spans import digest, found, once, overlaps_base
 
 KINDS = ["assign", "access", "hex", "random"]
 ASSIGN = r"""(?:(?i:password|passwd|secret|token)|(?i:api)_?(?i:key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 PATTERNS = [ASSIGN, "AKIA[A-Z0-9]++", "(?<![0-9a-f])[0-9a-f]{24,}+", "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}+"]
-#: Alphabets that a token's encoding is inferred from, the smallest that has all its characters first, in code order.
+#: Alphabets that a token's encoding is inferred from, in code order, the first that has all its characters. For the first
+#: CASED of them - hexadecimal, base 32 and base 36 - dashes and underscores separate groups and are left out.
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ALPHABETS = [
     DIGITS + LOWER[:6], DIGITS + UPPER[:6], UPPER + "234567", DIGITS + LOWER, DIGITS + UPPER, DIGITS + UPPER + LOWER, UPPER + LOWER + DIGITS + "+/", UPPER + LOWER + DIGITS + "-_",
 ]
-#: Lower ends of the length classes, each with its own threshold; thresholds of p tried; false discoveries allowed.
-LENGTHS, GRID, FALSE = (20, 32, 48, 64, 128), (0.001, 0.01, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5), 0.1
+CASED = 5
+#: Lower ends of the length classes. Of the tokens that are tested so large a share is ordinary, it is assumed; so large a
+#: share of what is found may be. Tokens that are simulated for a class; shares of random ones that may be given up.
+LENGTHS, ORDINARY, FALSE, TRIALS, GIVEN_UP = (20, 24, 28, 32, 40, 48, 64, 96, 128), 0.9, 0.1, 2000, (0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5)
+#: Letters of ordinary tokens by their frequency in English text, from the most frequent on.
+FREQUENCY = dict(zip("etaoinshrdlcumwfgypbvkjxqz", (12.7, 9.1, 8.2, 7.5, 7.0, 6.7, 6.3, 6.1, 6.0, 4.3, 4.0, 2.8, 2.8, 2.4, 2.4, 2.2, 2.0, 2.0, 1.9, 1.5, 1.0, 0.8, 0.2, 0.2, 0.1, 0.1), strict=True))
 
 
 def two_sided(z: Column) -> Column:
@@ -28,17 +35,26 @@ def two_sided(z: Column) -> Column:
     return F.least(F.lit(1.0), poly * F.exp(-x * x))
 
 
+def inferred(token: Column) -> Column:
+    """(body, code): what of a token is tested and the place of its alphabet; null where none has all its characters."""
+    body = F.regexp_replace(token, "=+$", "")
+    bare = F.regexp_replace(body, "[-_]", "")
+    ways = [(k, bare if k < CASED else body, a) for k, a in enumerate(ALPHABETS)]
+    return F.coalesce(*[F.when(x.rlike("^[" + a.replace("-", "\\-") + "]{20,}$"), F.struct(x.alias("body"), F.lit(k).alias("code"))) for k, x, a in ways])
+
+
 def battery(token: Column) -> Column:
-    """The least p of three tests that a token's characters are random over its alphabet, made even again; null without one.
+    """(code, n, s) of a token: its alphabet, how many characters are tested, and how unlike random ones they are; null
+    without an alphabet.
 
-    Chi-squared of the characters' counts against uniformity, the number of runs in the upper and lower half of the
-    alphabet, and the correlation of neighbours, each by its normal approximation.
+    s is minus the sum of the logarithms of three p: chi-squared of the characters' counts against uniformity, the number
+    of runs in the upper and lower half of the alphabet, and the correlation of neighbours, each by its normal approximation.
+    How large s may be is told by simulation, so the approximations need not be good.
     """
-    body = F.regexp_replace(token, "=+$", "")
-    alphabet = F.coalesce(*[F.when(body.rlike("^[" + a.replace("-", "\\-") + "]+$"), F.lit(a)) for a in ALPHABETS])
+    alphabets = F.array(*[F.lit(a) for a in ALPHABETS])
 
-    def tests(s: Column) -> Column:
-        body, alphabet = s["body"], s["alphabet"]
+    def tests(t: Column) -> Column:
+        body, alphabet = t["body"], F.get(alphabets, t["code"])
         n, k = F.length(body).cast("double"), F.length(alphabet).cast("double")
         chars = F.array_remove(F.split(body, "(?!^)"), "")  # the split ends with an empty one
         squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda t, c: t + F.pow(n - F.length(F.replace(body, c, F.lit(""))), F.lit(2.0)))
@@ -54,50 +70,94 @@ def battery(token: Column) -> Column:
             both = 2 * upper * (n - upper)
             z_runs = F.when((upper > 0) & (upper < n) & (both > n), (runs - both / n - 1) / F.sqrt(both * (both - n) / (n * n * (n - 1)))).otherwise(F.lit(9.0))
             z_serial = F.when(spread > 0, (joint / spread + 1 / n) * F.sqrt(n)).otherwise(F.lit(9.0))
-            return 1 - F.pow(1 - F.least(F.when(chi > 0, two_sided(chi) / 2).otherwise(1 - two_sided(chi) / 2), two_sided(z_runs), two_sided(z_serial)), F.lit(3.0))
+            ps = [F.when(chi > 0, two_sided(chi) / 2).otherwise(1 - two_sided(chi) / 2), two_sided(z_runs), two_sided(z_serial)]
+            return F.struct(t["code"].alias("code"), F.length(body).alias("n"), (-sum((F.ln(F.greatest(p, F.lit(1e-12))) for p in ps), F.lit(0.0))).alias("s"))
 
         return once(F.transform(chars, lambda c: F.instr(alphabet, c).cast("double")), ordered)
 
-    return F.when(alphabet.isNotNull(), once(F.struct(body.alias("body"), alphabet.alias("alphabet")), tests))
+    return once(inferred(token), lambda t: F.when(t.isNotNull(), tests(t)))
 
 
-def length_class(token: Column) -> Column:
-    return F.aggregate(F.array(*[F.lit(x) for x in LENGTHS]), F.lit(0), lambda t, x: F.when(F.length(token) >= x, x).otherwise(t))
-
-
-def thresholds(tokens: DataFrame) -> DataFrame:
-    """For each length class the least p in GRID from which on at most a share FALSE of the tokens are false discoveries.
-
-    Random tokens have evenly spread p, so twice those above a half are all random ones, and those among the tokens
-    above a threshold follow; the rest of them are false. One row for a length class: at most len(LENGTHS) rows.
+def _two_sided(z: np.ndarray) -> np.ndarray:
+    x = np.abs(z) / np.sqrt(2.0)
+    t = 1 / (1 + 0.3275911 * x)
+    return np.minimum(1.0, t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * np.exp(-x * x))
+
+
+def unlikeness(codes: np.ndarray, k: int) -> np.ndarray:
+    """s of battery() for tokens of one length: rows of places 1 to k in the alphabet."""
+    n = codes.shape[1]
+    squares = sum((codes == c).sum(axis=1).astype(float) ** 2 for c in range(1, k + 1))
+    chi = (squares * k / n - n - (k - 1)) / np.sqrt(2 * (k - 1) * (1 - 1 / n))
+    up = codes > k / 2
+    upper, runs = up.sum(axis=1).astype(float), 1.0 + (up[:, 1:] != up[:, :-1]).sum(axis=1)
+    apart = codes - codes.mean(axis=1, keepdims=True)
+    spread, joint, both = (apart**2).sum(axis=1), (apart[:, 1:] * apart[:, :-1]).sum(axis=1), 2 * upper * (n - upper)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        z_runs = np.where((upper > 0) & (upper < n) & (both > n), (runs - both / n - 1) / np.sqrt(both * (both - n) / (n * n * (n - 1))), 9.0)
+        z_serial = np.where(spread > 0, (joint / spread + 1 / n) * np.sqrt(n), 9.0)
+    ps = [np.where(chi > 0, _two_sided(chi) / 2, 1 - _two_sided(chi) / 2), _two_sided(z_runs), _two_sided(z_serial)]
+    return -sum(np.log(np.maximum(p, 1e-12)) for p in ps)
+
+
+def ordinary(alphabet: str, n: int, rng: np.random.Generator) -> np.ndarray:
+    """Places of TRIALS tokens that are made like names, half of them words with a number behind, half numbers with a word:
+    letters by their frequency in English, independent of each other, which is harder to tell from random ones than words are."""
+    letter = np.array([FREQUENCY.get(c.lower(), 0.0) * (0.1 if c in UPPER and LOWER[0] in alphabet else 1) for c in alphabet])
+    digit = np.array([float(c in DIGITS) for c in alphabet])
+    made = rng.choice(len(alphabet), (TRIALS, n), p=letter / letter.sum())
+    numbers = rng.choice(len(alphabet), (TRIALS, n), p=digit / digit.sum())
+    upto = np.where(np.arange(TRIALS) % 2, rng.integers(n // 2, n + 1, TRIALS), rng.integers(0, n // 5 + 1, TRIALS))
+    return np.where(np.arange(n) >= n - upto[:, None], numbers, made) + 1
+
+
+@lru_cache
+def bounds() -> list[list[float]]:
+    """The greatest s of a token that is found, for each alphabet and length class; -1 where none may be.
+
+    Random tokens and ordinary ones are simulated, with a fixed seed. The bound gives up the least share of the random ones
+    by which at most FALSE of what is found is ordinary, if ORDINARY of all tokens are. It is the same for every table,
+    so a verdict never depends on other rows.
     """
-    counts = [F.count(F.when(F.col("p") >= t, 1)).cast("double").alias(f"t{i}") for i, t in enumerate(GRID)]
-    per = tokens.groupBy("length_class").agg(*counts)
-    half = F.col(f"t{len(GRID) - 1}")
-    true = [2 * half * (1 - t) >= (1 - FALSE) * F.col(f"t{i}") for i, t in enumerate(GRID)]
-    least = F.coalesce(*[F.when(ok & (half > 0), F.lit(t)) for ok, t in zip(true, GRID, strict=True)])
-    return per.select(F.col("length_class").alias("of_class"), least.alias("least_p"))
+    rng, out = np.random.default_rng(3), []
+    for a in ALPHABETS:
+        row = []
+        for n in LENGTHS:
+            s = unlikeness(rng.integers(1, len(a) + 1, (TRIALS, n)), len(a))
+            other = unlikeness(ordinary(a, n, rng), len(a))
+            fine = -1.0
+            for lost in GIVEN_UP:
+                bound = float(np.quantile(s, 1 - lost))
+                false = ORDINARY * ((other <= bound).sum() + 1) / TRIALS
+                if false <= FALSE * (false + (1 - ORDINARY) * (1 - lost)):
+                    fine = round(bound, 6)
+                    break
+            row.append(fine)
+        out.append(row)
+    return out
+
+
+def looks_random(token: Column) -> Column:
+    """Whether a token with a letter passes the battery at its alphabet's and length class's bound."""
+    table = F.array(*[F.array(*[F.lit(x) for x in row]) for row in bounds()])
+    place = lambda t: F.aggregate(F.array(*[F.lit(x) for x in LENGTHS]), F.lit(-1), lambda k, x: F.when(t["n"] >= x, k + 1).otherwise(k))
+    passes = once(battery(token), lambda t: t["s"] <= F.get(F.get(table, t["code"]), place(t)))
+    return token.rlike("[A-Za-z]") & F.coalesce(passes, F.lit(False))
 
 
 def secrets(docs: DataFrame) -> DataFrame:
     """row, doc_id, kind, start, end of every secret of every whole text; kind is null for a text without any.
 
-    Base spans are kept as they are. A token of 20 characters or more with a letter and a digit whose characters pass
-    the battery at its length class's threshold is added as `random`, unless it shares a character with a base span.
-    Null texts are empty; empty tables give no rows; other columns are ignored.
+    Base spans are kept as they are. A token of 20 characters or more with a letter whose characters pass the battery is
+    added as `random`, unless it shares a character with a base span. Null texts are empty; empty tables give no rows;
+    rows that share a doc_id stay rows of their own; other columns are ignored.
     """
     m = found(docs, PATTERNS)
     drop = ((F.col("kind") == 0) & (F.length(F.regexp_extract("match", ASSIGN, 1)) < 6)) | ((F.col("kind") == 1) & (F.length("match") < 20))
-    drop |= (F.col("kind") == 3) & ~(F.col("match").rlike("[0-9]") & F.col("match").rlike("[A-Za-z]"))
     # a text whose every match is dropped keeps a row with null kind
-    kind = F.when(~F.coalesce(drop, F.lit(False)), F.col("kind"))
-    m = m.withColumn("kind", kind).withColumn("over", (F.col("kind") == 3) & overlaps_base(F.col("kind") < 3))
-    m = m.withColumn("kind", F.when(~F.coalesce("over", F.lit(False)), F.col("kind"))).drop("over")
-    m = written(m.withColumn("p", F.when(F.col("kind") == 3, battery(F.col("match")))).withColumn("length_class", F.when(F.col("kind") == 3, length_class(F.col("match")))), "secrets")
-    bound = thresholds(m.where("kind = 3"))
-    m = m.join(F.broadcast(bound), F.col("length_class") == F.col("of_class"), "left")
-    keep = (F.col("kind") < 3) | (F.col("p") >= F.col("least_p"))
-    return m.withColumn("kind", F.when(keep, F.col("kind"))).select("row", "doc_id", "kind", "start", "end", "p")
+    m = m.withColumn("kind", F.when(~F.coalesce(drop, F.lit(False)), F.col("kind"))).withColumn("over", overlaps_base(F.col("kind") < 3))
+    keep = (F.col("kind") < 3) | (~F.col("over") & looks_random(F.col("match")))
+    return m.select("row", "doc_id", F.when(keep, F.col("kind")).alias("kind"), "start", "end")
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -16,31 +16,34 @@ def once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _matches(number: int, pattern: str) -> Column:
-    """Matches of a pattern, with how many characters lie before each since the one before, and the last of them."""
+def _matches(number: int, pattern: str, after: bool) -> Column:
+    """Matches of a pattern, with how many characters lie before each since the one before, and the last of them; with
+    `after`, the first of those that follow it too."""
     found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-    item = F.struct(F.lit(number).alias("kind"), F.lit(0).alias("pos"), F.lit(0).alias("gap"), F.lit("").alias("match"), F.lit("").alias("before"))
+    item = F.struct(F.lit(number).alias("kind"), F.lit(0).alias("pos"), F.lit(0).alias("gap"), F.lit("").alias("match"), F.lit("").alias("before"), *([F.lit("").alias("after")] if after else []))
     none = F.filter(F.array(item), lambda x: F.lit(False))
 
     def placed(m: Column) -> Column:
-        gaps = F.slice(F.split("text", pattern, -1), F.lit(1), F.size(m))
-        zipped = F.zip_with(m, gaps, lambda x, g: F.struct(x.alias("match"), F.length(g).alias("gap"), F.right(g, F.lit(CONTEXT)).alias("before")))
-        return F.when(F.size(m) > 0, F.transform(zipped, lambda x, i: F.struct(F.lit(number).alias("kind"), i.alias("pos"), x["gap"].alias("gap"), x["match"].alias("match"), x["before"].alias("before")))).otherwise(none)
+        def listed(gaps: Column) -> Column:
+            more = lambda i: [F.left(F.get(gaps, i + 1), F.lit(CONTEXT)).alias("after")] if after else []
+            return F.transform(m, lambda x, i: F.struct(F.lit(number).alias("kind"), i.alias("pos"), F.length(F.get(gaps, i)).alias("gap"), x.alias("match"), F.right(F.get(gaps, i), F.lit(CONTEXT)).alias("before"), *more(i)))
+
+        return F.when(F.size(m) > 0, once(F.split("text", pattern, -1), listed)).otherwise(none)
 
     return once(found, placed)
 
 
-def found(docs: DataFrame, patterns: list[str], row: str | None = None) -> DataFrame:
-    """row, doc_id, kind (place in patterns), start, end, match, before: leftmost non-overlapping matches of each pattern.
+def found(docs: DataFrame, patterns: list[str], row: str | None = None, after: bool = False) -> DataFrame:
+    """row, doc_id, kind (place in patterns), start, end, match, before (and after, if wanted): leftmost non-overlapping matches of each pattern.
 
     Positions are in code points, the end exclusive. A null text is empty. Rows are told apart by `row` (a
     column of docs, or numbers made here), so repeated doc_ids do no harm. Matches are rare next to texts: only they are dealt out, never the texts.
     """
     d = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    every = F.flatten(F.array(*[_matches(k, p) for k, p in enumerate(patterns)]))
+    every = F.flatten(F.array(*[_matches(k, p, after) for k, p in enumerate(patterns)]))
     d = d.select(*KEYS, F.explode_outer(every).alias("m")).select(*KEYS, "m.*").repartition("row")
     before = F.sum(F.col("gap") + F.length("match")).over(Window.partitionBy("row", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    return d.withColumn("end", before).select(*KEYS, "kind", (F.col("end") - F.length("match")).alias("start"), "end", "match", "before")
+    return d.withColumn("end", before).select(*KEYS, "kind", (F.col("end") - F.length("match")).alias("start"), "end", "match", "before", *(["after"] if after else []))
 
 
 def overlaps_base(is_base: Column) -> Column:

@@ -85,24 +85,27 @@ def randomness() -> str:
     patterns = [assign, "AKIA[A-Z0-9]+", "[0-9a-f]{24,}", "[A-Za-z0-9+/_-]{20,}={0,2}"]
     found = " UNION ALL ".join(_placed(k, n, p) for k, (n, p) in enumerate(zip(own.KINDS, patterns, strict=True)))
     group = assign.replace("'", "''")
-    alphabet = "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(body, '^[{a.replace('-', chr(92) + '-')}]+$') THEN '{a}' END" for a in own.ALPHABETS) + ")"
-    length_class = "CASE " + " ".join(f"WHEN length(m) >= {n} THEN {n}" for n in reversed(own.LENGTHS)) + " ELSE 0 END"
-    half = f"count(*) FILTER (p >= {own.GRID[-1]})"
-    least = "coalesce(" + ", ".join(f"CASE WHEN {half} > 0 AND 2 * {half} * (1 - {t}::DOUBLE) >= (1 - {own.FALSE}::DOUBLE) * count(*) FILTER (p >= {t}::DOUBLE) THEN {t}::DOUBLE END" for t in own.GRID) + ")"
+    ways = [("bare" if k < own.CASED else "body", k, a.replace("-", chr(92) + "-")) for k, a in enumerate(own.ALPHABETS)]
+    coded = "coalesce(" + ", ".join(f"CASE WHEN regexp_matches({x}, '^[{a}]{{20,}}$') THEN {{{{'x': {x}, 'code': {k}}}}} END" for x, k, a in ways) + ")"
+    coded = coded.replace("{{", "{").replace("}}", "}")
+    place = "CASE " + " ".join(f"WHEN n >= {n} THEN {i}" for i, n in reversed(list(enumerate(own.LENGTHS, 1)))) + " END"
+    table = "[" + ", ".join("[" + ", ".join(f"{x}::DOUBLE" for x in row) + "]" for row in own.bounds()) + "]"
+    alphabets = "[" + ", ".join(f"'{a}'" for a in own.ALPHABETS) + "]"
+    log = lambda p: f"ln(greatest({p}, 1e-12::DOUBLE))"
     said = "string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind)"
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), found AS ({found}), spans AS (SELECT *, e - length(m) AS s FROM found),
 base AS (SELECT * FROM spans WHERE kind = 0 AND length(regexp_extract(m, '{group}', 1)) >= 6 OR kind = 1 AND length(m) >= 20 OR kind = 2),
-token AS (SELECT row_number() OVER () AS id, * FROM spans t WHERE kind = 3 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = t.doc_id AND b.s < t.e AND t.s < b.e)),
-body AS (SELECT id, m, regexp_replace(m, '=+$', '') AS body FROM token), coded AS (SELECT id, m, body, {alphabet} AS alphabet, length(body)::DOUBLE AS n FROM body),
-chars AS (SELECT id, alphabet, n, unnest(string_split(body, '')) AS c, generate_subscripts(string_split(body, ''), 1) AS i FROM coded WHERE alphabet IS NOT NULL),
-code AS (SELECT id, n, length(alphabet)::DOUBLE AS k, i, c, instr(alphabet, c)::DOUBLE AS x, avg(instr(alphabet, c)::DOUBLE) OVER (PARTITION BY id) AS mean FROM chars),
-pair AS (SELECT *, lead(x) OVER (PARTITION BY id ORDER BY i) AS y FROM code), sq AS (SELECT id, sum(q) AS squares FROM (SELECT id, c, count(*)::DOUBLE ** 2 AS q FROM chars GROUP BY id, c) GROUP BY id),
-sums AS (SELECT id, n, k, squares, sum((x > k / 2)::INT)::DOUBLE AS up, 1 + sum(((x > k / 2) <> (y > k / 2))::INT)::DOUBLE AS runs, sum((x - mean) ** 2) AS spread, sum((x - mean) * (y - mean)) AS joint FROM pair JOIN sq USING (id) GROUP BY ALL),
-z AS (SELECT id, (squares * k / n - n - (k - 1)) / sqrt(2 * (k - 1) * (1 - 1 / n)) AS chi, CASE WHEN up > 0 AND up < n AND 2 * up * (n - up) > n THEN (runs - 2 * up * (n - up) / n - 1) / sqrt(2 * up * (n - up) * (2 * up * (n - up) - n) / (n * n * (n - 1))) ELSE 9 END AS r, CASE WHEN spread > 0 THEN (joint / spread + 1 / n) * sqrt(n) ELSE 9 END AS c FROM sums),
-ps AS (SELECT id, 1 - (1 - least(CASE WHEN chi > 0 THEN {_tail("chi")} / 2 ELSE 1 - {_tail("chi")} / 2 END, {_tail("r")}, {_tail("c")})) ** 3 AS p FROM z),
-tested AS (SELECT token.*, p, {length_class} AS c FROM token LEFT JOIN ps USING (id)), bounds AS (SELECT c, {least} AS least_p FROM tested GROUP BY c),
-every AS (SELECT doc_id, kind, name, s, e FROM base UNION ALL SELECT doc_id, kind, name, s, e FROM tested JOIN bounds USING (c) WHERE p >= least_p)
+token AS (SELECT row_number() OVER () AS id, * FROM spans t WHERE kind = 3 AND regexp_matches(m, '[A-Za-z]') AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = t.doc_id AND b.s < t.e AND t.s < b.e)),
+body AS (SELECT id, regexp_replace(m, '=+$', '') AS body, regexp_replace(regexp_replace(m, '=+$', ''), '[-_]', '', 'g') AS bare FROM token), coded AS (SELECT id, {coded} AS w FROM body),
+coded_as AS (SELECT id, w.x AS x, w.code AS code, {alphabets}[w.code + 1] AS alphabet, length(w.x)::DOUBLE AS n FROM coded WHERE w IS NOT NULL),
+chars AS (SELECT id, code, alphabet, n, unnest(string_split(x, '')) AS c, generate_subscripts(string_split(x, ''), 1) AS i FROM coded_as),
+place AS (SELECT id, code, n, length(alphabet)::DOUBLE AS k, i, c, instr(alphabet, c)::DOUBLE AS x, avg(instr(alphabet, c)::DOUBLE) OVER (PARTITION BY id) AS mean FROM chars),
+pair AS (SELECT *, lead(x) OVER (PARTITION BY id ORDER BY i) AS y FROM place), sq AS (SELECT id, sum(q) AS squares FROM (SELECT id, c, count(*)::DOUBLE ** 2 AS q FROM chars GROUP BY id, c) GROUP BY id),
+sums AS (SELECT id, code, n, k, squares, sum((x > k / 2)::INT)::DOUBLE AS up, 1 + sum(((x > k / 2) <> (y > k / 2))::INT)::DOUBLE AS runs, sum((x - mean) ** 2) AS spread, sum((x - mean) * (y - mean)) AS joint FROM pair JOIN sq USING (id) GROUP BY ALL),
+z AS (SELECT id, code, n, (squares * k / n - n - (k - 1)) / sqrt(2 * (k - 1) * (1 - 1 / n)) AS chi, CASE WHEN up > 0 AND up < n AND 2 * up * (n - up) > n THEN (runs - 2 * up * (n - up) / n - 1) / sqrt(2 * up * (n - up) * (2 * up * (n - up) - n) / (n * n * (n - 1))) ELSE 9 END AS r, CASE WHEN spread > 0 THEN (joint / spread + 1 / n) * sqrt(n) ELSE 9 END AS c FROM sums),
+passed AS (SELECT id FROM z WHERE -({log(f"CASE WHEN chi > 0 THEN {_tail('chi')} / 2 ELSE 1 - {_tail('chi')} / 2 END")} + {log(_tail("r"))} + {log(_tail("c"))}) <= {table}[code + 1][{place}]),
+every AS (SELECT doc_id, kind, name, s, e FROM base UNION ALL SELECT doc_id, kind, name, s, e FROM token JOIN passed USING (id))
 SELECT doc_id, count(name) FILTER (kind = 0) AS n_assign, count(name) FILTER (kind = 1) AS n_access, count(name) FILTER (kind = 2) AS n_hex,
 sha256(coalesce({said} FILTER (kind < 3), '')) AS base_sha256, coalesce({said}, '') AS spans FROM d LEFT JOIN every USING (doc_id) GROUP BY doc_id
 """
