@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import sampled, written
 
 
+#: Queries that are compared at once, and the most parts.
+TILE, MOST_PARTS = 512, 1024
+
+
 def neighbours(x: np.ndarray, k: int) -> np.ndarray:
     """The k nearest others of each row by inner product, in blocks of rows."""
     k = min(k, len(x) - 1)
@@ -104,27 +108,45 @@ class Router:
 
 
 def fit(sample: np.ndarray, parts: int, graph_k: int = 10, k: int = 20, recall: float = 0.95, seed: int = 7) -> Router:
-    """A router from sample rows. Probes: the fewest by which tenth rows of the sample find `recall` of their k nearest."""
+    """A router from sample rows, all but a tenth, which the graph and the network never see. Probes: the fewest by which
+    that tenth find `recall` of their k nearest among all rows."""
     rng = np.random.default_rng(seed)
-    x = (sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-30)).astype(np.float64)
+    unit = (sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-30)).astype(np.float64)
+    held = np.arange(len(sample)) % 10 == 0
+    x = unit[~held]
     parts = max(1, min(parts, len(x) // 8))
     if parts == 1:
-        return Router([np.zeros((x.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)], 1, 1)
+        return Router([np.zeros((sample.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)], 1, 1)
     graph = neighbours(x, graph_k)
     part = balanced_parts(x, graph, parts, rng)
     target = np.zeros((len(x), parts))
     np.add.at(target, (np.repeat(np.arange(len(x)), graph.shape[1]), part[graph.ravel()]), 1)
     target[np.arange(len(x)), part] += 1
     router = Router(train_router(x, target / target.sum(axis=1, keepdims=True), rng), parts, parts)
-    near, home = neighbours(sample, k)[::10], router.ranked(sample, 1)[:, 0]
-    order = router.ranked(sample[::10], parts)
-    place = np.argsort(order, axis=1)  # how many probes reach a part
+    home, asked = router.ranked(sample, 1)[:, 0], np.flatnonzero(held)
+    s = sample[asked] @ sample.T
+    s[np.arange(len(asked)), asked] = -np.inf
+    k = min(k, len(sample) - 1)
+    near = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    place = np.argsort(router.ranked(sample[asked], parts), axis=1)  # how many probes reach a part
     reached = place[np.arange(len(near))[:, None], home[near]]
     share = [(reached < p).mean() for p in range(1, parts + 1)]
     router.probes = next((p for p, s in enumerate(share, 1) if s >= recall), parts)
     return router
 
 
+def single(vectors: DataFrame) -> DataFrame:
+    """One row for a vec_id: of several, the one whose vector is the least, component by component.
+
+    Only ids are counted; vectors move only where an id is repeated.
+    """
+    repeated = written(vectors.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select("vec_id"), "repeated")
+    if repeated.isEmpty():
+        return vectors
+    least = vectors.join(repeated, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("v").alias("v"))
+    return vectors.join(repeated, "vec_id", "left_anti").unionByName(least)
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and v (array of double): vectors without null or non-finite components that are not all zero."""
     v = F.transform("embedding", lambda x: x.cast("double"))
@@ -143,6 +165,9 @@ def nearest(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
     A matrix product finds those that may be among the k; their scores are then summed component by component in one
     order, so equal vectors have equal scores wherever they stand.
     """
+    if len(q) > TILE:
+        found = [nearest(q_ids[i : i + TILE], q[i : i + TILE], c_ids, c, k) for i in range(0, len(q), TILE)]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
     s = q @ c.T
     s[q_ids[:, None] == c_ids[None, :]] = -np.inf
     n = min(k, len(c_ids))
@@ -159,16 +184,20 @@ def nearest(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
     return q_ids[row[keep]], c_ids[col[keep]], score[keep]
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, parts: int = 48, sample: int = 8192, block: int = 4096, query_block: int = 1024) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = 20, parts: int = 48, part_rows: int = 8192, sample: int = 8192, block: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: for rows whose vec_id is divisible by `every`, the k nearest found.
 
-    The router is fitted on at most `sample` vectors, those with the least hashes of their ids; every vector is filed.
-    Parts are cut into blocks of about `block` vectors and `query_block` queries, so a part that holds a third of all
-    vectors is many tasks. Vectors that are null, zero, hold null or non-finite components or differ in length from most
-    of the sample take no part. Rows that share a vec_id are one vector's; no vectors give no rows.
+    There is a part for every `part_rows` vectors, `parts` at least and MOST_PARTS at most. The router is fitted on at most
+    `sample` vectors, or 32 for each part, those with the least hashes of their ids; every vector is filed. What looks into
+    a part is compared with it in blocks of at most `block` vectors and as many queries, so a part that holds a third of all
+    vectors is many tasks, and up to `block` queries a part no vector is copied. Vectors that are null, zero, hold null
+    or non-finite components or differ in length from most of the sample take no part. Rows that share a vec_id are one
+    vector, see single(); other columns are ignored; no vectors give no rows.
     """
-    good = usable(vectors)
-    rows = sampled(good, F.col("vec_id"), vectors.count(), sample).collect()
+    good = single(usable(vectors))
+    total = vectors.count()
+    parts = max(parts, min(MOST_PARTS, total // part_rows))
+    rows = sampled(good, F.col("vec_id"), total, max(sample, 32 * parts)).collect()
     length = max((sizes := [len(r["v"]) for r in rows]), key=sizes.count, default=0)
     chosen = np.array([r["v"] for r in rows if len(r["v"]) == length], dtype=np.float64).reshape(-1, max(length, 1))
     spark = vectors.sparkSession
@@ -191,7 +220,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, parts: int = 48, sa
     n_of = {r["part"]: r["n"] for r in filed.groupBy("part").agg(F.count("*").alias("n")).collect()}
     q_of = {r["part"]: r["n"] for r in filed.select(F.explode("probes").alias("part")).groupBy("part").agg(F.count("*").alias("n")).collect()}
     blocks = F.array(*[F.lit(-(-n_of.get(p, 0) // block)) for p in range(router.parts)])
-    q_blocks = F.array(*[F.lit(-(-q_of.get(p, 0) // query_block)) for p in range(router.parts)])
+    q_blocks = F.array(*[F.lit(-(-q_of.get(p, 0) // block)) for p in range(router.parts)])
     nb, nq = F.get(blocks, F.col("part")), F.get(q_blocks, F.col("part"))
 
     def upto(n):

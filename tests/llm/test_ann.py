@@ -40,13 +40,39 @@ def test_ties_and_bad_vectors(spark, block):
     rows = [(i, [1.0, 0.5, 0.25]) for i in range(60)] + [(100, [0.0, 0.0, 0.0]), (101, None), (102, [1.0, None, 0.0]), (120, [float("nan"), 1.0, 1.0]), (140, [1.0, 2.0]), (160, [3.0, -1.0, 1.0]), (None, [1.0, 1.0, 1.0])]
     vectors = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<float>, label int, part string")
     got = {}
-    for r in sorted(ann.search(vectors, block=block, query_block=2).collect()):
+    for r in sorted(ann.search(vectors, block=block).collect()):
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert got == exact([r for r in rows if r[0] != 140])
     assert ann.search(vectors.limit(0)).collect() == []
     assert ann.search(vectors.where("vec_id = 0")).collect() == []
 
 
+def test_rows_that_share_an_id_are_one_vector(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(90)]
+    other = [(i, [x + 1 for x in v]) for i, v in rows[:40]]
+    vectors = spark.createDataFrame([r for r in rows + rows[:50] + other for _ in range(2)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in sorted(ann.search(vectors, parts=1).collect()):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    least = {}
+    for i, v in vectors.collect():
+        least[i] = min(least.get(i, tuple(v)), tuple(v))
+    assert got == {q: [i for i, _ in f] for q, f in exact(list(least.items())).items()}
+
+
+def test_recall_outside_the_sample(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    want = exact([tuple(r) for r in vectors.select("vec_id", "embedding").collect()])
+    seen = {r.vec_id for r in ann.sampled(ann.usable(vectors), vectors["vec_id"], 2000, 512).collect()}
+    got = {}
+    for r in ann.search(vectors, parts=16, sample=512).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    outside = [q for q in want if q not in seen]
+    assert len(outside) > 50
+    assert sum(len({i for i, _ in want[q]} & got[q]) for q in outside) >= 0.9 * 20 * len(outside)
+
+
 def test_parts_are_balanced():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 8))
