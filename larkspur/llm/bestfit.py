@@ -60,7 +60,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048, ope
 
     Each task encodes the texts that it reads (null: empty), adds end_id, cuts what is longer than `size` and puts the
     pieces as they come into its own open bins. The pieces of bins still open at its end go through a second round: those
-    of about `group` bins, taken from all tasks, are packed by best fit again, the longest first, and stay as they were
+    of about `group` bins, taken from all tasks, come to as many open bins again, the longest first, and stay as they were
     where that takes no fewer bins. So neither round has a task that grows with the input. Rows with the same doc_id stay rows of their own,
     a null doc_id stays null, other columns are ignored, no documents give no rows.
     """
@@ -99,7 +99,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048, ope
     def again(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "own", "offset"], ascending=[False, True, True]).reset_index(drop=True)
         bins = sorted(rows["own"].unique())
-        fit = BestFit(size, len(rows))
+        fit = BestFit(size, open_bins)
         placed = [fit.put(int(n)) for n in rows["length"]]
         if fit.made < len(bins):
             rows["own"], rows["offset"] = [bins[b] for b, _ in placed], [o for _, o in placed]

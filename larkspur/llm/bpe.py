@@ -30,33 +30,60 @@ def boundaries(text: str, match) -> np.ndarray:
     return np.array([e for m in match(text) if not text[(e := m.end()) - 1].isspace()], dtype=np.int32)
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, chunk: int = 1 << 16, overlap: int = 1 << 10) -> DataFrame:
+def agreed(own: np.ndarray, following: np.ndarray, start: int, overlap: int) -> int | None:
+    """The first pre-token end that a chunk and the next one, which begins at `start`, both have in the stretch they share
+    (bar its last characters, where a pre-token may be cut off); null without one."""
+    shared = np.intersect1d(own[own > start], following, assume_unique=True)
+    return int(shared[0]) if len(shared) and shared[0] < start + overlap - 8 else None
+
+
+def stitched(text: str, match, chunk: int, overlap: int) -> list[str]:
+    """The pieces of a text: chunks, each with the first `overlap` characters of what follows, are cut into pre-tokens on
+    their own, and neighbours are cut apart where they agree. Those that have no such end stay one piece."""
+    if len(text) <= chunk:
+        return [text]
+    starts = range(0, len(text), chunk)
+    ends = [boundaries(text[s : s + chunk + overlap], match) + s for s in starts]
+    cuts = [agreed(a, b, s, overlap) for a, b, s in zip(ends, ends[1:], starts[1:], strict=False)]
+    at = [0, *[c for c in cuts if c is not None], len(text)]
+    return [text[a:b] for a, b in zip(at, at[1:], strict=False) if a < b]
+
+
+def encode(docs: DataFrame, ranks: str, pattern: str, chunk: int = 1 << 12, overlap: int = 1 << 8, slab: int = 1 << 18) -> DataFrame:
     """The ids of every whole text (null: empty), as (doc_id, pieces array of binary little-endian uint32 ids).
 
-    A text of up to `chunk` characters is one chunk and is encoded where it is read. A longer one is cut into chunks of
-    `chunk` characters, each with the first `overlap` characters of what follows; they are dealt out to tasks and each
-    finds its own pre-tokens. Two neighbours agree from the first pre-token end on that both of them found in their
-    common stretch (bar its last characters, where a pre-token may be cut off). There the texts are cut and the pieces
-    encoded. Where neighbours have no such end - a pre-token longer than the overlap - they form one piece.
-    Rows with the same doc_id stay rows of their own. Other columns are ignored.
+    Every text above `chunk` characters goes through stitched(): its chunks find their own pre-tokens, the text is cut where
+    neighbours resynchronise, and the pieces are encoded. Texts of up to `slab` characters are chunked in the task that
+    reads them. A longer one is cut into slabs with the same overlap, which are dealt out to tasks, find their own
+    pre-tokens and are stitched in the same way by a window over the text's slabs; the pieces that come of it are
+    dealt out again, and chunked where they are encoded. Where neighbours have no common end - a pre-token longer than the
+    overlap - they form one piece. Rows with the same doc_id stay rows of their own; an empty table gives no rows; other
+    columns are ignored.
     """
     small_batches(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
+    def encoder():
+        import regex
+
+        enc, match = encoding(ranks, pattern), regex.compile(pattern).finditer
+        return lambda text: [np.array(enc.encode_ordinary(x), dtype="<u4").tobytes() for x in stitched(text, match, chunk, overlap)]
+
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(ranks, pattern)
+        ids = encoder()
         for batch in slices(batches):
-            ids = [[np.array(enc.encode_ordinary(x), dtype="<u4").tobytes()] for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.binary()))], ["doc_id", "pieces"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(ids, batch.column(1).to_pylist())), pa.list_(pa.binary()))], ["doc_id", "pieces"])
 
-    short = keyed.where(F.length("text") <= chunk).mapInArrow(whole, "doc_id long, pieces array<binary>")
+    short = keyed.where(F.length("text") <= slab).mapInArrow(whole, "doc_id long, pieces array<binary>")
 
-    n = F.length("text")
-    cut = (
-        keyed.where(n > chunk).withColumn("row", F.monotonically_increasing_id())
-        .select("row", "doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), (n - 1).cast("long"), F.lit(chunk).cast("long")), lambda s: F.col("text").substr((s + 1).cast("int"), F.lit(chunk + overlap)))).alias("part", "text"))
-        .repartition("row", "part")
-    )
+    def slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, most=1 << 20):
+            for row, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for part, at in enumerate(range(0, len(text), slab)):
+                    yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array([doc], pa.int64()), pa.array([part], pa.int32()), pa.array([text[at : at + slab + overlap]])], ["row", "doc_id", "part", "text"])
+
+    long = keyed.where(F.length("text") > slab).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    cut = long.mapInArrow(slabs, "row long, doc_id long, part int, text string").repartition("row", "part")
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -65,34 +92,33 @@ def encode(docs: DataFrame, ranks: str, pattern: str, chunk: int = 1 << 16, over
         for batch in slices(batches, most=1 << 20):
             found = [boundaries(x, match) for x in batch.column(3).to_pylist()]
             head = [[x for x in f[f < overlap - 8].tolist()] for f in found]
-            tail = [[x - chunk for x in f[(f >= chunk) & (f < chunk + overlap - 8)].tolist()] for f in found]
+            tail = [[x - slab for x in f[(f > slab) & (f < slab + overlap - 8)].tolist()] for f in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(head, pa.list_(pa.int32())), pa.array(tail, pa.list_(pa.int32()))], [*batch.schema.names, "head", "tail"])
 
     found = cut.mapInArrow(ends, "row long, doc_id long, part int, text string, head array<int>, tail array<int>")
     w = Window.partitionBy("row").orderBy("part")
     sync = F.array_min(F.array_intersect(F.lag("tail").over(w), F.col("head")))  # in characters of this chunk
-    stitched = found.withColumn("first", sync).withColumn("next", F.lead("first").over(w)).withColumn("has_next", F.lead("part").over(w).isNotNull())
+    cuts = found.withColumn("first", sync).withColumn("next", F.lead("first").over(w)).withColumn("has_next", F.lead("part").over(w).isNotNull())
     # a chunk's own text: from its own cut to the next one's; without a cut the piece goes on
     own = F.when(F.col("part") == 0, 0).otherwise(F.coalesce("first", F.lit(0)))
-    upto = F.when(~F.col("has_next"), F.length("text")).otherwise(F.lit(chunk) + F.coalesce("next", F.lit(0)))
+    upto = F.when(~F.col("has_next"), F.length("text")).otherwise(F.lit(slab) + F.coalesce("next", F.lit(0)))
     pieces = (
-        stitched.withColumn("piece", F.sum(F.when((F.col("part") == 0) | F.col("first").isNotNull(), 1).otherwise(0)).over(w))
+        cuts.withColumn("piece", F.sum(F.when((F.col("part") == 0) | F.col("first").isNotNull(), 1).otherwise(0)).over(w))
         .select("row", "doc_id", "part", "piece", F.col("text").substr(own + 1, upto - own).alias("text"))
         .groupBy("row", "doc_id", "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), "").alias("text"))
     )
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(ranks, pattern)
+        ids = encoder()
         for batch in slices(batches):
-            ids = [np.array(enc.encode_ordinary(x), dtype="<u4").tobytes() for x in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.binary())], ["row", "doc_id", "piece", "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([b"".join(ids(x)) for x in batch.column(3).to_pylist()], pa.binary())], ["row", "doc_id", "piece", "ids"])
 
-    long = (
+    joined = (
         pieces.mapInArrow(encoded, "row long, doc_id long, piece long, ids binary")
         .groupBy("row", "doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("piece", "ids"))), lambda x: x["ids"]).alias("pieces"))
         .select("doc_id", "pieces")
     )
-    return short.unionByName(long)
+    return short.unionByName(joined)
 
 
 def digests(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:

@@ -48,12 +48,12 @@ def test_packed_file_of_nothing(spark):
     assert packbits.read_packed(packbits.write_packed(docs, public_tokenizers.path("byte_bpe_50k.json"), 2)).collect() == []
 
 
-@pytest.mark.parametrize(("chunk", "overlap"), [(1 << 16, 1 << 10), (100, 30), (20, 12)])
+@pytest.mark.parametrize(("chunk", "overlap", "slab"), [(1 << 12, 1 << 8, 1 << 18), (100, 30, 300), (20, 12, 20)])
 @pytest.mark.parametrize("made", [odd_docs, sample_docs])
-def test_chunks_against_library(spark, made, chunk, overlap):
+def test_chunks_against_library(spark, made, chunk, overlap, slab):
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = made(spark).repartition(2)
-    got = sorted(map(tuple, bpe.digests(bpe.encode(docs, ranks, public_tokenizers.PATTERN, chunk, overlap), ranks, public_tokenizers.PATTERN).collect()))
+    got = sorted(map(tuple, bpe.digests(bpe.encode(docs, ranks, public_tokenizers.PATTERN, chunk, overlap, slab), ranks, public_tokenizers.PATTERN).collect()))
     enc, want = bpe.encoding(ranks, public_tokenizers.PATTERN), []
     for r in docs.select("doc_id", "text").collect():
         ids = enc.encode_ordinary(r.text or "")
@@ -65,11 +65,23 @@ def test_chunks_without_a_common_end(spark):
     texts = ["a" * 500, "ab " * 3 + "x" * 300 + " tail of it", " " * 400 + "z", "12'll" * 90, "é" * 333 + "\n\n\n" * 50]
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = odd_docs(spark, texts)
-    got = sorted(map(tuple, bpe.digests(bpe.encode(docs, ranks, public_tokenizers.PATTERN, 50, 20), ranks, public_tokenizers.PATTERN).collect()))
+    got = sorted(map(tuple, bpe.digests(bpe.encode(docs, ranks, public_tokenizers.PATTERN, 50, 20, 150), ranks, public_tokenizers.PATTERN).collect()))
     enc = bpe.encoding(ranks, public_tokenizers.PATTERN)
     assert [g[2] for g in got] == [hashlib.sha256(u4(enc.encode_ordinary(t))).hexdigest() for t in texts]
 
 
+def test_most_of_long_texts_goes_through_stitching(spark):
+    import regex
+
+    match = regex.compile(public_tokenizers.PATTERN).finditer
+    texts = [r.text or "" for r in sample_docs(spark).collect()]
+    pieces = [bpe.stitched(t, match, 1 << 12, 1 << 8) for t in texts]
+    assert ["".join(p) for p in pieces] == texts
+    long = [(t, p) for t, p in zip(texts, pieces, strict=True) if len(t) > 1 << 12]
+    assert sum(len(t) for t, _ in long) > 0.5 * sum(map(len, texts))
+    assert all(len(p) >= len(t) // (1 << 12) for t, p in long)
+
+
 @pytest.mark.parametrize("made", [odd_docs, sample_docs])
 def test_pieces_fill_sequences(spark, made):
     docs = made(spark).repartition(3)
