@@ -9,16 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import slices, small_batches, split_words, written
+from larkspur.llm.common import hot_join, slices, small_batches, split_words, written
 from larkspur.llm.components import components
 
-#: Places of the two permutations, bands, coordinates of a band. A pair of similarity 0.75 shares none of 56 bands of 4
-#: with a probability of (1 - 0.75 ** 4) ** 56 = 6e-10, and fewer than two of them with 1.6e-8.
-PLACES, BANDS, ROWS = 1 << 20, 56, 4
+#: Places of the two permutations, bands, coordinates of a band. With independent coordinates a pair of similarity 0.75
+#: would share none of 48 bands of 4 with a probability of (1 - 0.75 ** 4) ** 48 = 1e-8, and fewer than two with 3e-7.
+PLACES, BANDS, ROWS = 1 << 20, 48, 4
 #: Hubs that a member is compared with, those it shares most buckets with; other links are found across components.
 HUBS = 6
-#: So many ids at most are broadcast, 8 bytes each; above, the join is dealt out.
+#: So many ids, or hashes with their counts, at most are broadcast, 8 or 16 bytes each; above, the join is dealt out.
 BROADCAST_IDS = 2_000_000
+#: A hash that fewer sets have is rare: what is compared for it needs no order.
+FREQUENT = 8
 M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -144,28 +146,42 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
-def prefixes(sets: DataFrame, percent: int, sample: int = 4096) -> DataFrame:
+def frequencies(sets: DataFrame) -> DataFrame:
+    """(h, c): how many of all sets have a hash, for those that FREQUENT or more have. Counted by batch, then added up."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                h, c = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c.astype(np.int32))], ["h", "c"])
+
+    return sets.select("set").mapInArrow(count, "h long, c int").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT)
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """(id, n, left, before, h): of every set the hashes of which two sets that are to be linked must share one.
 
     left: how many hashes of the set there are from this one on, itself included. before: the hash before it, or null.
 
-    All sets are put in one order, hashes that are frequent last; two sets with 100 * intersection >= percent * union
-    then share one of the first n - ceil(percent * n / 100) + 1 of each. Any order is right; which hashes are frequent
-    is therefore taken from about `sample` sets.
+    All sets are put in one order, by the number of sets that have a hash, the most frequent last; two sets with
+    100 * intersection >= percent * union then share one of the first n - ceil(percent * n / 100) + 1 of each. The
+    counts are broadcast up to BROADCAST_IDS of them; more are met in a join by hash.
     """
-    step = max(1, sets.count() // sample)
-    some = [np.frombuffer(r[0], np.uint64) for r in sets.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select("set").collect()]
-    names, counts = np.unique(np.concatenate(some), return_counts=True) if some else (np.empty(0, np.uint64), np.empty(0, np.int64))
-    often = counts > 2
-    names, counts = names[often], counts[often].astype(np.int32)
+    often = written(frequencies(sets), "frequencies")
+    if often.count() > BROADCAST_IDS:
+        return _prefixes_by_join(sets, often, percent)
+    table = often.toArrow().sort_by("h")
+    names, counts = table["h"].to_numpy(), table["c"].to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast((names, counts))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, counts = shared.value
         for batch in batches:
             ids, sizes, left, heads, previous = [], [], [], [], []
             for i, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.frombuffer(raw.as_buffer(), np.uint64)
+                own = np.frombuffer(raw.as_buffer(), np.int64)
                 n = len(own)
-                rank = np.zeros(n, np.int32)
+                rank = np.zeros(n, np.int64)
                 if len(names):
                     at = np.minimum(np.searchsorted(names, own), len(names) - 1)
                     rank = np.where(names[at] == own, counts[at], 0)
@@ -173,8 +189,8 @@ def prefixes(sets: DataFrame, percent: int, sample: int = 4096) -> DataFrame:
                 ids.append(np.full(len(first), i))
                 sizes.append(np.full(len(first), n))
                 left.append(n - np.arange(len(first)))
-                heads.append(first.view(np.int64))
-                previous.append(np.concatenate([[0], heads[-1][:-1]]))
+                heads.append(first)
+                previous.append(np.concatenate([[0], first[:-1]]))
             if ids:
                 at = np.concatenate([np.arange(len(x)) for x in heads])
                 columns = [pa.array(np.concatenate(x).astype(np.int64)) for x in (ids, sizes, left)]
@@ -184,6 +200,21 @@ def prefixes(sets: DataFrame, percent: int, sample: int = 4096) -> DataFrame:
     return sets.select("id", "set").mapInArrow(cut, "id long, n long, left long, before long, h long")
 
 
+def _prefixes_by_join(sets: DataFrame, often: DataFrame, percent: int) -> DataFrame:
+    """prefixes() where the counts are too many to broadcast: every hash meets its count, then a set is put in order."""
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)], pa.list_(pa.int64()))], ["id", "hs"])
+
+    every = written(sets.select("id", "set").mapInArrow(apart, "id long, hs array<long>").select("id", F.explode("hs").alias("h")), "hashes")
+    ranked = hot_join(every, often, "h").select("id", F.struct(F.coalesce("c", F.lit(0).cast("long")).alias("c"), "h").alias("x"))
+    ordered = ranked.groupBy("id").agg(F.array_sort(F.collect_list("x")).alias("hs")).withColumn("n", F.size("hs").cast("long"))
+    first = F.slice("hs", F.lit(1), (F.col("n") - F.ceil(percent * F.col("n") / 100) + 1).cast("int"))
+    dealt = ordered.select("id", "n", F.col("hs").alias("every"), F.posexplode(first).alias("at", "x"))
+    return dealt.select("id", "n", (F.col("n") - F.col("at")).alias("left"), F.get("every", F.col("at") - 1)["h"].alias("before"), F.col("x.h").alias("h"))
+
+
 def between(heads: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b), a > b, of different components that may be linked by their sizes and the first hash they share.
 
