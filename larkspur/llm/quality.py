@@ -31,30 +31,35 @@ def repeated_words(word: Column) -> Column:
     """How many of the words lie in a 3-word window that the array holds twice or more.
 
     Each window is a long: its hash in the upper bits, its place in as few lower ones as hold it. Sorted, equal windows
-    are neighbours; the places of those that have an equal neighbour, sorted, tell how many words they cover.
+    are neighbours; where those upper bits are equal the whole hashes are compared. The places of windows that have an equal
+    neighbour, sorted, tell how many words they cover.
     """
     n = F.size(word)
     bits = F.length(F.bin(n))
     hashes = F.transform(word, lambda w: F.xxhash64(w))
 
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - F.lit(1)
+
+    def window(hs: Column, i: Column) -> Column:
+        return F.xxhash64(F.get(hs, i), F.get(hs, i + 1), F.get(hs, i + 2))
+
     def key(hs: Column) -> Column:
-        return F.sort_array(
-            F.transform(F.sequence(F.lit(0), F.size(hs) - 3), lambda i: F.call_function("shiftleft", F.xxhash64(F.get(hs, i), F.get(hs, i + 1), F.get(hs, i + 2)), bits).bitwiseOR(i.cast("long")))
-        )
+        return F.sort_array(F.transform(F.sequence(F.lit(0), F.size(hs) - 3), lambda i: F.call_function("shiftleft", window(hs, i), bits).bitwiseOR(i.cast("long"))))
 
-    def same(a: Column, b: Column) -> Column:
-        return F.call_function("shiftright", a, bits) == F.call_function("shiftright", b, bits)
+    def same(hs: Column, a: Column, b: Column) -> Column:
+        place = lambda x: x.bitwiseAND(mask).cast("int")
+        alike = F.call_function("shiftright", a, bits) == F.call_function("shiftright", b, bits)
+        return F.coalesce(F.when(alike, window(hs, place(a)) == window(hs, place(b))), F.lit(False))
 
-    def places(keys: Column) -> Column:
-        twice = F.filter(keys, lambda x, j: F.coalesce(same(x, F.get(keys, j - 1)), F.lit(False)) | F.coalesce(same(x, F.get(keys, j + 1)), F.lit(False)))
-        mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - F.lit(1)
+    def places(hs: Column, keys: Column) -> Column:
+        twice = F.filter(keys, lambda x, j: same(hs, x, F.get(keys, j - 1)) | same(hs, x, F.get(keys, j + 1)))
         return F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(mask)))
 
     def covered(at: Column) -> Column:
         start = F.struct(F.lit(-3).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
         return F.aggregate(at, start, lambda s, x: F.struct(x.alias("last"), (s["n"] + F.least(F.lit(3).cast("long"), x - s["last"])).alias("n")), lambda s: s["n"])
 
-    return F.when(n < 3, F.lit(0).cast("long")).otherwise(once(hashes, lambda hs: once(key(hs), lambda ks: covered(places(ks)))))
+    return F.when(n < 3, F.lit(0).cast("long")).otherwise(once(hashes, lambda hs: once(key(hs), lambda ks: covered(places(hs, ks)))))
 
 
 def measured(docs: DataFrame, carried: list[str]) -> DataFrame:
