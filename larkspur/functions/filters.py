@@ -108,3 +108,10 @@ def logs(df: DataFrame, levels: list[str], needle: str) -> DataFrame:
     """Lines of the levels that hold the needle in message, subsystem or raw text, in any case."""
     text = F.lower(F.concat_ws(" ", "message", "subsystem", "raw"))
     return df.where(F.col("level").isin(levels) & F.contains(text, F.lit(needle.strip().lower())))
+
+
+def tool_visible(tool: Column, allow: list[str], deny: list[str]) -> Column:
+    """Whether a tool is to be seen: `*` stands for anything, case does not count, deny wins, no allow list lets all in."""
+    fits = lambda names: F.lower(tool).rlike("^(?:" + "|".join(".*".join(re.escape(x) for x in n.strip().lower().split("*")) for n in names) + ")$")
+    allowed = fits(allow) if allow else F.lit(True)
+    return F.coalesce(allowed & ~fits(deny) if deny else allowed, F.lit(False))

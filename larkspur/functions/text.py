@@ -26,6 +26,11 @@ def fts_query_plain(text: Column) -> Column:
     return F.when(text.rlike(r'[*^":()]'), text).otherwise(plain)
 
 
+def ascii_words(text: Column) -> Column:
+    """Runs of a-z, digits and underscores of the text in lower case, in order, repeats too."""
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0))
+
+
 def ascii_tokens(text: Column) -> Column:
     """The distinct ASCII words of a text in lower case."""
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0)))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from zoneinfo import ZoneInfo
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,27 +63,83 @@ def _field(spec: str, low: int, high: int) -> set[int]:
     return out
 
 
-def next_cron(expression: str, after: dt.datetime) -> dt.datetime | None:
-    """The first minute after `after` that a five-field cron expression fits; null if none in four years."""
+def _steps(fits_day, hours: list[int], minutes: list[int], start: dt.datetime, back: bool):
+    """Times that fit from start on (or back from it), to the minute, within four years."""
+    day, order = start.date(), -1 if back else 1
+    for _ in range(1462):
+        if fits_day(day):
+            for h in hours[::order]:
+                for m in minutes[::order]:
+                    t = dt.datetime(day.year, day.month, day.day, h, m)
+                    if (t <= start) if back else (t >= start):
+                        yield t
+        day += dt.timedelta(days=order)
+
+
+def cron_run(expression: str, at: dt.datetime, zone: str = "UTC", back: bool = False) -> dt.datetime | None:
+    """The first run after `at` of a five-field cron expression, or the last before it, as UTC; null if none in four years.
+
+    The fields tell the zone's own clock. A time that the clock skips does not come; one that it shows twice comes at its
+    first.
+    """
+    tz = ZoneInfo(zone)
     minute, hour, day, month, weekday = expression.split()
-    minutes, hours, days, months = _field(minute, 0, 59), _field(hour, 0, 23), _field(day, 1, 31), _field(month, 1, 12)
-    weekdays = {x % 7 for x in _field(weekday, 0, 7)}
-    t = after.replace(second=0, microsecond=0) + dt.timedelta(minutes=1)
-    end = t + dt.timedelta(days=1462)
-    while t < end:
-        on_day, on_weekday = t.day in days, t.isoweekday() % 7 in weekdays
-        fits = (on_day and on_weekday) if "*" in (day, weekday) else (on_day or on_weekday)
-        if t.month not in months or not fits:
-            t = (t + dt.timedelta(days=1)).replace(hour=0, minute=0)
-        elif t.hour not in hours:
-            t = (t + dt.timedelta(hours=1)).replace(minute=0)
-        elif t.minute not in minutes:
-            t += dt.timedelta(minutes=1)
-        else:
-            return t
+    minutes, hours, days, months = (sorted(_field(*x)) for x in ((minute, 0, 59), (hour, 0, 23), (day, 1, 31), (month, 1, 12)))
+    weekdays, either = {x % 7 for x in _field(weekday, 0, 7)}, "*" not in (day, weekday)
+
+    def fits_day(d: dt.date) -> bool:
+        a, b = d.day in days, d.isoweekday() % 7 in weekdays
+        return d.month in months and ((a or b) if either else (a and b))
+
+    local = at.replace(tzinfo=dt.UTC).astimezone(tz).replace(tzinfo=None)
+    for t in _steps(fits_day, hours, minutes, local + dt.timedelta(hours=-1 if not back else 1), back):
+        utc = t.replace(tzinfo=tz).astimezone(dt.UTC)
+        if utc.astimezone(tz).replace(tzinfo=None) == t and (utc.replace(tzinfo=None) < at if back else utc.replace(tzinfo=None) > at):
+            return utc.replace(tzinfo=None)
     return None
 
 
+def next_cron(expression: str, after: dt.datetime, zone: str = "UTC") -> dt.datetime | None:
+    return cron_run(expression, after, zone)
+
+
+def previous_cron(expression: str, before: dt.datetime, zone: str = "UTC") -> dt.datetime | None:
+    return cron_run(expression, before, zone, back=True)
+
+
+def cron(expression: Column, at: Column, zone: Column | None = None, back: bool = False) -> Column:
+    """cron_run() of columns, a time without a zone for times in UTC. Search by calendar: Python, in batches."""
+
+    @F.pandas_udf("timestamp_ntz")
+    def run(e: pd.Series, t: pd.Series, z: pd.Series) -> pd.Series:
+        told = [None if pd.isna(b) or a is None else cron_run(a, b.to_pydatetime(), c or "UTC", back) for a, b, c in zip(e, t, z, strict=True)]
+        return pd.Series(told, dtype="datetime64[us]")
+
+    return run(expression, at.cast("timestamp_ntz"), F.lit("UTC") if zone is None else zone)
+
+
+def archive_stamp(at: Column) -> Column:
+    """A time as it stands in archived files' names: ISO to the millisecond, dashes for colons."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH-mm-ss.SSS'Z'")
+
+
+def archived_at(name: Column, reason: str) -> Column:
+    """The time in an archived file's name after the last `.reason.`; null where there is none, or no time."""
+    raw = F.regexp_extract(name, rf"^.*\.{re.escape(reason)}\.(\d{{4}}-\d{{2}}-\d{{2}}T\d{{2}}-\d{{2}}-\d{{2}}(?:\.\d{{3}})?)Z$", 1)
+    parts = F.split(raw, "T")
+    return F.try_to_timestamp(F.concat(F.get(parts, F.lit(0)), F.lit(" "), F.replace(F.get(parts, F.lit(1)), F.lit("-"), F.lit(":"))))
+
+
+def boundary(ts: Column, previous: Column, idle_minutes: int | None, at_hour: int | None) -> Column:
+    """Why an event begins a new session: `first`, `daily` (the reset hour lies between it and the one before), `idle`; else null."""
+    day = lambda t: F.to_date(t - F.expr(f"INTERVAL {at_hour} HOURS"))
+    gap = F.unix_micros(ts.cast("timestamp")) - F.unix_micros(previous.cast("timestamp"))
+    why = F.when(previous.isNull(), "first")
+    if at_hour is not None:
+        why = why.when(day(ts) > day(previous), "daily")
+    return why if idle_minutes is None else why.when(gap > idle_minutes * 60_000_000, "idle")
+
+
 def top_of_hour(expression: Column) -> Column:
     """Whether a cron expression fires at minute (and second) zero of every or every so many hours."""
     return expression.rlike(r"^(0 )?0 (\*|\*/\d+) \S+ \S+ \S+$")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,10 +98,10 @@ def resolved(names: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def episodes_of(mentions: DataFrame, entities: DataFrame, terms: list[str], k: int) -> DataFrame:
-    """Episodes that mention any of the terms by name or alias, those with most of them first, then the latest."""
+    """Episodes that mention any of the terms by name or alias, those with most of them first, then the latest, with the terms."""
     named = entities.select("entity_id", F.explode(F.array_union(F.array(F.lower("name")), F.transform("aliases", lambda a: F.lower(a)))).alias("term"))
-    hit = named.where(F.col("term").isin([t.lower() for t in terms])).select("entity_id", "term").distinct()
-    g = mentions.join(hit, "entity_id").groupBy("episode_id").agg(F.countDistinct("entity_id").alias("shared"), F.max("ts").alias("ts"))
+    hit = named.where(F.col("term").isin([t.lower() for t in terms])).groupBy("entity_id").agg(F.min("term").alias("term"))
+    g = mentions.select("episode_id", "entity_id", "ts").join(hit, "entity_id").groupBy("episode_id").agg(F.countDistinct("entity_id").alias("shared"), F.max("ts").alias("ts"), F.sort_array(F.collect_set("term")).alias("names"))
     return g.orderBy(F.desc("shared"), F.desc("ts"), "episode_id").limit(k)
 
 
@@ -126,3 +128,20 @@ def best_match(names: DataFrame, known: DataFrame, least: float = 0.8) -> DataFr
     longest = F.greatest(F.length("name"), F.length("match"))
     d = pairs.withColumn("ratio", F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein("name", "match") / longest)).where(F.col("ratio") >= least)
     return d.groupBy("name").agg(F.min(F.struct((-F.col("ratio")).alias("ratio"), "match")).alias("x")).select("name", "x.match", (-F.col("x.ratio")).alias("ratio"))
+
+
+def with_alias_arrays(entities: DataFrame) -> DataFrame:
+    """Entities with an empty array where there are no aliases."""
+    return entities.withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
+
+
+def union_of_stores(stores: dict[str, DataFrame]) -> DataFrame:
+    """All agents' stores as one, with `agent`; columns that a store lacks are null."""
+    parts = [d.withColumn("agent", F.lit(name)) for name, d in stores.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def linked(links: DataFrame, known: DataFrame, other: str) -> DataFrame:
+    """The other ends, `memory_id` or `episode_id`, of links whose one end is in known; each once."""
+    key = next(c for c in ("memory_id", "episode_id") if c != other)
+    return links.join(known.select(key).distinct(), key, "left_semi").select(key, other).distinct()

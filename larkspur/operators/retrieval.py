@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,15 +15,14 @@ from larkspur.functions import vectors as V
 K1, B = 1.2, 0.75
 
 
-def bm25(docs: DataFrame, id_col: str, text_col: str, query: list[str], k: int) -> DataFrame:
+def bm25(docs: DataFrame, id_col: str, text_col: str, query: list[str], k: int, words: Callable[[Column], Column] = T.ascii_words, rank: Callable[[Column], Column] = lambda s: s) -> DataFrame:
     """The k documents that score best for the query's words, ties by id: id, score.
 
-    A text's words are found once, and of them only the query's are looked at again; nothing but a row of counts for each
+    words: how a text is cut into words; rank: what a score becomes, in the same order. A text's words are found once, and of them only the query's are looked at again; nothing but a row of counts for each
     document that has one is dealt out.
     """
     wanted = [w.lower() for w in dict.fromkeys(query)]
-    words = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit("[a-z0-9_]+"), F.lit(0))
-    parted = F.transform(F.array(words), lambda w: F.struct(F.size(w).alias("length"), F.filter(w, lambda x: x.isin(wanted)).alias("hits")))
+    parted = F.transform(F.array(words(F.col(text_col))), lambda w: F.struct(F.size(w).alias("length"), F.filter(w, lambda x: x.isin(wanted)).alias("hits")))
     d = docs.select(F.col(id_col).alias("id"), F.inline(parted)).where("length > 0")  # what is inlined is computed once
     d = d.select("id", "length", *[_occurrences(w).alias(f"tf{i}") for i, w in enumerate(wanted)])
     stats = d.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(wanted))])
@@ -32,7 +32,7 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, query: list[str], k: int)
         tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
         idf = F.ln(1 + (F.col("n") - df + 0.5) / (df + 0.5))
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return s.select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    return s.select("id", F.round(rank(score), 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
 def _occurrences(word: str) -> Column:
@@ -122,6 +122,37 @@ def lexical(content: Column, query: str, stop: set[str] = frozenset()) -> Column
 LEVELS = {"focused": (0.3, 0.6, 10), "moderate": (0.6, 0.3, 25), "general": (1.0, 0.1, 50)}
 
 
+# Tokens of context by level.
+BUDGETS = {"focused": 1000, "moderate": 2500, "general": 4000}
+
+
+def room(level: Column, used: Column) -> Column:
+    """Tokens that are left of a level's budget, none if it is used up; null for an unknown level."""
+    budget = F.coalesce(*[F.when(level == k, F.lit(v)) for k, v in BUDGETS.items()])
+    return F.when(budget.isNotNull(), F.greatest(F.lit(0), budget - F.coalesce(used, F.lit(0))))
+
+
+def packed_by_level(hits: DataFrame, by: str) -> DataFrame:
+    """packed() with the budget that each row's `level` names."""
+    parts = [packed(hits.where(F.col("level") == k), by, v) for k, v in BUDGETS.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+# Sessions that a usage query reads if it does not say, and the most that it may ask for.
+FAN_OUT, MOST_FAN_OUT = 50, 1000
+
+
+def fanned_out(sessions: DataFrame, order: list, limit: int | None = None) -> DataFrame:
+    """The sessions that a usage query reads: the first FAN_OUT in order, or so many as it asks for, MOST_FAN_OUT at most."""
+    return sessions.orderBy(*order).limit(min(MOST_FAN_OUT, max(1, FAN_OUT if limit is None else limit)))
+
+
+def slowest(results: DataFrame, limit: int) -> DataFrame:
+    """file, duration of the files (file, start, end) that took longest; a file that ends before it starts took no time."""
+    took = F.greatest(F.lit(0), F.coalesce("end", F.lit(0)) - F.coalesce("start", F.lit(0)))
+    return results.select("file", took.alias("duration")).orderBy(F.desc("duration"), "file").limit(limit)
+
+
 def cut(hits: DataFrame, by: str, level: str, threshold: float | None = None, most: int | None = None) -> DataFrame:
     """The best hits of each query: the level's share first, then its least score, then at most so many."""
     share, least, limit = LEVELS[level]

@@ -119,7 +119,7 @@ SELECT episode_id, count(DISTINCT entity_id) AS shared, max(ts) AS ts FROM m JOI
 def grf1_episodes(t: Tables) -> DataFrame:
     mentions = t.lineitem.groupBy(F.col("l_orderkey").alias("episode_id"), F.col("l_partkey").alias("entity_id")).agg(F.max("l_shipdate").alias("ts"))
     terms = [r[0] for r in t.part.where("p_partkey <= 20").select("p_name").collect()] + ["X7"]
-    return graph.episodes_of(mentions, entities(t), terms, 25)
+    return graph.episodes_of(mentions, entities(t), terms, 25).drop("names")
 
 
 @R.query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larkspur.functions import redact
 from larkspur.functions import text as T
 
 MESSAGE = "type string, timestamp string, message struct<role: string, content: string>"
@@ -19,10 +22,79 @@ def markdown_files(spark: SparkSession, *roots: str) -> DataFrame:
     return files.dropDuplicates(["path"]).select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), text.alias("text"), F.sha2("content", 256).alias("hash"))
 
 
+def memory_files(spark: SparkSession, workspace: str, extra: Sequence[str] = ()) -> DataFrame:
+    """markdown_files() of a workspace: MEMORY.md and memory.md at its root, all below memory/, and extra files and folders.
+
+    Links are not followed, only .md files count, and a file is taken once however many paths lead to it. Only names are
+    listed here; Spark reads the files.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    found: dict[str, str] = {}
+
+    def take(at, deep: bool) -> None:
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(at) or fs.getFileLinkStatus(path(at.toUri().getPath())).isSymlink():  # local links are told by bare paths only
+            return
+        if fs.getFileStatus(at).isDirectory():
+            for entry in fs.listStatus(at) if deep else []:
+                take(entry.getPath(), True)
+        elif at.getName().endswith(".md"):
+            found.setdefault(fs.resolvePath(at).toString(), at.toString())
+
+    for name, deep in [("MEMORY.md", False), ("memory.md", False), ("memory", True)]:
+        take(path(f"{workspace}/{name}"), deep)
+    for name in extra:
+        take(path(name if name.startswith("/") or ":" in name else f"{workspace}/{name}"), True)
+    if not found:
+        return spark.createDataFrame([], "path string, mtime timestamp, size long, text string, hash string")
+    return markdown_files(spark, *found.values())
+
+
+def session_files(spark: SparkSession, folder: str) -> DataFrame:
+    """path, mtime, size of the transcripts in an agent's folder; their contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(folder)
+    return files.select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+
+
+def changed_files(before: DataFrame, now: DataFrame) -> DataFrame:
+    """path, start of files (path, mtime, size) that are new or changed: from where to read, 0 if one is new or has shrunk."""
+    old = before.select("path", F.col("mtime").alias("old_mtime"), F.col("size").alias("old_size"))
+    d = now.join(old, "path", "left").where(F.col("old_size").isNull() | (F.col("mtime") != F.col("old_mtime")) | (F.col("size") != F.col("old_size")))
+    return d.select("path", F.when(F.col("size") >= F.col("old_size"), F.col("old_size")).otherwise(F.lit(0)).alias("start"))
+
+
+def transcript_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
+    """path, value of the lines of transcripts as they come into a folder; the checkpoint knows what was read."""
+    s = spark.readStream.format("text").option("pathGlobFilter", "*.jsonl").option("maxFilesPerTrigger", files_per_batch).load(folder)
+    return s.select(F.col("_metadata.file_path").alias("path"), "value")
+
+
+def chunks_of(chunks: DataFrame, model: str | None = None, sources: Sequence[str] = ()) -> DataFrame:
+    """chunks (model, source, ...) of an embedding model and of some sources; all where none is named."""
+    d = chunks if model is None else chunks.where(F.col("model") == model)
+    return d.where(F.col("source").isin(list(sources))) if sources else d
+
+
+def by_id(tier: DataFrame, memory_id) -> DataFrame:
+    return tier.where(F.col("id") == memory_id)
+
+
+def newest(tier: DataFrame, limit: int | None = None, since: Column | None = None) -> DataFrame:
+    """A tier's memories (id, ts, ...), the newest first; only those after `since`, and `limit` at most, if given."""
+    d = tier if since is None else tier.where(F.col("ts") > since)
+    d = d.orderBy(F.desc("ts"), F.desc("id"))
+    return d if limit is None else d.limit(limit)
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, line (from 1), value of text files; a file is one cell, so its lines keep their order."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return whole.select("path", F.posexplode(F.split("value", "\r?\n")).alias("p", "value")).select("path", (F.col("p") + 1).alias("line"), "value").where(F.trim("value") != "")
+    """path, line (from 1), value of text files, without blank lines. A large file is several splits, each counted on its own;
+    the counts of a file's splits tell where each begins."""
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = raw.groupBy("path", "block").agg(F.count("*").alias("n")).select("path", "block", F.coalesce(before, F.lit(0)).alias("start"))
+    numbered = raw.withColumn("in_block", F.row_number().over(Window.partitionBy("path", "block").orderBy("at")))
+    d = numbered.join(starts, ["path", "block"]).select("path", (F.col("start") + F.col("in_block")).cast("int").alias("line"), "value")
+    return d.where(F.trim("value") != "")
 
 
 def flat_content(content: Column) -> Column:
@@ -32,11 +104,12 @@ def flat_content(content: Column) -> Column:
     return F.when(content.startswith("["), F.array_join(texts, " ")).otherwise(T.session_text(content))
 
 
-def transcript(spark: SparkSession, path: str) -> DataFrame:
-    """path, line, role, text of the user's and assistant's messages of JSONL transcripts that have text."""
+def transcript(spark: SparkSession, path: str, redacted: bool = True) -> DataFrame:
+    """path, line, role, text of the user's and assistant's messages of JSONL transcripts that have text, secrets masked."""
     parsed = lines(spark, path).withColumn("m", F.from_json("value", MESSAGE, {"mode": "PERMISSIVE"}))
     d = parsed.where((F.col("m.type") == "message") & F.col("m.message.role").isin("user", "assistant"))
-    return d.select("path", "line", F.col("m.message.role").alias("role"), flat_content(F.col("m.message.content")).alias("text"), F.col("m.timestamp").alias("timestamp")).where("text <> ''")
+    d = d.select("path", "line", F.col("m.message.role").alias("role"), flat_content(F.col("m.message.content")).alias("text"), F.col("m.timestamp").alias("timestamp")).where("text <> ''")
+    return d.withColumn("text", redact.redacted(F.col("text"))) if redacted else d
 
 
 def session_entry(messages: DataFrame) -> DataFrame:
@@ -88,6 +161,25 @@ def tail(log: DataFrame, cursor: int, limit: int, most: int) -> tuple[DataFrame,
     return log.select(F.explode(F.slice(F.reverse(pieces), 1, limit)).alias("line")), size
 
 
+def tail_file(spark: SparkSession, path: str, cursor: int = 0, limit: int = 500, most: int = 1 << 20) -> tuple[list[str], int]:
+    """tail() of a file on any store, of which only the last `most` bytes at most are read."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    size = fs.getFileStatus(at).getLen()
+    start = cursor if 0 <= cursor <= size and size - cursor <= most else max(0, size - most)
+    stream = fs.open(at)
+    try:
+        stream.seek(start)
+        raw = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, size - start))
+    finally:
+        stream.close()
+    found = raw.decode(errors="replace").split("\n")
+    if start and start != cursor:
+        found = found[1:]
+    return [x for x in found if x][-limit:], size
+
+
 def first_json_array(text: str | None) -> str | None:
     """The first balanced [...] of noisy output, brackets in strings aside; null without one."""
     start, depth, quoted, skip = -1, 0, False, False
@@ -124,6 +216,14 @@ def repaired(raw: DataFrame) -> DataFrame:
     return d.withColumn("head", head).where((F.col("head") == "session") & F.from_json("value", "map<string, string>").isNotNull()).drop("head", "kind")
 
 
+def repair(spark: SparkSession, path: str, out: str) -> int:
+    """Writes repaired transcripts to `out`, the lines of a file in order, and leaves the files as the backup. Lines dropped."""
+    raw = lines(spark, path)
+    good = repaired(raw)
+    good.repartition("path").sortWithinPartitions("path", "line").select("value", F.regexp_extract("path", "([^/]+)$", 1).alias("file")).write.partitionBy("file").text(out)
+    return raw.count() - good.count()
+
+
 def batch_output(requests: DataFrame, outputs: DataFrame) -> DataFrame:
     """custom_id, embedding, error of every request: what came back, or why nothing did."""
     d = requests.join(outputs.withColumn("there", F.lit(True)), "custom_id", "left")

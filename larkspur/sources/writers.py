@@ -48,6 +48,31 @@ def replaced(df: DataFrame, path: str) -> str:
     return version
 
 
+def newest_version(spark, path: str) -> DataFrame:
+    """The last whole version that replaced() has written; one that has no _SUCCESS is not whole."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/_SUCCESS")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    return spark.read.parquet(max(x.getPath().getParent().toString() for x in found))
+
+
+def optimised(df: DataFrame, path: str, files: int, by: list[str]) -> str:
+    """A new version in fewer files, rows in order of `by`, so that a filter on them skips most."""
+    return replaced(df.repartitionByRange(files, *by).sortWithinPartitions(*by), path)
+
+
+def cleared(df: DataFrame, path: str) -> str:
+    """A new version without rows."""
+    return replaced(df.limit(0), path)
+
+
+DAILY = ["date", "inputTokens", "outputTokens", "cacheReadTokens", "cacheWriteTokens", "totalTokens", "inputCost", "outputCost", "cacheReadCost", "cacheWriteCost", "totalCost"]
+
+
+def daily_lines(daily: DataFrame) -> DataFrame:
+    """date, line: the eleven columns of a day's totals (named as in DAILY) as a CSV line."""
+    return daily.select("date", csv_line([F.col(c) for c in DAILY]).alias("line"))
+
+
 def last_lines(rows: DataFrame, by: str, order: str, most: int) -> DataFrame:
     """The last rows of each log."""
     w = Window.partitionBy(by).orderBy(F.desc(order))

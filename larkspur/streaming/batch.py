@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.functions import time as tm
+
 
 def micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
@@ -71,3 +73,16 @@ def within_budget(files: DataFrame, size: str, age: str, referenced: DataFrame,
 def batch_routes(events: DataFrame, key: str, ts: str, gap: str, route: str) -> DataFrame:
     """Runs as in debounced() with `merge`: whether all events of a run go the same way and can be one."""
     return events.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n"), F.countDistinct(route).alias("routes")).select(key, F.col("w.start").alias("start"), "n", (F.col("routes") <= 1).alias("merge"))
+
+
+def evicted(records: DataFrame, now_ms: int, ttl_ms: int, most: int) -> DataFrame:
+    """Records (namespace, key, ts in milliseconds) without those that have outlived ttl, the newest `most` of each namespace."""
+    live = records.where(F.lit(now_ms) - F.col("ts") < ttl_ms) if ttl_ms > 0 else records
+    w = Window.partitionBy("namespace").orderBy(F.desc("ts"), F.desc("key"))
+    return live.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).drop("place")
+
+
+def session_starts(events: DataFrame, key: str, ts: str, order: str, idle_minutes: int | None, at_hour: int | None) -> DataFrame:
+    """Events that begin a session of their key, and why: see time.boundary()."""
+    w = Window.partitionBy(key).orderBy(ts, order)
+    return events.withColumn("why", tm.boundary(F.col(ts), F.lag(ts).over(w), idle_minutes, at_hour)).where("why is not null")

@@ -27,6 +27,18 @@ def ttl_step(ttl_ms: int) -> Callable[[State, int, str], dict]:
     return step
 
 
+def persistent_step(ttl_ms: int) -> Callable[[State, int, str], dict]:
+    """is_new: whether the key was not recorded less than ttl before (ever, for none). Only what is new is recorded."""
+
+    def step(s: State, ts: int, item: str) -> dict:
+        if "at" in s and (ttl_ms <= 0 or ts - s["at"] < ttl_ms):
+            return {"is_new": False}
+        s["at"] = ts
+        return {"is_new": True}
+
+    return step
+
+
 def fixed_window_step(most: int, window_ms: int) -> Callable[[State, int, str], dict]:
     """allowed, remaining, retry_after: a window begins with the first event after the one before has ended."""
 

@@ -10,6 +10,7 @@ from larkspur.functions import chunks, detect, filters, html, keys, memory, reda
 from larkspur.functions import text as T
 from larkspur.functions import time as tm
 from larkspur.functions import vectors as V
+from larkspur.operators import tools
 
 
 def value(spark, column, **row):
@@ -139,6 +140,11 @@ def test_schedules(spark):
     assert tm.next_cron("*/15 9-17 * * 1-5", dt.datetime(2026, 2, 6, 17, 50)) == dt.datetime(2026, 2, 9, 9)
     assert tm.next_cron("0 0 29 2 *", at) == dt.datetime(2028, 2, 29)
     assert tm.next_cron("0 0 31 2 *", at) is None
+    assert tm.previous_cron("0 * * * *", at) == dt.datetime(2026, 2, 5, 10) and tm.previous_cron("30 10 5 2 *", at) == dt.datetime(2025, 2, 5, 10, 30)
+    assert tm.next_cron("0 9 * * *", at, "Asia/Shanghai") == dt.datetime(2026, 2, 6, 1)
+    assert tm.next_cron("30 2 * * *", dt.datetime(2026, 3, 8, 0), "America/New_York") == dt.datetime(2026, 3, 9, 6, 30)  # the clock skips 2:30 on the 8th
+    assert tm.next_cron("30 1 * * *", dt.datetime(2026, 11, 1, 0), "America/New_York") == dt.datetime(2026, 11, 1, 5, 30)  # shown twice
+    assert tm.previous_cron("0 0 31 2 *", at) is None
     assert [value(spark, tm.top_of_hour(F.col("c")), c=c) for c in ("0 * * * *", "0 */2 * * *", "0 0 */3 * * *", "0 7 * * *", "15 * * * *")] == [True, True, True, False, False]
     next_run = lambda now: value(spark, tm.next_every(F.lit(now), F.lit(30_000), F.lit(0)))
     assert next_run(10_000) == 30_000 and next_run(0) == 30_000
@@ -146,6 +152,22 @@ def test_schedules(spark):
     assert value(spark, tm.absolute(F.col("t")), t="soon") is None
 
 
+def test_tools_seen(spark):
+    seen = lambda tool, allow, deny: value(spark, filters.tool_visible(F.col("t"), allow, deny), t=tool)
+    assert seen("Exec", [], []) and seen("Exec", ["ex*"], []) and not seen("Exec", ["*"], ["E?ec", "exec"]) and not seen("Read", ["ex*"], []) and seen("a.b", ["a.b"], ["axb"])
+    assert not seen(None, [], ["x"])
+
+
+def test_search_strategies(spark):
+    assert tools.chosen("q", None) == tools.chosen("q", lambda q: 1 / 0) == tools.chosen("q", lambda q: {"method": "other"}) == tools.HYBRID
+    assert tools.chosen("q", lambda q: {"method": "vector"})["method"] == "vector"
+    chunks = spark.createDataFrame([(1, "red fox", [1.0, 0.0]), (2, "blue fox", [0.0, 1.0]), (3, "tree", [0.5, 0.5])], "id long, text string, embedding array<double>")
+    first = lambda q, v, how: tools.memory_search(chunks, q, v, 2, how).head().id
+    assert first("red", None, None) == 1 and first("red", [0.0, 1.0], lambda q: {"method": "vector"}) == 2 and first("tree", [0.0, 1.0], lambda q: {"method": "keyword"}) == 3
+    assert tools.memory_search(chunks, " ", None).collect() == []
+    assert tools.memory_get(chunks.withColumnRenamed("id", "path"), 2).head().text == "blue fox"
+
+
 def test_chunks_by_lines():
     line = "a" * (3 * 1600 + 25)
     got = chunks.by_lines(line, 400, 0)

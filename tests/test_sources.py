@@ -110,3 +110,57 @@ def test_latest_log_and_batches(spark):
     batches = readers.numbered_batches(spark.range(100).selectExpr("CAST(id AS STRING) AS id"), "id", 7)
     sizes = [r["count"] for r in batches.groupBy("batch").count().collect()]
     assert sum(sizes) == 100 and max(sizes) <= 7
+
+
+def test_memory_files_of_a_workspace(spark, tmp_path):
+    write(tmp_path / "MEMORY.md", "a")
+    write(tmp_path / "other.md", "no")
+    write(tmp_path / "memory/deep/x.md", "b")
+    write(tmp_path / "memory/y.txt", "no")
+    write(tmp_path / "extra/z.md", "c")
+    (tmp_path / "memory/link.md").symlink_to(tmp_path / "other.md")
+    names = lambda *extra: sorted(r.path.rsplit("/", 1)[1] for r in readers.memory_files(spark, str(tmp_path), extra).collect())
+    assert names() == ["MEMORY.md", "x.md"]
+    assert names("extra", "MEMORY.md", str(tmp_path / "other.md"), "missing") == ["MEMORY.md", "other.md", "x.md", "z.md"]
+    assert readers.memory_files(spark, str(tmp_path / "nothing")).collect() == []
+
+
+def test_session_files_and_repair(spark, tmp_path):
+    write(tmp_path / "in/s.jsonl", '{"type":"session"}\nbroken\n{"type":"message"}\n')
+    write(tmp_path / "in/t.jsonl", '{"type":"message"}\n')
+    write(tmp_path / "in/u.txt", "no")
+    got = {r.path.rsplit("/", 1)[1]: r["size"] for r in readers.session_files(spark, str(tmp_path / "in")).collect()}
+    assert got == {"s.jsonl": 45, "t.jsonl": 19}
+    assert readers.repair(spark, str(tmp_path / "in/*.jsonl"), str(tmp_path / "out")) == 2
+    assert [r.value for r in spark.read.text(str(tmp_path / "out/file=s.jsonl")).collect()] == ['{"type":"session"}', '{"type":"message"}']
+
+
+def test_lines_of_files_in_several_splits(spark, tmp_path):
+    write(tmp_path / "a.log", "".join(f"line {i}\n" if i % 5 else "\n" for i in range(1, 2001)))
+    write(tmp_path / "b.log", "x\r\ny")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        rows = readers.lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert all(r.value == f"line {r.line}" for r in rows if r.path.endswith("a.log")) and len(rows) == 1602
+    assert sorted((r.line, r.value) for r in rows if r.path.endswith("b.log")) == [(1, "x"), (2, "y")]
+
+
+def test_tail_of_a_file(spark, tmp_path):
+    write(tmp_path / "l.log", "aa\nbb\ncc\n")
+    got = lambda *a: readers.tail_file(spark, str(tmp_path / "l.log"), *a)
+    assert got() == (["aa", "bb", "cc"], 9) and got(3) == (["bb", "cc"], 9) and got(0, 1) == (["cc"], 9)
+    assert got(99, 10, 5) == (["cc"], 9) and got(9) == ([], 9)
+
+
+def test_transcripts_are_redacted(spark, tmp_path):
+    write(tmp_path / "s.jsonl", json.dumps({"type": "message", "message": {"role": "user", "content": "TOKEN=abcdef1234567890ghij"}}))
+    assert [r.text for r in readers.transcript(spark, str(tmp_path / "s.jsonl")).collect()] == ["TOKEN=abcdef…ghij"]
+
+
+def test_streams_of_transcripts(spark, tmp_path):
+    write(tmp_path / "in/s.jsonl", "one\ntwo")
+    out = readers.transcript_stream(spark, str(tmp_path / "in"))
+    out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    assert sorted(r.value for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["one", "two"]
