@@ -79,12 +79,16 @@ def strx_dedupe_stream(t: Tables) -> DataFrame:
     return ran(t, "strx_dedupe", lambda s: stateful.deduplicated(s, ["user_id", "event_type"], "ts", "6 hours").select("event_id"))
 
 
-@R.query()
+CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+
+
+@R.query(f"""WITH g AS (SELECT *, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) >= 1800000000, true)::INT AS new FROM events), i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g),
+s AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM i GROUP BY user_id, k) SELECT * FROM s WHERE "end" <= {CLOSED}""")
 def strx_sessions_stream(t: Tables) -> DataFrame:
     return ran(t, "strx_sessions", lambda s: stateful.session_runs(s, "user_id", "ts", "30 minutes", "1 hour"))
 
 
-@R.query()
+@R.query(f"""SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS start, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2 HAVING date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY <= {CLOSED}""")
 def strx_tumbling_stream(t: Tables) -> DataFrame:
     return ran(t, "strx_tumbling", lambda s: stateful.tumbling(s, "event_type", "ts", "1 day", "1 hour"))
 
@@ -107,7 +111,8 @@ def str6_queue_stream(t: Tables) -> DataFrame:
     return ran(t, "str6_queue", lambda s: stateful.applied(s, "user_id", "ts", "event_id", step, "queued boolean, size int, dropped int", 480 * HOUR))
 
 
-@R.query()
+@R.query("""WITH e AS (SELECT user_id || ':' || event_type AS key, epoch_us(ts) // 1000 AS ts, event_id::VARCHAR AS item FROM events)
+SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY key ORDER BY ts, item) < 21600000, false) AS is_duplicate FROM e""")
 def str1_ttl_stream(t: Tables) -> DataFrame:
     step = stateful.ttl_step(6 * HOUR)
     return ran(t, "str1_ttl", lambda s: stateful.applied(s.withColumn("key", F.concat_ws(":", "user_id", "event_type")), "key", "ts", "event_id", step, "is_duplicate boolean", 12 * HOUR))

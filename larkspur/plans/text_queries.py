@@ -112,7 +112,12 @@ def htm1_markdown(t: Tables) -> DataFrame:
     return t.pages.select("page_id", html.markdown(F.col("html")).alias("m")).select("page_id", "m.text", "m.title")
 
 
-@R.query()
+VOID = ", ".join(f"'{x}'" for x in sorted(html.VOID))
+
+
+@R.query(f"""WITH t AS (SELECT page_id, regexp_extract_all(html, '{html.TAG}', 1) AS a, regexp_extract_all(html, '{html.TAG}', 2) AS b FROM pages), u AS (SELECT page_id, unnest(a) AS n, unnest(b) AS s, generate_subscripts(a, 1) AS i FROM t),
+d AS (SELECT page_id, i, CASE WHEN starts_with(n, '/') THEN -1 ELSE 1 END AS x FROM u WHERE s = '' AND ltrim(lower(n), '/') NOT IN ({VOID})), r AS (SELECT page_id, i, sum(x) OVER (PARTITION BY page_id ORDER BY i) AS s FROM d),
+m AS (SELECT page_id, s - least(0, min(s) OVER (PARTITION BY page_id ORDER BY i)) AS v FROM r) SELECT page_id, greatest(0, coalesce(max(v), 0))::INT AS depth FROM pages LEFT JOIN m USING (page_id) GROUP BY page_id""")
 def htm4_nesting(t: Tables) -> DataFrame:
     return t.pages.select("page_id", html.nesting(F.col("html")).alias("depth"))
 
