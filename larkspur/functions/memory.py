@@ -134,7 +134,11 @@ def recalls(messages: DataFrame, injected: DataFrame, window_s: int = 300, thres
     m = messages.where("role = 'assistant'").select("session", "msg_id", F.col("ts").alias("m_ts"), words(F.col("content")).alias("mw"), long(F.col("content")).alias("ml"))
     i = injected.select("session", F.col("ts").alias("i_ts"), words(F.col("content")).alias("iw"), long(F.col("content")).alias("il"))
     age = F.unix_micros(F.col("m_ts").cast("timestamp")) - F.unix_micros(F.col("i_ts").cast("timestamp"))
-    near = m.join(i, "session").where((age >= 0) & (age <= window_s * 1_000_000))
+    # a message meets the injections of its own stretch of window_s seconds and of the one before, not a session's all
+    stretch = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (window_s * 1_000_000))
+    m = m.withColumn("stretch", stretch("m_ts"))
+    i = i.withColumn("stretch", F.explode(F.array(stretch("i_ts"), stretch("i_ts") + 1)))
+    near = m.join(i, ["session", "stretch"]).where((age >= 0) & (age <= window_s * 1_000_000))
     last = F.max("i_ts").over(Window.partitionBy("session", "msg_id"))
     near = near.withColumn("last", last).where("i_ts = last")
     same = F.when(F.col("ml") & F.col("il") & (T.jaccard(F.col("mw"), F.col("iw"), 0.0) > 0.8), 1.0).otherwise(0.0)

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +48,40 @@ def cosine_topk(vectors: DataFrame, query: list[float], k: int, mode: str = "lin
     return vectors.select("vec_id", "label", F.round(score, 6).alias("score")).where(~F.isnan("score")).orderBy(F.desc("score"), "vec_id").limit(k)
 
 
+#: Query vectors that are searched together.
+MANY = 4096
+
+
+def cosine_topk_many(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> DataFrame:
+    """query_id, vec_id, score: the k vectors nearest to each of at most MANY query vectors of one length, ties to lesser ids.
+
+    The queries go to every task, which compares them with a batch of vectors at once and passes on k a query; vectors of
+    another length and those that are zero or not finite take no part.
+    """
+    if len(queries) > MANY:
+        raise ValueError(f"more than {MANY} query vectors")
+    ids, unit = np.array([i for i, _ in queries], np.int64), np.array([v for _, v in queries], np.float64)
+    unit = unit / np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fine = pc.fill_null(pc.equal(pc.list_value_length(batch.column(1)), unit.shape[1]), False)
+            own, x = batch.column(0).filter(fine).to_numpy(), batch.column(1).filter(fine).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, unit.shape[1])
+            norm = np.linalg.norm(x, axis=1)
+            stay = np.isfinite(norm) & (norm > 0)
+            own, x = own[stay], x[stay] / norm[stay][:, None]
+            if not len(own):
+                continue
+            score = np.round(unit @ x.T, 6)
+            order = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :k]
+            rows = np.repeat(np.arange(len(ids)), order.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(own[order.ravel()]), pa.array(score[rows, order.ravel()])], ["query_id", "vec_id", "score"])
+
+    hits = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(search, "query_id long, vec_id long, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return hits.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).drop("place")
+
+
 def merge_hits(vector: DataFrame, keyword: DataFrame, vector_weight: float = 0.7, text_weight: float = 0.3) -> DataFrame:
     """id, vector_score, text_score, score of hits of either list; a side that is missing scores nothing.
 

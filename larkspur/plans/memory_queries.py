@@ -8,6 +8,7 @@ from larkspur.functions import text as T
 from larkspur.functions import time as tm
 from larkspur.operators import graph
 from larkspur.plans.registry import Registry, Tables
+from larkspur.sources import writers
 
 R = Registry()
 
@@ -163,9 +164,11 @@ def snk6_alias_upsert(t: Tables) -> DataFrame:
     return d
 
 
-@R.query("SELECT doc_id, 'Dropped ' || length(text) AS line FROM documents WHERE text IS NOT NULL")
+@R.query("""SELECT user_id, '[Queue overflow] Dropped ' || count(*) || ' event' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END || ' due to cap.' || chr(10) || string_agg('- error ' || event_id, chr(10) ORDER BY event_id) AS summary
+FROM events WHERE event_type = 'error' GROUP BY user_id""")
 def snk16_lines(t: Tables) -> DataFrame:
-    return t.documents.where("text is not null").select("doc_id", F.concat(F.lit("Dropped "), F.length("text")).alias("line"))
+    dropped = t.events.where("event_type = 'error'").select("user_id", "event_id", F.concat(F.lit("error "), "event_id").alias("line"))
+    return writers.overflow_summary(dropped, "user_id", "event_id", "event")
 
 
 @R.query("SELECT source, to_json({'n': count(*), 'chars': sum(n_chars)::BIGINT}) AS report FROM documents GROUP BY 1")

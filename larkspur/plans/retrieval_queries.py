@@ -27,6 +27,13 @@ def rnk1_cosine_topk(t: Tables) -> DataFrame:
     return retrieval.cosine_topk(t.embeddings, first_vector(t), 10)
 
 
+@R.query("""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id < 32)
+SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 10""")
+def rnk1_cosine_topk_many(t: Tables) -> DataFrame:
+    queries = [(r.vec_id, list(r.embedding)) for r in t.embeddings.where("vec_id < 32").select("vec_id", "embedding").collect()]
+    return retrieval.cosine_topk_many(t.embeddings, queries, 10)
+
+
 @R.query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), j AS (SELECT v.vec_id, v.label, v.embedding FROM embeddings v WHERE v.label IN (1, 2, 3))
 SELECT vec_id, label, round(1 - (1 - list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[])) / 2, 6) AS score FROM j, q ORDER BY score DESC, vec_id LIMIT 20""")
 def rnk2_filtered_topk_half(t: Tables) -> DataFrame:

@@ -64,10 +64,14 @@ def kept_entries(entries: DataFrame, ts: str, order: str, most: int) -> DataFram
 def within_budget(files: DataFrame, size: str, age: str, referenced: DataFrame, id_col: str, budget: int, by: str) -> DataFrame:
     """Files to remove so that each store's total comes down to its budget: the oldest that nothing refers to."""
     total = files.groupBy(by).agg(F.sum(size).alias("all"))
-    free = files.join(referenced, id_col, "left_anti")
-    w = Window.partitionBy(by).orderBy(age, id_col).rowsBetween(Window.unboundedPreceding, -1)
-    d = free.withColumn("freed", F.coalesce(F.sum(size).over(w), F.lit(0))).join(total, by)
-    return d.where(F.col("all") - F.col("freed") > budget).drop("freed", "all")
+    free = files.join(referenced, id_col, "left_anti").join(total, by).withColumn("piece", F.pmod(F.xxhash64(id_col), F.lit(16)))
+
+    def removed(d: DataFrame, *keys: str) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(age, id_col).rowsBetween(Window.unboundedPreceding, -1)
+        return d.withColumn("freed", F.coalesce(F.sum(size).over(w), F.lit(0))).where(F.col("all") - F.col("freed") > budget).drop("freed")
+
+    # what stays in a piece of its store stays in the store, so one task gets few files of a large store
+    return removed(removed(free, by, "piece"), by).drop("all", "piece")
 
 
 def batch_routes(events: DataFrame, key: str, ts: str, gap: str, route: str) -> DataFrame:
