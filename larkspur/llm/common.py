@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from larkspur.scratch import remove, run_scope, shared_dir, written
 
-__all__ = ["SegmentEncoder", "encoder", "hot_join", "remove", "run_scope", "sampled", "shared_dir", "slices", "small_batches", "split_words", "table", "words", "written"]
+__all__ = ["SegmentEncoder", "encoder", "hot_join", "hot_keys", "remove", "run_scope", "sampled", "shared_dir", "slices", "small_batches", "split_words", "table", "words", "written"]
 
 #: A smaller table is joined as it is.
 HOT_ROWS = 10_000
@@ -27,14 +27,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def hot_keys(left: DataFrame, key: str) -> list:
+    """The keys that a thousandth of left's rows or more have, a thousand at most; none of a small table."""
+    n = left.count()
+    return [r[0] for r in left.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") * 1000 >= n).select(key).collect()] if n >= HOT_ROWS else []
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, hot: list | None = None) -> DataFrame:
     """left with right's columns (null where right has no row of the key); right has one row for a key.
 
-    Keys that a thousandth of left's rows or more have - a thousand keys at most - meet in a broadcast, however many rows
-    they have; the others are dealt out by key. left is read twice, so it should be a written table.
+    hot_keys(left, key), which may be given if they are known, meet in a broadcast, however many rows they have; the
+    others are dealt out by key. left is read twice, so it should be a written table.
     """
-    n = left.count()
-    hot = [r[0] for r in left.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") * 1000 >= n).select(key).collect()] if n >= HOT_ROWS else []
+    hot = hot_keys(left, key) if hot is None else hot
     if not hot:
         return left.join(right, key, "left")
     kind = left.schema[key].dataType.simpleString()

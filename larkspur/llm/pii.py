@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import hot_join, written
+from larkspur.llm.common import hot_join, hot_keys, written
 from larkspur.llm.spans import CONTEXT, digest, found, once, overlaps_base
 
 KINDS = ["email", "ip", "card", "phone", "context"]
@@ -22,8 +22,8 @@ PATTERNS = [
 TOKEN, GROUPED = len(PATTERNS) - 2, len(PATTERNS) - 1
 #: An identifier without a base pattern has so many digits or an @. A context counts if so many different seeds have it
 #: and so large a share of all its tokens are identifiers; a token is added from that score on. Scores have settled when
-#: a round moves their mean by no more than SETTLED.
-DIGITS, SUPPORT, CONFIDENCE, SCORE, SETTLED = 5, 3, 0.8, 0.8, 1e-6
+#: a round adds no more than SETTLED to their sum, which is less than one value that is lifted adds.
+DIGITS, SUPPORT, CONFIDENCE, SCORE, SETTLED = 5, 3, 0.8, 0.8, 0.5
 
 
 #: A text that is redacted is cut from blocks of so many characters.
@@ -86,16 +86,17 @@ def discovered(tokens: DataFrame) -> DataFrame:
     edges = written(usable.select("value", "seed", F.explode(_contexts()).alias("context")).groupBy("context", "value").agg(F.max("seed").alias("seed")), "edges")
     seeds = written(edges.groupBy("value").agg(F.max("seed").alias("seed")), "seeds")
     links, scored, before = edges.select("context", "value"), seeds.select("value", F.col("seed").cast("double").alias("score")), -1.0
+    hot_values, hot_contexts = hot_keys(links, "value"), hot_keys(links, "context")
     while True:
-        known = hot_join(links, scored, "value")
+        known = hot_join(links, scored, "value", hot_values)
         good = known.groupBy("context").agg(F.avg("score").alias("mean"), F.count(F.when(F.col("score") >= 1, 1)).alias("n"))
         good = written(good.where((F.col("n") >= SUPPORT) & (F.col("mean") >= CONFIDENCE)).select("context", "mean"), "contexts")
-        lifted = hot_join(links, good, "context").where("mean is not null").groupBy("value").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("mean"), F.lit(0.99)))))).alias("lift"))
+        lifted = hot_join(links, good, "context", hot_contexts).where("mean is not null").groupBy("value").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("mean"), F.lit(0.99)))))).alias("lift"))
         scored = written(seeds.join(lifted, "value", "left").select("value", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("lift", F.lit(0.0))).alias("score"), "seed"), "scores")
-        mean = scored.agg(F.coalesce(F.avg("score"), F.lit(0.0))).head()[0]
-        if mean - before <= SETTLED:
+        total = scored.agg(F.coalesce(F.sum("score"), F.lit(0.0))).head()[0]
+        if total - before <= SETTLED:
             break
-        before, scored = mean, scored.drop("seed")
+        before, scored = total, scored.drop("seed")
     fits = F.col("value").contains("@") | (F.length(F.regexp_replace("value", "[^0-9]", "")) >= DIGITS)
     return scored.where(~F.col("seed") & (F.col("score") >= SCORE) & fits).select("value")
 
