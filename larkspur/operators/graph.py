@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,25 @@ def khop(edges: DataFrame, seeds: DataFrame, depth: int, least: float = 0.0) ->
     return found.where("best.hops > 0").select("seed", "node", F.col("best.hops").alias("hops"), (-F.col("best.c")).alias("confidence"))
 
 
+def same_pairs(d: DataFrame, key: str, by: list[str], block: int = 256, task_pairs: int = 1 << 23) -> DataFrame:
+    """(a, b): all pairs of rows that agree in `by`, by their keys, a < b; nulls agree with nothing, repeated keys count as rows.
+
+    A group's keys are cut, in order, into blocks, and each block meets itself and the later ones. These meetings are dealt
+    out to tasks by the number of pairs, so a large group is many tasks; a first pass counts the pairs. No pair is made
+    twice but within a block. Blocks are short as Spark holds what one meeting makes in memory.
+    """
+    g = [f"g{i}" for i in range(len(by))]
+    d = d.select(*(F.col(c).alias(n) for c, n in zip(by, g, strict=True)), F.col(key).alias("key"))
+    d = reduce(lambda x, c: x.where(F.col(c).isNotNull()), d.columns, d)
+    n = F.col("count").cast("double")
+    pairs = d.groupBy(*g).count().agg(F.sum(n * (n - 1) / 2)).head()[0] or 0
+    rank = F.row_number().over(Window.partitionBy(*g).orderBy("key"))
+    blocks = d.select("*", F.floor((rank - 1) / block).alias("i")).groupBy(*g, "i").agg(F.sort_array(F.collect_list("key")).alias("x"))
+    later = blocks.select(*g, F.col("i").alias("j"), F.col("x").alias("y"))
+    meet = blocks.join(later, g).where("i <= j").repartition(min(1 + int(pairs / task_pairs), 50_000), *g, "i", "j")
+    return meet.select("y", F.explode("x").alias("a")).select("a", F.explode("y").alias("b")).where("a < b")
+
+
 def merged_edges(old: DataFrame, new: DataFrame) -> DataFrame:
     """Edges of both by (src, dst, type): greatest confidence, first fact there is (old before new), mentions added up."""
     both = old.withColumn("age", F.lit(0)).unionByName(new.withColumn("age", F.lit(1)))

@@ -38,8 +38,7 @@ def jn10_orphans(t: Tables) -> DataFrame:
 
 @R.query("SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON lower(a.p_type) = lower(b.p_type) AND a.p_partkey < b.p_partkey WHERE a.p_size = b.p_size")
 def jn13_same_name(t: Tables) -> DataFrame:
-    p = t.part.select("p_partkey", F.lower("p_type").alias("k"), "p_size")
-    return p.alias("x").join(p.alias("y"), ["k", "p_size"]).where("x.p_partkey < y.p_partkey").select(F.col("x.p_partkey").alias("a"), F.col("y.p_partkey").alias("b"))
+    return graph.same_pairs(t.part.select("p_partkey", F.lower("p_type").alias("k"), "p_size"), "p_partkey", ["k", "p_size"])
 
 
 OLD = "SELECT 'u' || user_id AS src, event_type AS dst, 'USES' AS type, max(value) / 100 AS confidence, CASE WHEN user_id % 2 = 0 THEN 'old' END AS fact, count(*) AS mentions FROM events WHERE event_id % 2 = {} GROUP BY user_id, event_type"

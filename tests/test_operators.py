@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from larkspur.operators import dedupe, graph, history, retrieval, usage
+from larkspur.plans import catalog
 
 
 def test_fusion(spark):
@@ -61,6 +62,26 @@ def test_khop_with_a_cycle(spark):
     assert got == [("a", "b", 1, 0.9), ("a", "c", 2, 0.45)]
 
 
+def test_same_pairs_by_brute_force(spark):
+    rows = [(None, "x", 1), (1, None, 1), (2, "x", None), *((i % 23, "xyz"[i % 3], i % 2) for i in range(90))]
+    d = spark.createDataFrame(rows, "id int, k string, n int")
+    full = [r for r in rows if None not in r]
+    want = sorted((a, b) for a, *g in full for b, *h in full if g == h and a < b)
+    for block in (1, 4, 100):
+        assert sorted(map(tuple, graph.same_pairs(d, "id", ["k", "n"], block, 50).collect())) == want
+    assert graph.same_pairs(d.where("id > 99"), "id", ["k"]).collect() == []
+
+
+def test_pairs_of_one_large_group_are_several_tasks(spark, tmp_path):
+    n = 6000
+    kind = F.when(F.col("id") % 2 == 0, "Small").otherwise("SMALL")
+    spark.range(0, n, 1, 1).select(F.col("id").alias("p_partkey"), kind.alias("p_type"), F.lit(7).alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    pairs = catalog.queries()["jn13_same_name"](spark, str(tmp_path)).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b")).collect()
+    assert sum(r.n for r in pairs) == n * (n - 1) // 2
+    assert (sum(r.a for r in pairs), sum(r.b for r in pairs)) == (sum(a * (n - 1 - a) for a in range(n)), sum(b * b for b in range(n)))
+    assert max(r.n for r in pairs) < 0.6 * n * (n - 1) / 2
+
+
 def test_hints(spark):
     e = spark.createDataFrame([("A", "B", "ENJOYS", 0.95), ("B", "C", "IS_A", 0.98), ("C", "D", "IS_A", 1.0)], "src string, dst string, type string, confidence double")
     (h,) = graph.hints(e).collect()
