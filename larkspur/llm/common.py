@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from larkspur.scratch import remove, run_scope, shared_dir, written
 
-__all__ = ["SegmentEncoder", "encoder", "hot_join", "hot_keys", "remove", "run_scope", "sampled", "shared_dir", "slices", "small_batches", "split_words", "table", "words", "written"]
+__all__ = ["SegmentEncoder", "batch_rows", "encoder", "hot_join", "hot_keys", "remove", "run_scope", "sampled", "shared_dir", "slices", "small_batches", "split_words", "table", "words", "written"]
 
 #: A smaller table is joined as it is.
 HOT_ROWS = 10_000
@@ -53,6 +54,19 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Inside, so many rows go to Python at once, so that long texts take little memory on either side; the session's own
+    number is set again at the end, so what is to run with this one must be written inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def sampled(df: DataFrame, key: Column, rows: int, most: int) -> DataFrame:
     """At most `most` rows of df, those with the least hashes of key; `rows` is how many df has, or a bound of that.
 

@@ -79,6 +79,24 @@ def op10_gated_recurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(table(spark, sf_dir, "documents"))
 
 
+def op11_lookup_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm import merkle
+
+    return merkle.checked(table(spark, sf_dir, "documents"))
+
+
+def op12_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm import decontam
+
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hits")
+
+
+def op13_chan_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm import whitening
+
+    return whitening.whitened(table(spark, sf_dir, "embeddings")).drop("exact_deviation")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,7 +104,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_learned_partitions, op2_divergence, op3_randomness, op4_bit_packing, op5_chunked_bpe, op6_boosted_trees, op7_best_fit, op8_bootstrapped, op9_circulant_minhash, op10_gated_recurrent, pipeline]
+    own = [op1_learned_partitions, op2_divergence, op3_randomness, op4_bit_packing, op5_chunked_bpe, op6_boosted_trees, op7_best_fit, op8_bootstrapped, op9_circulant_minhash, op10_gated_recurrent, op11_lookup_proofs, op12_wu_manber, op13_chan_whitening, pipeline]
     return {f.__name__: f for f in own}
 
 

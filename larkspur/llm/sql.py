@@ -111,5 +111,54 @@ sha256(coalesce({said} FILTER (kind < 3), '')) AS base_sha256, coalesce({said},
 """
 
 
+def lookup_proofs() -> str:
+    """The rows of op11: trees by recursion over levels, then every leaf climbs with what lies beside it. CRC-32 is told byte by
+    byte from a table that its polynomial gives."""
+    item = lambda x, c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(({x})::VARCHAR)::VARCHAR || ':' || ({x})::VARCHAR END"
+    leaf = lambda add: "sha256(" + " || ".join(item(f"{c} + {add}" if c == "n_chars" else c, c) for c in ["doc_id", "source", "lang", "n_chars", "text"]) + ")"
+    return f"""
+WITH RECURSIVE table_of AS (SELECT list(list_reduce(range(8), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+tagged AS (SELECT *, {leaf(0)} AS leaf, {leaf(1)} AS forged,
+    coalesce(xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda a, c: xor(a >> 8, t[(xor(a, c) & 255) + 1]), 4294967295), 4294967295) % 7 = 0, false) AS tampered
+    FROM documents, table_of),
+leaves AS (SELECT doc_id, coalesce('=' || lang, '-') AS grp, leaf, CASE WHEN tampered THEN forged ELSE leaf END AS used,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM tagged),
+node(grp, level, idx, h, n) AS (
+    SELECT grp, 0, idx, leaf, count(*) OVER (PARTITION BY grp) FROM leaves
+    UNION ALL SELECT grp, level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (n + 1) // 2 FROM node WHERE n > 1 GROUP BY grp, level, idx // 2, n),
+sub AS (SELECT grp, h, row_number() OVER (ORDER BY encode(grp)) - 1 AS idx FROM node WHERE n = 1),
+top(level, idx, h, n) AS (
+    SELECT 0, idx, h, count(*) OVER () FROM sub
+    UNION ALL SELECT level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (n + 1) // 2 FROM top WHERE n > 1 GROUP BY level, idx // 2, n),
+every AS (SELECT grp, level, idx, h FROM node WHERE n > 1 UNION ALL SELECT '', level, idx, h FROM top WHERE n > 1),
+heights AS (SELECT grp, max(level) AS height FROM node GROUP BY grp),
+up AS (
+    SELECT l.doc_id, l.grp AS own, l.idx AS own_idx, s.h AS subroot, l.grp, 0 AS level, l.idx, l.leaf, l.used AS h, '' AS proof FROM leaves l JOIN sub s USING (grp)
+    UNION ALL
+    SELECT doc_id, own, own_idx, subroot, CASE WHEN done THEN '' ELSE grp END, CASE WHEN done THEN 0 ELSE level + 1 END, CASE WHEN done THEN root_idx ELSE idx // 2 END, leaf,
+        CASE WHEN done THEN h WHEN other IS NULL THEN sha256(h) WHEN idx % 2 = 0 THEN sha256(h || other) ELSE sha256(other || h) END, CASE WHEN done THEN proof ELSE proof || coalesce(other, '') END
+    FROM (SELECT u.*, u.level = hs.height AS done, s.idx AS root_idx, e.h AS other FROM up u JOIN heights hs ON u.own = hs.grp JOIN sub s ON u.own = s.grp
+        LEFT JOIN every e ON e.grp = u.grp AND e.level = u.level AND e.idx = xor(u.idx, 1)
+        WHERE u.grp <> '' OR u.level < (SELECT max(level) FROM top)))
+SELECT doc_id, leaf, subroot, (SELECT h FROM top WHERE n = 1) AS root, sha256(proof) AS proof_sha256, h AS folded_root, h = (SELECT h FROM top WHERE n = 1) AS verified
+FROM up WHERE grp = '' AND level = (SELECT max(level) FROM top)
+"""
+
+
+def contamination(size: int = 10) -> str:
+    """The rows of op12: every run of words of a document that is as long as some window, met with windows by its words."""
+    ws = lambda t: f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM {t}"
+    return f"""
+WITH d AS (SELECT doc_id, {ws("documents")}), b AS (SELECT item_id, {ws("benchmark")}),
+win AS (SELECT DISTINCT item_id, least(len(ws), {size}) AS l, array_to_string(ws[i:i + {size - 1}], ' ') AS w FROM b, unnest(range(1, greatest(1, len(ws) - {size - 1}) + 1)) r(i) WHERE len(ws) > 0),
+here AS (SELECT doc_id, i, l, array_to_string(ws[i:i + l - 1], ' ') AS w FROM d, (SELECT DISTINCT l FROM win) k, unnest(range(1, len(ws) - l + 2)) r(i)),
+met AS (SELECT DISTINCT doc_id, i, l, item_id FROM here JOIN win USING (l, w)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT DISTINCT doc_id, i, l FROM met), unnest(range(i, i + l)) r(p) GROUP BY doc_id),
+item AS (SELECT doc_id, count(*) AS n, string_agg(s, ',' ORDER BY s) AS names FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM met WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(item.n, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN item USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_divergence": divergence(), "op3_randomness": randomness(), "op9_circulant_minhash": near_duplicates()}
+    return {"op2_divergence": divergence(), "op3_randomness": randomness(), "op9_circulant_minhash": near_duplicates(), "op11_lookup_proofs": lookup_proofs(), "op12_wu_manber": contamination()}
