@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
 from larkspur.functions import vectors as V
-from larkspur.operators import dedupe, retrieval
+from larkspur.operators import dedupe, retrieval, textindex
 from larkspur.plans.registry import Registry, Tables
+from larkspur.scratch import scratch_path
 
 R = Registry()
 NOW = "2024-02-01 00:00:00"
@@ -61,6 +62,50 @@ def rnk3_bm25_topk(t: Tables) -> DataFrame:
     return retrieval.bm25(t.documents, "doc_id", "text", TERMS, 50)
 
 
+def fts(text):
+    return T.fts_tokens(F.lower(text))
+
+
+def benchmark_queries(t: Tables) -> DataFrame:
+    """query_id, match: of each passage, its first two different words with AND, and its first five with OR."""
+    first = lambda n: T.fts_query(F.array_join(F.slice(F.array_distinct(fts(F.col("text"))), 1, n), " "))
+    both = [t.benchmark.select((F.col("item_id") * 2).alias("query_id"), first(2).alias("match")), t.benchmark.select((F.col("item_id") * 2 + 1).alias("query_id"), F.replace(first(5), F.lit(" AND "), F.lit(" OR ")).alias("match"))]
+    return both[0].unionByName(both[1])
+
+
+#: The rows of searches of a table `said` (id, text) with the benchmark's queries: every text is scored for every query.
+SEARCHED = """listed AS (SELECT id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM said),
+word AS (SELECT id, len(w) AS length, unnest(w) AS term FROM listed), s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM listed WHERE len(w) > 0),
+tf AS (SELECT id, length, term, count(*) AS tf FROM word GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM benchmark),
+d AS (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY min(i)) AS place FROM (SELECT item_id, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM q) GROUP BY item_id, term),
+asked AS (SELECT item_id * 2 AS query_id, term, true AS every FROM d WHERE place <= 2 UNION ALL SELECT item_id * 2 + 1, term, false FROM d WHERE place <= 5),
+wanted AS (SELECT query_id, count(*) AS wanted FROM asked GROUP BY query_id),
+hit AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean))), 6) AS score, any_value(every) AS every, count(*) AS met
+    FROM asked JOIN tf USING (term) JOIN df USING (term), s GROUP BY query_id, id)
+SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM hit JOIN wanted USING (query_id) WHERE NOT every OR met = wanted) WHERE r <= 5"""
+
+
+@R.query("WITH said AS (SELECT doc_id AS id, text FROM documents), " + SEARCHED)
+def rnk3_index_batch(t: Tables) -> DataFrame:
+    """All passages' queries at once, from a stored index of all documents."""
+    path = scratch_path(t.spark, "index")
+    textindex.add(t.documents, path, "doc_id", "text", fts)
+    return textindex.search(t.spark, path, textindex.parsed(benchmark_queries(t)), 5)
+
+
+@R.query("""WITH said AS (SELECT d.doc_id AS id, coalesce(c.text, d.text) AS text FROM documents d LEFT JOIN (SELECT conv_id, text FROM conversations WHERE turn = 0) c ON d.doc_id = c.conv_id
+WHERE d.doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)), """ + SEARCHED)
+def rnk3_index_changed(t: Tables) -> DataFrame:
+    """The same after some documents have come anew with other texts and some were deleted: three segments, not merged."""
+    path = scratch_path(t.spark, "index")
+    textindex.add(t.documents, path, "doc_id", "text", fts)
+    first = t.conversations.where("turn = 0").select("conv_id", "text").join(t.documents.select(F.col("doc_id").alias("conv_id")), "conv_id", "left_semi")
+    textindex.add(first, path, "conv_id", "text", fts)
+    textindex.delete(t.labels.where("toxic = 1").select("doc_id"), path)
+    return textindex.search(t.spark, path, textindex.parsed(benchmark_queries(t)), 5)
+
+
 def both_lists(t: Tables) -> tuple[DataFrame, DataFrame]:
     v = retrieval.cosine_topk(t.embeddings, first_vector(t), 40).select(F.col("vec_id").alias("id"), F.col("score").alias("vector_score"))
     k = retrieval.bm25(t.documents, "doc_id", "text", TERMS, 40).select("id", F.round(V.rank_score(10 - F.col("score")), 6).alias("text_score"))

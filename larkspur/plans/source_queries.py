@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import filters
 from larkspur.functions import html as H
 from larkspur.functions import time as tm
-from larkspur.operators import graph, retrieval, tools
+from larkspur.operators import graph, retrieval, textindex, tools
 from larkspur.plans.registry import Registry, Tables
 from larkspur.scratch import scratch_path
 from larkspur.sources import readers, writers
@@ -131,11 +131,27 @@ def snk15_replaced(t: Tables) -> DataFrame:
     return writers.newest_version(t.spark, path).select("r_regionkey", "r_name")
 
 
-@R.query("SELECT doc_id, lang FROM documents")
+@R.query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))
+SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS occurrences, 1 AS segments, 5 AS removed FROM w GROUP BY term""")
 def snk14_optimised(t: Tables) -> DataFrame:
+    """A text index that came in two parts, the second of which replaced documents of the first, and lost some: merged into one."""
     path = scratch_path(t.spark, "fts")
-    writers.optimised(t.documents.select("doc_id", "lang"), path, 4, ["doc_id"])
-    return writers.newest_version(t.spark, path).select("doc_id", "lang")
+    textindex.add(t.documents.where("lang = 'en'"), path, "doc_id")
+    textindex.add(t.documents, path, "doc_id")
+    textindex.delete(t.labels.where("toxic = 1").select("doc_id"), path)
+    textindex.optimise(t.spark, path)
+    textindex.delete(t.labels.where("toxic = 1").select("doc_id"), path)  # nothing is there to be deleted
+    textindex.optimise(t.spark, path)
+    removed = textindex.vacuum(t.spark, path)
+    return textindex.terms_of(t.spark, path).withColumns({"segments": F.lit(len(textindex.segments(t.spark, path))), "removed": F.lit(removed)})
+
+
+@R.query("SELECT (SELECT count(*) FROM documents WHERE text IS NULL) * 0 AS documents, 1 AS segments")
+def snk14_cleared(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "fts")
+    textindex.add(t.documents, path, "doc_id")
+    textindex.clear(t.spark, path)
+    return textindex.terms_of(t.spark, path).agg(F.count("*").alias("documents"), F.lit(len(textindex.segments(t.spark, path))).alias("segments"))
 
 
 @R.query("SELECT event_id, event_type LIKE 'c%' OR event_type = 'view' AS shown FROM events")
