@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from larkspur.scratch import remove, run_scope, shared_dir, written
 
-__all__ = ["SegmentEncoder", "batch_rows", "encoder", "hot_join", "hot_keys", "remove", "run_scope", "sampled", "shared_dir", "slices", "small_batches", "split_words", "table", "words", "written"]
+__all__ = ["SegmentEncoder", "batch_rows", "encoder", "hot_join", "hot_keys", "named", "quoted", "remove", "run_scope", "sampled", "shared_dir", "slices", "small_batches", "split_words", "table", "words", "written"]
 
 #: A smaller table is joined as it is.
 HOT_ROWS = 10_000
@@ -28,6 +28,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(df: DataFrame, name: str) -> str | None:
+    """The column of df that Spark takes `name` for, in any case unless the session tells cases apart; none, or an error if
+    several would do."""
+    apart = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+    found = [c for c in df.columns if c == name or not apart and c.lower() == name.lower()]
+    if len(found) > 1:
+        raise ValueError(f"several columns are called {name}: {found}")
+    return found[0] if found else None
+
+
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def hot_keys(left: DataFrame, key: str) -> list:
     """The keys that a thousandth of left's rows or more have, a thousand at most; none of a small table."""
     n = left.count()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import hot_join, hot_keys, written
+from larkspur.llm.common import hot_join, hot_keys, named, written
 from larkspur.llm.spans import CONTEXT, digest, found, once, overlaps_base
 
 KINDS = ["email", "ip", "card", "phone", "context"]
@@ -128,17 +128,26 @@ def detect(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with every span in `text` replaced by its kind in brackets, and n_chars, if there, as the new length.
 
-    Spans that overlap are replaced as one, under the kind of the first. Null texts stay null.
+    Spans that overlap are replaced as one, under the kind of the first. Null texts stay null. The text is the column that
+    Spark takes `text` for, whatever its case; without one, or with several, it is an error, and nothing passes
+    unredacted. Other columns go through as they are, whatever their names.
     """
-    keyed = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[docs[c] for c in docs.columns]).alias("doc")), "keyed")
-    spans = personal(keyed.select("row", "doc.doc_id", "doc.text"), "row").where("kind is not null")
+    text_col, n_col, id_col = named(docs, "text"), named(docs, "n_chars"), named(docs, "doc_id")
+    if text_col is None:
+        raise ValueError("no column is called text")
+    at = [f"c{i}" for i in range(len(docs.columns))]  # own names, so that none has a dot or another's name
+    place = dict(zip(docs.columns, at, strict=True))
+    plain = docs.toDF(*at)
+    keyed = written(plain.select(F.monotonically_increasing_id().alias("row"), F.struct(*at).alias("doc")), "keyed")
+    found_in = keyed.select("row", (F.col(f"doc.{place[id_col]}") if id_col else F.lit(None).cast("long")).alias("doc_id"), F.col(f"doc.{place[text_col]}").alias("text"))
+    spans = personal(found_in, "row").where("kind is not null")
     w = Window.partitionBy("row").orderBy("start", "kind")
     upto = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.withColumn("island", F.sum(F.when(F.coalesce(F.col("start") >= upto, F.lit(True)), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     name = F.element_at(F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS]), F.col("first.kind") + 1)
     merged = spans.groupBy("row", "island").agg(F.min(F.struct("start", "kind")).alias("first"), F.max("end").alias("end"))
     listed = merged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.col("first.start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), name.alias("name")))).alias("spans"))
-    text = F.col("doc.text")
+    text = F.col(f"doc.{place[text_col]}")
 
     def masked(blocks: Column) -> Column:
         def cut(a: Column, b: Column) -> Column:
@@ -155,5 +164,5 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     new = F.when(F.col("spans").isNull(), text).otherwise(once(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), masked))
     out = keyed.join(listed, "row", "left").select("doc", new.alias("new"))
-    cols = [F.col("new").alias("text") if c == "text" else F.length("new").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns]
-    return out.select(cols)
+    cols = [F.col("new") if c == text_col else F.length("new").cast(docs.schema[c].dataType) if c == n_col else F.col(f"doc.{place[c]}") for c in docs.columns]
+    return out.select(*[c.alias(name) for c, name in zip(cols, docs.columns, strict=True)])

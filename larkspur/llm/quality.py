@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import words, written
+from larkspur.llm.common import named, quoted, words, written
 from larkspur.llm.spans import once
 
 # Common words of the languages that have a reference.
@@ -64,11 +64,10 @@ def repeated_words(word: Column) -> Column:
 
 def measured(docs: DataFrame, carried: list[str]) -> DataFrame:
     """The carried columns as a struct `row`, the base figures, and `classes` and `common` (shares; null where guarded)."""
-    has = set(docs.columns)
-    lang = F.col("lang") if "lang" in has else F.lit(None).cast("string")
+    lang = quoted(name) if (name := named(docs, "lang")) else F.lit(None).cast("string")
     lists = docs.sparkSession.createDataFrame(list(COMMON.items()), "ref_lang string, list array<string>")
     text = F.col("text")
-    d = docs.select(F.struct(*[docs[c] for c in carried]).alias("row"), F.coalesce(docs["text"], F.lit("")).alias("text"), lang.alias("lang"))
+    d = docs.select(F.struct(*map(quoted, carried)).alias("row"), F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang"))
     d = d.join(F.broadcast(lists), F.col("lang") == F.col("ref_lang"), "left").withColumn("word", words(text))
     n_chars = F.length("text")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -142,5 +141,5 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns."""
+    """The documents that pass, with their own columns, whatever these are called."""
     return judged(docs, docs.columns).where("kept").select("row.*")

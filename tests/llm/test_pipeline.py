@@ -1,4 +1,5 @@
 import os
+import random
 import re
 
 import public_tokenizers
@@ -6,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from larkspur.llm import common, minhash, quality, sql
+from larkspur.llm import common, minhash, pii, quality, sql
 from tests.llm.helpers import SF, odd_docs
 from tests.llm.test_minhash import brute
 from tests.llm.test_native import in_duckdb
@@ -61,6 +62,50 @@ def test_hard_rows_and_empty_tables_go_through(spark):
         assert frame.count() == 0
 
 
+def varied(n, seed):
+    """English words and made-up ones: no three in a row come twice often."""
+    rng = random.Random(seed)
+    common = quality.COMMON["en"]
+    return " ".join(rng.choice(common) if rng.random() < 0.4 else "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 9))) for _ in range(n))
+
+
+CLASHES = ["gone_id", "a.b", "row", "kept", "spans", "new", "doc", "c0", "own", "component_id", "part", "island", "text_", "`x"]
+
+
+def test_columns_of_any_name_and_case_go_through_and_texts_are_redacted(spark):
+    body = varied(300, 1) + " write to bob@example.com now"
+    rows = [(1, body, "en", 5, *range(14)), (1, body, "en", 5, *range(14)), (2, body + " more", None, None, *[None] * 14), (None, varied(300, 2) + " mail a@b.com", "en", 1, *range(14))]
+    docs = spark.createDataFrame(rows, "Doc_Id long, Text string, LANG string, N_chars long, " + ", ".join(f"`{c.replace('`', '``')}` int" for c in CLASHES))
+    before, good, unique, clean, packed = through(spark, docs)
+    assert good.columns == unique.columns == clean.columns == docs.columns
+    got = clean.collect()
+    assert sorted(str(r[0]) for r in got) == ["1", "1", "None"]  # rows that share an id are one document
+    assert all("@" not in r[1] and "[EMAIL]" in r[1] and r[3] == len(r[1]) and r[4:] == tuple(range(14)) for r in got)
+    assert packed.count() == 3
+
+
+def test_redaction_never_lets_texts_pass(spark):
+    with pytest.raises(ValueError):
+        pii.redacted(spark.createDataFrame([(1, "a@b.com")], "doc_id long, body string"))
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        with pytest.raises(ValueError):
+            pii.redacted(spark.createDataFrame([(1, "a@b.com")], "doc_id long, Text string"))
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+    assert pii.redacted(spark.createDataFrame([("mail a@b.com",)], "TEXT string")).collect()[0][0] == "mail [EMAIL]"
+
+
+def test_a_very_long_text_and_its_copy_go_through(spark):
+    text = varied(60_000, 3) + " a@b.example.com 10.0.0.1"
+    docs = spark.createDataFrame([(i, t, "en", len(t)) for i, t in enumerate([text, text + " more", "short"] * 2)], "doc_id long, text string, lang string, n_chars long")
+    before, good, unique, clean, packed = through(spark, docs.coalesce(1))
+    assert [r.doc_id for r in unique.select("doc_id").collect()] == [0]
+    (row,) = clean.collect()
+    assert "@" not in row.text and row.n_chars == len(row.text)
+    assert packed.agg({"length": "sum"}).head()[0] == len(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode(row.text, add_special_tokens=False).ids) + 1
+
+
 def test_results_that_are_still_to_be_read_outlive_a_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     judged, near = quality.verdicts(docs), minhash.near_duplicates(docs)
