@@ -1,7 +1,9 @@
 """The corpus pipeline: quality rules, near duplicates, personal data, packing.
 
 Each stage works on all that the one before kept. The first three return documents with their own columns, so extra
-columns go through; the last returns the packed pieces. Null and empty texts fail the quality rules and go there.
+columns go through, whatever they are called (names with dots, and names that operators use inside); the columns that a stage
+needs are found as Spark finds them, so their case does not matter. The last returns the packed pieces. Null and empty texts
+fail the quality rules and go there.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that share a doc_id are one document and stay together; rows without a doc_id stay.
     """
-    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
