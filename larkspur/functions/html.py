@@ -37,6 +37,11 @@ HIDDEN_BOX = {"width": r"0(px)?", "height": r"0(px)?", "overflow": r"hidden"}
 MAIN_CHARS, MAIN_DEPTH = 1_000_000, 3_000
 
 
+def whole(s: str) -> str:
+    """Text in which surrogates that stand side by side are one character, and others U+FFFD, which any encoding can hold."""
+    return s.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace") if re.search("[\ud800-\udfff]", s) else s
+
+
 def squeezed(s: str) -> str:
     """Lines without blanks at their ends, runs of blanks as one space, at most one empty line in a row."""
     lines: list[str] = []
@@ -92,7 +97,7 @@ class _Markdown(HTMLParser):
         """Closes the innermost element; one that was never ended leaves its text as it is."""
         tag, href, inside = self.open.pop()
         text = "".join(inside)
-        label = squeezed(text)
+        label = squeezed(whole(text))
         if not ended:
             pass
         elif tag == "title":
@@ -116,12 +121,13 @@ class _Markdown(HTMLParser):
 
     def handle_charref(self, name):
         digits, base = (name[1:], 16) if name[:1] in "xX" else (name, 10)
-        self.say(chr(int(digits, base) & 0xFFFF))  # a code unit, as in the original
+        # a code unit, as in the original, to which a number too large for a double is none
+        self.say(chr(int(digits, base) & 0xFFFF if len(digits) < 256 else 0))
 
     def read(self, page: str) -> str:
         self.feed(page)
         self.close_all()
-        return squeezed("".join(self.open[0][2]))
+        return squeezed(whole("".join(self.open[0][2])))
 
     def close_all(self) -> None:
         super().close()
