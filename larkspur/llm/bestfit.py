@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import encoder, slices, small_batches, written
+from larkspur.llm.common import batch_rows, encoder, slices, written
 
 
 class BestFit:
@@ -55,13 +55,16 @@ class BestFit:
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, bin long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048, open_bins: int = 1024, group: int = 256) -> DataFrame:
-    """A row for every piece of every document: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048, open_bins: int = 64, group: int = 256) -> DataFrame:
+    """A row for every piece of every document: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and the round (1
+    or 2) that placed it.
 
     Each task encodes the texts that it reads (null: empty), adds end_id, cuts what is longer than `size` and puts the
-    pieces as they come into its own open bins. The pieces of bins still open at its end go through a second round: those
-    of about `group` bins, taken from all tasks, come to as many open bins again, the longest first, and stay as they were
-    where that takes no fewer bins. So neither round has a task that grows with the input. Rows with the same doc_id stay rows of their own,
+    pieces as they come into its own open bins, of which there are `open_bins` at most: the fullest closes. What is still open
+    at its end, so many bins at most, goes through a second round: the tasks are taken in turn, so that about `group` bins come
+    together, and their pieces are put, bin by bin and in the order in which they came, into as many open bins again. They stay as
+    they were where that takes no fewer bins. So neither round has a task that grows with the input, and the share of
+    pieces in the second falls with the size of a task. Rows with the same doc_id stay rows of their own,
     a null doc_id stays null, other columns are ignored, no documents give no rows.
     """
 
@@ -84,27 +87,27 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048, ope
                     rows.append((doc, piece, start, length, zlib.crc32(end, crc) if last else crc, part, number, offset))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
             rows = []
-        if left := fit.left():  # a row without a piece for each
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*[(None, None, None, used, None, part, b, None) for b, used in left], strict=True), kinds, strict=True)], names)
+        if left := fit.left():  # a row without a piece for each, numbered in the place of its start
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*[(None, None, k, used, None, part, b, None) for k, (b, used) in enumerate(left)], strict=True), kinds, strict=True)], names)
 
-    small_batches(docs.sparkSession)
-    packed = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, PIECES), "pieces")
+    with batch_rows(docs.sparkSession, 2000):
+        packed = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, PIECES), "pieces")
     packed = packed.withColumn("own", F.col("part") * F.lit(1 << 40) + F.col("bin"))
-    left = packed.where(F.col("piece").isNull()).select(F.col("own"), F.lit(True).alias("open"))
-    groups = max(1, left.count() // group)
+    number = F.col("part") * F.lit(open_bins) + F.col("start")
+    left = packed.where(F.col("piece").isNull()).select("own", F.floor(number / F.lit(max(group, open_bins))).alias("g"))
     found = packed.where(F.col("piece").isNotNull()).join(left, "own", "left")
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    closed = found.where(F.col("open").isNull()).select(*columns, F.col("own").alias("sequence_id"), "offset")
+    closed = found.where(F.col("g").isNull()).select(*columns, F.col("own").alias("sequence_id"), "offset", F.lit(1).alias("round"))
 
     def again(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "own", "offset"], ascending=[False, True, True]).reset_index(drop=True)
+        rows = rows.sort_values(["own", "offset"]).reset_index(drop=True)
         bins = sorted(rows["own"].unique())
         fit = BestFit(size, open_bins)
         placed = [fit.put(int(n)) for n in rows["length"]]
         if fit.made < len(bins):
             rows["own"], rows["offset"] = [bins[b] for b, _ in placed], [o for _, o in placed]
-        return rows[[*columns, "own", "offset"]].rename(columns={"own": "sequence_id"})
+        return rows[[*columns, "own", "offset"]].rename(columns={"own": "sequence_id"}).assign(round=2)
 
-    kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    opened = found.where("open").select(*columns, "own", "offset").groupBy(F.pmod(F.xxhash64("own"), F.lit(groups)).alias("g")).applyInPandas(lambda x: again(x), kinds)
+    kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, round int"
+    opened = found.where(F.col("g").isNotNull()).groupBy("g").applyInPandas(lambda x: again(x[[*columns, "own", "offset"]]), kinds)
     return closed.unionByName(opened)

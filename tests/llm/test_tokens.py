@@ -110,3 +110,14 @@ def test_best_fit_takes_the_tightest_bin_and_closes_the_fullest():
     assert fit.put(9) == (2, 0)
     assert fit.put(5) == (3, 0)  # bins 0 (2 free) and 2 (1 free) are open: 2 closes
     assert sorted(fit.left()) == [(0, 8), (3, 5)]
+
+
+def test_most_pieces_stay_where_the_first_round_puts_them(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartition(4, "doc_id")
+    rows = bestfit.pack(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
+    again = sum(r["round"] == 2 for r in rows)
+    assert 0 < again < 0.15 * len(rows)
+    # a task's open bins are 64 at most, so the second round has those of 4 tasks
+    assert len({r.sequence_id for r in rows if r["round"] == 2}) <= 4 * 64
+    tokens, sequences = sum(r.length for r in rows), len({r.sequence_id for r in rows})
+    assert tokens / 2048 > 0.97 * sequences
