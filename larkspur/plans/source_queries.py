@@ -11,7 +11,7 @@ from larkspur.functions import time as tm
 from larkspur.operators import graph, retrieval, textindex, tools
 from larkspur.plans.registry import Registry, Tables
 from larkspur.scratch import scratch_path
-from larkspur.sources import readers, writers
+from larkspur.sources import readers, tail, writers
 from larkspur.streaming import batch, stateful
 
 R = Registry()
@@ -75,6 +75,35 @@ def src6_newest_runs(t: Tables) -> DataFrame:
     return readers.newest_runs(run_logs(t), 20, "job7").select("ts")
 
 
+def day_logs(t: Tables) -> str:
+    """A folder with a log of each day's events, a line for each, in order."""
+    path = scratch_path(t.spark, "days")
+    e = t.events.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_id", F.concat_ws(" ", "event_id", "event_type", F.coalesce("props", F.lit("-"))).alias("value"))
+    e.repartition("day").sortWithinPartitions("day", "event_id").select("value", "day").write.partitionBy("day").text(path)
+    return path
+
+
+@R.query("""WITH l AS (SELECT strftime(ts, '%Y-%m-%d') AS day, event_id, concat_ws(' ', event_id, event_type, coalesce(props, '-')) AS value FROM events),
+p AS (SELECT *, sum(strlen(value) + 1) OVER (PARTITION BY day ORDER BY event_id) AS stop, sum(strlen(value) + 1) OVER (PARTITION BY day) AS size FROM l),
+c AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY event_id DESC) AS r FROM p WHERE stop - strlen(value) - 1 >= greatest(0, size - 1500))
+SELECT day, (stop - strlen(value) - 1)::BIGINT AS at, value FROM c WHERE r <= 20""")
+def src7_log_tail(t: Tables) -> DataFrame:
+    """The end of each day's log: the last 20 lines of those that begin in its last 1500 bytes."""
+    return tail.ends(t.spark, day_logs(t), "*.txt", 20, 1500, rangeBytes=512).select(F.regexp_extract("path", "day=([0-9-]+)", 1).alias("day"), "at", "value")
+
+
+@R.query("SELECT conv_id || ' ' || turn || ' ' || role AS value, count(*) AS n FROM conversations GROUP BY ALL")
+def src12_tailed_stream(t: Tables) -> DataFrame:
+    """A folder's lines as a stream that is stopped, while more come, and started again: each line once."""
+    root = scratch_path(t.spark, "tailed")
+    line = F.concat_ws(" ", "conv_id", "turn", "role").alias("value")
+    for role in (F.col("role") == "user", F.coalesce(F.col("role") != "user", F.lit(True))):
+        t.conversations.where(role).select(line).write.mode("append").text(f"{root}/in")
+        q = tail.stream(t.spark, f"{root}/in", "*.txt").writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(f"{root}/out")
+        q.awaitTermination()
+    return t.spark.read.schema(tail.SCHEMA).parquet(f"{root}/out").groupBy("value").agg(F.count("*").alias("n"))
+
+
 @R.query("SELECT doc_id FROM documents WHERE lang = 'en' AND source IN ('src1', 'src2')")
 def src9_chunks(t: Tables) -> DataFrame:
     return readers.chunks_of(t.documents.withColumnRenamed("lang", "model"), "en", ["src1", "src2"]).select("doc_id")
