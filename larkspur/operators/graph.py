@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.operators.skew import with_facts
+from larkspur.scratch import written
+
 
 def khop(edges: DataFrame, seeds: DataFrame, depth: int, least: float = 0.0) -> DataFrame:
     """(seed, node, hops, confidence): nodes within `depth` edges of each seed, at their fewest hops, best confidence.
@@ -28,20 +31,24 @@ def khop(edges: DataFrame, seeds: DataFrame, depth: int, least: float = 0.0) ->
 def same_pairs(d: DataFrame, key: str, by: list[str], block: int = 256, task_pairs: int = 1 << 23) -> DataFrame:
     """(a, b): all pairs of rows that agree in `by`, by their keys, a < b; nulls agree with nothing, repeated keys count as rows.
 
-    A group's keys are cut, in order, into blocks, and each block meets itself and the later ones. These meetings are dealt
-    out to tasks by the number of pairs, so a large group is many tasks; a first pass counts the pairs. No pair is made
-    twice but within a block. Blocks are short as Spark holds what one meeting makes in memory.
+    A group's keys are cut, by their hashes, into blocks, as many as it needs, and each block meets itself and the later ones.
+    These meetings are dealt out to tasks by the number of pairs, so a large group is many tasks; a first pass counts the
+    pairs. No step has a whole group in one task: groups are counted as they are, and a row learns how many blocks its
+    group has where it is, if the group is large. No pair is made twice but within a block. Blocks are short as Spark holds
+    what one meeting makes in memory.
     """
     g = [f"g{i}" for i in range(len(by))]
     d = d.select(*(F.col(c).alias(n) for c, n in zip(by, g, strict=True)), F.col(key).alias("key"))
     d = reduce(lambda x, c: x.where(F.col(c).isNotNull()), d.columns, d)
+    counts = written(d.groupBy(*g).count(), "counts")
     n = F.col("count").cast("double")
-    pairs = d.groupBy(*g).count().agg(F.sum(n * (n - 1) / 2)).head()[0] or 0
-    rank = F.row_number().over(Window.partitionBy(*g).orderBy("key"))
-    blocks = d.select("*", F.floor((rank - 1) / block).alias("i")).groupBy(*g, "i").agg(F.sort_array(F.collect_list("key")).alias("x"))
+    pairs = counts.agg(F.sum(n * (n - 1) / 2)).head()[0] or 0
+    placed = with_facts(d, counts.where("count > 1"), g, counts=counts)
+    blocks = placed.groupBy(*g, F.pmod(F.xxhash64("key"), F.ceil(n / block).cast("long")).alias("i")).agg(F.sort_array(F.collect_list("key")).alias("x"))
     later = blocks.select(*g, F.col("i").alias("j"), F.col("x").alias("y"))
     meet = blocks.join(later, g).where("i <= j").repartition(min(1 + int(pairs / task_pairs), 50_000), *g, "i", "j")
-    return meet.select("y", F.explode("x").alias("a")).select("a", F.explode("y").alias("b")).where("a < b")
+    met = meet.select("i", "j", "y", F.explode("x").alias("a")).select("i", "j", "a", F.explode("y").alias("b"))
+    return met.where("i < j or a < b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def merged_edges(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -84,7 +91,10 @@ def hints(edges: DataFrame) -> DataFrame:
     pattern = F.lit(None).cast("string")
     for (x, y), name in HINTS.items():
         pattern = F.when((F.col("t1") == x) & (F.col("t2") == y), F.lit(name)).otherwise(pattern)
-    d = a.join(b, "mid").where("start <> end").withColumn("pattern", pattern).where("pattern is not null")
+    # only edges of the types that make hints meet, and only the best of those with the same ends and type
+    first = a.where(F.col("t1").isin([x for x, _ in HINTS])).groupBy("start", "mid", "t1").agg(F.max("c1").alias("c1"))
+    then = b.where(F.col("t2").isin([y for _, y in HINTS])).groupBy("mid", "end", "t2").agg(F.max("c2").alias("c2"))
+    d = first.join(then, "mid").where("start <> end").withColumn("pattern", pattern).where("pattern is not null")
     return d.groupBy("start", "end", "pattern").agg(F.max(F.col("c1") * F.col("c2")).alias("confidence"))
 
 
@@ -124,8 +134,8 @@ def episodes_of(mentions: DataFrame, entities: DataFrame, terms: list[str], k: i
     return g.orderBy(F.desc("shared"), F.desc("ts"), "episode_id").limit(k)
 
 
-def best_match(names: DataFrame, known: DataFrame, least: float = 0.8) -> DataFrame:
-    """name, match, ratio: the known name nearest by Levenshtein ratio, ties to the least.
+def best_match(names: DataFrame, known: DataFrame, least: float = 0.8, others: bool = False) -> DataFrame:
+    """name, match, ratio: the known name nearest by Levenshtein ratio, ties to the least; with `others`, never the name itself.
 
     A known name of m letters is cut into one piece more than there may be edits with any partner, so a partner has one of
     the pieces whole, at a place that the edits before and after it allow. Names meet by length, piece and text only.
@@ -144,6 +154,7 @@ def best_match(names: DataFrame, known: DataFrame, least: float = 0.8) -> DataFr
     a = a.withColumns({"low": low, "high": high}).where("low <= high").select("name", "m", "i", "size", F.explode(F.sequence("low", "high")).alias("at"))
     a = a.select("name", "m", "i", F.expr("substring(name, at + 1, size)").alias("piece")).distinct()
     pairs = a.join(b, ["m", "i", "piece"]).select("name", "match").distinct()
+    pairs = pairs.where("name <> match") if others else pairs
     longest = F.greatest(F.length("name"), F.length("match"))
     d = pairs.withColumn("ratio", F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein("name", "match") / longest)).where(F.col("ratio") >= least)
     return d.groupBy("name").agg(F.min(F.struct((-F.col("ratio")).alias("ratio"), "match")).alias("x")).select("name", "x.match", (-F.col("x.ratio")).alias("ratio"))

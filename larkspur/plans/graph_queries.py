@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.operators import graph
+from larkspur.operators import graph, merge
+from larkspur.operators.skew import with_facts
 from larkspur.plans.registry import Registry, Tables
 
 R = Registry()
@@ -147,3 +148,81 @@ def set7_allow_list(t: Tables) -> DataFrame:
     return t.events.groupBy("user_id").agg(F.array_join(F.sort_array(merged), ",").alias("allowed"))
 
 
+def people(t: Tables) -> DataFrame:
+    """Customers as entities: those of a nation with about the same balance share an alias, those of a segment another."""
+    bal = lambda n: F.floor(F.col("c_acctbal") / n).cast("string")
+    aliases = F.array(F.concat(F.lit("N"), "c_nationkey", F.lit("/"), bal(100)), F.concat(F.lower("c_mktsegment"), F.lit("/"), bal(10)))
+    n = t.orders.groupBy("o_custkey").agg(F.count("*").alias("mentions"))
+    d = t.customer.join(n, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return d.select(F.col("c_custkey").alias("entity_id"), F.col("c_name").alias("name"), aliases.alias("aliases"), F.coalesce("mentions", F.lit(0)).alias("mentions"))
+
+
+PEOPLE = """entity AS (SELECT c_custkey AS entity_id, c_name AS name, ['N' || c_nationkey || '/' || floor(c_acctbal / 100)::BIGINT, lower(c_mktsegment) || '/' || floor(c_acctbal / 10)::BIGINT] AS aliases,
+    (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS mentions FROM customer),
+term AS (SELECT DISTINCT entity_id, lower(unnest(list_append(aliases, name))) AS term FROM entity),
+link AS (SELECT DISTINCT a.entity_id AS a, b.entity_id AS b FROM term a JOIN term b USING (term)),
+reach(entity_id, root) AS (SELECT entity_id, entity_id FROM entity UNION SELECT link.b, root FROM reach JOIN link ON reach.entity_id = link.a WHERE root < link.b),
+grp AS (SELECT entity_id, min(root) AS group_id FROM reach GROUP BY 1),
+canon AS (SELECT group_id, arg_max(name, (mentions, name)) AS canonical, count(*) AS members, sum(mentions)::BIGINT AS mentions FROM entity JOIN grp USING (entity_id) GROUP BY 1)"""
+
+
+@R.query(f"WITH RECURSIVE {PEOPLE} SELECT entity_id, group_id FROM grp")
+def grf7_groups(t: Tables) -> DataFrame:
+    return merge.groups(people(t))
+
+
+@R.query(f"WITH RECURSIVE {PEOPLE} SELECT group_id, canonical, members, mentions FROM canon")
+def grf7_merged(t: Tables) -> DataFrame:
+    e = people(t)
+    return merge.merged(e, merge.groups(e))[0]
+
+
+@R.query(f"""WITH RECURSIVE {PEOPLE}, said AS (SELECT DISTINCT group_id, unnest(list_append(aliases, name)) AS alias FROM entity JOIN grp USING (entity_id))
+SELECT group_id, alias FROM said JOIN canon USING (group_id) WHERE lower(alias) <> lower(canonical)""")
+def grf7_aliases(t: Tables) -> DataFrame:
+    e = people(t)
+    return merge.merged(e, merge.groups(e))[1]
+
+
+@R.query(f"""WITH RECURSIVE {PEOPLE}, edge AS (SELECT coalesce(x.group_id, o_custkey) AS src, coalesce(y.group_id, o_orderkey // 10) AS dst, o_orderstatus AS type, o_totalprice AS confidence FROM orders LEFT JOIN grp x ON x.entity_id = o_custkey LEFT JOIN grp y ON y.entity_id = o_orderkey // 10)
+SELECT src, dst, type, max(confidence) AS confidence, count(*) * 2 AS mentions, count(*) AS merged FROM edge WHERE src <> dst GROUP BY ALL""")
+def grf7_edges(t: Tables) -> DataFrame:
+    edges = t.orders.select(F.col("o_custkey").alias("src"), F.expr("o_orderkey div 10").alias("dst"), F.col("o_orderstatus").alias("type"), F.col("o_totalprice").alias("confidence"), F.lit(2).alias("mentions"))
+    return merge.merged_relations(edges, merge.groups(people(t)))
+
+
+@R.query("""WITH RECURSIVE entity AS (SELECT min(p_partkey) AS entity_id, p_name || ' ' || p_brand AS name FROM part GROUP BY 2),
+near AS (SELECT a.entity_id AS a, b.entity_id AS b, row_number() OVER (PARTITION BY a.entity_id ORDER BY 1 - levenshtein(lower(a.name), lower(b.name)) / greatest(length(a.name), length(b.name)) DESC, lower(b.name)) AS r
+    FROM entity a JOIN entity b ON a.entity_id <> b.entity_id AND 1 - levenshtein(lower(a.name), lower(b.name)) / greatest(length(a.name), length(b.name)) >= 0.9),
+link AS (SELECT a, b FROM near WHERE r = 1 UNION SELECT b, a FROM near WHERE r = 1),
+reach(entity_id, root) AS (SELECT entity_id, entity_id FROM entity UNION SELECT link.b, root FROM reach JOIN link ON reach.entity_id = link.a WHERE root < link.b)
+SELECT entity_id, min(root) AS group_id FROM reach GROUP BY 1""")
+def grf7_alike(t: Tables) -> DataFrame:
+    """Names with brands that are nearly the same, over any number of steps."""
+    e = t.part.groupBy(F.concat_ws(" ", "p_name", "p_brand").alias("name")).agg(F.min("p_partkey").alias("entity_id")).withColumn("aliases", F.array().cast("array<string>"))
+    return merge.groups(e, 0.9)
+
+
+@R.query("SELECT p_partkey, min(p_partkey) OVER w AS class, count(*) OVER w AS n FROM part WINDOW w AS (PARTITION BY lower(p_type), p_size)")
+def jn13_classes(t: Tables) -> DataFrame:
+    """What jn13_same_name lists as pairs, as a class for each part: as many rows as parts."""
+    d = t.part.select("p_partkey", F.lower("p_type").alias("k"), "p_size")
+    facts = d.groupBy("k", "p_size").agg(F.min("p_partkey").alias("class"), F.count("*").alias("n"))
+    return with_facts(d, facts, ["k", "p_size"], counts=facts.select("k", "p_size", F.col("n").alias("count"))).select("p_partkey", "class", "n")
+
+
+@R.query("""WITH n AS (SELECT DISTINCT name FROM (SELECT ' ' || upper(p_name) AS name FROM part UNION ALL SELECT p_name || 's' FROM part UNION ALL SELECT p_brand || ' ' || p_name FROM part UNION ALL SELECT s_name FROM supplier UNION ALL SELECT n_name FROM nation)),
+cache AS (SELECT lower(p_name) AS key, 'cached ' || p_name AS canonical FROM part WHERE p_name LIKE '%t' GROUP BY ALL), alias AS (SELECT lower(n_name) AS key, 'nation ' || n_regionkey AS canonical FROM nation),
+known AS (SELECT DISTINCT p_name AS match FROM part), todo AS (SELECT name, lower(trim(name)) AS key FROM n),
+p AS (SELECT name, match, 1 - levenshtein(key, lower(match)) / greatest(length(key), length(match)) AS ratio FROM todo, known),
+b AS (SELECT name, match, ratio FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ratio DESC, match) AS r FROM p WHERE ratio >= 0.8) WHERE r = 1)
+SELECT name, coalesce(c.canonical, a.canonical, match, name) AS canonical, CASE WHEN c.canonical IS NOT NULL THEN 'cache' WHEN a.canonical IS NOT NULL THEN 'alias' WHEN match IS NOT NULL THEN 'fuzzy' ELSE 'self' END AS method,
+round(CASE WHEN c.canonical IS NOT NULL THEN 1 WHEN a.canonical IS NOT NULL THEN 0.95 WHEN match IS NOT NULL THEN ratio ELSE 0.5 END, 6) AS confidence FROM todo LEFT JOIN cache c USING (key) LEFT JOIN alias a USING (key) LEFT JOIN b USING (name)""")
+def txt18_cascade(t: Tables) -> DataFrame:
+    """Names in all that may have them: in other cases, with an ending, with a brand before them; suppliers and nations too."""
+    p = F.col("p_name")
+    names = t.part.select(F.concat(F.lit(" "), F.upper(p)).alias("name")).union(t.part.select(F.concat(p, F.lit("s")))).union(t.part.select(F.concat_ws(" ", "p_brand", p))).union(t.supplier.select("s_name")).union(t.nation.select("n_name"))
+    cache = t.part.where(p.endswith("t")).select(p.alias("name"), F.concat(F.lit("cached "), p).alias("canonical"))
+    aliases = t.nation.select(F.col("n_name").alias("name"), F.concat(F.lit("nation "), "n_regionkey").alias("canonical"))
+    d = merge.canonicalised(names, t.part.select(p.alias("name")), cache, aliases)
+    return d.withColumn("confidence", F.round("confidence", 6))
