@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from larkspur.plans.registry import Registry, Tables
 from larkspur.scratch import scratch_path
-from larkspur.streaming import batch, stateful
+from larkspur.streaming import batch, caches, stateful
 
 R = Registry()
 HOUR = 3_600_000
@@ -116,3 +116,61 @@ SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY key ORDER BY ts, item) < 2160
 def str1_ttl_stream(t: Tables) -> DataFrame:
     step = stateful.ttl_step(6 * HOUR)
     return ran(t, "str1_ttl", lambda s: stateful.applied(s.withColumn("key", F.concat_ws(":", "user_id", "event_type")), "key", "ts", "event_id", step, "is_duplicate boolean", 12 * HOUR))
+
+
+LRU = """WITH RECURSIVE e AS (SELECT event_type AS namespace, user_id::VARCHAR AS key, epoch_us(ts) // 1000 AS ts, event_id::VARCHAR AS item, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 1000, event_id::VARCHAR) AS n FROM events),
+run(namespace, n, key, ts, item, is_duplicate, cache) AS (
+    SELECT DISTINCT namespace, 0::BIGINT, '', 0::BIGINT, '', false, []::STRUCT(k VARCHAR, t BIGINT)[] FROM e
+    UNION ALL
+    SELECT namespace, n, key, ts, item, hit, (list_append(CASE WHEN hit THEN rest ELSE list_filter(rest, lambda x: x.t >= ts - 43200000) END, {{'k': key, 't': ts}}))[-25:]
+    FROM (SELECT e.*, len(list_filter(cache, lambda x: x.k = e.key AND e.ts - x.t < 43200000)) > 0 AS hit, list_filter(cache, lambda x: x.k <> e.key) AS rest FROM run JOIN e ON e.namespace = run.namespace AND e.n = run.n + 1)),"""
+
+
+@R.query(LRU.replace("{{", "{").replace("}}", "}") + " x AS (SELECT 1) SELECT namespace, key, ts, item, is_duplicate, len(cache)::INT AS size FROM run WHERE n > 0")
+def str1_bounded_stream(t: Tables) -> DataFrame:
+    """Of each type of event the 25 users seen last, for 12 hours."""
+    with caches.rocksdb(t.spark):
+        return ran(t, "str1_bounded", lambda s: caches.deduplicated(s, "event_type", "user_id", "ts", "event_id", 12 * HOUR, 25)).drop("gone")
+
+
+@R.query("""WITH RECURSIVE e AS (SELECT event_type AS namespace, user_id::VARCHAR AS key, epoch_us(ts) // 1000 AS ts, event_id::VARCHAR AS item, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 1000, event_id::VARCHAR) AS n FROM events),
+run(namespace, n, key, ts, item, is_duplicate, gone, cache, file) AS (
+    SELECT DISTINCT namespace, 0::BIGINT, '', 0::BIGINT, '', false, 0::BIGINT, []::STRUCT(k VARCHAR, t BIGINT)[], []::STRUCT(k VARCHAR, t BIGINT)[] FROM e
+    UNION ALL
+    SELECT namespace, n, key, ts, item, hit OR recent, CASE WHEN hit OR recent THEN 0 ELSE len(file) + CASE WHEN len(old) > 0 THEN 0 ELSE 1 END - len(next_file) END, next_cache, CASE WHEN hit OR recent THEN file ELSE next_file END
+    FROM (SELECT *, (list_append(CASE WHEN hit THEN rest ELSE list_filter(rest, lambda x: x.t >= ts - 86400000) END, {'k': key, 't': ts}))[-5:] AS next_cache,
+        (list_append(list_filter(file, lambda x: x.k <> key AND ts - x.t < 86400000), {'k': key, 't': ts}))[-40:] AS next_file
+        FROM (SELECT e.*, cache, file, len(list_filter(cache, lambda x: x.k = e.key AND e.ts - x.t < 86400000)) > 0 AS hit, list_filter(cache, lambda x: x.k <> e.key) AS rest,
+            list_filter(file, lambda x: x.k = e.key) AS old, len(list_filter(file, lambda x: x.k = e.key AND e.ts - x.t < 86400000)) > 0 AS recent FROM run JOIN e ON e.namespace = run.namespace AND e.n = run.n + 1)))
+SELECT namespace, key, ts, item, is_duplicate, len(file)::INT AS size, gone::INT AS gone FROM run WHERE n > 0""")
+def str2_bounded_stream(t: Tables) -> DataFrame:
+    """Of each type of event a cache of 5 users and a record of 40, for a day: what lets go of whom."""
+    with caches.rocksdb(t.spark):
+        return ran(t, "str2_bounded", lambda s: caches.deduplicated(s, "event_type", "user_id", "ts", "event_id", 24 * HOUR, 5, 40)).withColumn("gone", F.size("gone"))
+
+
+def numbered(item: str) -> str:
+    """A user's events in the order in which streams take them, for SQL that follows a state from one to the next."""
+    return f"e AS (SELECT user_id::VARCHAR AS key, epoch_us(ts) // 1000 AS ts, {item} AS item, row_number() OVER (PARTITION BY user_id ORDER BY ts, {item}) AS n FROM events)"
+
+
+R.sql["str4_anchored_stream"] = f"""WITH RECURSIVE {numbered("event_type")}, run(key, n, ts, item, start, used, allowed) AS (
+    SELECT DISTINCT key, 0::BIGINT, 0::BIGINT, '', -86400000::BIGINT, 0, false FROM e
+    UNION ALL
+    SELECT key, n, ts, item, s, CASE WHEN u < 2 THEN u + 1 ELSE u END, u < 2
+    FROM (SELECT e.*, CASE WHEN e.ts - start >= 86400000 THEN e.ts ELSE start END AS s, CASE WHEN e.ts - start >= 86400000 THEN 0 ELSE used END AS u FROM run JOIN e ON e.key = run.key AND e.n = run.n + 1))
+SELECT key, ts, item, allowed, CASE WHEN allowed THEN 2 - used ELSE 0 END AS remaining, CASE WHEN allowed THEN 0 ELSE start + 86400000 - ts END AS retry_after FROM run WHERE n > 0"""
+KIND = "CASE WHEN event_type = 'error' THEN 'failure' ELSE 'check' END"
+R.sql["str5_lockout_stream"] = f"""WITH RECURSIVE {numbered(KIND)}, run(key, n, ts, item, until, log) AS (
+    SELECT DISTINCT key, 0::BIGINT, 0::BIGINT, '', 0::BIGINT, []::BIGINT[] FROM e
+    UNION ALL
+    SELECT key, n, ts, item, CASE WHEN locked THEN before WHEN item = 'failure' AND len(l) >= 3 THEN ts + 43200000 ELSE 0 END, CASE WHEN locked THEN kept ELSE l END
+    FROM (SELECT *, CASE WHEN item = 'failure' THEN list_append(list_filter(kept, lambda x: x > ts - 86400000), ts) ELSE list_filter(kept, lambda x: x > ts - 86400000) END AS l
+        FROM (SELECT e.*, until AS before, until > e.ts AS locked, CASE WHEN until > 0 AND e.ts >= until THEN [] ELSE log END AS kept FROM run JOIN e ON e.key = run.key AND e.n = run.n + 1)))
+SELECT key, ts, item, until = 0 AS allowed, CASE WHEN until > 0 THEN 0 ELSE greatest(0, 3 - len(log)) END::INT AS remaining, CASE WHEN until > 0 THEN until - ts ELSE 0 END AS retry_after FROM run WHERE n > 0"""
+R.sql["str6_queue_stream"] = f"""WITH RECURSIVE {numbered("event_id::VARCHAR")}, run(key, n, ts, item, items, queued, dropped) AS (
+    SELECT DISTINCT key, 0::BIGINT, 0::BIGINT, '', []::VARCHAR[], false, 0 FROM e
+    UNION ALL
+    SELECT key, n, ts, item, CASE WHEN there THEN items ELSE (list_append(items, item))[-5:] END, NOT there, dropped + CASE WHEN NOT there AND len(items) >= 5 THEN 1 ELSE 0 END
+    FROM (SELECT e.*, items, dropped, list_contains(items, e.item) AS there FROM run JOIN e ON e.key = run.key AND e.n = run.n + 1))
+SELECT key, ts, item, queued, len(items)::INT AS size, dropped::INT AS dropped FROM run WHERE n > 0"""
