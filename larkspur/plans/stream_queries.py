@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from larkspur.plans.registry import Registry, Tables
 from larkspur.scratch import scratch_path
-from larkspur.streaming import batch, caches, stateful
+from larkspur.streaming import batch, caches, debounce, stateful
 
 R = Registry()
 HOUR = 3_600_000
@@ -174,3 +174,55 @@ R.sql["str6_queue_stream"] = f"""WITH RECURSIVE {numbered("event_id::VARCHAR")},
     SELECT key, n, ts, item, CASE WHEN there THEN items ELSE (list_append(items, item))[-5:] END, NOT there, dropped + CASE WHEN NOT there AND len(items) >= 5 THEN 1 ELSE 0 END
     FROM (SELECT e.*, items, dropped, list_contains(items, e.item) AS there FROM run JOIN e ON e.key = run.key AND e.n = run.n + 1))
 SELECT key, ts, item, queued, len(items)::INT AS size, dropped::INT AS dropped FROM run WHERE n > 0"""
+
+
+@R.query("""WITH c AS (SELECT event_id, user_id, ts, event_type AS tool, (value > 30)::INT AS result, event_type || ' ' || (value > 30)::INT AS whole FROM events),
+l AS (SELECT *, list(tool) OVER w AS tools, list(whole) OVER w AS a FROM c WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)),
+m AS (SELECT *, len(list_filter(tools, lambda x: x = tool)) AS repeats, list_transform([1, 2, 3, 4, 5], lambda p: len(a) - p - coalesce(list_max(list_filter(range(1, len(a) - p + 1), lambda i: a[i] <> a[i + p])), 0)) AS runs FROM l),
+f AS (SELECT *, greatest(runs[1], 0) + 1 AS still, list_filter([2, 3, 4, 5], lambda p: runs[p] >= p) AS ps FROM m),
+g AS (SELECT *, coalesce(list_max(list_transform(ps, lambda p: runs[p] + p)), 0) AS c FROM f),
+h AS (SELECT *, CASE WHEN c > still THEN c ELSE 0 END AS cycle, CASE WHEN c > still THEN list_min(list_filter(ps, lambda p: runs[p] + p = c)) ELSE 0 END AS period FROM g),
+v AS (SELECT *, CASE WHEN still >= 7 THEN 2 ELSE 0 END AS v1, CASE WHEN tool = 'view' AND still >= 5 THEN 2 WHEN tool = 'view' AND still >= 3 THEN 1 ELSE 0 END AS v2, CASE WHEN period = 2 AND cycle >= 5 THEN 2 WHEN period = 2 AND cycle >= 3 THEN 1 ELSE 0 END AS v3,
+    CASE WHEN period > 2 AND cycle >= 5 THEN 2 WHEN period > 2 AND cycle >= 3 THEN 1 ELSE 0 END AS v4, CASE WHEN repeats >= 5 THEN 2 WHEN repeats >= 3 THEN 1 ELSE 0 END AS v5 FROM h)
+SELECT event_id, repeats::INT AS repeats, still::INT AS still, period::INT AS period, cycle::INT AS cycle, CASE greatest(v1, v2, v3, v4, v5) WHEN 2 THEN 'critical' WHEN 1 THEN 'warning' END AS level,
+CASE WHEN greatest(v1, v2, v3, v4, v5) = 0 THEN NULL WHEN v1 = greatest(v1, v2, v3, v4, v5) THEN 'breaker' WHEN v2 = greatest(v1, v2, v3, v4, v5) THEN 'poll' WHEN v3 = greatest(v1, v2, v3, v4, v5) THEN 'ping_pong' WHEN v4 = greatest(v1, v2, v3, v4, v5) THEN 'cycle' ELSE 'repeat' END AS detector FROM v""")
+def str11_loops(t: Tables) -> DataFrame:
+    """With thresholds of 3, 5 and 7 in the last 12 calls, so that the table's calls reach them all."""
+    calls = t.events.select("event_id", "user_id", "ts", F.col("event_type").alias("tool"), F.lit("{}").alias("params"), (F.col("value") > 30).cast("int").alias("result"))
+    d = batch.loops(calls, "user_id", "ts", "event_id", "tool", "params", "result", ["view"], 5, 12, 3, 5, 7)
+    return d.select("event_id", "repeats", "still", "period", "cycle", "level", "detector")
+
+
+def waiting() -> tuple:
+    """How long an event waits for more, by its type, and whether it may."""
+    kind = F.col("event_type")
+    return F.when(kind == "click", 2 * HOUR).when(kind == "view", 12 * HOUR).otherwise(F.floor("value").cast("long") * 600_000), kind != "error"
+
+
+ITEM_GAPS = """WITH e AS (SELECT user_id::VARCHAR AS key, epoch_us(ts) // 1000 AS ts, event_id::VARCHAR AS item, CASE event_type WHEN 'error' THEN 0 WHEN 'click' THEN 7200000 WHEN 'view' THEN 43200000 ELSE floor(value)::BIGINT * 600000 END AS gap FROM events),
+n AS (SELECT *, (gap = 0 OR coalesce(lag(gap) OVER w = 0, true) OR ts >= lag(ts) OVER w + lag(gap) OVER w)::INT AS new, CASE WHEN lead(gap) OVER w = 0 THEN lead(ts) OVER w END AS alone FROM e WINDOW w AS (PARTITION BY key ORDER BY ts, item)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY ts, item ROWS UNBOUNDED PRECEDING) AS k FROM n),
+b AS (SELECT key, min(ts) AS start, max(ts) AS last, string_agg(item, ' ' ORDER BY ts, item) AS items, arg_max(gap, (ts, item)) AS gap, last(alone ORDER BY ts, item) AS alone FROM i GROUP BY key, k),
+f AS (SELECT key, start, last, items, CASE WHEN alone < last + gap THEN alone ELSE last + gap END AS flushed_at, CASE WHEN gap = 0 THEN 'alone' WHEN alone < last + gap THEN 'flush' ELSE 'gap' END AS reason FROM b) SELECT * FROM f"""
+
+
+@R.query(ITEM_GAPS)
+def str3_item_gaps(t: Tables) -> DataFrame:
+    return debounce.batches(t.events, "user_id", "ts", "event_id", *waiting()).withColumn("items", F.array_join("items", " "))
+
+
+@R.query(ITEM_GAPS + " WHERE flushed_at <= (SELECT max(ts) FROM e) - 3600000")
+def str3_item_gaps_stream(t: Tables) -> DataFrame:
+    """The same as a stream, up to its watermark; the last batch is written again as if its checkpoint had been lost."""
+    path = scratch_path(t.spark, "str3_gaps")
+    source = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.dir)
+    write = debounce.flushed_to(f"{path}/out", lambda d: d.withColumn("items", F.array_join("items", " ")))
+
+    def twice(d: DataFrame, batch_id: int) -> None:
+        write(d, batch_id)
+        write(d, batch_id)
+
+    with caches.rocksdb(t.spark):
+        out = debounce.stream(source, "user_id", "ts", "event_id", *waiting(), delay="1 hour")
+        out.writeStream.foreachBatch(twice).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{path}/out").drop("batch")

@@ -56,6 +56,62 @@ def repeats(events: DataFrame, key: str, ts: str, order: str, what: str, last: i
     return d.withColumn("run", F.row_number().over(Window.partitionBy(key, "island").orderBy(ts, order))).drop("new", "island")
 
 
+# Calls that are looked back at, and how many make a warning, a block, and the end whatever the tool.
+HISTORY, WARNING, CRITICAL, BREAKER = 30, 10, 20, 30
+
+
+def loops(calls: DataFrame, key: str, ts: str, order: str, tool: str, params: str, result: str, polls: list[str], longest: int = 5, history: int = HISTORY, warning: int = WARNING, critical: int = CRITICAL, breaker: int = BREAKER) -> DataFrame:
+    """calls with `repeats`, `still`, `period`, `cycle`, `level` and `detector`: whether a call goes round in circles.
+
+    All figures are of the last `history` calls of the key, the call itself included, equal times in order of `order`:
+
+    * repeats: calls of the same tool with the same params.
+    * still: calls in a row up to this one with the same tool, params and result.
+    * cycle: how many calls in a row up to this one repeat what was `period` calls before, result and all, and the first
+      `period` with them, for the period (2 to `longest`) with most of them, the least of several; 0 without two whole
+      periods, and where `still` reaches as far back.
+
+    Detectors, and from where on each warns or blocks (level `warning` or `critical`): `breaker` blocks from still >= breaker on;
+    `poll` (tools in polls, by still), `ping_pong` (period 2) and `cycle` (longer ones), and `repeat` from warning and
+    critical on. The highest level tells, and of detectors with that level the first of these. Null without any. A null tool,
+    params or result equals another null.
+
+    A run is told by the last call that breaks it, so every figure is a window over scalars, all by one sort.
+    """
+    w = Window.partitionBy(key).orderBy(ts, order)
+    d = calls.withColumn("_n", F.row_number().over(w)).withColumn("_call", F.xxhash64(tool, params)).withColumn("_all", F.xxhash64(tool, params, result))
+    nulls = lambda *cols: F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in cols])
+    d = d.withColumns({"_call": F.struct("_call", nulls(tool, params)), "_all": F.struct("_all", nulls(tool, params, result))})
+
+    def run(p: int) -> Column:
+        """Calls in a row up to this one that equal the one p before, of those that lie in the history."""
+        broken = F.when(~F.coalesce(F.col("_all") == F.lag("_all", p).over(w), F.lit(False)), F.col("_n"))
+        return broken, F.coalesce(F.max(f"_b{p}").over(w.rowsBetween(-max(history - 1 - p, 0), 0)), F.greatest(F.col("_n") - (history - p), F.lit(0)))
+
+    for p in range(1, longest + 1):
+        d = d.withColumn(f"_b{p}", run(p)[0])
+    for p in range(1, longest + 1):
+        d = d.withColumn(f"_m{p}", F.col("_n") - run(p)[1])
+    # calls of one kind that lie in the history: by their places, which a call knows of its own kind
+    kind = Window.partitionBy(key, "_call").orderBy("_n").rangeBetween(-(history - 1), 0)
+    d = d.withColumn("repeats", F.count("*").over(kind).cast("int")).withColumn("still", (F.col("_m1") + 1).cast("int"))
+    cycles = [F.when(F.col(f"_m{p}") >= p, F.struct((F.col(f"_m{p}") + p).alias("cycle"), F.lit(-p).alias("period"))) for p in range(2, longest + 1)]
+    none = F.struct(F.lit(0).alias("cycle"), F.lit(0).alias("period"))
+    d = d.withColumn("_c", F.greatest(none, *cycles) if cycles else none)
+    real = F.col("_c.cycle") > F.col("still")
+    d = d.withColumns({"cycle": F.when(real, F.col("_c.cycle")).otherwise(0).cast("int"), "period": F.when(real, -F.col("_c.period")).otherwise(0).cast("int")})
+    by = [("breaker", F.when(F.col("still") >= breaker, 2)), ("poll", _level(F.when(F.col(tool).isin(polls), F.col("still")), warning, critical)), ("ping_pong", _level(F.when(F.col("period") == 2, F.col("cycle")), warning, critical)),
+          ("cycle", _level(F.when(F.col("period") > 2, F.col("cycle")), warning, critical)), ("repeat", _level(F.col("repeats"), warning, critical))]
+    level = F.greatest(F.lit(0), *[F.coalesce(x, F.lit(0)) for _, x in by])
+    d = d.withColumn("_level", level)
+    told = F.coalesce(*[F.when((F.col("_level") > 0) & (x == F.col("_level")), F.lit(n)) for n, x in by])
+    return d.withColumns({"level": F.when(F.col("_level") == 2, "critical").when(F.col("_level") == 1, "warning"), "detector": told}).drop("_n", "_call", "_all", "_c", "_level", *[f"_{x}{p}" for x in "bm" for p in range(1, longest + 1)])
+
+
+def _level(n: Column, warning: int, critical: int) -> Column:
+    return F.when(n >= critical, 2).when(n >= warning, 1)
+
+
 def kept_entries(entries: DataFrame, ts: str, order: str, most: int) -> DataFrame:
     """The latest entries, so many at most."""
     return entries.orderBy(F.desc(ts), F.desc(order)).limit(most)
