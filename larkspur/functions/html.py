@@ -144,13 +144,18 @@ def to_markdown(page: str | None) -> tuple[str | None, str | None]:
 
 
 def to_main(page: str | None) -> tuple[str | None, str | None]:
-    """As to_markdown(), of the longest `article` or `main` element, if there is one and the page is in bounds."""
+    """As to_markdown(), of the longest `article` or `main` element, or where the page names none that has text, of what weighs
+    most by its paragraphs; of all where nothing does, or the page is out of bounds."""
+    from larkspur.functions.content import main_parts
+
     if page is None:
         return None, None
     p = _Markdown()
-    whole = p.read(page)
-    inner = max(p.main, key=len, default="")
-    return (inner if inner and len(page) <= MAIN_CHARS and depth(page) <= MAIN_DEPTH else whole), p.title
+    whole_page = p.read(page)
+    if len(page) > MAIN_CHARS or depth(page) > MAIN_DEPTH:
+        return whole_page, p.title
+    inner = max(p.main, key=len, default="") or "\n\n".join(filter(None, (to_markdown(page[a:b])[0] for a, b in main_parts(page))))
+    return inner or whole_page, p.title
 
 
 def _struct_of(page: Column, make) -> Column:
@@ -167,7 +172,7 @@ def markdown(page: Column) -> Column:
 
 
 def main_content(page: Column) -> Column:
-    """Struct of text and title of a page's main element; of all of it where it has none."""
+    """Struct of text and title of a page's main content; of all of it where it has none."""
     return _struct_of(page, to_main)
 
 

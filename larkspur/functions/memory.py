@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
+from larkspur.scratch import written
 
 # Words that give tags, the tags they give; patterns of sentiment.
 TAGS = [
@@ -184,26 +187,66 @@ def _inner_gram(text: Column) -> Column:
     return F.array_min(_grams(F.regexp_extract(text, r"^[^ ]+ (.*) [^ ]+$", 1)))
 
 
-def already_sent(texts: DataFrame, sent: DataFrame, least: int = 10) -> DataFrame:
-    """texts (id, text) that hold, or are held by, a sent text once both are made comparable.
+def already_sent(texts: DataFrame, sent: DataFrame, least: int = 10, way: str = "either") -> DataFrame:
+    """id of texts (id, text) that hold, or are held by, a sent text once both are made comparable; `way` is holds, held or either.
 
-    Pairs meet by a gram of the shorter text and are confirmed; only texts of less than GRAM + 2 words meet all of the other side.
+    Pairs of long texts meet by a gram of the shorter one and are confirmed. Short ones, of less than GRAM + 2 words, are found by
+    automata: one over the short sent texts runs once over each text, and one over a batch of short texts runs once over the
+    sent ones. For that, sent texts go to all tasks in blocks of a bounded size, one after another. Null texts and those of less
+    than `least` characters take no part.
     """
     keyed = texts.select("id", "text", F.xxhash64("text").alias("h"))
-    a = keyed.select("id", "h", T.comparable(F.col("text")).alias("n")).where(F.length("n") >= least)
-    b = sent.select(T.comparable(F.col("text")).alias("s")).where(F.length("s") >= least).distinct().withColumn("sid", F.xxhash64("s"))
-    brief = a.join(F.broadcast(b.agg(F.max(F.length("s")).alias("most"))), F.length("n") <= F.col("most")).drop("most")  # no longer text is held
+    a = written(keyed.select("id", "h", T.comparable(F.col("text")).alias("n")).where(F.length("n") >= least), "comparable")
+    b = written(sent.select(T.comparable(F.col("text")).alias("s")).where(F.length("s") >= least).distinct().withColumn("sid", F.xxhash64("s")), "sent")
     few = lambda c: F.size(F.split(c, " ")) < GRAM + 2
     held = a.select("id", F.explode(_grams(F.col("n"))).alias("g")).join(b.select("sid", _inner_gram(F.col("s")).alias("g")), "g")
+    most = b.agg(F.coalesce(F.max(F.length("s")), F.lit(0))).head()[0]
+    brief = a.where(F.length("n") <= most)  # no longer text is held
     holding = brief.select("id", _inner_gram(F.col("n")).alias("g")).join(b.select("sid", F.explode(_grams(F.col("s"))).alias("g")), "g")
     met = held.select("id", "sid").unionByName(holding.select("id", "sid")).distinct().join(b, "sid").select("id", "s")
-    hits = [
-        a.join(met, "id").where(F.contains("n", "s") | F.contains("s", "n")),
-        a.join(b.where(few("s")), F.contains("n", "s"), "left_semi"),
-        brief.where(few("n")).join(b, F.contains("s", "n"), "left_semi"),
-    ]
-    found = hits[0].select("id", "h").unionByName(hits[1].select("id", "h")).unionByName(hits[2].select("id", "h"))
-    return keyed.join(found, ["id", "h"], "left_semi").select("id")
+    ways = {"holds": F.contains("n", "s"), "held": F.contains("s", "n"), "either": F.contains("n", "s") | F.contains("s", "n")}
+    found = a.join(met, "id").where(ways[way]).select("id", "h")
+    size = b.agg(F.coalesce(F.sum(F.length("s")), F.lit(0))).head()[0]
+    blocks = -(-size // SENT_CHARS)
+    for k in range(blocks):
+        block = [r["s"] for r in b.where(F.pmod("sid", F.lit(blocks)) == k).select("s").collect()]
+        found = found.unionByName(_short_hits(a.withColumn("few", few("n")), block, way))
+    return keyed.join(found.distinct(), ["id", "h"], "left_semi").select("id")
+
+
+#: Characters of sent texts that are sent to all tasks at once.
+SENT_CHARS = 1 << 24
+
+
+def _short_hits(texts: DataFrame, sent: list[str], way: str) -> DataFrame:
+    """id, h of texts (id, h, n, few) that hold a short one of sent, or are short themselves and held by one of sent; as `way` has it."""
+    kind = f"id {texts.schema['id'].dataType.simpleString()}, h long"
+    own = texts.sparkSession.sparkContext.broadcast(sent)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_by = automaton(s for s in own.value if s.count(" ") + 1 < GRAM + 2) if way != "held" else None
+        for batch in batches:
+            n, few = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            hit = [held_by is not None and next(held_by.iter(x), None) is not None for x in n]
+            if way != "holds" and (short := automaton(x for x, f, done in zip(n, few, hit, strict=True) if f and not done)) is not None:
+                inside = {x for s in own.value for _, x in short.iter(s)}
+                hit = [done or x in inside for x, done in zip(n, hit, strict=True)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit, pa.bool_())) for c in batch.columns[:2]], ["id", "h"])
+
+    return texts.select("id", "h", "n", "few").mapInArrow(search, kind)
+
+
+def automaton(texts: Iterable[str]):
+    """An Aho-Corasick automaton that finds all of texts; none of no texts."""
+    import ahocorasick
+
+    made = ahocorasick.Automaton()
+    for x in texts:
+        made.add_word(x, x)
+    if not len(made):
+        return None
+    made.make_automaton()
+    return made
 
 
 def in_memory(path: Column) -> Column:

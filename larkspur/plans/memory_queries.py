@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.functions import chunks, detect, memory
+from larkspur.functions import chunks, detect, memory, tables
 from larkspur.functions import text as T
 from larkspur.functions import time as tm
 from larkspur.operators import graph
@@ -94,12 +94,30 @@ def txt22_recalls(t: Tables) -> DataFrame:
     return memory.recalls(c, c.where("role <> 'system'"), window_s=200)
 
 
-@R.query("""SELECT doc_id FROM documents d WHERE text IS NOT NULL AND length(trim(d.text)) >= 10 AND EXISTS (SELECT 1 FROM benchmark b WHERE contains(trim(regexp_replace(lower(trim(d.text)), '\\s+', ' ', 'g')), trim(regexp_replace(lower(trim(b.text)), '\\s+', ' ', 'g'))))""")
+NORM = r"trim(regexp_replace(lower(trim(text)), '\s+', ' ', 'g'))"
+
+
+@R.query("""WITH d AS (SELECT doc_id, trim(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g')) AS n FROM documents), b AS (SELECT DISTINCT trim(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g')) AS s FROM benchmark)
+SELECT doc_id FROM d WHERE length(n) >= 10 AND EXISTS (SELECT 1 FROM b WHERE length(s) >= 10 AND (contains(n, s) OR contains(s, n)))""")
 def jn16_contained(t: Tables) -> DataFrame:
     texts = t.documents.where("text is not null").select(F.col("doc_id").alias("id"), "text")
     return memory.already_sent(texts, t.benchmark).select(F.col("id").alias("doc_id"))
 
 
+@R.query(f"""WITH x AS (SELECT conv_id * 1000 + turn AS id, text, {NORM} AS n FROM (SELECT conv_id, turn, substr(text, 5, 24) AS text FROM conversations)),
+said AS (SELECT {NORM} AS s FROM conversations WHERE role = 'assistant' UNION SELECT {NORM} FROM (SELECT substr(text, 9, 12) AS text FROM conversations WHERE role = 'user')), b AS (SELECT s FROM said WHERE length(s) >= 10)
+SELECT id, EXISTS (SELECT 1 FROM b WHERE contains(n, s)) AS holds, EXISTS (SELECT 1 FROM b WHERE contains(s, n)) AS held FROM x WHERE length(n) >= 10 AND EXISTS (SELECT 1 FROM b WHERE contains(n, s) OR contains(s, n))""")
+def jn16_either(t: Tables) -> DataFrame:
+    """Pieces of what was said, short ones, against whole turns and shorter pieces: held by them, holding them, or both."""
+    piece = lambda a, n: F.substring("text", a, n).alias("text")
+    texts = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), piece(5, 24))
+    turns, shorter = t.conversations.where("role = 'assistant'").select("text"), t.conversations.where("role = 'user'").select(piece(9, 12))
+    found = memory.already_sent(texts, turns.union(shorter))
+    holds, held = (memory.already_sent(texts, x, way=w).withColumn(w, F.lit(True)) for x, w in ((turns.union(shorter), "holds"), (turns.union(shorter), "held")))
+    d = found.join(holds, "id", "left").join(held, "id", "left")
+    return d.select("id", F.coalesce("holds", F.lit(False)).alias("holds"), F.coalesce("held", F.lit(False)).alias("held"))
+
+
 @R.query("SELECT event_id, p, p IN ('MEMORY.md', './MEMORY.md') OR p LIKE 'memory/%' AS mem FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'MEMORY.md' WHEN 1 THEN './MEMORY.md' WHEN 2 THEN 'memory/x.md' ELSE 'notes/memory/x.md' END AS p FROM events)")
 def flt12_memory_path(t: Tables) -> DataFrame:
     k = F.col("event_id") % 4
@@ -233,3 +251,46 @@ def txt26_history_text(t: Tables) -> DataFrame:
 @R.query("SELECT page_id, substr(html, 1, 1000) AS html, length(html) > 1000 AS truncated FROM pages")
 def htm3_truncate(t: Tables) -> DataFrame:
     return t.pages.select("page_id", T.snippet(F.col("html"), 1000).alias("html"), T.truncated(F.col("html"), 1000).alias("truncated"))
+
+
+def asked(t: Tables, query: str) -> DataFrame:
+    """SQL with the table functions, over the documents as `said` (doc_id, text) and as the memories."""
+    t.documents.select("doc_id", "text").createOrReplaceTempView("said")
+    tables.register(t.spark, t.documents.select(F.col("doc_id").alias("id"), "text"), {"word": lambda window: window.rfind(" ")})
+    return t.spark.sql(query)
+
+
+@R.query("""SELECT doc_id, len(string_split(text, chr(10)))::INT AS lines, sha256(replace(text, chr(10), '')) AS kept, true AS hashed, true AS in_turn FROM documents WHERE text IS NOT NULL""")
+def udf4_markdown_chunks(t: Tables) -> DataFrame:
+    """What chunks without an overlap come to: every line of a text, in turn, each once, with the hash of its text."""
+    return asked(t, """SELECT doc_id, max(end_line) AS lines, sha2(replace(array_join(transform(array_sort(collect_list(struct(chunk, chunk_text))), x -> x.chunk_text), ''), '\n', ''), 256) AS kept,
+        bool_and(hash = sha2(chunk_text, 256)) AS hashed, bool_and(start_line <= 1 + coalesce(before, 0) AND start_line >= coalesce(before, 1)) AS in_turn
+        FROM (SELECT *, lag(end_line) OVER (PARTITION BY doc_id ORDER BY chunk) AS before FROM markdown_chunks(TABLE(SELECT * FROM said), text => 'text', tokens => 100, overlap => 0)) GROUP BY doc_id""")
+
+
+@R.query("""SELECT doc_id, sha256(regexp_replace(text, '[ \n\t]', '', 'g')) AS kept, true AS fits FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '[^ \n\t]')""")
+def udf4_message_pieces(t: Tables) -> DataFrame:
+    """What pieces that end with a sentence where one does come to: the text, without the spaces at the cuts."""
+    return asked(t, """SELECT doc_id, sha2(regexp_replace(array_join(transform(array_sort(collect_list(struct(piece, piece_text))), x -> x.piece_text), ''), '[ \\n\\t]', ''), 256) AS kept,
+        bool_and(char_length(piece_text) BETWEEN 1 AND 500) AS fits FROM message_pieces(TABLE(SELECT * FROM said), text => 'text', most => 500, at => 'sentence')
+        WHERE piece_text rlike '[^ \\n\\t]' GROUP BY doc_id""")
+
+
+@R.query("""SELECT doc_id, sha256(text) AS kept, true AS fits, greatest(1, ceil(strlen(text) / 1000))::INT <= strlen(text) // 997 + 1 AS few FROM documents WHERE text IS NOT NULL""")
+def udf4_byte_pieces(t: Tables) -> DataFrame:
+    """What pieces of 1000 bytes come to: the text, in as few pieces as characters of several bytes allow."""
+    return asked(t, """SELECT doc_id, sha2(array_join(transform(array_sort(collect_list(struct(piece, piece_text))), x -> x.piece_text), ''), 256) AS kept, bool_and(octet_length(piece_text) <= 1000) AS fits,
+        count(*) <= sum(octet_length(piece_text)) div 997 + 1 AS few FROM byte_pieces(TABLE(SELECT * FROM said), text => 'text', most => 1000) GROUP BY doc_id""")
+
+
+@R.query("""WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM documents), d AS (SELECT id, w, len(w) AS length FROM w WHERE len(w) > 0),
+s AS (SELECT count(*) AS n, avg(length) AS mean FROM d), q AS (SELECT unnest(['the', 'casino', 'worthless', 'nation']) AS term),
+tf AS (SELECT id, length, term, len(list_filter(w, lambda x: x = term)) AS tf FROM d, q), df AS (SELECT term, count(*) FILTER (tf > 0) AS df FROM tf GROUP BY term)
+SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean))), 6) AS score FROM tf JOIN df USING (term), s WHERE tf > 0 GROUP BY id ORDER BY score DESC, id LIMIT 25""")
+def udf5_memory_search(t: Tables) -> DataFrame:
+    return asked(t, "SELECT id, score FROM memory_search('The casino: worthless NATION', 25)")
+
+
+@R.query("SELECT doc_id AS id, array_to_string(list_slice(string_split(text, chr(10)), 2, 3), chr(10)) AS text FROM documents WHERE doc_id IN (3, 17)")
+def udf5_memory_get_sql(t: Tables) -> DataFrame:
+    return asked(t, "SELECT * FROM memory_get(3, 2, 2) UNION ALL SELECT * FROM memory_get(17, 2, 2)")

@@ -264,6 +264,18 @@ def htm7_main_content(t: Tables) -> DataFrame:
     return d.where("has_main or m.text = w.text").select("page_id", "has_main")
 
 
+#: The letters of a page's article.
+LETTERS = r"""regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<article[^>]*>(.*)</article>', 1), '(?is)<(script|style|noscript)\b.*?</(script|style|noscript)>', '', 'g'), '(?s)<!--.*?-->|<[^>]*>', '', 'g'), '&[A-Za-z]+;|[^\p{L}]', '', 'g')"""
+
+
+@R.query(f"SELECT page_id, letters, sha256(letters) AS sha256 FROM (SELECT page_id, coalesce({LETTERS}, '') AS letters FROM pages WHERE html IS NOT NULL)")
+def htm7_text(t: Tables) -> DataFrame:
+    """The letters of each page's main content, with its article's mark taken away: it is told by its paragraphs."""
+    page = F.regexp_replace(F.regexp_replace("html", "<article>", '<div class="post">'), "</article>", "</div>")
+    text = F.regexp_replace(F.regexp_replace(H.main_content(page)["text"], r"\]\([^)\n]*\)", ""), r"[^\p{L}]", "")
+    return t.pages.where("html is not null").select("page_id", text.alias("letters")).select("page_id", "letters", F.sha2("letters", 256).alias("sha256"))
+
+
 @R.query()
 def udf6_strategy(t: Tables) -> DataFrame:
     chunks = t.documents.select(F.col("doc_id").alias("id"), "text").join(t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), "id")

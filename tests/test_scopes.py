@@ -37,3 +37,9 @@ def test_markdown_takes_every_conversation(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.turn: r.plain for r in catalog.queries()["htm2_markdown_to_text"](spark, str(tmp_path)).collect()}
     assert got == {0: "see here and code", 1: "one\ntwo", 2: "a\n\nb c", 3: None, 4: "plain"}
+
+
+def test_no_join_without_keys_for_contained_texts(spark):
+    sent = spark.createDataFrame([("a short text here",), ("another one that is longer than six words are",)], "text string")
+    plan = memory.already_sent(spark.createDataFrame([(1, "x")], "id long, text string"), sent)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
