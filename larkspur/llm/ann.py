@@ -17,49 +17,73 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import sampled, written
 
 
-#: Queries that are compared at once, and the most parts.
-TILE, MOST_PARTS = 512, 1024
+#: Queries that are compared at once, rows of any matrix of scores that the driver holds, and the most parts.
+TILE, ROWS, MOST_PARTS = 512, 256, 1024
 
 
-def neighbours(x: np.ndarray, k: int) -> np.ndarray:
-    """The k nearest others of each row by inner product, in blocks of rows."""
+def neighbours(x: np.ndarray, k: int, of: np.ndarray | None = None) -> np.ndarray:
+    """The k nearest others of each row (of the rows `of`, if given) by inner product, in blocks of rows."""
+    of = np.arange(len(x)) if of is None else of
     k = min(k, len(x) - 1)
-    out = np.empty((len(x), k), np.int64)
-    for at in range(0, len(x), 1024):
-        s = x[at : at + 1024] @ x.T
-        s[np.arange(len(s)), np.arange(at, at + len(s))] = -np.inf
-        out[at : at + 1024] = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    out = np.empty((len(of), k), np.int64)
+    for at in range(0, len(of), ROWS):
+        own = of[at : at + ROWS]
+        s = -(x[own] @ x.T)
+        s[np.arange(len(own)), own] = np.inf
+        out[at : at + ROWS] = np.argpartition(s, k - 1, axis=1)[:, :k]
     return out
 
 
+def _nearest_centre(x: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The centre with the largest inner product of each row, and that product, in blocks of rows."""
+    near, best = np.empty(len(x), np.int64), np.empty(len(x))
+    for at in range(0, len(x), ROWS):
+        s = x[at : at + ROWS] @ centre.T
+        near[at : at + ROWS] = s.argmax(axis=1)
+        best[at : at + ROWS] = s.max(axis=1)
+    return near, best
+
+
 def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, rng: np.random.Generator, rounds: int = 12, slack: float = 1.05) -> np.ndarray:
     """A part for each node so that few edges are cut and no part has over slack times the mean.
 
     It starts from nodes filed under the nearest of random centres in order of their margin. In each round every node
-    moves to the part that most of its neighbours, both ways, are in, as long as there is room.
+    moves to the part that most of its neighbours, both ways, are in, as long as there is room. Nothing that is held has a
+    row for each node and a column for each part.
     """
     n = len(x)
     room = int(np.ceil(slack * n / parts))
     centre = x[rng.choice(n, parts, replace=False)]
     for _ in range(4):
-        near = np.argmax(x @ centre.T, axis=1)
-        centre = np.stack([x[near == p].mean(axis=0) if (near == p).any() else x[rng.integers(n)] for p in range(parts)])
-        centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)
-    liking = x @ centre.T
-    part, size = np.full(n, -1), np.zeros(parts, np.int64)
-    for i in np.argsort(-liking.max(axis=1)):
-        full = np.where(size < room, liking[i], -np.inf)
-        part[i] = int(np.argmax(full))
-        size[part[i]] += 1
+        near, _ = _nearest_centre(x, centre)
+        total = np.zeros_like(centre)
+        np.add.at(total, near, x)
+        empty = np.bincount(near, minlength=parts) == 0
+        total[empty] = x[rng.integers(n, size=int(empty.sum()))]
+        centre = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-12)
+    _, margin = _nearest_centre(x, centre)
+    part, size, full = np.full(n, -1), np.zeros(parts, np.int64), np.zeros(parts)
+    for i in np.argsort(-margin):
+        p = int(np.argmax(centre @ x[i] + full))
+        part[i] = p
+        size[p] += 1
+        full[p] = -np.inf if size[p] >= room else 0
     rows, cols = np.repeat(np.arange(n), graph.shape[1]), graph.ravel()
     a, b = np.concatenate([rows, cols]), np.concatenate([cols, rows])
     for _ in range(rounds):
-        count = np.zeros((n, parts), np.float32)
-        np.add.at(count, (a, part[b]), 1)
-        best = count.argmax(axis=1)
-        gain = count[np.arange(n), best] - count[np.arange(n), part]
+        # how many neighbours of a node are in a part, only where there are some
+        key, count = np.unique(a * parts + part[b], return_counts=True)
+        node, there = key // parts, key % parts
+        order = np.lexsort((there, -count, node))
+        first = order[np.concatenate([[True], np.diff(node[order]) > 0])] if len(order) else order
+        best, most = part.copy(), np.zeros(n, np.int64)
+        best[node[first]], most[node[first]] = there[first], count[first]
+        own = np.zeros(n, np.int64)
+        mine = part[node] == there
+        own[node[mine]] = count[mine]
+        gain = most - own
         moved = 0
-        for i in np.argsort(-gain)[: int((gain > 0).sum())]:
+        for i in np.argsort(-gain, kind="stable")[: int((gain > 0).sum())]:
             if size[best[i]] < room:
                 size[part[i]] -= 1
                 part[i] = best[i]
@@ -75,16 +99,21 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
-def train_router(x: np.ndarray, target: np.ndarray, rng: np.random.Generator, hidden: int = 128, epochs: int = 25, rate: float = 3e-3) -> list[np.ndarray]:
-    """Weights of a network with one hidden layer that tells how a vector's neighbours spread over the parts (Adam)."""
-    w = [rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), (hidden, target.shape[1])), np.zeros(target.shape[1])]
+def train_router(x: np.ndarray, target: np.ndarray, parts: int, rng: np.random.Generator, hidden: int = 128, epochs: int = 25, rate: float = 3e-3) -> list[np.ndarray]:
+    """Weights of a network with one hidden layer that tells how a vector's neighbours spread over the parts (Adam).
+
+    target: for each row the parts of its neighbours and its own, which weigh the same.
+    """
+    w = [rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), (hidden, parts)), np.zeros(parts)]
     m, v, t = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w], 0
     for _ in range(epochs):
         order = rng.permutation(len(x))
         for at in range(0, len(x), 256):
             i = order[at : at + 256]
             h = np.maximum(x[i] @ w[0] + w[1], 0)
-            d = (softmax(h @ w[2] + w[3]) - target[i]) / len(i)
+            d = softmax(h @ w[2] + w[3])
+            np.subtract.at(d, (np.arange(len(i))[:, None], target[i]), 1 / target.shape[1])
+            d /= len(i)
             back = (d @ w[2].T) * (h > 0)
             t += 1
             for j, g in enumerate((x[i].T @ back, back.sum(axis=0), h.T @ d, d.sum(axis=0))):
@@ -102,6 +131,8 @@ class Router:
 
     def ranked(self, x: np.ndarray, n: int) -> np.ndarray:
         """The n most probable parts of each row, the most probable first."""
+        if len(x) > 4 * ROWS:
+            return np.concatenate([self.ranked(x[at : at + 4 * ROWS], n) for at in range(0, len(x), 4 * ROWS)])
         unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
         z = np.maximum(unit @ self.weights[0] + self.weights[1], 0) @ self.weights[2] + self.weights[3]
         return np.argsort(-z, axis=1, kind="stable")[:, :n]
@@ -119,15 +150,9 @@ def fit(sample: np.ndarray, parts: int, graph_k: int = 10, k: int = 20, recall:
         return Router([np.zeros((sample.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)], 1, 1)
     graph = neighbours(x, graph_k)
     part = balanced_parts(x, graph, parts, rng)
-    target = np.zeros((len(x), parts))
-    np.add.at(target, (np.repeat(np.arange(len(x)), graph.shape[1]), part[graph.ravel()]), 1)
-    target[np.arange(len(x)), part] += 1
-    router = Router(train_router(x, target / target.sum(axis=1, keepdims=True), rng), parts, parts)
+    router = Router(train_router(x, np.concatenate([part[graph], part[:, None]], axis=1), parts, rng), parts, parts)
     home, asked = router.ranked(sample, 1)[:, 0], np.flatnonzero(held)
-    s = sample[asked] @ sample.T
-    s[np.arange(len(asked)), asked] = -np.inf
-    k = min(k, len(sample) - 1)
-    near = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    near = neighbours(sample, k, asked)
     place = np.argsort(router.ranked(sample[asked], parts), axis=1)  # how many probes reach a part
     reached = place[np.arange(len(near))[:, None], home[near]]
     share = [(reached < p).mean() for p in range(1, parts + 1)]

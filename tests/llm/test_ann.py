@@ -1,3 +1,6 @@
+import subprocess
+import sys
+
 import numpy as np
 import pytest
 
@@ -81,3 +84,10 @@ def test_parts_are_balanced():
     assert np.bincount(part, minlength=6).max() <= 105
     same = (part[ann.neighbours(x, 10)] == part[:, None]).mean()
     assert same > 0.4  # 1/6 by chance
+
+
+def test_a_large_fit_takes_little_memory():
+    """32,768 vectors and 1,024 parts, what a table of eight million vectors is fitted with, in a process of its own."""
+    made = "import resource, numpy as np; from larkspur.llm import ann; x = np.random.default_rng(0).normal(size=(32768, 64)); b = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; ann.fit(x, 1024); print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - b) // 1024)"
+    out = subprocess.run([sys.executable, "-c", made], capture_output=True, text=True, check=True, timeout=300)
+    assert int(out.stdout) < 1000
