@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import named, quoted, words, written
@@ -25,6 +25,8 @@ CLASSES = {
 }
 #: A histogram is compared only from so many characters or words on, and a document fails beyond these distances.
 LEAST_CHARS, LEAST_WORDS, CLASS_LIMIT, WORD_LIMIT = 200, 200, 0.15, 0.25
+#: Medians are told by counts of shares in so many steps.
+STEPS = 1000
 
 
 def repeated_words(word: Column) -> Column:
@@ -105,11 +107,33 @@ def distance(p: Column, q: Column) -> Column:
 
 
 def _references(m: DataFrame) -> DataFrame:
+    """A language's mean histograms."""
     means = [F.avg(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES) + 1)] + [F.avg(F.get("common", F.lit(i))).alias(f"w{i}") for i in range(21)]
     refs = m.where("ref_lang is not null and not base_failed").groupBy(F.col("ref_lang").alias("of_lang")).agg(*means)
     return refs.select("of_lang", F.array(*[f"c{i}" for i in range(len(CLASSES) + 1)]).alias("ref_classes"), F.array(*[f"w{i}" for i in range(21)]).alias("ref_common"))
 
 
+def _medians(m: DataFrame) -> DataFrame:
+    """A language's median histograms, which junk moves little as long as it is less than half: the median of each share, to
+    a thousandth, all scaled to add up to 1. Only counts of shares by their thousandths are gathered."""
+    n = len(CLASSES) + 1
+    nulls = lambda k: F.array_repeat(F.lit(None).cast("double"), k)
+    shares = F.concat(F.coalesce("classes", nulls(n)), F.coalesce("common", nulls(21)))
+    d = m.where("ref_lang is not null and not base_failed").select(F.col("ref_lang").alias("of_lang"), F.posexplode(shares).alias("k", "share")).where("share is not null")
+    counts = d.groupBy("of_lang", "k", F.floor(F.col("share") * STEPS).cast("int").alias("step")).agg(F.count("*").alias("c"))
+    w = Window.partitionBy("of_lang", "k")
+    upto = counts.select("of_lang", "k", "step", F.sum("c").over(w.orderBy("step")).alias("upto"), F.sum("c").over(w).alias("all"))
+    middle = upto.where(F.col("upto") * 2 >= F.col("all")).groupBy("of_lang", "k").agg(((F.min("step") + 0.5) / STEPS).alias("share"))
+    listed = middle.groupBy("of_lang").agg(F.array_sort(F.collect_list(F.struct("k", "share"))).alias("x"))
+
+    def scaled(a: int, b: int) -> Column:
+        own = F.transform(F.filter("x", lambda x: (x["k"] >= a) & (x["k"] < b)), lambda x: x["share"])
+        total = F.aggregate(own, F.lit(0.0), lambda s, x: s + x)
+        return F.when(F.size(own) == b - a, F.transform(own, lambda x: x / total))
+
+    return listed.select("of_lang", scaled(0, n).alias("ref_classes"), scaled(n, n + 21).alias("ref_common"))
+
+
 def _compared(m: DataFrame, refs: DataFrame) -> DataFrame:
     """m with its distances from the references, of which there is one for each language in COMMON at most."""
     j = m.join(F.broadcast(refs), F.col("ref_lang") == F.col("of_lang"), "left")
@@ -119,17 +143,17 @@ def _compared(m: DataFrame, refs: DataFrame) -> DataFrame:
 def judged(docs: DataFrame, carried: list[str]) -> DataFrame:
     """measured() with base_failed, class_distance, word_distance and kept.
 
-    A language's reference is the mean histogram of its documents that pass the base rule and the length guards, each
-    counting once; those further than CLASS_LIMIT from it are then left out and the mean is taken again. A document
-    fails where a histogram that its length allows is further from its language's than CLASS_LIMIT or WORD_LIMIT.
-    Where the language is null or has no reference, and for texts below the guards, only the base rule decides. Null
-    texts are empty and fail the base rule. Rows that share a doc_id stay rows of their own.
+    A language's reference is the mean histogram of those of its documents that pass the base rule and the length guards and lie
+    within the limits of the median histogram, each counting once. A document fails where a histogram that its length allows
+    is further from its language's than CLASS_LIMIT or WORD_LIMIT. Where the language is null or has no reference, and for
+    texts below the guards, only the base rule decides. Null texts are empty and fail the base rule. Rows that share a
+    doc_id stay rows of their own.
     """
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     m = written(measured(docs, carried).withColumn("base_failed", base_failed), "measured")
     figures = m.drop("row")
-    first = _compared(figures, _references(figures))
-    near = first.where(F.col("class_distance") <= CLASS_LIMIT).drop("class_distance", "word_distance")
+    first = _compared(figures, _medians(figures))
+    near = first.where((F.col("class_distance") <= CLASS_LIMIT) & (F.coalesce("word_distance", F.lit(0.0)) <= WORD_LIMIT)).drop("class_distance", "word_distance")
     j = _compared(m, _references(near))
     far = (F.coalesce("class_distance", F.lit(0.0)) > CLASS_LIMIT) | (F.coalesce("word_distance", F.lit(0.0)) > WORD_LIMIT)
     return j.withColumn("kept", ~F.col("base_failed") & ~far)

@@ -6,7 +6,7 @@ from larkspur.llm import quality
 
 
 def divergence() -> str:
-    """The rows of op2: histograms as rows (doc, kind, k, share), references as their means, distances as sums."""
+    """The rows of op2: histograms as rows (doc, kind, k, share), references as means of what lies near the medians, distances as sums."""
     languages = ", ".join(f"('{lang}', {k}, '{word}')" for lang, ws in quality.COMMON.items() for k, word in enumerate(ws, 1))
     kinds = ", ".join("(" + ", ".join([str(k), "'[^" + x.replace("'", "''") + "]+'"]) + ")" for k, x in enumerate(quality.CLASSES.values()))
     refs = "SELECT shares.lang, kind, k, avg(share) AS share FROM shares JOIN base USING (doc_id) WHERE NOT base_failed"
@@ -37,9 +37,12 @@ shares AS (
     UNION ALL SELECT doc_id, lang, 'word', k, n / total FROM hits
     UNION ALL SELECT doc_id, lang, 'word', 99, (total - sum(n)) / total FROM hits GROUP BY doc_id, lang, total),
 known AS (SELECT DISTINCT lang FROM common),
-first_refs AS ({refs} AND shares.lang IN (FROM known) GROUP BY ALL),
+steps AS (SELECT shares.lang, kind, k, floor(share * {quality.STEPS})::INT AS step, count(*) AS c FROM shares JOIN base USING (doc_id) WHERE NOT base_failed AND shares.lang IN (FROM known) GROUP BY ALL),
+upto AS (SELECT *, sum(c) OVER (PARTITION BY lang, kind, k ORDER BY step) AS upto, sum(c) OVER (PARTITION BY lang, kind, k) AS every FROM steps),
+middle AS (SELECT lang, kind, k, (min(step) + 0.5) / {quality.STEPS} AS share FROM upto WHERE upto * 2 >= every GROUP BY ALL),
+first_refs AS (SELECT lang, kind, k, share / sum(share) OVER (PARTITION BY lang, kind) AS share FROM middle),
 first_apart AS ({apart.format("first_refs")}),
-refs AS ({refs} AND shares.lang IN (FROM known) AND doc_id IN (SELECT doc_id FROM first_apart WHERE kind = 'class' AND distance <= {quality.CLASS_LIMIT}) GROUP BY ALL),
+refs AS ({refs} AND shares.lang IN (FROM known) AND doc_id IN (SELECT doc_id FROM first_apart WHERE kind = 'class' AND distance <= {quality.CLASS_LIMIT}) AND doc_id NOT IN (SELECT doc_id FROM first_apart WHERE kind = 'word' AND distance > {quality.WORD_LIMIT}) GROUP BY ALL),
 apart AS ({apart.format("refs")}),
 far AS (SELECT DISTINCT doc_id FROM apart WHERE distance > CASE kind WHEN 'class' THEN {quality.CLASS_LIMIT} ELSE {quality.WORD_LIMIT} END)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (FROM far) AS kept FROM base

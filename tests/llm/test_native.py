@@ -6,6 +6,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from larkspur.llm import quality, secrets, sql
 from tests.llm.helpers import ODD, odd_docs, sample_docs
@@ -190,3 +191,14 @@ def test_simulated_statistics_are_the_tested_ones():
     for row, s in zip(codes, secrets.unlikeness(codes, 64), strict=True):
         token = "".join(secrets.ALPHABETS[7][c - 1] for c in row) + "-_"
         assert secrets.unlikeness(np.array([[*row, 63, 64]]), 64)[0] == pytest.approx(measured_token(token)[2], abs=1e-2)
+
+
+def test_clean_documents_stay_beside_much_junk(spark):
+    """At 31 % of junk, from the labelled documents of sf0.1 that pass the base rule, the junk repeated."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    passing = quality.verdicts(docs).where("not base_failed").select("doc_id").join(labels.select("doc_id", "quality"), "doc_id")
+    d = docs.join(passing, "doc_id").withColumn("times", F.explode(F.sequence(F.lit(1), F.when(F.col("quality") == 0, 5).otherwise(1))))
+    n = {r["quality"]: r["count"] for r in d.groupBy("quality").count().collect()}
+    assert 0.3 < n[0] / (n[0] + n[1]) < 0.32
+    kept = {r["quality"]: r["count"] for r in quality.kept_documents(d).groupBy("quality").count().collect()}
+    assert kept[1] > 0.95 * n[1] and kept.get(0, 0) < 0.05 * n[0]
