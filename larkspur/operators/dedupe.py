@@ -38,28 +38,40 @@ def greedy(memories: DataFrame, by: str, threshold: float = 0.85) -> DataFrame:
     return memories.select(by, F.col("id").cast("long").alias("id"), "content", F.col("score").cast("double").alias("score"), F.col("ts").cast("long").alias("ts")).groupBy(by).applyInPandas(lambda g: keep(g), f"{by} {kind}, id long, first long")
 
 
+#: Words of the smaller side that go to every task; more are dealt out.
+SENT_WORDS = 2_000_000
+
+
 def similar_pairs(left: DataFrame, right: DataFrame, words: Column, threshold: float) -> DataFrame:
     """(l_id, r_id, similarity) of pairs with at least that Jaccard likeness of words; both sides are (id, text).
 
-    Words are put in order of how many texts of either side have them, rare ones first; a pair that is alike enough
-    shares one of the first few words of each. So what is joined is a few rare words of each text.
+    Words are put in order of how many texts of the smaller side have them, those of none first; a pair that is alike enough
+    shares one of the first few words of each. A text whose first few words are all foreign to the smaller side has no
+    partner, and foreign words are never dealt out: of each text only the words of the smaller side go on, beside its size.
+    Those tell the likeness exactly, as no other word can be shared.
     """
     sides = left.select(F.lit("l").alias("side"), "id", words.alias("ws")).unionByName(right.select(F.lit("r").alias("side"), "id", words.alias("ws")))
-    single = written(sides.select("side", "id", F.explode("ws").alias("w")), "words")  # texts are cut into words once
-    often = single.groupBy("w").agg(F.count("*").alias("n"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("n", "w"))), lambda x: x["w"])
-    sets = written(single.join(often, "w").groupBy("side", "id").agg(listed.alias("ws")), "sets")
+    sets = written(sides.select("side", "id", "ws", F.size("ws").alias("n")).where("n > 0"), "words")  # texts are cut into words once
+    rows = {r["side"]: r["c"] for r in sets.groupBy("side").agg(F.count("*").alias("c")).collect()}
+    small = min("lr", key=lambda x: rows.get(x, 0))
+    often = written(sets.where(F.col("side") == small).select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("c")), "often")
+    often = F.broadcast(often) if often.count() <= SENT_WORDS else often
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("c", "w"))), lambda x: x["w"])
+    known = sets.select("side", "id", "n", F.explode("ws").alias("w")).join(often, "w").groupBy("side", "id", "n").agg(listed.alias("ws"))
+    known = written(known, "sets")
 
     def side(p: str) -> DataFrame:
-        return sets.where(F.col("side") == p).select(F.col("id").alias(f"{p}_id"), F.col("ws").alias(f"{p}_w"))
+        return known.where(F.col("side") == p).select(F.col("id").alias(f"{p}_id"), F.col("n").alias(f"{p}_n"), F.col("ws").alias(f"{p}_w"))
 
     def first_words(p: str) -> DataFrame:
-        n = F.size(f"{p}_w")
-        return side(p).select(f"{p}_id", n.alias(f"{p}_n"), F.explode(F.slice(f"{p}_w", F.lit(1), (n - F.ceil(n * threshold) + 1).cast("int"))).alias("w"))
+        n = F.col(f"{p}_n")
+        few = n - F.ceil(n * threshold) + 1 - (n - F.size(f"{p}_w"))  # less those that are foreign
+        return side(p).where(few > 0).select(f"{p}_id", f"{p}_n", F.explode(F.slice(f"{p}_w", F.lit(1), few.cast("int"))).alias("w"))
 
     near = first_words("l").join(first_words("r"), "w").where((F.col("l_n") >= threshold * F.col("r_n")) & (F.col("r_n") >= threshold * F.col("l_n")))
-    full = near.select("l_id", "r_id").distinct().join(side("l"), "l_id").join(side("r"), "r_id").withColumn("similarity", T.jaccard(F.col("l_w"), F.col("r_w"), 0.0))
-    return full.where(F.col("similarity") >= threshold).select("l_id", "r_id", "similarity")
+    full = near.select("l_id", "r_id").distinct().join(side("l"), "l_id").join(side("r"), "r_id")
+    shared = F.size(F.array_intersect("l_w", "r_w")).cast("double")
+    return full.withColumn("similarity", shared / (F.col("l_n") + F.col("r_n") - shared)).where(F.col("similarity") >= threshold).select("l_id", "r_id", "similarity")
 
 
 def exact_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
