@@ -1,10 +1,12 @@
 """Token ids in fixed-width bit packing.
 
-A packed file is a Parquet table with a row per block. A block holds the ids of whole documents, each id in `width` bits
-(the least that hold every id of the vocabulary), least significant bit first, one after another without gaps. `at` has
-the offset of each of its documents in ids, so document k of a block lies in bits at[k] * width to at[k + 1] * width:
-numpy unpacks a block at once, or any run of ids of it alone. Spark's own writer commits the files, so a lost executor
-leaves nothing half written and any store that Spark reaches will do.
+A packed file is a Parquet table with a row per block. A block holds so many ids, each in `width` bits (the least that hold
+every id of the vocabulary), least significant bit first, one after another without gaps; only a shard's last block may have
+fewer. Documents go on from block to block, so however long one is no block is larger. `at` has where each document's ids begin
+in the block (and one more entry, its end), so they lie in bits at[k] * width to at[k + 1] * width: numpy unpacks a block at once,
+or any run of ids of it alone. `first` numbers the block's first document within its shard, and `into` tells how many of its
+ids lie in earlier blocks. Spark's own writer commits the files, so a lost executor leaves nothing half written and any store
+that Spark reaches will do.
 """
 
 from __future__ import annotations
@@ -18,9 +20,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import encoder, slices, small_batches, written
+from larkspur.llm.common import batch_rows, encoder, slices, written
 
-BLOCKS = "shard int, block int, width int, n_ids long, payload binary, doc_id array<long>, at array<long>"
+BLOCKS = "shard int, block int, width int, n_ids long, first long, into long, payload binary, doc_id array<long>, at array<long>"
 
 
 def width_of(vocabulary: int) -> int:
@@ -51,7 +53,7 @@ def write_packed(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int =
     """Encodes every text (null: empty), adds end_id to each and writes the ids as blocks, in ascending doc_id order.
 
     Texts are dealt out by ranges of doc_id before they are encoded, so that Spark's sample for the ranges costs no
-    encoding. A block is closed with the document that brings it to block_ids. Rows with the same doc_id stay rows of
+    encoding. A block has block_ids ids. Rows with the same doc_id stay rows of
     their own, one after another in an order that their texts give; a null doc_id comes first. Ranges are cut within a
     doc_id too, so one that very many rows have is many tasks. Other columns are ignored. No documents: an empty table.
     """
@@ -59,40 +61,48 @@ def write_packed(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         width = width_of(max(enc.tok.get_vocab_size(), end_id + 1))
-        shard, block = TaskContext.get().partitionId(), 0
+        shard, block, doc_number = TaskContext.get().partitionId(), 0, -1
         parts: list[np.ndarray] = []
         names: list[int | None] = []
-        at = [0]
+        at, first, into = [0], 0, 0
 
         def row() -> pa.RecordBatch:
             ids = np.concatenate(parts)
-            cols = ([shard], [block], [width], [len(ids)], [pack(ids, width)], [names], [at])
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["shard", "block", "width", "n_ids", "payload", "doc_id", "at"])
+            cols = ([shard], [block], [width], [len(ids)], [first], [into], [pack(ids, width)], [names], [at])
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [c.split()[0] for c in BLOCKS.split(", ")])
 
         end = np.array([end_id], dtype="<u4")
         for batch in slices(batches):
             ids, cut = enc.encode(batch.column(1))
             for k, doc in enumerate(batch.column(0).to_pylist()):
-                parts += [ids[cut[k] : cut[k + 1]], end]
-                names.append(doc)
-                at.append(at[-1] + int(cut[k + 1] - cut[k]) + 1)
-                if at[-1] >= block_ids:
-                    yield row()
-                    parts, names, at, block = [], [], [0], block + 1
+                own, done, doc_number = ids[cut[k] : cut[k + 1]], 0, doc_number + 1
+                own = np.concatenate([own, end])
+                while done < len(own):
+                    if not names:
+                        first, into = doc_number, done
+                    piece = own[done : done + block_ids - at[-1]]
+                    parts.append(piece)
+                    names.append(doc)
+                    at.append(at[-1] + len(piece))
+                    done += len(piece)
+                    if at[-1] == block_ids:
+                        yield row()
+                        parts, names, at, block = [], [], [0], block + 1
         if names:
             yield row()
 
-    small_batches(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     ordered = keyed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    return written(ordered.mapInArrow(encode, BLOCKS), "packed", **{"compression": "uncompressed"})
+    with batch_rows(docs.sparkSession, 2000):
+        return written(ordered.mapInArrow(encode, BLOCKS), "packed", **{"compression": "uncompressed"})
 
 
 def read_packed(blocks: DataFrame) -> DataFrame:
     """A row per document of packed blocks: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
-    The shards' totals are summed up on the driver: a row for each file, not for each document.
+    The shards' totals are summed up on the driver: a row for each file, not for each document. Of a document that goes on from
+    block to block only its pieces' lengths and check sums come together.
     """
     totals = blocks.groupBy("shard", "block").agg(F.sum("n_ids").alias("n")).groupBy("shard").agg(F.sum("n").alias("n"))
     base, offsets = 0, []
@@ -101,6 +111,7 @@ def read_packed(blocks: DataFrame) -> DataFrame:
         base += n
     spark = blocks.sparkSession
     shards = spark.createDataFrame(offsets, "base_shard int, base long")
+    kinds = "shard int, block int, number long, doc_id long, in_block long, into long, n_tokens long, ids_crc32 long, whole boolean"
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,12 +119,24 @@ def read_packed(blocks: DataFrame) -> DataFrame:
                 at, ids = r["at"], unpack(r["payload"], r["width"], 0, r["n_ids"])
                 raw = memoryview(ids.tobytes())
                 n = len(r["doc_id"])
+                # what is cut by the block's ends: its first document if that began earlier, its last if the next block has more of it
+                whole = [not (k == 0 and r["into"]) and not (k == n - 1 and r["open"]) for k in range(n)]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([r["shard"]] * n, pa.int32()), pa.array([r["block"]] * n, pa.int32()), pa.array(r["doc_id"], pa.int64()), pa.array(at[:-1], pa.int64()),
-                    pa.array([b - a for a, b in zip(at, at[1:], strict=False)], pa.int64()), pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at, at[1:], strict=False)], pa.int64()),
-                ], ["shard", "block", "doc_id", "in_block", "n_tokens", "ids_crc32"])
-
-    docs = blocks.mapInArrow(decode, "shard int, block int, doc_id long, in_block long, n_tokens long, ids_crc32 long")
+                    pa.array([r["shard"]] * n, pa.int32()), pa.array([r["block"]] * n, pa.int32()), pa.array(range(r["first"], r["first"] + n), pa.int64()), pa.array(r["doc_id"], pa.int64()), pa.array(at[:-1], pa.int64()),
+                    pa.array([r["into"]] + [0] * (n - 1), pa.int64()), pa.array([b - a for a, b in zip(at, at[1:], strict=False)], pa.int64()), pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at, at[1:], strict=False)], pa.int64()), pa.array(whole),
+                ], [c.split()[0] for c in kinds.split(", ")])
+
+    def joined(pieces: pa.Table) -> pa.Table:
+        """The pieces of one document, as one row."""
+        rows = sorted(pieces.to_pylist(), key=lambda r: r["into"])
+        head, crc, n = rows[0], 0, 0
+        for r in rows:
+            crc, n = crc32_joined(crc, r["ids_crc32"], 4 * r["n_tokens"]), n + r["n_tokens"]
+        return pa.Table.from_pylist([head | {"n_tokens": n, "ids_crc32": crc, "whole": True}], schema=pieces.schema)
+
+    following = blocks.where(F.col("into") > 0).select("shard", (F.col("block") - 1).alias("block"), F.lit(True).alias("open"))
+    found = written(blocks.join(following, ["shard", "block"], "left").withColumn("open", F.coalesce("open", F.lit(False))).mapInArrow(decode, kinds), "pieces")
+    docs = found.where("whole").unionByName(found.where("not whole").groupBy("shard", "number").applyInArrow(joined, kinds))
     blocks_at = blocks.groupBy("shard", "block").agg(F.sum("n_ids").alias("n"))
     blocks_at = blocks_at.select("shard", "block", _before("n", "shard", "block").alias("in_shard"))
     return (
@@ -122,6 +145,44 @@ def read_packed(blocks: DataFrame) -> DataFrame:
     )
 
 
+def crc32_joined(a: int, b: int, length: int) -> int:
+    """The CRC-32 of two strings one after another, from theirs and the second one's length: shifting a by so many zero bytes is
+    a linear map of its bits, which is squared for each bit of the length."""
+    zero = [0xEDB88320] + [1 << k for k in range(31)]  # one zero bit
+    for _ in range(3):  # two, four and eight: a byte
+        zero = [_times(zero, x) for x in zero]
+    while length:
+        if length & 1:
+            a = _times(zero, a)
+        zero, length = [_times(zero, x) for x in zero], length >> 1
+    return a ^ b
+
+
+def _times(matrix: list[int], v: int) -> int:
+    out = 0
+    for x in matrix:
+        if v & 1:
+            out ^= x
+        v >>= 1
+    return out
+
+
+def lookup(blocks: DataFrame, doc_ids: list[int]) -> DataFrame:
+    """doc_id, into, ids of some documents (a short list), in pieces by block: only blocks that have them are decoded, and of
+    those only their bits. `into` is how many of a document's ids lie before the piece."""
+    wanted = set(doc_ids)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                hits = [k for k, d in enumerate(r["doc_id"]) if d in wanted]
+                ids = [unpack(r["payload"], r["width"], r["at"][k], r["at"][k + 1]).tolist() for k in hits]
+                yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"][k] for k in hits], pa.int64()), pa.array([0 if k else r["into"] for k in hits], pa.int64()), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "into", "ids"])
+
+    held = blocks.where(F.arrays_overlap("doc_id", F.array(*[F.lit(int(d)).cast("long") for d in sorted(wanted)])))
+    return held.mapInArrow(decode, "doc_id long, into long, ids array<long>")
+
+
 def _before(value: str, part: str, order: str):
     from pyspark.sql import Window
 

@@ -121,3 +121,29 @@ def test_most_pieces_stay_where_the_first_round_puts_them(spark):
     assert len({r.sequence_id for r in rows if r["round"] == 2}) <= 4 * 64
     tokens, sequences = sum(r.length for r in rows), len({r.sequence_id for r in rows})
     assert tokens / 2048 > 0.97 * sequences
+
+
+def test_a_long_text_is_several_blocks_and_is_looked_up_in_them(spark):
+    texts = {1: "short", 2: "many words in one text " * 3000, 3: "", 4: "after"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    blocks = packbits.write_packed(docs, public_tokenizers.path("byte_bpe_50k.json"), 2, block_ids=1000)
+    sizes = sorted((r.shard, r.block, r.n_ids) for r in blocks.collect())
+    assert len(sizes) > 10 and all(n <= 1000 for _, _, n in sizes)
+    tok = library("byte_bpe_50k.json")
+    want = {d: [*tok.encode(t, add_special_tokens=False).ids, 2] for d, t in texts.items()}
+    rows = {r.doc_id: r for r in packbits.read_packed(blocks).collect()}
+    at = 0
+    for d in sorted(texts):
+        assert (rows[d].start, rows[d].n_tokens, rows[d].ids_crc32) == (at, len(want[d]), zlib.crc32(u4(want[d])))
+        at += len(want[d])
+    found = {}
+    for r in sorted(packbits.lookup(blocks, [2, 3, 9]).collect()):
+        assert r["into"] == len(found.setdefault(r.doc_id, []))
+        found[r.doc_id] += r.ids
+    assert found == {2: want[2], 3: want[3]}
+
+
+def test_joined_check_sums():
+    raw = bytes(range(256)) * 40
+    for cut in (0, 1, 77, 5000, len(raw)):
+        assert packbits.crc32_joined(zlib.crc32(raw[:cut]), zlib.crc32(raw[cut:]), len(raw) - cut) == zlib.crc32(raw)
