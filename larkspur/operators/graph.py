@@ -58,6 +58,20 @@ def merged_edges(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst", "type").agg(F.max("confidence").alias("confidence"), fact.alias("fact"), F.sum("mentions").alias("mentions"))
 
 
+def merged_vertices(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Entities (name, type, aliases, confidence, mentions, seen) of both, one for each name in lower case.
+
+    As when new ones are merged into old ones: the name and type that were there first stay, confidence is the greatest, aliases
+    are a set of all in lower case without the name, mentions add up, and `seen` is the last time. Aliases are gathered by
+    entity: those that one has, which are few.
+    """
+    both = old.withColumn("age", F.lit(0)).unionByName(new.withColumn("age", F.lit(1))).where("name is not null").withColumn("key", F.lower("name"))
+    known = F.min(F.when(F.col("type").isNotNull(), F.struct("age", "type")))["type"]
+    aliases = F.array_distinct(F.flatten(F.collect_list(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda x: F.lower(x)))))
+    g = both.groupBy("key").agg(F.min(F.struct("age", "name"))["name"].alias("name"), known.alias("type"), aliases.alias("aliases"), F.max("confidence").alias("confidence"), F.sum("mentions").alias("mentions"), F.max("seen").alias("seen"))
+    return g.withColumn("aliases", F.sort_array(F.filter("aliases", lambda x: x.isNotNull() & (x != F.col("key"))))).drop("key")
+
+
 def repointed(edges: DataFrame, canonical: DataFrame) -> DataFrame:
     """Edges with both ends replaced by their canonical names (alias, name); loops and repeats go."""
     e = edges

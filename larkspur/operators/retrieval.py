@@ -202,8 +202,10 @@ def cut(hits: DataFrame, by: str, level: str, threshold: float | None = None, mo
     return top.where(F.col("score") >= least)
 
 
-#: A group's rows are looked at in so many pieces first, each of which keeps what may be within the budget.
-PIECES = 16
+def pieces(rows: DataFrame) -> int:
+    """In how many pieces a group's rows are looked at first, each of which keeps what may be within the budget: as many as the
+    session deals rows out to, so that a group with most of them is the work of all tasks."""
+    return max(16, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _within(rows: DataFrame, by: str, order: list, size: Column, budget: int) -> DataFrame:
@@ -212,7 +214,7 @@ def _within(rows: DataFrame, by: str, order: list, size: Column, budget: int) ->
     What begins beyond it in a piece of its group does so in the group; so pieces are cut first, in tasks of their own,
     and one task gets few rows of a group however large it is.
     """
-    piece = rows.withColumns({"size_": size, "piece_": F.pmod(F.xxhash64("id"), F.lit(PIECES))})
+    piece = rows.withColumns({"size_": size, "piece_": F.pmod(F.xxhash64("id"), F.lit(pieces(rows)))})
     upto = lambda *keys: F.coalesce(F.sum("size_").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     few = piece.withColumn("before", upto(by, "piece_")).where(F.col("before") <= budget)
     return few.withColumn("before", upto(by)).where(F.col("before") <= budget).drop("piece_")

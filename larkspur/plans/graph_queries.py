@@ -226,3 +226,29 @@ def txt18_cascade(t: Tables) -> DataFrame:
     aliases = t.nation.select(F.col("n_name").alias("name"), F.concat(F.lit("nation "), "n_regionkey").alias("canonical"))
     d = merge.canonicalised(names, t.part.select(p.alias("name")), cache, aliases)
     return d.withColumn("confidence", F.round("confidence", 6))
+
+
+VERTICES = """SELECT {0}(s_name) AS name, {1} AS type, ['S' || s_nationkey, CASE WHEN s_acctbal > 0 THEN 'rich' END, s_name] AS aliases, s_acctbal / 10000 AS confidence, s_nationkey + 1 AS mentions, s_suppkey {2} AS seen FROM supplier"""
+
+
+@R.query(f"""WITH o AS ({VERTICES.format("lower", "CASE WHEN s_nationkey < 10 THEN 'Person' END", "")}), n AS ({VERTICES.format("upper", "'Org'", "+ 5").replace("'rich'", "'Rich'").replace("s_acctbal / 10000", "(s_nationkey / 30)")}),
+b AS (SELECT *, 0 AS age, lower(name) AS key FROM o UNION ALL SELECT *, 1, lower(name) FROM n), a AS (SELECT DISTINCT key, lower(unnest(aliases)) AS x FROM b)
+SELECT arg_min(name, age) AS name, arg_min(type, age) FILTER (type IS NOT NULL) AS type, (SELECT string_agg(x, ',' ORDER BY x) FROM a WHERE a.key = b.key AND x <> b.key) AS aliases, round(max(confidence), 6) AS confidence, sum(mentions)::BIGINT AS mentions, max(seen) AS seen FROM b GROUP BY key""")
+def snk5_merge_vertices(t: Tables) -> DataFrame:
+    def made(name, kind, rich, confidence, later):
+        aliases = F.array(F.concat(F.lit("S"), "s_nationkey"), F.when(F.col("s_acctbal") > 0, rich), F.col("s_name"))
+        return t.supplier.select(name.alias("name"), kind.alias("type"), aliases.alias("aliases"), confidence.alias("confidence"), (F.col("s_nationkey") + 1).alias("mentions"), (F.col("s_suppkey") + later).alias("seen"))
+
+    old = made(F.lower("s_name"), F.when(F.col("s_nationkey") < 10, "Person"), "rich", F.col("s_acctbal") / 10000, 0)
+    new = made(F.upper("s_name"), F.lit("Org"), "Rich", F.col("s_nationkey") / 30, 5)
+    return graph.merged_vertices(old, new).withColumns({"aliases": F.array_join("aliases", ","), "confidence": F.round("confidence", 6)})
+
+
+@R.query("""WITH m AS (SELECT l_orderkey AS episode_id, l_partkey AS entity_id, max(l_shipdate) AS ts FROM lineitem GROUP BY 1, 2), q AS (SELECT lower(n_name) AS x FROM nation UNION SELECT DISTINCT lower(p_name) FROM part WHERE p_size = 7 UNION SELECT 'x7'),
+h AS (SELECT entity_id, min(x) AS term FROM (SELECT p_partkey AS entity_id, unnest([lower(p_name), 'x' || p_size]) AS x FROM part) JOIN q USING (x) GROUP BY 1)
+SELECT episode_id, count(DISTINCT entity_id) AS shared, max(ts) AS ts, string_agg(DISTINCT term, ',' ORDER BY term) AS names FROM m JOIN h USING (entity_id) GROUP BY 1 ORDER BY shared DESC, ts DESC, episode_id LIMIT 40""")
+def grf1_named_episodes(t: Tables) -> DataFrame:
+    """Episodes with the names they share with the question."""
+    mentions = t.lineitem.groupBy(F.col("l_orderkey").alias("episode_id"), F.col("l_partkey").alias("entity_id")).agg(F.max("l_shipdate").alias("ts"))
+    terms = [r[0] for r in t.nation.select("n_name").union(t.part.where("p_size = 7").select("p_name").distinct()).collect()] + ["X7"]  # a question's names
+    return graph.episodes_of(mentions, entities(t), terms, 40).withColumn("names", F.array_join("names", ","))

@@ -8,7 +8,7 @@ from larkspur.functions import text as T
 from larkspur.functions import time as tm
 from larkspur.operators import graph
 from larkspur.plans.registry import Registry, Tables
-from larkspur.sources import writers
+from larkspur.sources import readers, writers
 
 R = Registry()
 
@@ -294,3 +294,31 @@ def udf5_memory_search(t: Tables) -> DataFrame:
 @R.query("SELECT doc_id AS id, array_to_string(list_slice(string_split(text, chr(10)), 2, 3), chr(10)) AS text FROM documents WHERE doc_id IN (3, 17)")
 def udf5_memory_get_sql(t: Tables) -> DataFrame:
     return asked(t, "SELECT * FROM memory_get(3, 2, 2) UNION ALL SELECT * FROM memory_get(17, 2, 2)")
+
+
+@R.query(f"""WITH w AS (SELECT item_id, text, list_distinct(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', ' ', 'g'), '[A-Za-z0-9_]+')) AS ws FROM benchmark)
+SELECT item_id, entity FROM (SELECT item_id, unnest(list_filter(ws, lambda x: regexp_full_match(x, '[A-Z][A-Za-z0-9]+') AND NOT list_contains({sorted(memory.STOP["en"])!r}, lower(x)))) AS entity FROM w
+UNION ALL SELECT item_id, 'user' FROM w WHERE len(list_filter(ws, lambda x: lower(x) IN ('i', 'me', 'my', 'mine', 'myself'))) > 0)""")
+def txt20_entities(t: Tables) -> DataFrame:
+    return t.benchmark.select("item_id", F.explode(memory.query_entities(F.col("text"))).alias("entity"))
+
+
+@R.query("""WITH b AS (SELECT conv_id, turn, text, CASE WHEN turn % 3 = 0 THEN 2 WHEN turn % 3 = 1 THEN 1 ELSE 0 END AS calls FROM conversations)
+SELECT conv_id, turn, CASE calls WHEN 2 THEN role || ',search' WHEN 1 THEN 'search' ELSE '' END AS names, calls FROM b JOIN conversations USING (conv_id, turn)""")
+def jsn3_tool_names(t: Tables) -> DataFrame:
+    """Messages as blocks: text, a call with and one without a name, a result, and plain text."""
+    k = F.col("turn") % 3
+    block = lambda kind, name: F.struct(F.lit(kind).alias("type"), F.when(F.lit(kind) == "text", F.col("text")).alias("text"), name.cast("string").alias("name"))
+    full = F.to_json(F.array(block("text", F.lit(None)), block("toolCall", F.col("role")), block("tool_result", F.lit("no")), block("tool_use", F.lit("search"))))
+    some = F.to_json(F.array(block("text", F.lit(None)), block("toolUse", F.lit("search")), block("tool_call", F.lit(None))))
+    d = t.conversations.select("conv_id", "turn", F.when(k == 0, full).when(k == 1, some).otherwise(F.col("text")).alias("content"))
+    names = readers.tool_names(F.col("content"))
+    return d.select("conv_id", "turn", F.array_join(names, ",").alias("names"), F.size(names).alias("calls"))
+
+
+@R.query("SELECT doc_id, strlen(text) = 0 AS none, strlen(text) > 0 AS within FROM documents WHERE text IS NOT NULL")
+def snk8_bounds(t: Tables) -> DataFrame:
+    """Deflate writes at least a thousandth of a text, and at most five bytes for each stretch of 16,383 and eleven more than it."""
+    d = t.documents.where("text is not null").select("doc_id", F.octet_length("text").alias("size"), chunks.compression_ratio(F.col("text")).alias("ratio"))
+    most = F.col("size") + 5 * F.ceil(F.col("size") / 16_383) + 11
+    return d.select("doc_id", F.col("ratio").isNull().alias("none"), F.coalesce((F.col("ratio") * F.col("size") <= most) & (F.col("ratio") >= 0.0009), F.lit(False)).alias("within"))

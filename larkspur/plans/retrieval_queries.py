@@ -245,3 +245,19 @@ R.sql["agg17_mean_relevance"] = f"SELECT round(coalesce(avg(score), 0), 9) AS me
 def mth4_rank_scores(t: Tables) -> DataFrame:
     v = F.col("value")
     return t.events.select("event_id", F.round(V.rank_score(v - 10), 9).alias("rank_score"), F.round(V.bm25_score(-v), 9).alias("score"), F.round(V.bm25_score(-v, compat=True), 9).alias("compat"))
+
+
+#: Hits of each language with their words and their order; for SQL that takes one after another.
+HITS = f"""hits AS (SELECT h.id, d.lang, h.score, d.text, list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9_]+')) AS w, row_number() OVER (PARTITION BY d.lang ORDER BY h.score DESC, h.id) AS rk
+    FROM ({BM25} ORDER BY score DESC, id LIMIT {{}}) h JOIN documents d ON d.doc_id = h.id)"""
+
+R.sql["rnk7_mmr"] = f"""WITH RECURSIVE {HITS.format(30)},
+rel AS (SELECT *, CASE WHEN max(score) OVER l > min(score) OVER l THEN (score - min(score) OVER l) / (max(score) OVER l - min(score) OVER l) ELSE 1.0::DOUBLE END AS r FROM hits WINDOW l AS (PARTITION BY lang)),
+sims AS (SELECT a.id, map_from_entries(list((b.id, len(list_intersect(a.w, b.w))::DOUBLE / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))))) AS m FROM hits a JOIN hits b ON a.lang = b.lang GROUP BY a.id),
+run(lang, place, chosen) AS (
+    SELECT DISTINCT lang, 0::BIGINT, []::BIGINT[] FROM hits
+    UNION ALL
+    SELECT lang, place + 1, list_append(any_value(chosen), arg_max(id, (v, score, -rk))) FROM (
+        SELECT x.lang, place, chosen, id, score, rk, 0.7::DOUBLE * r - (1 - 0.7::DOUBLE) * coalesce(list_max(list_transform(chosen, lambda c: m[c])), 0) AS v
+        FROM run x JOIN rel ON rel.lang = x.lang AND NOT list_contains(chosen, rel.id) JOIN sims USING (id)) GROUP BY lang, place)
+SELECT run.lang, chosen[place] AS id, score, place::INT AS place FROM run JOIN hits ON hits.id = chosen[place] WHERE place > 0"""

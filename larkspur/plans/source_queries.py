@@ -19,7 +19,8 @@ HOUR = 3_600_000
 
 
 def transcripts(t: Tables) -> str:
-    """A folder with a JSONL transcript for each conversation: a line for each turn."""
+    """A folder with a JSONL transcript for each conversation: a line for each turn. A fixture, as transcripts come in files of
+    their own: as many small files as conversations, which no large table should be written as."""
     path = scratch_path(t.spark, "transcripts")
     line = F.to_json(F.struct(F.lit("message").alias("type"), F.lit("2024-01-01T00:00:00Z").alias("timestamp"), F.struct("role", F.col("text").alias("content")).alias("message")))
     rows = t.conversations.select("conv_id", "turn", line.alias("value")).repartition("conv_id").sortWithinPartitions("conv_id", "turn")

@@ -323,3 +323,22 @@ def dt2_next_every(t: Tables) -> DataFrame:
 @R.query("SELECT o_orderkey, CASE WHEN s <= 0 THEN 'now' WHEN s < 3600 THEN floor(s / 60)::BIGINT || 'm' WHEN s < 86400 THEN floor(s / 3600)::BIGINT || 'h' || CASE WHEN floor(s / 60)::BIGINT % 60 > 0 THEN ' ' || floor(s / 60)::BIGINT % 60 || 'm' ELSE '' END ELSE floor(s / 86400)::BIGINT || 'd ' || floor(s / 3600)::BIGINT % 24 || 'h' END AS left FROM (SELECT o_orderkey, (o_orderkey - 1000) * 10 AS s FROM orders)")
 def dt4_remaining(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", tm.remaining((F.col("o_orderkey") - 1000) * 10).alias("left"))
+
+
+@R.query("""WITH s AS (SELECT *, 'agent:main:cron:' || event_id AS key FROM events),
+hits AS (SELECT event_id AS "sessionId", [contains(lower('agent' || user_id % 3), 'nt1'), contains(event_type, 'cl'), contains(CASE WHEN user_id % 2 = 0 THEN 'group' ELSE 'direct' END, 'rou'), contains(lower('Prov' || user_id % 5), 'ov3'), coalesce(contains(lower(CASE WHEN user_id % 7 > 0 THEN 'M' || user_id % 7 END), 'm4'), false),
+    contains(lower('tool_' || event_type), 'l_vi'), regexp_matches(key, '(?i)^agent:.*7.$'), contains(event_id::VARCHAR, '99'), regexp_matches(event_id::VARCHAR, '^.5.$'), contains(lower('Label ' || user_id), 'bel 12'), event_type <> 'view', user_id % 4 > 0, value > 10, value IS NOT NULL, user_id % 7 > 0, true,
+    value >= 20, value <= 5.5, value / 10 >= 1.5, user_id % 9 >= 3, user_id % 9 <= 2] AS h FROM s)
+SELECT "sessionId", list_aggregate(list_transform(h, lambda x: CASE WHEN x THEN '1' ELSE '0' END), 'string_agg', '') AS found FROM hits""")
+def flt2_every_key(t: Tables) -> DataFrame:
+    """Every key of the filter language, each as a query of its own over all events as sessions."""
+    u, kind = F.col("user_id"), F.col("event_type")
+    name = lambda p, c: F.concat(F.lit(p), c)
+    d = t.events.select(
+        name("agent:main:cron:", F.col("event_id")).alias("key"), F.col("event_id").alias("sessionId"), name("Label ", u).alias("label"), name("agent", u % 3).alias("agentId"), kind.alias("channel"),
+        F.when(u % 2 == 0, "group").otherwise("direct").alias("chatType"), name("Prov", u % 5).alias("modelProvider"), F.when(u % 7 > 0, name("M", u % 7)).alias("model"), F.array(name("tool_", kind)).alias("tools"),
+        F.when(kind != "view", 1).otherwise(0).alias("toolCalls"), (u % 4).alias("errors"), F.when(F.col("value") > 10, 1).alias("contextTokens"), F.col("value").alias("totalTokens"), (F.col("value") / 10).alias("totalCost"), (u % 9).alias("messages"),
+    )
+    asked = ["agent:NT1", "channel:cl", "chat:rou", "provider:OV3", "model:m4", "tool:L_VI", "key:agent:*7?", "session:99", "id:?5?", '"label:bel 12"', "has:tools", "has:errors", "has:context", "has:usage", "has:model", "has:provider", "minTokens:20", "maxTokens:5.5", "minCost:$1.5", "minMessages:3", "maxMessages:2"]
+    conditions = [F.when(F.coalesce(filters.parsed(q, d.columns).condition, F.lit(False)), "1").otherwise("0") for q in asked]
+    return d.select("sessionId", F.concat(*conditions).alias("found"))

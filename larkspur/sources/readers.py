@@ -104,6 +104,21 @@ def flat_content(content: Column) -> Column:
     return F.when(content.startswith("["), F.array_join(texts, " ")).otherwise(T.session_text(content))
 
 
+# Types of blocks that are calls of tools.
+CALLS = ("toolCall", "toolUse", "tool_use", "tool_call")
+
+
+def blocks_of(content: Column, kinds: Sequence[str]) -> Column:
+    """The blocks of a message, as structs of type, text, id and name, that are of some types; none for plain text or null."""
+    parsed = F.from_json(content, "array<struct<type: string, text: string, id: string, name: string>>")
+    return F.coalesce(F.when(F.ltrim(content).startswith("["), F.filter(parsed, lambda b: b["type"].isin(list(kinds)))), F.filter(F.from_json(F.lit("[]"), "array<struct<type: string, text: string, id: string, name: string>>"), lambda b: F.lit(True)))
+
+
+def tool_names(content: Column) -> Column:
+    """The names of the tools that a message calls, in order; calls without a name are left out."""
+    return F.filter(F.transform(blocks_of(content, CALLS), lambda b: b["name"]), lambda n: n.isNotNull())
+
+
 def transcript(spark: SparkSession, path: str, redacted: bool = True) -> DataFrame:
     """path, line, role, text of the user's and assistant's messages of JSONL transcripts that have text, secrets masked."""
     parsed = lines(spark, path).withColumn("m", F.from_json("value", MESSAGE, {"mode": "PERMISSIVE"}))

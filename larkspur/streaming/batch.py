@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import time as tm
+from larkspur.operators.retrieval import pieces
 
 
 def micros(ts: str) -> Column:
@@ -120,7 +121,7 @@ def kept_entries(entries: DataFrame, ts: str, order: str, most: int) -> DataFram
 def within_budget(files: DataFrame, size: str, age: str, referenced: DataFrame, id_col: str, budget: int, by: str) -> DataFrame:
     """Files to remove so that each store's total comes down to its budget: the oldest that nothing refers to."""
     total = files.groupBy(by).agg(F.sum(size).alias("all"))
-    free = files.join(referenced, id_col, "left_anti").join(total, by).withColumn("piece", F.pmod(F.xxhash64(id_col), F.lit(16)))
+    free = files.join(referenced, id_col, "left_anti").join(total, by).withColumn("piece", F.pmod(F.xxhash64(id_col), F.lit(pieces(files))))
 
     def removed(d: DataFrame, *keys: str) -> DataFrame:
         w = Window.partitionBy(*keys).orderBy(age, id_col).rowsBetween(Window.unboundedPreceding, -1)
