@@ -98,6 +98,10 @@ def write_packed(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int =
         return written(ordered.mapInArrow(encode, BLOCKS), "packed", **{"compression": "uncompressed"})
 
 
+#: What is known of a document before its place among all is.
+JOINED = "shard int, block int, doc_id long, in_block long, n_tokens long, ids_crc32 long"
+
+
 def read_packed(blocks: DataFrame) -> DataFrame:
     """A row per document of packed blocks: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
@@ -126,17 +130,23 @@ def read_packed(blocks: DataFrame) -> DataFrame:
                     pa.array([r["into"]] + [0] * (n - 1), pa.int64()), pa.array([b - a for a, b in zip(at, at[1:], strict=False)], pa.int64()), pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at, at[1:], strict=False)], pa.int64()), pa.array(whole),
                 ], [c.split()[0] for c in kinds.split(", ")])
 
-    def joined(pieces: pa.Table) -> pa.Table:
-        """The pieces of one document, as one row."""
-        rows = sorted(pieces.to_pylist(), key=lambda r: r["into"])
-        head, crc, n = rows[0], 0, 0
-        for r in rows:
-            crc, n = crc32_joined(crc, r["ids_crc32"], 4 * r["n_tokens"]), n + r["n_tokens"]
-        return pa.Table.from_pylist([head | {"n_tokens": n, "ids_crc32": crc, "whole": True}], schema=pieces.schema)
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents with their pieces in order, as documents with one length and one check sum."""
+        for batch in batches:
+            rows = batch.to_pylist()
+            for r in rows:
+                crc = 0
+                for x in r["pieces"]:
+                    crc = crc32_joined(crc, x["ids_crc32"], 4 * x["n_tokens"])
+                r["ids_crc32"], r["n_tokens"] = crc, sum(x["n_tokens"] for x in r["pieces"])
+            names = [c.split()[0] for c in JOINED.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array([(r["pieces"][0] | r)[c] for r in rows], pa.int32() if c in ("shard", "block") else pa.int64()) for c in names], names)
 
     following = blocks.where(F.col("into") > 0).select("shard", (F.col("block") - 1).alias("block"), F.lit(True).alias("open"))
     found = written(blocks.join(following, ["shard", "block"], "left").withColumn("open", F.coalesce("open", F.lit(False))).mapInArrow(decode, kinds), "pieces")
-    docs = found.where("whole").unionByName(found.where("not whole").groupBy("shard", "number").applyInArrow(joined, kinds))
+    pieces = F.array_sort(F.collect_list(F.struct("into", "block", "in_block", "doc_id", "n_tokens", "ids_crc32")))
+    cut = found.where("not whole").groupBy("shard", "number").agg(pieces.alias("pieces")).select("shard", "pieces").mapInArrow(joined, JOINED)
+    docs = found.where("whole").select(*[c.split()[0] for c in JOINED.split(", ")]).unionByName(cut)
     blocks_at = blocks.groupBy("shard", "block").agg(F.sum("n_ids").alias("n"))
     blocks_at = blocks_at.select("shard", "block", _before("n", "shard", "block").alias("in_shard"))
     return (
