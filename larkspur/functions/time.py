@@ -42,6 +42,28 @@ def utc_offset(text: str) -> int | None:
     return None if minutes > 14 * 60 else minutes if m[1] == "+" else -minutes
 
 
+def offset_minutes(text: Column) -> Column:
+    """utc_offset() of a column: minutes of UTC+h[:mm] in any case, spaces around it aside; null for all else and beyond 14 hours."""
+    part = lambda k: F.regexp_extract(F.trim(text), r"^(?i:UTC)([+-])([0-9]{1,2})(?::([0-5][0-9]))?$", k)
+    minutes = F.nullif(part(2), F.lit("")).cast("int") * 60 + F.coalesce(F.nullif(part(3), F.lit("")).cast("int"), F.lit(0))
+    return F.when(minutes <= 14 * 60, F.when(part(1) == "-", -minutes).otherwise(minutes))
+
+
+def offset_text(minutes: Column) -> Column:
+    """UTC+h or UTC+h:mm of minutes, the inverse of offset_minutes()."""
+    m = F.abs(minutes)
+    rest = F.when(m % 60 > 0, F.concat(F.lit(":"), F.lpad((m % 60).cast("string"), 2, "0"))).otherwise("")
+    return F.concat(F.lit("UTC"), F.when(minutes < 0, "-").otherwise("+"), F.floor(m / 60).cast("string"), rest)
+
+
+def in_dates(ts: Column, start: Column, end: Column, offset: Column | None = None) -> Column:
+    """Whether a time lies on the dates start to end (text, both included) as people at an offset see them; an offset that cannot
+    be read is none, as is one that is not given."""
+    minutes = F.lit(0) if offset is None else F.coalesce(offset_minutes(offset), F.lit(0))
+    local = ts.cast("timestamp_ntz") + F.make_dt_interval(mins=minutes)
+    return local.cast("date").between(F.try_to_date(start, "yyyy-MM-dd"), F.try_to_date(end, "yyyy-MM-dd"))
+
+
 def date_range(start: str | None, end: str | None, days: int | None, today: dt.date, offset_minutes: int = 0) -> tuple[dt.datetime, dt.datetime]:
     """First and last moment (inclusive, to the millisecond) of dates as people at an offset see them; 30 days by default."""
     parse = lambda s: dt.date.fromisoformat(s) if s and re.fullmatch(r"\d{4}-\d{2}-\d{2}", s) else None

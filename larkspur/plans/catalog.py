@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from larkspur.plans import graph_queries, history_queries, memory_queries, retrieval_queries, source_queries, stream_queries, text_queries, usage_queries
+from larkspur.plans import graph_queries, history_queries, memory_queries, reader_queries, retrieval_queries, source_queries, stream_queries, text_queries, usage_queries
 from larkspur.plans.registry import Query
 
-PARTS = [retrieval_queries.R, text_queries.R, usage_queries.R, history_queries.R, memory_queries.R, graph_queries.R, stream_queries.R, source_queries.R]
+PARTS = [retrieval_queries.R, text_queries.R, usage_queries.R, history_queries.R, memory_queries.R, graph_queries.R, stream_queries.R, source_queries.R, reader_queries.R]
 
 
 def queries() -> dict[str, Query]:

@@ -261,3 +261,17 @@ run(lang, place, chosen) AS (
         SELECT x.lang, place, chosen, id, score, rk, 0.7::DOUBLE * r - (1 - 0.7::DOUBLE) * coalesce(list_max(list_transform(chosen, lambda c: m[c])), 0) AS v
         FROM run x JOIN rel ON rel.lang = x.lang AND NOT list_contains(chosen, rel.id) JOIN sims USING (id)) GROUP BY lang, place)
 SELECT run.lang, chosen[place] AS id, score, place::INT AS place FROM run JOIN hits ON hits.id = chosen[place] WHERE place > 0"""
+
+R.sql["ctx_dedupe_greedy"] = f"""WITH RECURSIVE {HITS.format(50)},
+own AS (SELECT id, lang, score, text, list_filter(list_distinct(string_split_regex(lower(text), '\\s+')), lambda x: length(x) > 2) AS w, row_number() OVER (PARTITION BY lang ORDER BY id) AS n FROM hits),
+alike AS (SELECT a.id, list(b.id) FILTER (a.text = b.text OR len(a.w) > 0 AND len(b.w) > 0 AND len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= 0.85) AS like_it,
+    map_from_entries(list((b.id, b.score))) AS scores FROM own a JOIN own b ON a.lang = b.lang GROUP BY a.id),
+run(lang, n, firsts, bests) AS (
+    SELECT DISTINCT lang, 0::BIGINT, []::BIGINT[], []::BIGINT[] FROM own
+    UNION ALL
+    SELECT lang, n, CASE WHEN spot IS NULL THEN list_append(firsts, id) ELSE firsts END,
+        CASE WHEN spot IS NULL THEN list_append(bests, id) WHEN score >= scores[bests[spot]] THEN list_concat(list_append(bests[:spot - 1], id), bests[spot + 1:]) ELSE bests END
+    FROM (SELECT o.lang, o.n, o.id, o.score, firsts, bests, scores, list_min(list_filter(range(1, len(bests) + 1), lambda j: list_contains(like_it, bests[j]))) AS spot
+        FROM run x JOIN own o ON o.lang = x.lang AND o.n = x.n + 1 JOIN alike USING (id))),
+final AS (SELECT lang, arg_max(firsts, n) AS firsts, arg_max(bests, n) AS bests FROM run GROUP BY lang)
+SELECT lang, unnest(bests) AS id, unnest(firsts) AS first FROM final"""
