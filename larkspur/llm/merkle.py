@@ -2,7 +2,7 @@
 
 A tree is kept as a table of nodes (grp, level, idx, hash), leaves at level 0. Which siblings a leaf's proof needs follows
 from its index and its group's size alone, so a proof is a join of coordinates with the node table. Trees are built and
-proofs are found in rounds of DEPTH levels: a round works on blocks of fan_out ** DEPTH nodes, and what remains of each
+proofs are found in rounds of a few levels: a round works on blocks of at most BLOCK nodes, and what remains of each
 block is a leaf of the next round. A leaf's proof is its own within the block and then the block's, so no node is looked
 up by more leaves than a block has, and a group with a third of all rows is as many blocks as it needs.
 """
@@ -21,12 +21,20 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import hot_join, written
 from larkspur.llm.spans import once
 
-#: Levels of a round.
-DEPTH = 6
+#: Nodes of a block, unless one run has more.
+BLOCK = 64
 #: The columns that a leaf is made of, and what a group is named by.
 FIELDS, GROUP = ["doc_id", "source", "lang", "n_chars", "text"], "lang"
 
 
+def depth_of(fan_out: int) -> int:
+    """Levels of a round."""
+    depth = 1
+    while fan_out ** (depth + 1) <= BLOCK:
+        depth += 1
+    return depth
+
+
 def digest(text: Column) -> Column:
     """The 32 bytes of a text's SHA-256."""
     return F.unhex(F.sha2(text, 256))
@@ -89,7 +97,7 @@ def _div(a: Column, k: int) -> Column:
 
 
 def _levels(nodes: Column, heights: Column, k: int) -> Column:
-    """The levels of a block, each an array of digests, from the block's own nodes up to DEPTH levels or the group's height."""
+    """The levels of a block, each an array of digests, from the block's own nodes up to the round's or the group's height."""
 
     def above(below: Column) -> Column:
         run = lambda i: F.concat(*[F.coalesce(said(F.get(below, i * k + j)), F.lit("")) for j in range(k)])
@@ -98,7 +106,7 @@ def _levels(nodes: Column, heights: Column, k: int) -> Column:
     def up(levels: Column, _) -> Column:
         return F.concat(levels, F.array(above(F.element_at(levels, -1))))
 
-    steps = F.filter(F.sequence(F.lit(1), F.lit(DEPTH)), lambda x: x <= heights)
+    steps = F.filter(F.sequence(F.lit(1), F.lit(depth_of(k))), lambda x: x <= heights)
     return F.aggregate(steps, F.array(nodes), up)
 
 
@@ -113,11 +121,10 @@ def _height(n: Column, k: int) -> Column:
 def trees(leaves: DataFrame, fan_out: int = 2) -> list[DataFrame]:
     """The rounds of trees over leaves (grp, idx, n, hash): each a table (grp, block, roots, n, levels) of blocks of nodes.
 
-    levels has DEPTH + 1 arrays at most, the block's nodes first; n is how many nodes the group has at the round's
-    start. The last round's blocks are the roots of their groups. A round has fan_out ** DEPTH times fewer nodes than the one
-    before. No block holds more than that many nodes.
+    levels has an array for each level, the block's nodes first; n is how many nodes the group has at the round's
+    start. A group's last block has its root. A round has as many times fewer nodes than the one before as a block has nodes.
     """
-    wide, rounds, level = fan_out**DEPTH, [], leaves.select("grp", "idx", "n", "hash")
+    wide, rounds, level = fan_out ** depth_of(fan_out), [], leaves.select("grp", "idx", "n", "hash")
     while True:
         blocks = level.groupBy("grp", _div(F.col("idx"), wide).alias("block"), "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "hash"))), lambda x: x["hash"]).alias("own"))
         blocks = written(blocks.select("grp", "block", "n", _levels(F.col("own"), _height(F.col("n"), fan_out), fan_out).alias("levels")), "blocks")
@@ -130,7 +137,7 @@ def trees(leaves: DataFrame, fan_out: int = 2) -> list[DataFrame]:
 def nodes(blocks: DataFrame, fan_out: int = 2) -> DataFrame:
     """The node table of a round: grp, level (within the round), idx (in the group's level), hash."""
     at = blocks.select("grp", "block", F.posexplode("levels").alias("level", "hashes"))
-    width = F.pow(F.lit(fan_out), F.lit(DEPTH) - F.col("level")).cast("long")
+    width = F.pow(F.lit(fan_out), F.lit(depth_of(fan_out)) - F.col("level")).cast("long")
     return at.select("grp", "level", (F.col("block") * width).alias("first"), F.posexplode("hashes").alias("k", "hash")).select("grp", "level", (F.col("first") + F.col("k")).alias("idx"), "hash")
 
 
@@ -142,12 +149,13 @@ def proofs(leaves: DataFrame, rounds: list[DataFrame], fan_out: int = 2, tops: D
     the round's node table, and put what they find before the path of their block. tops (grp, path, given): what comes above
     the roots, one row for a group; `given` reaches every leaf of the group.
     """
-    wide, found = fan_out**DEPTH, None
+    depth, found = depth_of(fan_out), None
+    wide = fan_out**depth
     power = lambda x: F.pow(F.lit(fan_out), x).cast("long")
     for k in reversed(range(len(rounds))):
         asked = leaves if k == 0 else rounds[k - 1].where(F.col("n") > wide).select("grp", F.col("block").alias("idx"), _ceil_div(F.col("n"), wide).alias("n"))
-        height = F.least(F.lit(DEPTH), _height(F.col("n"), fan_out))
-        at = asked.select("grp", "idx", "n", F.explode(F.filter(F.sequence(F.lit(0), F.lit(DEPTH - 1)), lambda x: x < height)).alias("level"))
+        height = F.least(F.lit(depth), _height(F.col("n"), fan_out))
+        at = asked.select("grp", "idx", "n", F.explode(F.filter(F.sequence(F.lit(0), F.lit(depth - 1)), lambda x: x < height)).alias("level"))
         at = at.withColumn("here", F.floor(F.col("idx") / power(F.col("level"))).cast("long")).withColumn("first", F.col("here") - F.pmod("here", F.lit(fan_out)))
         last = F.least(F.col("first") + (fan_out - 1), F.floor((F.col("n") - 1) / power(F.col("level"))).cast("long"))
         coordinates = at.select("grp", F.col("idx").alias("of"), "level", F.explode(F.filter(F.sequence("first", last), lambda x: x != F.col("here"))).alias("idx"))
@@ -155,7 +163,7 @@ def proofs(leaves: DataFrame, rounds: list[DataFrame], fan_out: int = 2, tops: D
         own = asked.join(met, ["grp", "idx"], "left").withColumn("block", _div(F.col("idx"), wide))
         at_level = lambda level: F.transform(F.filter(F.coalesce("met", F.array().cast(met.schema["met"].dataType)), lambda x: x["level"] == level), lambda x: x["hash"])
         step = lambda level: F.struct(F.pmod(F.floor(F.col("idx") / power(level)).cast("long"), F.lit(fan_out)).cast("int").alias("place"), at_level(level).alias("others"))
-        own = own.withColumn("path", F.transform(F.filter(F.sequence(F.lit(0), F.lit(DEPTH - 1)), lambda x: x < F.least(F.lit(DEPTH), _height(F.col("n"), fan_out))), step)).drop("met")
+        own = own.withColumn("path", F.transform(F.filter(F.sequence(F.lit(0), F.lit(depth - 1)), lambda x: x < height), step)).drop("met")
         if tops is not None:
             ending = tops.join(rounds[k].where(F.col("n") <= wide).select("grp", "block"), "grp").select("grp", "block", "path", "given")
             found = ending if found is None else found.select("grp", F.col("idx").alias("block"), "path", "given").unionByName(ending)
@@ -199,7 +207,7 @@ def manifest(rows: DataFrame, fields: list[str] = FIELDS, group: str = GROUP, or
     own = rows.select(key.alias("grp"), F.col(f"`{order}`").alias("at"), leaf(cols).alias("hash"), F.struct(F.lit(0), *carried).alias("carried"))
     leaves = indexed(own, ["at", "hash"])
     rounds = trees(leaves, fan_out)
-    root_of = lambda rs: reduce(DataFrame.unionByName, [r.where(F.col("n") <= fan_out**DEPTH).select("grp", F.get(F.element_at("levels", -1), F.lit(0)).alias("hash")) for r in rs])
+    root_of = lambda rs: reduce(DataFrame.unionByName, [r.where(F.col("n") <= fan_out ** depth_of(fan_out)).select("grp", F.get(F.element_at("levels", -1), F.lit(0)).alias("hash")) for r in rs])
     subroots = written(root_of(rounds).select(F.col("grp").alias("name"), F.lit("").alias("grp"), "hash"), "subroots")
     tops = indexed(subroots, ["name"])
     top_rounds = trees(tops, fan_out)

@@ -81,24 +81,31 @@ def discovered(tokens: DataFrame) -> DataFrame:
     CONFIDENCE or more as if they were independent; seeds keep score 1. Scores only grow, so the rounds come to an end,
     when they have settled. Everything is counted over all documents; values and contexts that very many edges have are
     not dealt out by key.
+
+    Each context's sum of scores is kept, and a round adds what its values' scores have grown by. So all edges meet scores
+    once, for the seeds; later rounds look for the edges of contexts that are good and of values that were lifted, which are few.
     """
     usable = tokens.where("value <> ''")
     edges = written(usable.select("value", "seed", F.explode(_contexts()).alias("context")).groupBy("context", "value").agg(F.max("seed").alias("seed")), "edges")
     seeds = written(edges.groupBy("value").agg(F.max("seed").alias("seed")), "seeds")
-    links, scored, before = edges.select("context", "value"), seeds.select("value", F.col("seed").cast("double").alias("score")), -1.0
+    links = edges.select("context", "value")
     hot_values, hot_contexts = hot_keys(links, "value"), hot_keys(links, "context")
+    known = hot_join(links, seeds, "value", hot_values)
+    sums = written(known.groupBy("context").agg(F.count(F.when(F.col("seed"), 1)).cast("double").alias("total"), F.count("*").alias("n"), F.count(F.when(F.col("seed"), 1)).alias("full")), "sums")
+    scored = None
     while True:
-        known = hot_join(links, scored, "value", hot_values)
-        good = known.groupBy("context").agg(F.avg("score").alias("mean"), F.count(F.when(F.col("score") >= 1, 1)).alias("n"))
-        good = written(good.where((F.col("n") >= SUPPORT) & (F.col("mean") >= CONFIDENCE)).select("context", "mean"), "contexts")
-        lifted = hot_join(links, good, "context", hot_contexts).where("mean is not null").groupBy("value").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("mean"), F.lit(0.99)))))).alias("lift"))
-        scored = written(seeds.join(lifted, "value", "left").select("value", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("lift", F.lit(0.0))).alias("score"), "seed"), "scores")
-        total = scored.agg(F.coalesce(F.sum("score"), F.lit(0.0))).head()[0]
-        if total - before <= SETTLED:
+        good = sums.where((F.col("full") >= SUPPORT) & (F.col("total") / F.col("n") >= CONFIDENCE)).select("context", F.least(F.col("total") / F.col("n"), F.lit(0.99)).alias("mean"))
+        lifted = hot_join(links, written(good, "contexts"), "context", hot_contexts).where("mean is not null").groupBy("value").agg((1 - F.exp(F.sum(F.log1p(-F.col("mean"))))).alias("score"))
+        lifted = lifted.join(seeds, "value").where("not seed").select("value", "score")
+        before = lifted.withColumn("old", F.lit(0.0)) if scored is None else lifted.join(scored.select("value", F.col("score").alias("old")), "value", "left").withColumn("old", F.coalesce("old", F.lit(0.0)))
+        scored = written(before, "scores")
+        grown = scored.where("score > old").select("value", (F.col("score") - F.col("old")).alias("by"), ((F.col("score") >= 1) & (F.col("old") < 1)).alias("filled"))
+        if (grown.agg(F.sum("by")).head()[0] or 0.0) <= SETTLED:
             break
-        before, scored = total, scored.drop("seed")
+        more = hot_join(links, grown, "value", hot_values).where("by is not null").groupBy("context").agg(F.sum("by").alias("by"), F.count(F.when(F.col("filled"), 1)).alias("filled"))
+        sums = written(sums.join(more, "context", "left").select("context", (F.col("total") + F.coalesce("by", F.lit(0.0))).alias("total"), "n", (F.col("full") + F.coalesce("filled", F.lit(0))).alias("full")), "sums")
     fits = F.col("value").contains("@") | (F.length(F.regexp_replace("value", "[^0-9]", "")) >= DIGITS)
-    return scored.where(~F.col("seed") & (F.col("score") >= SCORE) & fits).select("value")
+    return scored.where((F.col("score") >= SCORE) & fits).select("value")
 
 
 def shape(value: Column) -> Column:

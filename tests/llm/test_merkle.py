@@ -71,7 +71,7 @@ def test_query_against_brute_force_and_sql(spark):
 
 @pytest.mark.parametrize("fan_out", [2, 3, 5])
 def test_fan_outs_over_several_rounds(spark, fan_out, monkeypatch):
-    monkeypatch.setattr(merkle, "DEPTH", 2)
+    monkeypatch.setattr(merkle, "BLOCK", fan_out**2)
     rows = [(i, "s", None if i % 7 == 0 else "é" if i % 5 == 0 else "en", i, f"text {i}") for i in range(140)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string").repartition(5)
     m = merkle.manifest(docs, fan_out=fan_out)

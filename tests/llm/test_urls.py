@@ -86,3 +86,15 @@ def test_nothing_to_learn_from(spark):
     pages = spark.createDataFrame([(1, "http://a.b/"), (2, None)], "page_id long, url string")
     assert [r.verdict for r in urls.judged(pages, RULES).collect()] == ["allow", "allow"]
     assert urls.judged(pages.limit(0), RULES).collect() == []
+
+
+def test_very_long_urls_and_odd_ones(spark):
+    long = ["http://a.example.com/" + "x/" * 50_000, "http://" + "sub." * 20_000 + "net/", "http://b.org/?" + "&".join(f"k{i}=%41" for i in range(20_000)), "http://", "://", "x://y", "", None, "http://é.org/fr/ñ"]
+    pages = spark.createDataFrame([(i, u, 1, "v") for i, u in enumerate(long)], "page_id long, url string, host int, rule string")
+    got = {r.page_id: r for r in urls.judged(pages, RULES).collect()}
+    assert len(got) == len(long)
+    for i, u in enumerate(long):
+        host, path = parsed(u)
+        rule = ruled(host, path)
+        assert (got[i].host, got[i].path) == (host, path)
+        assert (got[i].rule, got[i].verdict in ("allow", "block")) == (rule[0] if rule else None, True)
