@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -157,17 +158,27 @@ def read_packed(blocks: DataFrame) -> DataFrame:
 
 def crc32_joined(a: int, b: int, length: int) -> int:
     """The CRC-32 of two strings one after another, from theirs and the second one's length: shifting a by so many zero bytes is
-    a linear map of its bits, which is squared for each bit of the length."""
-    zero = [0xEDB88320] + [1 << k for k in range(31)]  # one zero bit
-    for _ in range(3):  # two, four and eight: a byte
-        zero = [_times(zero, x) for x in zero]
+    a linear map of its bits, put together from those for powers of two."""
+    k = 0
     while length:
         if length & 1:
-            a = _times(zero, a)
-        zero, length = [_times(zero, x) for x in zero], length >> 1
+            a = _times(_zeros(k), a)
+        k, length = k + 1, length >> 1
     return a ^ b
 
 
+@lru_cache(maxsize=64)
+def _zeros(k: int) -> list[int]:
+    """The map of 2 ** k zero bytes, as what becomes of each bit."""
+    if k:
+        half = _zeros(k - 1)
+        return [_times(half, x) for x in half]
+    bit = [0xEDB88320] + [1 << j for j in range(31)]
+    for _ in range(3):  # two, four and eight zero bits
+        bit = [_times(bit, x) for x in bit]
+    return bit
+
+
 def _times(matrix: list[int], v: int) -> int:
     out = 0
     for x in matrix:
