@@ -1,6 +1,6 @@
 """Readers and functions of their own: noisy output, broken transcripts, batches of answers, log lines, offsets, own patterns."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import chunks, memory, redact
@@ -32,12 +32,10 @@ def src14_repaired(t: Tables) -> DataFrame:
     whole = F.to_json(F.struct(F.lit("message").alias("type"), F.col("text").alias("content")))
     said = c.select(F.concat(F.lit("c"), "conv_id").alias("path"), "line", F.when(F.col("turn") % 4 == 3, F.left(whole, F.lit(9))).otherwise(whole).alias("value"))
     head = t.conversations.select("conv_id").distinct().select(F.concat(F.lit("c"), "conv_id").alias("path"), F.lit(1).alias("line"), F.when(F.col("conv_id") % 3 > 0, '{"type":"session"}').otherwise('{"type":"message"}').alias("value"))
-    return readers.repaired(said.unionByName(head)).select("path", "line")
+    return readers.repaired(said.unionByName(head)).select("path", F.col("line").cast("long").alias("line"))
 
 
 def _by_turn():
-    from pyspark.sql import Window
-
     return Window.partitionBy("conv_id").orderBy("turn")
 
 
@@ -80,7 +78,7 @@ def txt7_remapped(t: Tables) -> DataFrame:
     """Lines of chunks as the source's; a map that is too short leaves them."""
     source = lambda k: (F.col("doc_id") * 10 + k).cast("int")
     d = t.documents.select("doc_id", F.lit(1).alias("start_line"), F.lit(3).alias("end_line"), F.when(F.col("doc_id") % 2 == 0, F.array(source(1), source(2), source(3))).otherwise(F.array(source(1))).alias("lines"))
-    return chunks.remapped(d, F.col("lines")).select("doc_id", "start_line", "end_line")
+    return chunks.remapped(d, F.col("lines")).select("doc_id", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"))
 
 
 @R.query("SELECT event_id, user_id, event_type AS kind FROM events WHERE event_type <> 'view' UNION ALL SELECT event_id, NULL, NULL FROM events WHERE event_type = 'view'")
