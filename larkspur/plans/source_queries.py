@@ -265,11 +265,19 @@ def htm7_main_content(t: Tables) -> DataFrame:
     return d.where("has_main or m.text = w.text").select("page_id", "has_main")
 
 
-#: The letters of a page's article.
-LETTERS = r"""regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<article[^>]*>(.*)</article>', 1), '(?is)<(script|style|noscript)\b.*?</(script|style|noscript)>', '', 'g'), '(?s)<!--.*?-->|<[^>]*>', '', 'g'), '&[A-Za-z]+;|[^\p{L}]', '', 'g')"""
+def _letters(html: str) -> str:
+    """SQL for the letters of a page's text: five entities are decoded, to what are no letters."""
+    dropped = f"regexp_replace({html}, '(?is)<(script|style|noscript)\\b.*?</(script|style|noscript)>', '', 'g')"
+    return rf"regexp_replace(regexp_replace({dropped}, '(?s)<!--.*?-->|<[^>]*>|&(nbsp|amp|quot|lt|gt)(;|\b)', '', 'g'), '[^\p{{L}}]', '', 'g')"
 
 
-@R.query(f"SELECT page_id, letters, sha256(letters) AS sha256 FROM (SELECT page_id, coalesce({LETTERS}, '') AS letters FROM pages WHERE html IS NOT NULL)")
+#: Pages by what their article's paragraphs come to: where none has 25 characters, nothing weighs, and the whole page is returned.
+MAIN = rf"""WITH p AS (SELECT page_id, html, regexp_extract(html, '(?is)<article[^>]*>(.*)</article>', 1) AS article FROM pages WHERE html IS NOT NULL),
+w AS (SELECT *, list_max(list_transform(string_split_regex(article, '(?i)<p>|<h[1-6]>')[2:], lambda x: len(regexp_extract_all(x, '&#?[A-Za-z0-9]+;')) + list_sum(list_transform(string_split_regex(x, '<[^>]*>|&#?[A-Za-z0-9]+;'), lambda y: length(trim(regexp_replace(y, '\s+', ' ', 'g'))))))) AS longest FROM p),
+l AS (SELECT page_id, longest >= 25 AS found, CASE WHEN longest >= 25 THEN {_letters("article")} ELSE {_letters("html")} END AS letters FROM w) SELECT page_id, letters, sha256(letters) AS sha256 FROM l"""
+
+
+@R.query(MAIN)
 def htm7_text(t: Tables) -> DataFrame:
     """The letters of each page's main content, with its article's mark taken away: it is told by its paragraphs."""
     page = F.regexp_replace(F.regexp_replace("html", "<article>", '<div class="post">'), "</article>", "</div>")
