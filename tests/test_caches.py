@@ -67,3 +67,74 @@ def test_the_sessions_own_state_store_comes_back(spark):
     with caches.rocksdb(spark):
         assert spark.conf.get(name) == caches.ROCKSDB
     assert spark.conf.get(name) == before
+
+
+class Counted:
+    """A map or value state that counts how often it is called."""
+
+    def __init__(self):
+        self.rows, self.calls = {}, 0
+
+    def _called(self):
+        self.calls += 1
+        return self.rows
+
+    def containsKey(self, key):  # noqa: N802
+        return key in self._called()
+
+    def getValue(self, key):  # noqa: N802
+        return self._called()[key]
+
+    def updateValue(self, key, value):  # noqa: N802
+        self._called()[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        self._called().pop(key, None)
+
+    def iterator(self):
+        return iter(list(self._called().items()))
+
+    def exists(self):
+        return () in self._called()
+
+    def get(self):
+        return self._called()[()]
+
+    def update(self, value):
+        self._called()[()] = value
+
+
+def driven(batches, ttl, most):
+    """What a namespace's cache tells of batches, and how often its states are called."""
+    states, out = [Counted(), Counted(), Counted()], []
+    for rows in batches:
+        lru = caches.Lru(caches._Map(states[0], False), caches._Map(states[1], True), caches._Value(states[2]), ttl, most)
+        lru.load()
+        for _, key, ts, item in sorted(rows, key=lambda e: (e[2], e[3])):
+            hit, gone = lru.check(key, ts)
+            out.append(("a", key, ts, item, hit, lru.size(), gone))
+            if lru.at_hand() > 2 * caches.HELD:
+                lru.write()
+        lru.write()
+        assert all(len(s.rows) == lru.size() for s in states[:2])
+    return sorted(out, key=str), sum(s.calls for s in states)
+
+
+def keyed(n, seed, start, keys):
+    rng = random.Random(seed)
+    return [("a", f"k{rng.randrange(keys)}", start + i * MINUTE, f"{seed}-{i:05d}") for i in range(n)]
+
+
+def test_a_batch_calls_its_state_by_entries_and_not_by_events():
+    batches = [keyed(3000, 1, 0, 40), keyed(3000, 2, 3000 * MINUTE, 40)]
+    got, calls = driven(batches, 30 * MINUTE, 25)
+    assert got == brute(batches, 30 * MINUTE, 25)
+    assert calls < 400  # several for each of 6000 events, if every event asked the state
+
+
+@pytest.mark.parametrize("held", [0, 1, 5, 12])
+def test_a_cache_that_is_not_kept_at_hand(monkeypatch, held):
+    monkeypatch.setattr(caches, "HELD", held)
+    batches = [keyed(300, k, k * 300 * MINUTE, 30) for k in range(3)]
+    for ttl, most in ((0, 10), (15 * MINUTE, 20), (40 * MINUTE, 4)):
+        assert driven(batches, ttl, most)[0] == brute(batches, ttl, most)
