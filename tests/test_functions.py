@@ -11,6 +11,7 @@ from larkspur.functions import text as T
 from larkspur.functions import time as tm
 from larkspur.functions import vectors as V
 from larkspur.operators import tools
+from larkspur.plans import registry
 
 
 def value(spark, column, **row):
@@ -284,3 +285,18 @@ def test_levenshtein_and_jaccard(spark):
     assert value(spark, T.levenshtein_ratio(F.lit("kitten"), F.lit("sitting"))) == pytest.approx(1 - 3 / 7)
     empty = F.array().cast("array<string>")
     assert value(spark, T.jaccard(empty, empty)) == 1 and value(spark, T.jaccard(empty, empty, 0.0)) == 0
+
+
+def test_queries_send_long_texts_to_python_a_few_at_a_time(spark):
+    before = spark.conf.get(registry.BYTES, None)
+    try:
+        spark.conf.unset(registry.BYTES)
+        registry.Tables(spark, "/root/testdata/sf0.001")
+        rows = F.pandas_udf(lambda s: s.map(lambda _: len(s)), "int")
+        d = spark.range(40, numPartitions=1).select(F.repeat(F.lit("x"), 1_000_000).alias("text"))
+        assert d.select(rows("text").alias("n")).agg(F.max("n")).head()[0] <= 8
+        spark.conf.set(registry.BYTES, 1 << 20)
+        registry.Tables(spark, "/root/testdata/sf0.001")
+        assert int(spark.conf.get(registry.BYTES).rstrip("b")) == 1 << 20  # the session's own choice stays
+    finally:
+        spark.conf.set(registry.BYTES, before) if before else spark.conf.unset(registry.BYTES)
