@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 State = dict
+#: Groups of keys that share a state. A stream's checkpoint holds on to it.
+BUCKETS = 1024
 
 
 def ttl_step(ttl_ms: int) -> Callable[[State, int, str], dict]:
@@ -94,26 +96,42 @@ def queue_step(cap: int, policy: str) -> Callable[[State, int, str], dict]:
     return step
 
 
-def applied(stream: DataFrame, key: str, ts: str, item: str, step: Callable[[State, int, str], dict], out: str, idle_ms: int, delay: str = "10 minutes") -> DataFrame:
-    """key, ts (milliseconds), item and what the step tells, for every event of a stream; idle keys are forgotten."""
-    typed = stream.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("time"), F.col(item).cast("string").alias("item"))
-    names = [x.split()[0] for x in out.split(", ")]
+def bucket_run(step: Callable[[State, int, str], dict], names: list[str], idle_ms: int) -> Callable:
+    """What applied() does with a bucket of keys; its state is a list of key, time to be forgotten at, state of the key."""
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        held = {key: [until, s] for key, until, s in json.loads(state.get[0])} if state.exists else {}
+        now, rows = state.getCurrentWatermarkMs(), []
+        if not state.hasTimedOut:
+            g = pd.concat(list(batches)).sort_values(["time", "item"], kind="stable")
+            ms = g["time"].astype("int64") // (10**6 if g["time"].dtype == "datetime64[ns]" else 10**3)
+            for key, t, x in zip(g["key"].tolist(), ms.tolist(), g["item"].tolist(), strict=True):
+                mine = held.setdefault(key, [0, {}])
+                told = step(mine[1], t, x)
+                mine[0] = max(now, t) + idle_ms
+                rows.append([key, t, x, *[told[n] for n in names]])
+        kept = [[key, until, s] for key, (until, s) in held.items() if until >= now]
+        if kept:
+            state.update((json.dumps(kept),))
+            state.setTimeoutTimestamp(min(until for _, until, _ in kept))
+        elif state.exists:
             state.remove()
-            return
-        s = json.loads(state.get[0]) if state.exists else {}
-        g = pd.concat(list(batches)).sort_values(["time", "item"], kind="stable")
-        rows = []
-        for t, x in zip(g["time"].astype("int64") // (10**6 if g["time"].dtype == "datetime64[ns]" else 10**3), g["item"], strict=True):
-            told = step(s, int(t), x)
-            rows.append([k[0], int(t), x, *[told[n] for n in names]])
-        state.update((json.dumps(s),))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows[-1][1])) + idle_ms)
-        yield pd.DataFrame(rows, columns=["key", "ts", "item", *names])
-
-    return typed.withWatermark("time", delay).groupBy("key").applyInPandasWithState(run, f"key string, ts long, item string, {out}", "state string", "append", "EventTimeTimeout")
+        if rows:
+            yield pd.DataFrame(rows, columns=["key", "ts", "item", *names])
+
+    return run
+
+
+def applied(stream: DataFrame, key: str, ts: str, item: str, step: Callable[[State, int, str], dict], out: str, idle_ms: int, delay: str = "10 minutes") -> DataFrame:
+    """key, ts (milliseconds), item and what the step tells, for every event of a stream; idle keys are forgotten.
+
+    Keys share BUCKETS groups by their hash, as a group costs Spark and pandas milliseconds however few events it has; each
+    key has a state of its own in its bucket's.
+    """
+    typed = stream.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("time"), F.col(item).cast("string").alias("item"))
+    typed = typed.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)))
+    run = bucket_run(step, [x.split()[0] for x in out.split(", ")], idle_ms)
+    return typed.withWatermark("time", delay).groupBy("bucket").applyInPandasWithState(run, f"key string, ts long, item string, {out}", "state string", "append", "EventTimeTimeout")
 
 
 def deduplicated(stream: DataFrame, keys: list[str], ts: str, delay: str) -> DataFrame:

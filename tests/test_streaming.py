@@ -1,5 +1,8 @@
 """Steps driven by hand, and the streams against the same in batch."""
 
+import json
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +51,65 @@ def test_stream_of_ttl_agrees_with_batch(spark):
     assert got == want
 
 
+class Bucket:
+    """A group's state as applyInPandasWithState has it."""
+
+    def __init__(self):
+        self.value, self.timeout, self.now, self.hasTimedOut = None, None, 0, False
+
+    exists = property(lambda s: s.value is not None)
+    get = property(lambda s: s.value)
+
+    def getCurrentWatermarkMs(self):  # noqa: N802
+        return self.now
+
+    def setTimeoutTimestamp(self, at):  # noqa: N802
+        assert at >= self.now
+        self.timeout = at
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+
+def test_keys_of_a_bucket_have_states_and_ends_of_their_own():
+    run, state = stateful.bucket_run(stateful.ttl_step(1000), ["is_duplicate"], 5000), Bucket()
+
+    def sent(now, *rows, timed_out=False):
+        state.now, state.hasTimedOut = now, timed_out
+        d = pd.DataFrame(rows, columns=["key", "time", "item"])
+        d["time"] = pd.to_datetime(d["time"], unit="ms")
+        return [tuple(r) for x in run((0,), iter([d]), state) for r in x.itertuples(index=False)]
+
+    assert sent(0, ("b", 500, "3"), ("a", 100, "1"), (None, 100, "2"), ("a", 900, "4"), ("null", 900, "5")) == [("a", 100, "1", False), (None, 100, "2", False), ("b", 500, "3", False), ("a", 900, "4", True), ("null", 900, "5", False)]
+    assert state.timeout == 5100  # the null key's
+    assert sent(1000, ("a", 1800, "6"), ("b", 1800, "7")) == [("a", 1800, "6", True), ("b", 1800, "7", False)]
+    assert sent(5200, timed_out=True) == [] and [x[0] for x in json.loads(state.value[0])] == ["a", "b", "null"] and state.timeout == 5900
+    assert sent(6801, timed_out=True) == [] and not state.exists
+
+
+def test_many_keys_are_few_groups(spark, monkeypatch):
+    """As many groups as buckets, not as keys: a step sees what others of its bucket have left in the process."""
+    monkeypatch.setattr(stateful, "BUCKETS", 2)
+    t, groups = Tables(spark, SF), spark.sparkContext.accumulator(0)
+    made = stateful.bucket_run
+
+    def counted(*args):
+        run = made(*args)
+
+        def one(k, batches, state):
+            groups.add(1)
+            yield from run(k, batches, state)
+
+        return one
+
+    monkeypatch.setattr(stateful, "bucket_run", counted)
+    out = ran(t, "few_groups", lambda s: stateful.applied(s, "event_id", "ts", "event_type", stateful.ttl_step(1000), "is_duplicate boolean", 10**12))
+    assert out.where("not is_duplicate").count() == t.events.count() > 100 and groups.value <= 4
+
+
 def test_debounce_with_a_control_event(spark):
     rows = [(1, "k", 0, False), (2, "k", 1, False), (3, "k", 1, True), (4, "k", 2, False), (5, "k", 20, False)]
     d = spark.createDataFrame(rows, "id int, key string, s int, control boolean").withColumn("ts", F.timestamp_seconds("s"))
