@@ -103,3 +103,24 @@ def test_text_ids_ties_and_repeated_ids(spark, tmp_path):
     textindex.add(docs, path)
     asked = spark.createDataFrame([("q", ["same"], False)], "query_id string, terms array<string>, every boolean")
     assert {r.id for r in textindex.search(spark, path, asked, 2, "string").collect()} == {"a", "b"}  # "x" stayed for c
+
+
+def test_long_texts_end_a_block(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(textindex, "BLOCK_WORDS", 100)
+    rows, path, asked = texts(120, 6), f"file://{tmp_path}/index", queries(spark)
+    textindex.add(spark.createDataFrame(rows, "id long, text string"), path)
+    blocks = textindex._blocks(spark, textindex.segments(spark, path))
+    found = textindex.opened(blocks, "range").groupBy("range").agg(F.sum("tf").alias("words"), F.countDistinct("number").alias("n"))
+    assert found.where("words > 100 and n > 1").count() == 0 and found.count() > 20
+    got = textindex.search(spark, path, asked, 4)
+    assert set(map(tuple, got.collect())) == scanned(spark, rows, asked, 4)
+
+
+def test_optimised_again_and_only_dead_blocks(spark, tmp_path, small_blocks):
+    rows, path, asked = texts(60, 7), f"file://{tmp_path}/index", queries(spark)
+    frame = spark.createDataFrame(rows, "id long, text string")
+    for d in (frame.where("id < 20"), frame):
+        textindex.add(d, path)
+    for _ in range(2):  # the second has nothing to merge
+        textindex.optimise(spark, path)
+        assert set(map(tuple, textindex.search(spark, path, asked, 4).collect())) == scanned(spark, rows, asked, 4)
