@@ -152,22 +152,25 @@ def best_match(names: DataFrame, known: DataFrame, least: float = 0.8, others: b
     """name, match, ratio: the known name nearest by Levenshtein ratio, ties to the least; with `others`, never the name itself.
 
     A known name of m letters is cut into one piece more than there may be edits with any partner, so a partner has one of
-    the pieces whole, at a place that the edits before and after it allow. Names meet by length, piece and text only.
+    the pieces whole, at a place that the edits before and after it allow. Names meet by length, piece and text only. A name is
+    cut for the lengths that known names have, where it is; a pair that meets by several pieces is looked at for each, so no
+    step gathers what meets before it is known to be near.
     """
     edits = lambda m: F.floor((1 - least) * F.floor(m / least + 1e-9) + 1e-9).cast("int")
     begin = lambda m, i: F.floor(i * m / (edits(m) + 1)).cast("int")
     pieces = F.sequence(F.lit(0), F.least(edits(F.col("m")), F.greatest(F.col("m") - 1, F.lit(0))))
     n, m, i = F.col("n"), F.col("m"), F.col("i")
     b = known.select(F.col("name").alias("match")).where("match is not null").distinct().select("match", F.length("match").alias("m"))
+    lengths = F.broadcast(b.select("m").distinct())  # a row for each length
     b = b.select("match", "m", F.explode(pieces).alias("i")).select("match", "m", "i", F.col("match").substr(begin(m, i) + 1, begin(m, i + 1) - begin(m, i)).alias("piece"))
     a = names.select("name").where("name is not null").distinct().withColumn("n", F.length("name"))
-    a = a.select("name", "n", F.explode(F.sequence(F.ceil(n * least - 1e-9).cast("int"), F.floor(n / least + 1e-9).cast("int"))).alias("m"))
+    a = a.select("name", "n", F.explode(F.sequence(F.ceil(n * least - 1e-9).cast("int"), F.floor(n / least + 1e-9).cast("int"))).alias("m")).join(lengths, "m")
     a = a.select("name", "n", "m", F.explode(pieces).alias("i")).withColumns({"at": begin(m, i), "size": begin(m, i + 1) - begin(m, i), "after": edits(m) - i})
     low = F.greatest(F.lit(0), F.col("at") - i, F.col("at") + n - m - F.col("after"))
     high = F.least(n - F.col("size"), F.col("at") + i, F.col("at") + n - m + F.col("after"))
-    a = a.withColumns({"low": low, "high": high}).where("low <= high").select("name", "m", "i", "size", F.explode(F.sequence("low", "high")).alias("at"))
-    a = a.select("name", "m", "i", F.expr("substring(name, at + 1, size)").alias("piece")).distinct()
-    pairs = a.join(b, ["m", "i", "piece"]).select("name", "match").distinct()
+    cut = F.array_distinct(F.transform(F.sequence("low", "high"), lambda at: F.col("name").substr(at + 1, F.col("size"))))
+    a = a.withColumns({"low": low, "high": high}).where("low <= high").select("name", "m", "i", F.explode(cut).alias("piece"))
+    pairs = a.join(b, ["m", "i", "piece"]).select("name", "match")
     pairs = pairs.where("name <> match") if others else pairs
     longest = F.greatest(F.length("name"), F.length("match"))
     d = pairs.withColumn("ratio", F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein("name", "match") / longest)).where(F.col("ratio") >= least)

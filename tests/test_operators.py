@@ -118,3 +118,11 @@ def test_best_match_and_aliases(spark):
     e = spark.createDataFrame([("Bob", ["b"], 1), ("bob", ["bobby"], 3)], "name string, aliases array<string>, mentions int")
     (r,) = graph.combined_aliases(e).collect()
     assert (r.canonical, r.aliases, r.mentions) == ("bob", ["Bob", "b", "bobby"], 4)
+
+
+def test_near_names_are_not_gathered_before_they_are_compared(spark):
+    names = spark.createDataFrame([("abcdefghij",), ("abcdefghix",), ("zz",)], "name string")
+    d = graph.best_match(names, names, 0.8, others=True)
+    assert sorted(map(tuple, d.collect())) == [("abcdefghij", "abcdefghix", 0.9), ("abcdefghix", "abcdefghij", 0.9)]
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [name#" in plan and not any("Aggregate [name#" in x and "match#" in x.split("]")[0] or "piece#" in x.split("]")[0] and "Aggregate [" in x for x in plan.split("\n"))
