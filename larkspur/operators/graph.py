@@ -98,18 +98,22 @@ def orphans(links: DataFrame, memories: DataFrame, episodes: DataFrame) -> DataF
 HINTS = {("ENJOYS", "IS_A"): "enjoys_category", ("WORKS_ON", "USES"): "works_with_technology", ("KNOWS", "RELATED_TO"): "knows_related"}
 
 
-def hints(edges: DataFrame) -> DataFrame:
-    """start, end, pattern, confidence of pairs of edges one after another whose types make a hint; the best of each."""
+def hints(edges: DataFrame, tasks: int | None = None) -> DataFrame:
+    """start, end, pattern, confidence of pairs of edges one after another whose types make a hint; the best of each.
+
+    tasks: how many tasks edges, and then hints, are dealt out to before they are told apart; as the session has it if not given.
+    """
+    deal = lambda d, *by: d.repartition(tasks, *by) if tasks else d
     a = edges.select(F.col("src").alias("start"), F.col("dst").alias("mid"), F.col("type").alias("t1"), F.col("confidence").alias("c1"))
     b = edges.select(F.col("src").alias("mid"), F.col("dst").alias("end"), F.col("type").alias("t2"), F.col("confidence").alias("c2"))
     pattern = F.lit(None).cast("string")
     for (x, y), name in HINTS.items():
         pattern = F.when((F.col("t1") == x) & (F.col("t2") == y), F.lit(name)).otherwise(pattern)
     # only edges of the types that make hints meet, and only the best of those with the same ends and type
-    first = a.where(F.col("t1").isin([x for x, _ in HINTS])).groupBy("start", "mid", "t1").agg(F.max("c1").alias("c1"))
-    then = b.where(F.col("t2").isin([y for _, y in HINTS])).groupBy("mid", "end", "t2").agg(F.max("c2").alias("c2"))
+    first = a.where(F.col("t1").isin([x for x, _ in HINTS])).transform(deal, "mid").groupBy("start", "mid", "t1").agg(F.max("c1").alias("c1"))
+    then = b.where(F.col("t2").isin([y for _, y in HINTS])).transform(deal, "mid").groupBy("mid", "end", "t2").agg(F.max("c2").alias("c2"))
     d = first.join(then, "mid").where("start <> end").withColumn("pattern", pattern).where("pattern is not null")
-    return d.groupBy("start", "end", "pattern").agg(F.max(F.col("c1") * F.col("c2")).alias("confidence"))
+    return deal(d, "start", "end", "pattern").groupBy("start", "end", "pattern").agg(F.max(F.col("c1") * F.col("c2")).alias("confidence"))
 
 
 def validated(edges: DataFrame, ontology: DataFrame) -> DataFrame:

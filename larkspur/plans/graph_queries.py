@@ -13,12 +13,21 @@ EDGES = """SELECT DISTINCT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst, 'P
 UNION ALL SELECT DISTINCT 'o' || l_orderkey, 's' || l_suppkey, 'USES', 0.8 FROM lineitem UNION ALL SELECT DISTINCT 's' || s_suppkey, 'n' || s_nationkey, 'IS_A', 0.5 FROM supplier"""
 
 
+#: Rows of edges that a task tells apart at once.
+TASK_EDGES = 1 << 19
+
+
 def edges(t: Tables) -> DataFrame:
     name = lambda p, c: F.concat(F.lit(p), c)
-    e = lambda d, a, b, kind, c: d.select(a.alias("src"), b.alias("dst"), F.lit(kind).alias("type"), F.lit(c).alias("confidence")).distinct()
-    bought = e(t.orders, name("c", F.col("o_custkey")), name("o", F.col("o_orderkey")), "PLACED", 0.9)
-    used = e(t.lineitem, name("o", F.col("l_orderkey")), name("s", F.col("l_suppkey")), "USES", 0.8)
-    lives = e(t.supplier, name("s", F.col("s_suppkey")), name("n", F.col("s_nationkey")), "IS_A", 0.5)
+
+    def e(d: DataFrame, p: str, a: str, q: str, b: str, kind: str, c: float) -> DataFrame:
+        """Keys are dealt out before they are told apart: hardly any come twice in a task that reads them, so it would gather all it reads."""
+        keys = d.select(a, b).repartition(1 + d.count() // TASK_EDGES, a, b).distinct()
+        return keys.select(name(p, F.col(a)).alias("src"), name(q, F.col(b)).alias("dst"), F.lit(kind).alias("type"), F.lit(c).alias("confidence"))
+
+    bought = e(t.orders, "c", "o_custkey", "o", "o_orderkey", "PLACED", 0.9)
+    used = e(t.lineitem, "o", "l_orderkey", "s", "l_suppkey", "USES", 0.8)
+    lives = e(t.supplier, "s", "s_suppkey", "n", "s_nationkey", "IS_A", 0.5)
     return bought.unionByName(used).unionByName(lives)
 
 
@@ -60,7 +69,7 @@ def snk5_merge_edges(t: Tables) -> DataFrame:
 SELECT start, "end", 'works_with_technology' AS pattern, round(max(c), 6) AS confidence FROM h WHERE t1 = 'PLACED' AND t2 = 'USES' GROUP BY ALL""")
 def grf4_hints(t: Tables) -> DataFrame:
     e = edges(t).withColumn("type", F.when(F.col("type") == "PLACED", "WORKS_ON").otherwise(F.col("type")))
-    return graph.hints(e).withColumn("confidence", F.round("confidence", 6))
+    return graph.hints(e, 1 + (t.orders.count() + t.lineitem.count()) // TASK_EDGES).withColumn("confidence", F.round("confidence", 6))
 
 
 @R.query("""WITH o(type, d, r) AS (VALUES ('USES', 'user', 'click'), ('SEES', 'user', 'view')), e AS (SELECT event_id, CASE WHEN event_type = 'click' THEN 'USES' WHEN event_type = 'view' THEN 'SEES' ELSE 'HAS' END AS type, value / 50 AS c, CASE WHEN user_id % 9 = 0 THEN 'bot' ELSE 'user' END AS f, CASE WHEN user_id % 5 = 0 THEN 'click' ELSE event_type END AS g FROM events)

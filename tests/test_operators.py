@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from larkspur.operators import dedupe, graph, history, retrieval, usage
+from larkspur.plans import graph_queries
 from larkspur.plans import catalog
+from larkspur.plans.registry import Tables
 
 
 def test_fusion(spark):
@@ -126,3 +128,8 @@ def test_near_names_are_not_gathered_before_they_are_compared(spark):
     assert sorted(map(tuple, d.collect())) == [("abcdefghij", "abcdefghix", 0.9), ("abcdefghix", "abcdefghij", 0.9)]
     plan = d._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [name#" in plan and not any("Aggregate [name#" in x and "match#" in x.split("]")[0] or "piece#" in x.split("]")[0] and "Aggregate [" in x for x in plan.split("\n"))
+
+
+def test_edges_are_dealt_out_before_they_are_told_apart(spark):
+    plan = graph_queries.edges(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert all(f"RepartitionByExpression [{k}#" in plan for k in ("o_custkey", "l_orderkey", "s_suppkey"))
