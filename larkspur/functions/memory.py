@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -188,52 +191,138 @@ def _inner_gram(text: Column) -> Column:
 
 
 def already_sent(texts: DataFrame, sent: DataFrame, least: int = 10, way: str = "either") -> DataFrame:
-    """id of texts (id, text) that hold, or are held by, a sent text once both are made comparable; `way` is holds, held or either.
+    """id of texts (id, text) that hold, or are held by, a sent text once both are made comparable; `way` is holds, held or either."""
+    return sent_ways(texts, sent, least, ("holds", "held") if way == "either" else (way,)).where("holds or held").select("id")
 
-    Pairs of long texts meet by a gram of the shorter one and are confirmed. Short ones, of less than GRAM + 2 words, are found by
-    automata: one over the short sent texts runs once over each text, and one over a batch of short texts runs once over the
-    sent ones. For that, sent texts go to all tasks in blocks of a bounded size, one after another. Null texts and those of less
-    than `least` characters take no part.
+
+def sent_ways(texts: DataFrame, sent: DataFrame, least: int = 10, ways: Sequence[str] = ("holds", "held")) -> DataFrame:
+    """id, holds, held of the texts (id, text) that hold, or are held by, a sent text once both are made comparable; a way not in `ways` is false.
+
+    Pairs of long texts meet by a gram of the shorter one and are confirmed. Short ones, of less than GRAM + 2 words, meet what
+    holds them by marks of their characters or are found by an automaton, see _short_hits(). Null texts and those of less than
+    `least` characters take no part.
     """
-    keyed = texts.select("id", "text", F.xxhash64("text").alias("h"))
-    a = written(keyed.select("id", "h", T.comparable(F.col("text")).alias("n")).where(F.length("n") >= least), "comparable")
+    keyed = texts.select("id", F.xxhash64("text").alias("h"), T.comparable(F.col("text")).alias("n")).where(F.length("n") >= least)
+    a = written(keyed.withColumn("at", F.xxhash64("n")), "comparable")
     b = written(sent.select(T.comparable(F.col("text")).alias("s")).where(F.length("s") >= least).distinct().withColumn("sid", F.xxhash64("s")), "sent")
     few = lambda c: F.size(F.split(c, " ")) < GRAM + 2
-    held = a.select("id", F.explode(_grams(F.col("n"))).alias("g")).join(b.select("sid", _inner_gram(F.col("s")).alias("g")), "g")
     most = b.agg(F.coalesce(F.max(F.length("s")), F.lit(0))).head()[0]
     brief = a.where(F.length("n") <= most)  # no longer text is held
-    holding = brief.select("id", _inner_gram(F.col("n")).alias("g")).join(b.select("sid", F.explode(_grams(F.col("s"))).alias("g")), "g")
-    met = held.select("id", "sid").unionByName(holding.select("id", "sid")).distinct().join(b, "sid").select("id", "s")
-    ways = {"holds": F.contains("n", "s"), "held": F.contains("s", "n"), "either": F.contains("n", "s") | F.contains("s", "n")}
-    found = a.join(met, "id").where(ways[way]).select("id", "h")
-    size = b.agg(F.coalesce(F.sum(F.length("s")), F.lit(0))).head()[0]
-    blocks = -(-size // SENT_CHARS)
-    for k in range(blocks):
-        block = [r["s"] for r in b.where(F.pmod("sid", F.lit(blocks)) == k).select("s").collect()]
-        found = found.unionByName(_short_hits(a.withColumn("few", few("n")), block, way))
-    return keyed.join(found.distinct(), ["id", "h"], "left_semi").select("id")
+    found = []
+    if "holds" in ways:
+        met = a.select("id", F.explode(_grams(F.col("n"))).alias("g")).join(b.select("sid", _inner_gram(F.col("s")).alias("g")), "g")
+        long = met.select("id", "sid").distinct().join(b, "sid").join(a, "id").where(F.contains("n", "s")).select("id", "h")
+        short = _short_hits(b.where(few("s")).select(F.col("s").alias("p")), a.select("id", "h", "at", F.col("n").alias("q")), ["id", "h"], least)
+        found += [d.withColumns({"holds": F.lit(True), "held": F.lit(False)}) for d in (long, short)]
+    if "held" in ways:
+        met = brief.select("id", _inner_gram(F.col("n")).alias("g")).join(b.select("sid", F.explode(_grams(F.col("s"))).alias("g")), "g")
+        long = met.select("id", "sid").distinct().join(b, "sid").join(brief, "id").where(F.contains("s", "n")).select("id", "h")
+        own = written(brief.where(few("n")).select(F.col("n").alias("p")).distinct(), "short")
+        inside = _short_hits(own, b.select(F.col("sid").alias("at"), F.col("s").alias("q")), ["p"], least).distinct()
+        short = brief.where(few("n")).join(inside, F.col("n") == F.col("p"), "left_semi").select("id", "h")
+        found += [d.withColumns({"holds": F.lit(False), "held": F.lit(True)}) for d in (long, short)]
+    ways_of = reduce(DataFrame.unionByName, found).groupBy("id", "h").agg(F.max("holds").alias("holds"), F.max("held").alias("held"))
+    return a.select("id", "h").join(ways_of, ["id", "h"]).select("id", "holds", "held")
+
+
+#: Characters of short texts that are sent to all tasks, whatever the size of the input.
+SENT_CHARS = 1 << 20
+#: Lengths from which short texts are marked by windows so long, and the lengths of the grams that a window is marked by, in shares of `least`.
+WINDOWS = ((1.0, 1.0), (1.2, 1.2), (1.5, 1.2), (1.9, 1.4), (2.4, 1.6), (3.2, 1.6))
+#: Characters whose marks are made at once.
+MARK_CHARS = 1 << 20
+
+
+def _short_hits(short: DataFrame, whole: DataFrame, keep: list[str], least: int) -> DataFrame:
+    """The columns `keep` of pairs of short (p) and whole (at, q, ...) of which q holds p; at is a number that tells q.
+
+    Short texts are told apart by their length. Lengths that few have, SENT_CHARS in all, are sent to all tasks as an automaton.
+    Of the others each has a mark: the least hash of the grams in its first window. Of the windows of q all have theirs,
+    neighbours mostly the same; so q has a mark of p's if it holds p, and pairs are dealt out by their marks and confirmed.
+    """
+    sizes = [(max(1, int(least * a)), max(1, int(least * b))) for a, b in WINDOWS]
+    n = F.length("p")
+    kind = reduce(lambda c, i: F.when(n >= sizes[i][0], i).otherwise(c), range(1, len(sizes)), F.lit(0))
+    short = written(short.select("p", kind.alias("kind")), "kinds")
+    sent, room = [], SENT_CHARS
+    counts = sorted((r["n"], r["kind"]) for r in short.groupBy("kind").agg(F.sum(n).alias("n")).collect())
+    while counts and counts[0][0] <= room:
+        size, k = counts.pop(0)
+        sent.append(k)
+        room -= size
+    some = [r["p"] for r in short.where(F.col("kind").isin(sent)).select("p").collect()] if sent else []
+    found = _automaton_hits(some, whole, keep)
+    if counts:
+        used = {k: sizes[k] for _, k in counts}
+        by_mark = _marked(short.where(F.col("kind").isin(list(used))), "p", used)
+        met = _marked(whole, "q", used).join(by_mark, "mark").select("at", "p").distinct()
+        found = found.unionByName(met.join(whole, "at").where(F.contains("q", "p")).select(*keep))
+    return found
+
+
+def _automaton_hits(some: list[str], whole: DataFrame, keep: list[str]) -> DataFrame:
+    """keep of the rows of whole whose q holds one of some; if that is p, those of some that a q holds."""
+    own = whole.sparkSession.sparkContext.broadcast(some)
+    rows, held = whole.select(*([] if keep == ["p"] else keep), "q"), keep == ["p"]
 
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (found := automaton(own.value)) is None:
+            return
+        for batch in batches:
+            q = batch.column(batch.num_columns - 1).to_pylist()
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(sorted({p for x in q for _, p in found.iter(x)}), pa.string())], ["p"])
+            else:
+                hit = pa.array([next(found.iter(x), None) is not None for x in q], pa.bool_())
+                yield pa.RecordBatch.from_arrays([c.filter(hit) for c in batch.columns[:-1]], keep)
 
-#: Characters of sent texts that are sent to all tasks at once.
-SENT_CHARS = 1 << 24
+    return rows.mapInArrow(search, "p string" if held else ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep))
 
 
-def _short_hits(texts: DataFrame, sent: list[str], way: str) -> DataFrame:
-    """id, h of texts (id, h, n, few) that hold a short one of sent, or are short themselves and held by one of sent; as `way` has it."""
-    kind = f"id {texts.schema['id'].dataType.simpleString()}, h long"
-    own = texts.sparkSession.sparkContext.broadcast(sent)
+def _marked(texts: DataFrame, text: str, sizes: dict[int, tuple[int, int]]) -> DataFrame:
+    """p, mark of short texts (p, kind): that of the first window of their kind; at, mark of whole ones (at, q): those of all windows of all kinds."""
+    first = text == "p"
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_by = automaton(s for s in own.value if s.count(" ") + 1 < GRAM + 2) if way != "held" else None
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, few = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            hit = [held_by is not None and next(held_by.iter(x), None) is not None for x in n]
-            if way != "holds" and (short := automaton(x for x, f, done in zip(n, few, hit, strict=True) if f and not done)) is not None:
-                inside = {x for s in own.value for _, x in short.iter(s)}
-                hit = [done or x in inside for x, done in zip(n, hit, strict=True)]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit, pa.bool_())) for c in batch.columns[:2]], ["id", "h"])
-
-    return texts.select("id", "h", "n", "few").mapInArrow(search, kind)
+            values = batch.column(1)
+            chars = np.cumsum(pc.utf8_length(values).to_numpy(zero_copy_only=False))
+            for at in np.split(np.arange(len(values)), np.flatnonzero(np.diff(chars // MARK_CHARS)) + 1):
+                part = batch.slice(at[0], len(at)) if len(at) else batch.slice(0, 0)
+                for kind, (window, gram) in sizes.items():
+                    rows = part.filter(pc.equal(part.column(2), kind)) if first else part
+                    owner, mark = window_marks(rows.column(1).to_pylist(), window, gram, kind, first)
+                    yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(owner)), pa.array(mark)], ["p" if first else "at", "mark"])
+
+    rows = texts.select("p", "p", "kind") if first else texts.select("at", "q")
+    return rows.mapInArrow(make, "p string, mark long" if first else "at long, mark long")
+
+
+def window_marks(texts: list[str], window: int, gram: int, salt: int, first: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For the first window of each text, or all: the number of the text and the least hash of the window's grams. Of neighbours
+    with the same mark one stays; texts shorter than a window have none."""
+    lengths = np.array([len(x) for x in texts], np.int64)
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if len(code) < window:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h = np.full(len(code) - gram + 1, salt + 1, np.uint64)
+    for i in range(gram):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + code[i : i + len(h)] + np.uint64(1)
+    for shift in (30, 27, 31):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(0xBF58476D1CE4E5B9)
+    least = h[: len(code) - window + 1].copy()
+    for i in range(1, window - gram + 1):
+        np.minimum(least, h[i : i + len(least)], out=least)
+    ends = np.cumsum(lengths)
+    if first:
+        owner = np.flatnonzero(lengths >= window)
+        return owner, least[ends[owner] - lengths[owner]].view(np.int64)
+    owner = np.repeat(np.arange(len(texts)), lengths)[: len(least)]
+    inside = np.flatnonzero(np.arange(len(least)) + window <= ends[owner])
+    owner, least = owner[inside], least[inside]
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (least[1:] != least[:-1])
+    return owner[new], least[new].view(np.int64)
 
 
 def automaton(texts: Iterable[str]):

@@ -112,10 +112,7 @@ def jn16_either(t: Tables) -> DataFrame:
     piece = lambda a, n: F.substring("text", a, n).alias("text")
     texts = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), piece(5, 24))
     turns, shorter = t.conversations.where("role = 'assistant'").select("text"), t.conversations.where("role = 'user'").select(piece(9, 12))
-    found = memory.already_sent(texts, turns.union(shorter))
-    holds, held = (memory.already_sent(texts, x, way=w).withColumn(w, F.lit(True)) for x, w in ((turns.union(shorter), "holds"), (turns.union(shorter), "held")))
-    d = found.join(holds, "id", "left").join(held, "id", "left")
-    return d.select("id", F.coalesce("holds", F.lit(False)).alias("holds"), F.coalesce("held", F.lit(False)).alias("held"))
+    return memory.sent_ways(texts, turns.union(shorter))
 
 
 @R.query("SELECT event_id, p, p IN ('MEMORY.md', './MEMORY.md') OR p LIKE 'memory/%' AS mem FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'MEMORY.md' WHEN 1 THEN './MEMORY.md' WHEN 2 THEN 'memory/x.md' ELSE 'notes/memory/x.md' END AS p FROM events)")

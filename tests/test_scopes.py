@@ -26,6 +26,24 @@ def test_already_sent_against_brute_force(spark):
     assert 20 < len(want) < 145
 
 
+def test_sent_ways_by_marks_against_brute_force(spark, monkeypatch):
+    rng = random.Random(7)
+    monkeypatch.setattr(memory, "SENT_CHARS", 300)  # so that most short texts are found by marks
+    collected, collect = [], type(spark.range(0)).collect
+    monkeypatch.setattr(type(spark.range(0)), "collect", lambda d: (rows := collect(d), collected.extend(x for r in rows for x in r if isinstance(x, str)))[0])
+    syllables = ["the", "an ", "é", "ion", "re ", "ç", "st", "\U00020000"]
+    text = lambda n: " ".join("".join(rng.choice(syllables) for _ in range(n)).split())
+    a = [text(rng.randint(3, 40)) for _ in range(200)]
+    b = [text(rng.randint(20, 60)) for _ in range(80)]
+    b += [x[rng.randint(0, 6):][: rng.randint(10, 60)] for x in a[:100]]
+    a += [x[rng.randint(0, 6):][: rng.randint(10, 60)] for x in b[:80]] * 2
+    got = memory.sent_ways(spark.createDataFrame([(i // 2, x) for i, x in enumerate(a)], "id long, text string"), spark.createDataFrame([(x,) for x in b], "text string")).collect()
+    s = {x.strip() for x in b if len(x.strip()) >= 10}
+    ways = [(i // 2, any(y in x for y in s), any(x in y for y in s)) for i, x in enumerate(z.strip() for z in a) if len(x) >= 10]
+    assert sorted(map(tuple, got)) == sorted(w for w in ways if w[1] or w[2])
+    assert sum(map(len, collected)) <= 2 * 300
+
+
 def test_resolve_takes_every_part(spark, tmp_path):
     spark.createDataFrame([(104, "red bolt", 5), (204, "red bolt", 6), (105, "Blue nut", 7), (106, "green pin", 6), (107, "tin", 8)], "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     got = sorted(map(tuple, catalog.queries()["jn17_resolve"](spark, str(tmp_path)).collect()))
