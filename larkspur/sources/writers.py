@@ -3,7 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
+import zlib
+from collections.abc import Iterator
+from itertools import groupby
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +25,60 @@ def csv_line(columns: list[Column]) -> Column:
     return F.concat_ws(",", *[cell(c.cast("string")) for c in columns])
 
 
+#: Folders that small files are dealt out to, so that they are listed side by side.
+FOLDERS = 256
+
+
+def files_by(rows: DataFrame, path: str) -> None:
+    """A JSONL file for each value of the first column of rows, whose second column has its lines. Rows of a value are in one
+    partition, one after another.
+
+    Tasks write through Arrow's file systems, as Spark's writer makes a folder for each value and, on a local store, starts three
+    processes for each. A file has its name only once it is whole, so a task may run again. On stores that Arrow cannot reach
+    Spark's writer writes them.
+    """
+    name = rows.columns[0]
+    try:
+        store, root = pa.fs.FileSystem.from_uri(path)
+        store.create_dir(root)
+    except (OSError, pa.ArrowException):
+        rows.write.partitionBy(name).text(path)
+        return
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = pa.fs.FileSystem.from_uri(path)
+        folders, n, last, out, made = set(), 0, None, None, ()
+
+        def close() -> None:
+            out.close()
+            try:
+                store.move(*made)
+            except OSError:  # another attempt's, on stores that do not replace files
+                if store.get_file_info(made[1]).type != pa.fs.FileType.File:
+                    raise
+                store.delete_file(made[0])
+
+        for batch in batches:
+            pairs = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            for key, group in groupby(pairs, lambda r: r[0]):
+                if out is None or key != last:
+                    if out is not None:
+                        close()
+                    file = f"{name}={'' if key is None else key}.jsonl"
+                    folder = f"{root}/part={zlib.crc32(file.encode()) % FOLDERS}"
+                    if folder not in folders:
+                        store.create_dir(folder)
+                        folders.add(folder)
+                    made = (f"{folder}/_{uuid.uuid4().hex}", f"{folder}/{file}")
+                    n, last, out = n + 1, key, store.open_output_stream(made[0])
+                out.write("".join(f"{value}\n" for _, value in group).encode())
+        if out is not None:
+            close()
+        yield pa.RecordBatch.from_pydict({"files": pa.array([n], pa.int64())})
+
+    rows.mapInArrow(write, "files long").agg(F.sum("files")).collect()
+
+
 def archive(memories: DataFrame, path: str) -> None:
     """JSON files by year and month of `ts`, each row with the hash of its content."""
     d = memories.withColumns({"checksum": F.sha2("content", 256), "year": F.year("ts"), "month": F.lpad(F.month("ts").cast("string"), 2, "0")})

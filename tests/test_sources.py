@@ -1,10 +1,11 @@
 """Readers and writers on files made here."""
 
 import json
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from larkspur.plans import reader_queries
+from larkspur.plans import reader_queries, source_queries
 from larkspur.plans.registry import Tables
 from larkspur.sources import readers, writers
 
@@ -174,3 +175,23 @@ def test_streams_of_transcripts(spark, tmp_path):
     out = readers.transcript_stream(spark, str(tmp_path / "in"))
     out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
     assert sorted(r.value for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["one", "two"]
+
+
+def test_files_of_conversations_share_folders(spark, tmp_path):
+    rows = [(c, i, "user", f"é {c} {i}") for c in range(600) for i in range(1 + c % 3)] + [(-7, i, "assistant", "x" * 50) for i in range(25_000)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    path = Path(source_queries.transcripts(Tables(spark, str(tmp_path))).removeprefix("file://"))
+    files = [p for p in path.rglob("*.*") if p.is_file()]
+    assert {p.name for p in files} == {f"conv_id={c}.jsonl" for c in [-7, *range(600)]}
+    assert len(list(path.iterdir())) <= 256
+    assert len(next(p for p in files if "=-7." in p.name).read_text().splitlines()) == 25_000
+    got = source_queries.R.queries["src4_transcripts"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.where("conv_id >= 0").collect())) == [(c, i + 1, "user") for c in range(600) for i in range(1 + c % 3)]
+    assert sorted(r.line for r in got.where("conv_id = -7").collect()) == list(range(1, 25_001))
+
+
+def test_files_by_where_a_file_was_written_before(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "k long, value string").coalesce(1).sortWithinPartitions("k", "value")
+    for _ in range(2):
+        writers.files_by(rows, f"file://{tmp_path}/out")
+    assert {p.name: p.read_text() for p in (tmp_path / "out").rglob("*") if p.is_file()} == {"k=1.jsonl": "a\nb\n", "k=.jsonl": "c\n"}
