@@ -48,51 +48,76 @@ def batches(events: DataFrame, key: str, ts: str, item: str, gap_ms: Column, wai
     return g.select("key", "start", F.col("t.ts").alias("last"), "items", F.when(early, F.col("t.next_alone")).otherwise(due).alias("flushed_at"), reason.alias("reason"))
 
 
+#: Groups of keys that share a state. A stream's checkpoint holds on to it.
+BUCKETS = 1024
+
+
+def advance(waiting: list[tuple], buffer: list[tuple], now: int) -> tuple[list[tuple], list[tuple]]:
+    """What goes out of a key up to now (start, last, items, flushed_at, reason), and the items that wait on; buffer is changed."""
+    out = []
+
+    def flush(at: int, reason: str) -> None:
+        out.append((buffer[0][0], buffer[-1][0], [x[1] for x in buffer], at, reason))
+        buffer.clear()
+
+    def due() -> int:
+        return buffer[-1][0] + buffer[-1][2]
+
+    waiting = sorted(waiting)
+    for ts, item, gap in [x for x in waiting if x[0] <= now]:
+        if buffer and ts >= due():
+            flush(due(), "gap")
+        if gap == 0:
+            if buffer:
+                flush(ts, "flush")
+            buffer.append((ts, item, gap))
+            flush(ts, "alone")
+        else:
+            buffer.append((ts, item, gap))
+    if buffer and due() <= now:
+        flush(due(), "gap")
+    return out, [x for x in waiting if x[0] > now]
+
+
 class Debounce(StatefulProcessor):
-    """A key's items wait until the watermark has passed them, so that they are taken in order of time whenever they came."""
+    """A key's items wait until the watermark has passed them, so that they are taken in order of time whenever they came.
+
+    Keys share BUCKETS groups by their hash, as a group costs Spark and pandas milliseconds however few items it has. Each key has
+    an entry of its own in its bucket's state; the bucket wakes when the first of its keys has something to do.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", "ts long, item string, gap long")
-        self.buffer = handle.getListState("buffer", "ts long, item string, gap long")
+        self.waits = handle.getMapState("waits", "key string", "pending array<struct<ts: long, item: string, gap: long>>, buffer array<struct<ts: long, item: string, gap: long>>, wake long")
         self.timer = handle.getValueState("timer", "at long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = [tuple(r) for d in rows for r in d[["ts", "item", "gap"]].itertuples(index=False)]
-        self.pending.appendList([(int(t), i, int(g)) for t, i, g in new])
-        self._wake(min(t for t, _, _ in new))
+        new: dict[str, list[tuple]] = {}
+        for d in rows:
+            for k, *x in zip(d["key"].tolist(), d["ts"].tolist(), d["item"].tolist(), d["gap"].tolist(), strict=True):
+                new.setdefault(k, []).append(tuple(x))
+        for k, items in new.items():
+            pending, buffer, wake = self.waits.getValue((k,)) if self.waits.containsKey((k,)) else ([], [], None)
+            first = min(t for t, _, _ in items)
+            self.waits.updateValue((k,), ([tuple(x) for x in pending] + items, [tuple(x) for x in buffer], first if wake is None else min(wake, first)))
+        self._wake(min(t for items in new.values() for t, _, _ in items))
         yield from self._none()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         self.timer.clear()
         now = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(tuple(x) for x in self.pending.get())
-        buffer = [tuple(x) for x in self.buffer.get()] if self.buffer.exists() else []
-        out = []
-
-        def flush(at: int, reason: str) -> None:
-            out.append((key[0], buffer[0][0], buffer[-1][0], [x[1] for x in buffer], at, reason))
-            buffer.clear()
-
-        def due() -> int:
-            return buffer[-1][0] + buffer[-1][2]
-
-        for ts, item, gap in [x for x in waiting if x[0] <= now]:
-            if buffer and ts >= due():
-                flush(due(), "gap")
-            if gap == 0:
-                if buffer:
-                    flush(ts, "flush")
-                buffer.append((ts, item, gap))
-                flush(ts, "alone")
-            else:
-                buffer.append((ts, item, gap))
-        if buffer and due() <= now:
-            flush(due(), "gap")
-        later = [x for x in waiting if x[0] > now]
-        for state, rows in ((self.pending, later), (self.buffer, buffer)):
-            state.put(rows) if rows else state.clear()
-        nexts = [*([later[0][0]] if later else []), *([due()] if buffer else [])]
+        out, nexts = [], []
+        for (k,), (pending, buffer, wake) in list(self.waits.iterator()):
+            if wake <= now:
+                buffer = [tuple(x) for x in buffer]
+                gone, later = advance([tuple(x) for x in pending], buffer, now)
+                out += [(k, *x) for x in gone]
+                wake = min([*([later[0][0]] if later else []), *([buffer[-1][0] + buffer[-1][2]] if buffer else [])], default=None)
+                if wake is None:
+                    self.waits.removeKey((k,))
+                    continue
+                self.waits.updateValue((k,), (later, buffer, wake))
+            nexts.append(wake)
         if nexts:
             self._wake(min(nexts))
         if out:
@@ -122,7 +147,8 @@ def stream(events: DataFrame, key: str, ts: str, item: str, gap_ms: Column, wait
     allow start a buffer of their own. Start it inside caches.rocksdb()."""
     d = _prepared(events, key, ts, item, gap_ms, waits).withColumn("time", F.timestamp_millis("ts")).withWatermark("time", delay)
     d = d.withColumn("key", F.coalesce("key", F.lit("")))  # what has no key goes alone under an empty one
-    return d.groupBy("key").transformWithStateInPandas(Debounce(), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
+    d = d.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)))
+    return d.groupBy("bucket").transformWithStateInPandas(Debounce(), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
 
 
 def flushed_to(path: str, made: Callable[[DataFrame], DataFrame] = lambda d: d) -> Callable[[DataFrame, int], None]:

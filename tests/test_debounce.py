@@ -71,3 +71,15 @@ def test_as_a_stream_in_any_order_and_with_a_batch_that_comes_again(spark, tmp_p
             out = debounce.stream(source, "key", "ts", "item", F.col("gap"), F.col("waits"), delay="60 seconds")
             out.writeStream.foreachBatch(again).option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     assert rows_of(spark.read.parquet(f"{tmp_path}/out").drop("batch").where("key <> 'end'")) == brute(rows)
+
+
+def test_keys_share_a_bounded_number_of_groups(spark, tmp_path):
+    rows = [(f"k{i % 1500}", 1000 * (1 + i // 1500), f"{i}", 700 + i % 5 * 200, i % 7 > 0) for i in range(4500)]
+    frame(spark, [*rows, ("end", 900_000, "end", 0, True)]).drop("ts").coalesce(1).write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema("key string, ms long, item string, gap long, waits boolean").parquet(f"{tmp_path}/in").withColumn("ts", F.timestamp_millis("ms"))
+    with caches.rocksdb(spark):
+        out = debounce.stream(source, "key", "ts", "item", F.col("gap"), F.col("waits"), delay="60 seconds")
+        q = out.writeStream.foreachBatch(debounce.flushed_to(f"{tmp_path}/out")).option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert rows_of(spark.read.parquet(f"{tmp_path}/out").drop("batch").where("key <> 'end'")) == brute(rows)
+    assert debounce.BUCKETS < 1500 and "bucket" in q._jsq.explainInternal(False)
