@@ -195,3 +195,9 @@ def test_files_by_where_a_file_was_written_before(spark, tmp_path):
     for _ in range(2):
         writers.files_by(rows, f"file://{tmp_path}/out")
     assert {p.name: p.read_text() for p in (tmp_path / "out").rglob("*") if p.is_file()} == {"k=1.jsonl": "a\nb\n", "k=.jsonl": "c\n"}
+
+
+def test_session_files_take_conversations_without_an_id(spark, tmp_path):
+    spark.createDataFrame([(None, 0, "user", "a"), (-3, 0, "user", "b"), (5, 0, "user", None)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = source_queries.R.queries["src3_session_files"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, True), (-3, True), (5, True)], key=str)
