@@ -28,25 +28,29 @@ def khop(edges: DataFrame, seeds: DataFrame, depth: int, least: float = 0.0) ->
     return found.where("best.hops > 0").select("seed", "node", F.col("best.hops").alias("hops"), (-F.col("best.c")).alias("confidence"))
 
 
-def same_pairs(d: DataFrame, key: str, by: list[str], block: int = 256, task_pairs: int = 1 << 23) -> DataFrame:
+def same_pairs(d: DataFrame, key: str, by: list[str], block: int = 256, task_pairs: int = 1 << 23, task_meetings: int = 1 << 12) -> DataFrame:
     """(a, b): all pairs of rows that agree in `by`, by their keys, a < b; nulls agree with nothing, repeated keys count as rows.
 
-    A group's keys are cut, by their hashes, into blocks, as many as it needs, and each block meets itself and the later ones.
-    These meetings are dealt out to tasks by the number of pairs, so a large group is many tasks; a first pass counts the
-    pairs. No step has a whole group in one task: groups are counted as they are, and a row learns how many blocks its
-    group has where it is, if the group is large. No pair is made twice but within a block. Blocks are short as Spark holds
-    what one meeting makes in memory.
+    A group's keys are cut, by their hashes, into blocks, as many as it needs, and each block meets itself and the later ones:
+    it is sent to each of its meetings, from tasks that send task_meetings of them on the whole, and two blocks meet where
+    both arrive. Meetings are dealt out to tasks by the number of pairs, so a large group is many tasks; a first pass counts
+    the pairs. No step has a whole group in one task if it is large: groups are counted as they are, and a row learns how many
+    blocks its group has where it is. No pair is made twice but within a block. Blocks are short as Spark holds what one
+    meeting makes in memory.
     """
     g = [f"g{i}" for i in range(len(by))]
     d = d.select(*(F.col(c).alias(n) for c, n in zip(by, g, strict=True)), F.col(key).alias("key"))
     d = reduce(lambda x, c: x.where(F.col(c).isNotNull()), d.columns, d)
     counts = written(d.groupBy(*g).count(), "counts")
     n = F.col("count").cast("double")
-    pairs = counts.agg(F.sum(n * (n - 1) / 2)).head()[0] or 0
-    placed = with_facts(d, counts.where("count > 1"), g, counts=counts)
-    blocks = placed.groupBy(*g, F.pmod(F.xxhash64("key"), F.ceil(n / block).cast("long")).alias("i")).agg(F.sort_array(F.collect_list("key")).alias("x"))
-    later = blocks.select(*g, F.col("i").alias("j"), F.col("x").alias("y"))
-    meet = blocks.join(later, g).where("i <= j").repartition(min(1 + int(pairs / task_pairs), 50_000), *g, "i", "j")
+    of = F.ceil(n / block)
+    pairs, meetings = (x or 0 for x in counts.where("count > 1").agg(F.sum(n * (n - 1) / 2), F.sum(of.cast("double") * (of + 1) / 2)).head())
+    placed = with_facts(d, counts.where("count > 1"), g, counts=counts).select(*g, of.cast("int").alias("of"), F.pmod(F.xxhash64("key"), of).cast("int").alias("i"), "key")
+    blocks = placed.repartition(1 + int(meetings / task_meetings), *g, "i").groupBy(*g, "of", "i").agg(F.sort_array(F.collect_list("key")).alias("x"))
+    deal = lambda d: d.repartition(min(1 + int(pairs / task_pairs), 50_000), *g, "i", "j")
+    first = blocks.select(*g, "i", F.explode(F.sequence("i", F.col("of") - 1)).alias("j"), "x")
+    later = blocks.select(*g, F.explode(F.sequence(F.lit(0), "i")).alias("i"), F.col("i").alias("j"), F.col("x").alias("y"))
+    meet = deal(first).join(deal(later).hint("merge"), [*g, "i", "j"])
     met = meet.select("i", "j", "y", F.explode("x").alias("a")).select("i", "j", "a", F.explode("y").alias("b"))
     return met.where("i < j or a < b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 

@@ -84,6 +84,23 @@ def test_pairs_of_one_large_group_are_several_tasks(spark, tmp_path):
     assert max(r.n for r in pairs) < 0.6 * n * (n - 1) / 2
 
 
+def test_meetings_of_one_large_group_are_made_by_several_tasks(spark):
+    n, sc = 3000, spark.sparkContext
+    sc.setJobGroup("meetings", "")
+    try:
+        pairs = graph.same_pairs(spark.range(0, n, 1, 1).withColumn("k", F.lit("one")), "id", ["k"], 8).count()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert pairs == n * (n - 1) // 2
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    store, tracker = sc._jsc.sc().statusStore(), sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("meetings") for s in tracker.getJobInfo(j).stageIds}
+    tasks = [store.taskList(s, 0, 10_000) for s in stages]
+    sent = [x.apply(i).taskMetrics().get().shuffleWriteMetrics().recordsWritten() for x in tasks for i in range(x.size())]
+    blocks = n // 8
+    assert sum(sent) > blocks * (blocks + 1) // 2 > 4 * max(sent)
+
+
 def test_hints(spark):
     e = spark.createDataFrame([("A", "B", "ENJOYS", 0.95), ("B", "C", "IS_A", 0.98), ("C", "D", "IS_A", 1.0)], "src string, dst string, type string, confidence double")
     (h,) = graph.hints(e).collect()
